@@ -1 +1,4 @@
+"""All registered queries; importing this package fills the registry."""
 
+from quillmark.catalog import annotated, lexical, texts  # noqa: F401
+from quillmark.catalog.registry import QUERIES, SQL  # noqa: F401

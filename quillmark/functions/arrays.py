@@ -13,8 +13,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def empty_as(value: Column, size_of: Column, otherwise: Column) -> Column:
-    return F.when(size_of > 0, value).otherwise(otherwise)
+def record(**fields: Column) -> Column:
+    """A struct whose field names hold in every context, also beside a generator."""
+    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
 
 
 def run_starts(ordered: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
@@ -30,18 +31,14 @@ def run_starts(ordered: Column, key: Callable[[Column], Column] = lambda x: x) -
 
 def term_counts(terms: Column) -> Column:
     """array<string> -> array<struct<term, cnt, first_pos>> ordered by term."""
-    tagged = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    tagged = F.sort_array(F.transform(terms, lambda t, i: record(t=t, i=i)))
 
     def count_runs(s: Column) -> Column:
         return let(
             run_starts(s, lambda x: x["t"]),
             lambda starts: F.transform(
                 starts,
-                lambda p, j: F.struct(
-                    F.get(s, p)["t"].alias("term"),
-                    (F.coalesce(F.get(starts, j + 1), F.size(s)) - p).cast("long").alias("cnt"),
-                    F.get(s, p)["i"].cast("long").alias("first_pos"),
-                ),
+                lambda p, j: record(term=F.get(s, p)["t"], cnt=(F.coalesce(F.get(starts, j + 1), F.size(s)) - p).cast("long"), first_pos=F.get(s, p)["i"].cast("long")),
             ),
         )
 
@@ -59,11 +56,7 @@ def sum_long(values: Column, value_of: Callable[[Column], Column] = lambda x: x)
 def moments(values: Column) -> Column:
     """Integer array -> struct<n, s1, s2>: count, sum and sum of squares."""
     zero = F.lit(0).cast("long")
-    return F.struct(
-        F.size(values).cast("long").alias("n"),
-        F.aggregate(values, zero, lambda a, x: a + x.cast("long")).alias("s1"),
-        F.aggregate(values, zero, lambda a, x: a + x.cast("long") * x.cast("long")).alias("s2"),
-    )
+    return record(n=F.size(values).cast("long"), s1=F.aggregate(values, zero, lambda a, x: a + x.cast("long")), s2=F.aggregate(values, zero, lambda a, x: a + x.cast("long") * x.cast("long")))
 
 
 def mean_of(n: Column, s1: Column) -> Column:

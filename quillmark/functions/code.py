@@ -142,21 +142,15 @@ def tag_steps(html: Column) -> Column:
 
 def run_depth(steps: Column) -> Column:
     """One pass over +1, 0 and -1 steps."""
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"), F.lit(0).alias("seen"))
+    zero = A.record(now=F.lit(0), top=F.lit(0), seen=F.lit(0))
     end = F.aggregate(
         steps,
         zero,
-        lambda a, s: F.struct(
-            (a["now"] + s).alias("now"),
-            F.greatest(a["top"], a["now"] + F.greatest(s, F.when(s == 0, 1).otherwise(0))).alias("top"),
-            (a["seen"] + F.when(s >= 0, 1).otherwise(0)).alias("seen"),
-        ),
+        lambda a, s: A.record(now=a["now"] + s, top=F.greatest(a["top"], a["now"] + F.greatest(s, F.when(s == 0, 1).otherwise(0))), seen=a["seen"] + F.when(s >= 0, 1).otherwise(0)),
     )
     return A.let(
         end,
-        lambda e: F.struct(
-            (e["seen"] + 1).cast("long").alias("nodes"), (e["top"] + 1).cast("long").alias("depth")
-        ),
+        lambda e: A.record(nodes=(e["seen"] + 1).cast("long"), depth=(e["top"] + 1).cast("long")),
     )
 
 
@@ -171,7 +165,7 @@ def loop_depth(code: Column) -> Column:
         F.lit(r"\b(?:for|while)[ \t]*\([^(){}]*(?:\([^()]*\)[^(){}]*)*\)[\s]*\{|\bdo[\s]*\{|\{|\}"),
         F.lit(0),
     )
-    zero = F.struct(F.lit("").alias("open"), F.lit(0).alias("top"))
+    zero = A.record(open=F.lit(""), top=F.lit(0))
 
     def step(a: Column, e: Column) -> Column:
         opened = (
@@ -179,10 +173,7 @@ def loop_depth(code: Column) -> Column:
             .when(e == "{", F.concat(a["open"], F.lit("b")))
             .otherwise(F.concat(a["open"], F.lit("L")))
         )
-        return F.struct(
-            opened.alias("open"),
-            F.greatest(a["top"], F.length(F.replace(opened, F.lit("b"), F.lit("")))).alias("top"),
-        )
+        return A.record(open=opened, top=F.greatest(a["top"], F.length(F.replace(opened, F.lit("b"), F.lit("")))))
 
     return F.aggregate(events, zero, step)["top"].cast("long")
 
@@ -191,14 +182,11 @@ def detect_language(src: Column) -> Column:
     """Name of the language with the heaviest markers; null when none is present."""
     scores = F.array(
         *[
-            F.struct(
-                sum(
+            A.record(score=sum(
                     (F.when(src.contains(piece), F.lit(w)).otherwise(F.lit(0.0))
                      for piece, w in pieces.items()),
                     start=F.lit(0.0),
-                ).alias("score"),
-                F.lit(lang).alias("lang"),
-            )
+                ), lang=F.lit(lang))
             for lang, pieces in CODE_MARKERS.items()
         ]
     )

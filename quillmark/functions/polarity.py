@@ -46,11 +46,7 @@ def score_words(text: Column, lexicon: dict[str, float] | None = None) -> Column
         opinion_words(text),
         lambda w: A.let(
             F.lower(w),
-            lambda low: F.struct(
-                low.alias("w"),
-                ((w != low) & (w == F.upper(w))).alias("shout"),
-                literal_valence(low, lexicon).alias("v"),
-            ),
+            lambda low: A.record(w=low, shout=(w != low) & (w == F.upper(w)), v=literal_valence(low, lexicon)),
         ),
     )
 
@@ -96,7 +92,7 @@ def compound(text: Column, scored_words: Column) -> Column:
         mixed = (shouted > 0) & (shouted < F.size(arr))
         but = F.array_position(F.transform(arr, lambda x: x["w"]), "but") - 1
         return A.let(
-            F.struct(mixed.alias("mixed"), but.alias("but")),
+            A.record(mixed=mixed, but=but),
             lambda c: F.aggregate(
                 F.transform(
                     arr,

@@ -71,34 +71,19 @@ def document_profile(kept: Column, tokens: Column) -> Column:
 
     def one_pass(types: Column) -> Column:
         zero = F.lit(0).cast("long")
-        start = F.struct(
-            F.lit("").alias("t"), zero.alias("run"), zero.alias("s1"), zero.alias("s2")
-        )
+        start = A.record(t=F.lit(""), run=zero, s1=zero, s2=zero)
 
         def step(a: Column, x: Column) -> Column:
             count = F.when(F.concat(a["t"], F.lit(end)) == x, a["run"]).otherwise(zero)
             return F.when(
                 x.endswith(end),
-                F.struct(
-                    a["t"].alias("t"),
-                    a["run"].alias("run"),
-                    (a["s1"] + count).alias("s1"),
-                    (a["s2"] + count * count).alias("s2"),
-                ),
+                A.record(t=a["t"], run=a["run"], s1=a["s1"] + count, s2=a["s2"] + count * count),
             ).otherwise(
-                F.struct(
-                    x.alias("t"),
-                    F.when(x == a["t"], a["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"),
-                    a["s1"].alias("s1"),
-                    a["s2"].alias("s2"),
-                )
+                A.record(t=x, run=F.when(x == a["t"], a["run"] + 1).otherwise(F.lit(1).cast("long")), s1=a["s1"], s2=a["s2"])
             )
 
         marked = F.transform(types, lambda t: F.concat(t, F.lit(end)))
-        return F.struct(
-            F.size(types).cast("long").alias("m"),
-            F.aggregate(F.sort_array(F.concat(kept, marked)), start, step).alias("sums"),
-        )
+        return A.record(m=F.size(types).cast("long"), sums=F.aggregate(F.sort_array(F.concat(kept, marked)), start, step))
 
     return A.let(F.array_distinct(tokens), one_pass)
 
@@ -109,7 +94,7 @@ def types_of_sentences(tokens: Column) -> Column:
         F.transform(
             tokens,
             lambda ts, g: F.transform(
-                F.array_distinct(ts), lambda t: F.struct(t.alias("t"), g.alias("g"))
+                F.array_distinct(ts), lambda t: A.record(t=t, g=g)
             ),
         )
     )
@@ -124,7 +109,7 @@ def type_profile(kept: Column, types: Column) -> Column:
     once, so each run of equal terms holds its count and the groups that ask for it.
     """
     occurrences = F.transform(
-        kept, lambda w: F.struct(w.alias("t"), F.lit(-1).alias("g"))
+        kept, lambda w: A.record(t=w, g=F.lit(-1))
     )
     merged = F.sort_array(F.concat(occurrences, types))
 
@@ -138,7 +123,7 @@ def type_profile(kept: Column, types: Column) -> Column:
                         F.size(F.filter(run, lambda x: x["g"] < 0)).cast("long"),
                         lambda c: F.transform(
                             F.filter(run, lambda x: x["g"] >= 0),
-                            lambda x: F.struct(x["g"].alias("g"), c.alias("c")),
+                            lambda x: A.record(g=x["g"], c=c),
                         ),
                     ),
                 )
@@ -155,11 +140,7 @@ def type_profile(kept: Column, types: Column) -> Column:
                 st,
                 lambda p, j: A.let(
                     F.slice(pairs, p + 1, F.coalesce(F.get(st, j + 1), F.size(pairs)) - p),
-                    lambda run: F.struct(
-                        F.size(run).cast("long").alias("m"),
-                        A.sum_long(run, lambda x: x["c"]).alias("s1"),
-                        A.sum_long(run, lambda x: x["c"] * x["c"]).alias("s2"),
-                    ),
+                    lambda run: A.record(m=F.size(run).cast("long"), s1=A.sum_long(run, lambda x: x["c"]), s2=A.sum_long(run, lambda x: x["c"] * x["c"])),
                 ),
             ),
         )
@@ -201,7 +182,7 @@ def top_terms(counts: Column, n: int) -> Column:
     ranked = F.sort_array(
         F.transform(
             counts,
-            lambda c: F.struct((-c["cnt"]).alias("k"), c["first_pos"].alias("p"), c["term"].alias("t")),
+            lambda c: A.record(k=-c["cnt"], p=c["first_pos"], t=c["term"]),
         )
     )
     return F.transform(F.slice(ranked, 1, n), lambda x: x["t"])

@@ -43,23 +43,18 @@ def tree_depth(heads: Column) -> Column:
     """
 
     def doubled(h: Column) -> Column:
-        start = F.struct(
-            h.alias("p"), F.transform(h, lambda _: F.lit(1)).alias("d")
-        )
+        start = A.record(p=h, d=F.transform(h, lambda _: F.lit(1)))
 
         def step(acc: Column, _: Column) -> Column:
-            return F.struct(
-                F.transform(
+            return A.record(p=F.transform(
                     acc["p"], lambda x: F.when(x > 0, F.get(acc["p"], x - 1)).otherwise(F.lit(0))
-                ).alias("p"),
-                F.transform(
+                ), d=F.transform(
                     acc["d"],
                     lambda d, i: d
                     + F.when(
                         F.get(acc["p"], i) > 0, F.get(acc["d"], F.get(acc["p"], i) - 1)
                     ).otherwise(F.lit(0)),
-                ).alias("d"),
-            )
+                ))
 
         rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(h))).cast("int") + 1)
         return F.array_max(F.aggregate(rounds, start, step)["d"])
@@ -75,13 +70,6 @@ def stand_in_metrics(tokens: Column) -> Column:
     """
     def numbers(deps: Column) -> Column:
         n = F.size(deps)
-        return F.struct(
-            (F.floor(F.log2(n)).cast("int") + 1).alias("depth"),
-            (F.lit(0.0) / n).alias("head"),
-            F.size(F.filter(deps, lambda d: d.isin(SUBORDINATE_DEPS))).cast("long").alias("sub_clauses"),
-            F.size(F.filter(deps, lambda d: d == COORDINATOR_DEP)).cast("long").alias("coord_clauses"),
-            ((n - 1) / n).alias("branching"),
-            (n - 1 <= 2).alias("balanced"),
-        )
+        return A.record(depth=F.floor(F.log2(n)).cast("int") + 1, head=F.lit(0.0) / n, sub_clauses=F.size(F.filter(deps, lambda d: d.isin(SUBORDINATE_DEPS))).cast("long"), coord_clauses=F.size(F.filter(deps, lambda d: d == COORDINATOR_DEP)).cast("long"), branching=(n - 1) / n, balanced=n - 1 <= 2)
 
     return A.let(F.transform(tokens, lambda w, i: stand_in_dep(w, i + 1)), numbers)

@@ -32,10 +32,11 @@ def term_frequency(df: DataFrame, keys: list[str], text: str, fold_case: bool =
 def frequency_columns(m: Column, n: Column, s1: Column, s2: Column) -> list[Column]:
     """Mean, population variance and burstiness of type frequencies, from integer sums."""
     spread = (m * s2 - s1 * s1).cast("double")
+    cells = (m * n).cast("double")
     seen = (n > 0) & (m > 0)
     return [
-        F.when(seen, s1 / (m * n)).otherwise(F.lit(0.0)).alias("saliency"),
-        F.when(seen, spread / (m * m * n * n).cast("double")).otherwise(F.lit(0.0)).alias("variance"),
+        F.when(seen, s1 / cells).otherwise(F.lit(0.0)).alias("saliency"),
+        F.when(seen, spread / (cells * cells)).otherwise(F.lit(0.0)).alias("variance"),
         F.when(seen & (s1 > 0), F.sqrt(spread) / s1).otherwise(F.lit(0.0)).alias("burstiness"),
     ]
 

@@ -51,14 +51,13 @@ def from_generation_log(log: DataFrame) -> DataFrame:
     return profile(snippets, F.lit("LLM"))
 
 
-def batches_by_language(df: DataFrame, lang: str, key: str, batch_rows: int = 10_000) -> DataFrame:
-    """(lang, batch, n, chars): sizes of the work lists of each language, null language dropped.
+def batches_by_language(df: DataFrame, lang: str, key: str, text: str, batch_rows: int = 10_000) -> DataFrame:
+    """(lang, batch, n_responses, n_chars): the work lists of each language, null language dropped.
 
-    A list is cut into batches by key hash, so a dominant language is never one list.
+    A list is cut into batches by key range, so a dominant language is never one list.
     """
-    batch = F.pmod(F.xxhash64(key), F.lit(64)) if batch_rows is None else F.floor(F.col(key) / batch_rows)
     return (
         df.where(F.col(lang).isNotNull())
-        .groupBy(F.col(lang), batch.alias("batch"))
-        .agg(F.count(F.lit(1)).alias("n_responses"), F.sum(F.length("text")).alias("n_chars"))
+        .groupBy(F.col(lang), F.floor(F.col(key) / batch_rows).alias("batch"))
+        .agg(F.count(F.lit(1)).alias("n_responses"), F.sum(F.length(text)).alias("n_chars"))
     )
