@@ -68,7 +68,8 @@ def scores_sql(name: str, unit: list[str], source: str, body: str) -> str:
         CASE WHEN {asks} <= 1 THEN 0.0::DOUBLE WHEN {asks} <= 3 THEN {asks} * 0.18::DOUBLE ELSE 0.96::DOUBLE END AS amp
       FROM {source} AS body_ LEFT JOIN {name}_t USING ({by})),
     {name}_q AS (SELECT {by}, CASE WHEN s > 0 THEN s + amp WHEN s < 0 THEN s - amp ELSE 0.0::DOUBLE END AS s FROM {name}_a),
-    {name} AS (SELECT {by}, round(s / sqrt(s * s + 15.0::DOUBLE), 4) AS score FROM {name}_q)"""
+    {name}_r AS (SELECT {by}, round(s / sqrt(s * s + 15.0::DOUBLE), 4) AS score FROM {name}_q),
+    {name} AS (SELECT {by}, CASE WHEN score = 0 THEN 0.0::DOUBLE ELSE score END AS score FROM {name}_r)"""
 
 
 def _sents(body: str = "text", source: str = "documents", key: str = "doc_id") -> str:
@@ -158,7 +159,7 @@ def _(spark, folder):
     return syntax.tree_depth(edges(spark, folder))
 
 
-COUNTS = f"""counts AS (SELECT doc_id, sent_id, count(*) AS n, min(CASE WHEN head_id = 0 THEN tok_id - 1 END) / count(*) AS head,
+COUNTS = f"""counts AS (SELECT doc_id, sent_id, count(*) AS n_tok, min(CASE WHEN head_id = 0 THEN tok_id - 1 END) / count(*) AS head,
     count(*) FILTER (dep IN {SUBORDINATE}) AS sub_clauses, count(*) FILTER (dep = 'cc') AS coord_clauses,
     count(*) FILTER (head_id > 0 AND tok_id > head_id) AS rights,
     count(*) FILTER (head_id > 0 AND tok_id < head_id) AS lefts FROM edges GROUP BY 1, 2)"""
@@ -173,7 +174,7 @@ def _counts_query(name: str, expr: str, column: str):
 _counts_query("root_position", "head", "head")
 _counts_query("subordinate_clauses", "sub_clauses", "sub_clauses")
 _counts_query("coordinating_conjunctions", "coord_clauses", "coord_clauses")
-_counts_query("branching_bias", "(rights - lefts) / n", "branching")
+_counts_query("branching_bias", "(rights - lefts) / n_tok", "branching")
 _counts_query("balanced_flag", "abs(lefts - rights) <= 2", "balanced")
 
 
@@ -182,7 +183,7 @@ _counts_query("balanced_flag", "abs(lefts - rights) <= 2", "balanced")
     f"""WITH {WALK}, {COUNTS}, {_sents()},
         wc AS (SELECT doc_id, sent_id, len({S.words('s')}) AS n_words FROM sents)
         SELECT doc_id, max(depth) AS depth, round(avg(head / n_words), 6) AS head, round(avg(sub_clauses), 6) AS sub_clauses,
-          round(avg(coord_clauses), 6) AS coord_clauses, round(avg((rights - lefts) / n), 6) AS branching,
+          round(avg(coord_clauses), 6) AS coord_clauses, round(avg((rights - lefts) / n_tok), 6) AS branching,
           round(avg(CASE WHEN abs(lefts - rights) <= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS balanced
         FROM counts JOIN depths USING (doc_id, sent_id) JOIN wc USING (doc_id, sent_id) GROUP BY doc_id""",
 )
@@ -241,9 +242,9 @@ def document_sql(body: str, source: str, key: str = "doc_id", label: str = "'LLM
       lemsum AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY sent_id, tok_id) AS lemmas FROM lemmatised GROUP BY 1),
       dev AS (SELECT doc_id, stddev_pop(abs(ss.score - ds.score)) AS dev FROM ss JOIN ds USING (doc_id) GROUP BY 1),
       {EDGES}, {COUNTS},
-      syn AS (SELECT doc_id, max(CAST(floor(log2(n)) AS INTEGER) + 1) AS depth,
+      syn AS (SELECT doc_id, max(CAST(floor(log2(n_tok)) AS INTEGER) + 1) AS depth,
                 avg(head {"/ len(" + S.words('s') + ")" if halve_head else ""}) AS head, avg(sub_clauses) AS sub_clauses,
-                avg(coord_clauses) AS coord_clauses, avg((rights - lefts) / n) AS branching,
+                avg(coord_clauses) AS coord_clauses, avg((rights - lefts) / n_tok) AS branching,
                 avg(CASE WHEN abs(lefts - rights) <= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS balanced
               FROM counts JOIN sents USING (doc_id, sent_id) GROUP BY 1)
       SELECT x.doc_id, src_.text, coalesce(pos, '') AS pos, coalesce(lemmas, '') AS lemmas,
@@ -312,8 +313,8 @@ SENTENCE_SQL = f"""WITH {S.token_tables('text', '(SELECT doc_id, text FROM docum
       {EDGES}, {COUNTS}
       SELECT x.doc_id, x.sent_id, s AS sentence, pos, lemmas, density AS lexical_density, {NUMBERS},
         ss.score AS sentiment, round(abs(ss.score - ds.score), 4) AS sentiment_deviation, ttr AS document_ttr,
-        counts.n AS sentence_length, CAST(floor(log2(counts.n)) AS INTEGER) + 1 AS depth, head, sub_clauses, coord_clauses,
-        (rights - lefts) / counts.n AS branching, abs(lefts - rights) <= 2 AS balanced, 'LLM' AS label
+        n_tok AS sentence_length, CAST(floor(log2(n_tok)) AS INTEGER) + 1 AS depth, head, sub_clauses, coord_clauses,
+        (rights - lefts) / n_tok AS branching, abs(lefts - rights) <= 2 AS balanced, 'LLM' AS label
       FROM x JOIN sents USING (doc_id, sent_id) JOIN ss USING (doc_id, sent_id) JOIN ds USING (doc_id) JOIN tt USING (doc_id)
         JOIN tg USING (doc_id, sent_id) JOIN lm USING (doc_id, sent_id) JOIN counts USING (doc_id, sent_id)"""
 

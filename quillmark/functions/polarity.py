@@ -109,7 +109,8 @@ def compound(text: Column, scored_words: Column) -> Column:
     def squash(s: Column) -> Column:
         amp = emphasis(text)
         s2 = F.when(s > 0, s + amp).when(s < 0, s - amp).otherwise(F.lit(0.0))
-        return F.round(s2 / F.sqrt(s2 * s2 + F.lit(K.NORMALISER)), 4)
+        rounded = F.round(s2 / F.sqrt(s2 * s2 + F.lit(K.NORMALISER)), 4)
+        return A.let(rounded, lambda r: F.when(r != 0, r).otherwise(F.lit(0.0)))
 
     def unless_plain(arr: Column) -> Column:
         return F.when(
