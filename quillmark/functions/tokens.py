@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import arrays as A
 from quillmark.functions import patterns as P
-from quillmark.functions.constants import STOP_WORDS
+from quillmark.functions.constants import LANGUAGE_MARKERS, STOP_WORDS
 from quillmark.functions.text import rewrite, words
 
 
@@ -15,6 +15,10 @@ def is_stop(word: Column) -> Column:
     return word.isin(STOP_WORDS)
 
 
+def _member_of(names: list[str]):
+    return lambda w: w.isin(names)
+
+
 def regex_tokens(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(P.WORD), F.lit(0))
 
@@ -202,3 +206,21 @@ def chat_title(col: Column) -> Column:
     return F.when(
         F.size(ws) > 3, F.array_join(F.filter(ws, lambda w: ~is_stop(w)), "_")
     ).otherwise(F.array_join(ws, "_"))
+
+
+def detect_natural_language(col: Column) -> Column:
+    """Language whose marker words weigh most in the text; null when none occurs."""
+    every = [w for words_ in LANGUAGE_MARKERS.values() for w in words_]
+
+    def best(ws: Column) -> Column:
+        scores = []
+        for lang, markers in LANGUAGE_MARKERS.items():
+            weight = None
+            for value in sorted(set(markers.values())):
+                hit = [w for w, v in markers.items() if v == value]
+                count = F.size(F.filter(ws, _member_of(hit))) * F.lit(value)
+                weight = count if weight is None else weight + count
+            scores.append(A.record(score=weight, lang=F.lit(lang)))
+        return A.let(F.array_max(F.array(*scores)), lambda b: F.when(b["score"] > 0, b["lang"]))
+
+    return A.let(F.filter(regex_tokens(F.lower(col)), lambda w: w.isin(every)), best)
