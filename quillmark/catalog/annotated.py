@@ -84,7 +84,7 @@ SENT_SCORES = scores_sql("ss", ["doc_id", "sent_id"], "sents", "s")
 @query("document_sentiment", f"WITH {DOC_SCORES} SELECT doc_id, score AS sentiment FROM ds")
 def _(spark, folder):
     return documents(spark, folder).select(
-        "doc_id", polarity.polarity(F.col("text"), SAMPLE_LEXICON).alias("sentiment")
+        "doc_id", polarity.polarity("text", SAMPLE_LEXICON).alias("sentiment")
     )
 
 
@@ -95,16 +95,16 @@ def sentence_scores(spark, folder):
     )
     scored = docs.select(
         "doc_id", "text", "sents",
-        F.transform("sents", lambda s: polarity.score_words(s, SAMPLE_LEXICON)).alias("o"),
+        polarity.score_sentences("sents", SAMPLE_LEXICON).alias("o"),
     )
     rows = scored.select(
         "doc_id",
-        polarity.compound(F.col("text"), F.flatten("o")).alias("document"),
-        F.posexplode(F.arrays_zip("sents", "o")).alias("sent_id", "z"),
+        polarity.document_polarity("text", "o").alias("document"),
+        F.posexplode(polarity.sentence_polarities("sents", "o")).alias("sent_id", "sentiment"),
     )
     return rows.select(
         "doc_id", F.col("sent_id").cast("long").alias("sent_id"),
-        polarity.compound(F.col("z.sents"), F.col("z.o")).alias("sentiment"), "document",
+        "sentiment", "document",
     )
 
 

@@ -79,8 +79,9 @@ _POS = f"""{S.token_tables()}, {TAGGED}, ps AS (SELECT doc_id, string_agg(tag, '
 
 @query("pos_ngram_counts", f"WITH {_POS} SELECT doc_id, term, count(*) AS cnt FROM pg GROUP BY ALL")
 def _(spark, folder):
-    tags = F.flatten(tagging.tag_sentences(tokens.sentence_tokens(F.col("text"))))
-    pos = documents(spark, folder).select("doc_id", F.array_join(tags, " ").alias("pos"))
+    toks = documents(spark, folder).select("doc_id", tokens.sentence_tokens(F.col("text")).alias("toks"))
+    tags = F.flatten(tagging.tag_sentences("toks"))
+    pos = toks.select("doc_id", F.array_join(tags, " ").alias("pos"))
     return features.document_terms(pos, features.word_terms(F.col("pos"), 1, 3))
 
 
@@ -121,7 +122,7 @@ def _(spark, folder):
 def _(spark, folder):
     docs = documents(spark, folder)
     a = docs.select("doc_id", F.size(tokens.word_tokens(F.col("text"))).cast("long").alias("n_tokens"))
-    b = docs.select("doc_id", F.size(F.array_distinct(tokens.kept_tokens(F.col("text")))).cast("long").alias("n_terms"))
+    b = docs.select("doc_id", F.size(F.array_distinct(tokens.kept_tokens("text"))).cast("long").alias("n_terms"))
     quality = table(spark, folder, "labels").select("doc_id", "quality")
     return features.feature_join([a, b.where("n_terms > 0"), quality])
 

@@ -61,7 +61,7 @@ def _(spark, folder):
         FROM d0 LEFT JOIN kept USING (doc_id) GROUP BY d0.doc_id""",
 )
 def _(spark, folder):
-    kept = documents(spark, folder).select("doc_id", tokens.kept_tokens(F.col("text")).alias("k"))
+    kept = documents(spark, folder).select("doc_id", tokens.kept_tokens("text").alias("k"))
     return kept.select("doc_id", F.size("k").cast("long").alias("n"), F.array_join("k", " ").alias("kept"))
 
 
@@ -118,7 +118,7 @@ def _(spark, folder):
     docs = documents(spark, folder).select(
         "doc_id",
         tokens.sentence_tokens(F.col("text")).alias("toks"),
-        tokens.kept_tokens(F.col("text")).alias("k"),
+        tokens.kept_tokens("text").alias("k"),
     )
     rows = docs.select(
         "doc_id", F.size("k").cast("long").alias("n"),
@@ -172,8 +172,9 @@ TAGGED = f"tagged AS MATERIALIZED (SELECT *, {S.tag()} AS tag FROM tok)"
         FROM tagged GROUP BY doc_id""",
 )
 def _(spark, folder):
-    tags = tagging.tag_sentences(tokens.sentence_tokens(F.col("text")))
-    return documents(spark, folder).select("doc_id", F.array_join(F.flatten(tags), " ").alias("pos")).where(
+    toks = documents(spark, folder).select("doc_id", tokens.sentence_tokens(F.col("text")).alias("toks"))
+    tags = tagging.tag_sentences("toks")
+    return toks.select("doc_id", F.array_join(F.flatten(tags), " ").alias("pos")).where(
         F.col("pos") != ""
     )
 
@@ -194,8 +195,9 @@ def _(spark, folder):
         count(*) FILTER (tag IN {S.CONTENT}) / count(*) AS lexical_density FROM tagged GROUP BY doc_id""",
 )
 def _(spark, folder):
-    tags = F.flatten(tagging.tag_sentences(tokens.sentence_tokens(F.col("text"))))
-    return documents(spark, folder).select("doc_id", tags.alias("t")).where(F.size("t") > 0).select(
+    toks = documents(spark, folder).select("doc_id", tokens.sentence_tokens(F.col("text")).alias("toks"))
+    tags = F.flatten(tagging.tag_sentences("toks"))
+    return toks.select("doc_id", tags.alias("t")).where(F.size("t") > 0).select(
         "doc_id", tagging.lexical_density(F.col("t")).alias("lexical_density")
     )
 
@@ -272,7 +274,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     return features.vocabulary(
-        features.document_terms(documents(spark, folder), tokens.kept_tokens(F.col("text")))
+        features.document_terms(documents(spark, folder), tokens.kept_tokens("text"))
     )
 
 
@@ -283,7 +285,7 @@ TOP = f"""{S.token_tables()},
 
 @query("top_terms", f"WITH {TOP} SELECT doc_id, string_agg(term, ' ' ORDER BY r) AS terms FROM ranked WHERE r <= 5 GROUP BY doc_id")
 def _(spark, folder):
-    kept = A.term_counts(tokens.kept_tokens(F.col("text")))
+    kept = A.term_counts(tokens.kept_tokens("text"))
     return documents(spark, folder).select(
         "doc_id", F.array_join(tokens.top_terms(kept, 5), " ").alias("terms")
     ).where(F.col("terms") != "")
@@ -295,7 +297,7 @@ def _(spark, folder):
         FROM kept SEMI JOIN (SELECT doc_id, term FROM ranked WHERE r <= 5) b USING (doc_id, term) GROUP BY doc_id""",
 )
 def _(spark, folder):
-    kept = documents(spark, folder).select("doc_id", tokens.kept_tokens(F.col("text")).alias("k"))
+    kept = documents(spark, folder).select("doc_id", tokens.kept_tokens("text").alias("k"))
     title = A.let(
         F.col("best"),
         lambda best: F.array_join(F.filter("k", lambda w: F.array_contains(best, w)), "_"),

@@ -30,9 +30,10 @@ from quillmark.streaming.annotate import annotate_stream, read_master
         SELECT text, pos, lemmas, 'LLM' AS label FROM d JOIN tg USING (doc_id)""",
 )
 def _(spark, folder):
-    toks = tokens.sentence_tokens(F.col("text"))
-    rows = documents(spark, folder).select(
-        "text", F.flatten(tagging.tag_sentences(toks)).alias("pos"), F.flatten(toks).alias("lemmas"), F.lit("LLM").alias("label")
+    toks = documents(spark, folder).select("text", tokens.sentence_tokens(F.col("text")).alias("toks"))
+    rows = toks.select(
+        "text", F.flatten(tagging.tag_sentences("toks")).alias("pos"), F.flatten("toks").alias("lemmas"),
+        F.lit("LLM").alias("label"),
     )
     path = writers.write_csv(rows, new_path(spark, "prose-csv"))
     back = readers.read_prose_csv(spark, path, "text string, pos string, lemmas string, label string")

@@ -1,4 +1,10 @@
-"""Lexicon polarity of a text in [-1, 1], after the published valence rules."""
+"""Lexicon polarity of a text in [-1, 1], after the published valence rules.
+
+A word of the lexicon counts with its score, raised when written in capitals in a text of mixed
+case, moved by degree words among the three words before it, turned by a negation there, halved
+before and raised by half after "but"; exclamation and question marks add to the sum, which is
+then squashed.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +13,11 @@ from collections import defaultdict
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmark.functions import arrays as A
 from quillmark.functions import constants as K
 from quillmark.functions import patterns as P
-from quillmark.functions.text import rewrite, words
+from quillmark.functions import sqltext as Q
 
+CONTRACTED_NOT = "n't"
 _OUTER = r"[^\p{L}\p{N}\s\x0B\x1C-\x1F\x85\p{Z}]"
 EDGE_MARKS = [
     (rf"(\A|{P.WS}){_OUTER}+", "$1"),
@@ -19,106 +25,97 @@ EDGE_MARKS = [
 ]
 
 
-def opinion_words(col: Column) -> Column:
-    """White-space words without the marks around them; words of one character are dropped."""
-    return F.filter(F.split(rewrite(col, EDGE_MARKS), P.WS + "+"), lambda w: F.length(w) > 1)
-
-
-def literal_valence(word: Column, lexicon: dict[str, float]) -> Column:
+def _valence(low: str, lexicon: dict[str, float]) -> str:
     """Score of a lower-cased word: one set test for a miss, then one per distinct score."""
     by_score: dict[float, list[str]] = defaultdict(list)
     for term, score in lexicon.items():
         by_score[float(score)].append(term)
-    scored = None
-    for score in sorted(by_score):
-        hit = word.isin(by_score[score])
-        scored = F.when(hit, F.lit(score)) if scored is None else scored.when(hit, F.lit(score))
-    return F.when(word.isin(list(lexicon)), scored)
-
-
-def score_words(text: Column, lexicon: dict[str, float] | None = None) -> Column:
-    """array<struct<w, shout, v>>: lower-cased opinion words, all-capitals flag, valence.
-
-    The valence is null outside the lexicon (built in unless given).
-    """
-    lexicon = lexicon or K.POLARITY
-    return F.transform(
-        opinion_words(text),
-        lambda w: A.let(
-            F.lower(w),
-            lambda low: A.record(w=low, shout=(w != low) & (w == F.upper(w)), v=literal_valence(low, lexicon)),
-        ),
+    scored = Q.cases(
+        [(Q.one_of(low, by_score[s]), Q.number(s)) for s in sorted(by_score)], "NULL"
     )
+    return f"CASE WHEN {Q.one_of(low, lexicon)} THEN {scored} END"
 
 
-def _boost(low: Column) -> Column:
-    return (
-        F.when(low.isin(K.BOOSTERS_UP), F.lit(K.BOOST))
-        .when(low.isin(K.BOOSTERS_DOWN), F.lit(-K.BOOST))
-        .otherwise(F.lit(0.0))
+def score_words_sql(text: str, lexicon: dict[str, float] | None = None) -> str:
+    """array<struct<w, shout, v>>: lower-cased words without outer marks, all-capitals flag and
+    valence, which is null outside the lexicon (built in unless given). Words of one character
+    are dropped."""
+    found = f"split({Q.rewrite(text, EDGE_MARKS)}, {Q.lit(P.WS + '+')})"
+    fields = (
+        f"named_struct('w', low_, 'shout', w_ <> low_ AND w_ = upper(w_), "
+        f"'v', {_valence('low_', lexicon or K.POLARITY)})"
     )
+    return f"transform(filter({found}, w_ -> length(w_) > 1), w_ -> {Q.let('lower(w_)', 'low_', fields)})"
 
 
-def _word_score(arr: Column, mixed_case: Column, x: Column, i: Column) -> Column:
-    sign = F.when(x["v"] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    score = x["v"] + F.when(mixed_case & x["shout"], sign * K.CAPS_BOOST).otherwise(F.lit(0.0))
-    for back, damping in enumerate(K.DAMPING, start=1):
-        prev = F.get(arr, i - back)
-        counts = prev.isNotNull() & prev["v"].isNull()
-        score = score + F.when(counts, sign * _boost(prev["w"]) * damping).otherwise(F.lit(0.0))
-        score = score * F.when(
-            counts & (prev["w"].isin(K.NEGATIONS) | prev["w"].contains("n't")), F.lit(K.NEGATION)
-        ).otherwise(F.lit(1.0))
-    return F.when(x["v"].isNotNull() & ~x["w"].isin(K.BOOSTERS_UP + K.BOOSTERS_DOWN), score)
+def _boost(word: str) -> str:
+    return Q.cases(
+        [
+            (Q.one_of(word, K.BOOSTERS_UP), Q.number(K.BOOST)),
+            (Q.one_of(word, K.BOOSTERS_DOWN), Q.number(-K.BOOST)),
+        ],
+        "0D",
+    )
+
 
+def _word_score(words: str, mixed: str, x: str, i: str) -> str:
+    sign = f"if({x}.v < 0, -1D, 1D)"
+    score = f"({x}.v + if({mixed} AND {x}.shout, {sign} * {Q.number(K.CAPS_BOOST)}, 0D))"
+    for back, damping in enumerate(K.DAMPING, start=1):
+        prev = f"get({words}, {i} - {back})"
+        counts = f"({prev} IS NOT NULL AND {prev}.v IS NULL)"
+        moved = f"if({counts}, {sign} * {_boost(f'{prev}.w')} * {Q.number(damping)}, 0D)"
+        negated = f"{Q.one_of(f'{prev}.w', K.NEGATIONS)} OR contains({prev}.w, {Q.lit(CONTRACTED_NOT)})"
+        score = f"(({score} + {moved}) * if({counts} AND ({negated}), {Q.number(K.NEGATION)}, 1D))"
+    degree = Q.one_of(f"{x}.w", K.BOOSTERS_UP + K.BOOSTERS_DOWN)
+    return f"CASE WHEN {x}.v IS NULL OR {degree} THEN 0D ELSE {score} END"
 
-def emphasis(text: Column) -> Column:
-    """Weight added by exclamation and question marks."""
 
-    def occurrences(mark: str) -> Column:
-        return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+def _emphasis(text: str) -> str:
+    def occurrences(mark: str) -> str:
+        return f"(length({text}) - length(replace({text}, '{mark}', '')))"
 
     asks = occurrences("?")
-    return F.least(occurrences("!"), F.lit(4)) * F.lit(K.EXCLAIM) + (
-        F.when(asks <= 1, F.lit(0.0)).when(asks <= 3, asks * F.lit(0.18)).otherwise(F.lit(0.96))
+    return (
+        f"(least({occurrences('!')}, 4) * {Q.number(K.EXCLAIM)} + "
+        f"CASE WHEN {asks} <= 1 THEN 0D WHEN {asks} <= 3 THEN {asks} * 0.18D ELSE 0.96D END)"
     )
 
 
-def compound(text: Column, scored_words: Column) -> Column:
+def compound_sql(text: str, scored_words: str) -> str:
     """Polarity of ``text`` from its scored words, rounded to four places."""
+    context = (
+        "named_struct('mixed', size(filter(ws_, y_ -> y_.shout)) BETWEEN 1 AND size(ws_) - 1, "
+        "'but', array_position(transform(ws_, y_ -> y_.w), 'but') - 1)"
+    )
+    weight = "CASE WHEN c_.but < 0 OR i_ = c_.but THEN 1D WHEN i_ < c_.but THEN 0.5D ELSE 1.5D END"
+    scores = f"transform(ws_, (x_, i_) -> {_word_score('ws_', 'c_.mixed', 'x_', 'i_')} * {weight})"
+    total = Q.let(context, "c_", f"aggregate({scores}, 0D, (a_, y_) -> a_ + y_)")
+    amplified = f"CASE WHEN sum_ > 0 THEN sum_ + {_emphasis(text)} WHEN sum_ < 0 THEN sum_ - {_emphasis(text)} ELSE 0D END"
+    rounded = Q.let(amplified, "t_", f"round(t_ / sqrt(t_ * t_ + {Q.number(K.NORMALISER)}), 4)")
+    positive_zero = Q.let(rounded, "r_", "if(r_ = 0, 0D, r_)")
+    return Q.let(
+        scored_words,
+        "ws_",
+        f"if(exists(ws_, y_ -> y_.v IS NOT NULL), {Q.let(total, 'sum_', positive_zero)}, 0D)",
+    )
+
+
+def polarity(text: str, lexicon: dict[str, float] | None = None) -> Column:
+    """Polarity of the text column ``text``."""
+    return F.expr(compound_sql(text, score_words_sql(text, lexicon)))
+
+
+def score_sentences(sentences: str, lexicon: dict[str, float] | None = None) -> Column:
+    """Scored words of each sentence of an array column."""
+    return F.expr(f"transform({sentences}, s_ -> {score_words_sql('s_', lexicon)})")
+
+
+def document_polarity(text: str, sentence_words: str) -> Column:
+    """Polarity of a text from the scored words of its sentences."""
+    return F.expr(compound_sql(text, f"flatten({sentence_words})"))
+
 
-    def total(arr: Column) -> Column:
-        shouted = F.size(F.filter(arr, lambda x: x["shout"]))
-        mixed = (shouted > 0) & (shouted < F.size(arr))
-        but = F.array_position(F.transform(arr, lambda x: x["w"]), "but") - 1
-        return A.let(
-            A.record(mixed=mixed, but=but),
-            lambda c: F.aggregate(
-                F.transform(
-                    arr,
-                    lambda x, i: F.coalesce(_word_score(arr, c["mixed"], x, i), F.lit(0.0))
-                    * F.when((c["but"] < 0) | (i == c["but"]), F.lit(1.0))
-                    .when(i < c["but"], F.lit(0.5))
-                    .otherwise(F.lit(1.5)),
-                ),
-                F.lit(0.0),
-                lambda a, x: a + x,
-            ),
-        )
-
-    def squash(s: Column) -> Column:
-        amp = emphasis(text)
-        s2 = F.when(s > 0, s + amp).when(s < 0, s - amp).otherwise(F.lit(0.0))
-        rounded = F.round(s2 / F.sqrt(s2 * s2 + F.lit(K.NORMALISER)), 4)
-        return A.let(rounded, lambda r: F.when(r != 0, r).otherwise(F.lit(0.0)))
-
-    def unless_plain(arr: Column) -> Column:
-        return F.when(
-            F.exists(arr, lambda x: x["v"].isNotNull()), A.let(total(arr), squash)
-        ).otherwise(F.lit(0.0))
-
-    return A.let(scored_words, unless_plain)
-
-
-def polarity(text: Column, lexicon: dict[str, float] | None = None) -> Column:
-    return compound(text, score_words(text, lexicon))
+def sentence_polarities(sentences: str, sentence_words: str) -> Column:
+    pairs = f"zip_with({sentences}, {sentence_words}, (s_, o_) -> {compound_sql('s_', 'o_')})"
+    return F.expr(pairs)

@@ -6,42 +6,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmark.functions import arrays as A
+from quillmark.functions import sqltext as Q
 from quillmark.functions.constants import CLOSED_CLASS, CONTENT_TAGS, SUFFIX_TAGS
 
 
-def tag_word(word: Column, first: Column) -> Column:
-    """Penn tag of a word; ``first`` tells whether it opens its sentence."""
-    return A.let(F.lower(word), lambda low: _tag(word, low, first))
-
-
-def _tag(word: Column, low: Column, first: Column) -> Column:
-    closed = None
-    for name, members in CLOSED_CLASS.items():
-        hit = low.isin(members)
-        closed = F.when(hit, name) if closed is None else closed.when(hit, name)
-    name_like = ~first & (F.left(word, F.lit(1)) != F.left(low, F.lit(1)))
-    plain = F.when(name_like, "NNP")
-    for suffix, name in SUFFIX_TAGS:
-        plain = plain.when(low.endswith(suffix) & (F.length(word) > len(suffix) + 1), name)
-    other = (
-        F.when(word.isin("?", "!"), ".")
-        .when(word.isin(";", "--", "…", "—", "–"), ":")
-        .when(~word.rlike(r"[\p{L}\p{N}]"), word)
-        .when(word.rlike(r"\A[\p{N}.,]+\z"), "CD")
-        .when(name_like, "NNP")
-        .otherwise("NN")
-    )
+def tag_word_sql(word: str, first: str) -> str:
+    """SQL text of the Penn tag of ``word``; ``first`` tells whether it opens its sentence."""
+    closed = Q.cases([(Q.one_of("low_", ws), Q.lit(t)) for t, ws in CLOSED_CLASS.items()], "NULL")
     every = [w for members in CLOSED_CLASS.values() for w in members]
-    return (
-        F.when(low.isin(every), closed)
-        .when(word.rlike(r"\A\p{L}[\p{L}\-]*\z"), plain.otherwise("NN"))
-        .otherwise(other)
+    name_like = f"NOT ({first}) AND left({word}, 1) <> left(low_, 1)"
+    plain = [(name_like, "'NNP'")] + [
+        (f"endswith(low_, {Q.lit(s)}) AND length({word}) > {len(s) + 1}", Q.lit(t)) for s, t in SUFFIX_TAGS
+    ]
+    other = [
+        (Q.one_of(word, "?!"), "'.'"),
+        (Q.one_of(word, [";", "--", "…", "—", "–"]), "':'"),
+        (f"NOT {word} RLIKE {Q.lit(r'[\p{L}\p{N}]')}", word),
+        (f"{word} RLIKE {Q.lit(r'\A[\p{N}.,]+\z')}", "'CD'"),
+        (name_like, "'NNP'"),
+    ]
+    body = Q.cases(
+        [
+            (Q.one_of("low_", every), closed),
+            (f"{word} RLIKE {Q.lit(r'\A\p{L}[\p{L}\-]*\z')}", Q.cases(plain, "'NN'")),
+        ],
+        Q.cases(other, "'NN'"),
     )
+    return Q.let(f"lower({word})", "low_", body)
 
 
-def tag_sentences(tokens: Column) -> Column:
-    """array<array<string>> of words -> array<array<string>> of tags."""
-    return F.transform(tokens, lambda ts: F.transform(ts, lambda w, i: tag_word(w, i == 0)))
+def tag_sentences(tokens: str) -> Column:
+    """Tags, array<array<string>>, of the word column or expression ``tokens`` of that type."""
+    return F.expr(f"transform({tokens}, ts_ -> transform(ts_, (w_, i_) -> {tag_word_sql('w_', 'i_ = 0')}))")
 
 
 def coarse_class(tag: Column) -> Column:

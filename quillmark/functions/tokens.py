@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import arrays as A
 from quillmark.functions import patterns as P
+from quillmark.functions import sqltext as Q
 from quillmark.functions.constants import LANGUAGE_MARKERS, STOP_WORDS
 from quillmark.functions.text import rewrite, words
 
@@ -52,16 +53,17 @@ def word_tokens(col: Column) -> Column:
     return F.flatten(sentence_tokens(col))
 
 
-def kept_tokens(col: Column, fold_case: bool = False) -> Column:
-    """Lower-cased word terms that are no stop words.
+def kept_tokens(text: str, fold_case: bool = False) -> Column:
+    """Lower-cased word terms of the text column that are no stop words.
 
     The stop-word test looks at the original case, so a capitalised stop word is kept, unless
     ``fold_case`` asks for the test on the lower-cased word.
     """
-    toks = regex_tokens(col)
+    found = f"regexp_extract_all({text}, {Q.lit(P.WORD)}, 0)"
+    kept = f"NOT {Q.one_of('w_', STOP_WORDS)}"
     if fold_case:
-        return F.filter(F.transform(toks, F.lower), lambda w: ~is_stop(w))
-    return F.transform(F.filter(toks, lambda w: ~is_stop(w)), F.lower)
+        return F.expr(f"filter(transform({found}, w_ -> lower(w_)), w_ -> {kept})")
+    return F.expr(f"transform(filter({found}, w_ -> {kept}), w_ -> lower(w_))")
 
 
 def document_profile(kept: Column, tokens: Column) -> Column:

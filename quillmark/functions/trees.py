@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmark.functions import arrays as A
+from quillmark.functions import sqltext as Q
 from quillmark.functions.constants import COORDINATOR_DEP, SUBORDINATE_DEPS
 
 # Words that mark a dependency in the built-in stand-in for a parser.
@@ -17,18 +18,10 @@ MARKED_DEPS = {
 }
 
 
-def stand_in_dep(word: Column, position: Column) -> Column:
-    """Label of the 1-based token ``position``; the first token is the root."""
-
-    def named(low: Column) -> Column:
-        dep = None
-        for name, members in MARKED_DEPS.items():
-            hit = low.isin(members)
-            dep = F.when(hit, name) if dep is None else dep.when(hit, name)
-        every = [w for members in MARKED_DEPS.values() for w in members]
-        return F.when(low.isin(every), dep).otherwise("dep")
-
-    return F.when(position == 1, "ROOT").otherwise(A.let(F.lower(word), named))
+def stand_in_dep_sql(word: str, position: str) -> str:
+    """SQL text of the label of the 1-based token ``position``; the first token is the root."""
+    named = Q.cases([(Q.one_of("low_", ws), Q.lit(d)) for d, ws in MARKED_DEPS.items()], "'dep'")
+    return f"if({position} = 1, 'ROOT', {Q.let(f'lower({word})', 'low_', named)})"
 
 
 def stand_in_head(position: Column) -> Column:
@@ -62,14 +55,29 @@ def tree_depth(heads: Column) -> Column:
     return F.when(F.size(heads) > 0, A.let(heads, doubled)).otherwise(F.lit(0))
 
 
-def stand_in_metrics(tokens: Column) -> Column:
+def stand_in_metrics_sql(tokens: str) -> str:
     """Tree numbers of one tokenised sentence under the stand-in tree (head of i is i div 2).
 
     Depth and child counts of that tree have closed forms; the root is the first token and every
     other token lies to the right of its head.
     """
-    def numbers(deps: Column) -> Column:
-        n = F.size(deps)
-        return A.record(depth=F.floor(F.log2(n)).cast("int") + 1, head=F.lit(0.0) / n, sub_clauses=F.size(F.filter(deps, lambda d: d.isin(SUBORDINATE_DEPS))).cast("long"), coord_clauses=F.size(F.filter(deps, lambda d: d == COORDINATOR_DEP)).cast("long"), branching=(n - 1) / n, balanced=n - 1 <= 2)
 
-    return A.let(F.transform(tokens, lambda w, i: stand_in_dep(w, i + 1)), numbers)
+    def deps(names: list[str]) -> str:
+        return f"CAST(size(filter(ds_, d_ -> {Q.one_of('d_', names)})) AS BIGINT)"
+
+    fields = {
+        "depth": "CAST(floor(log2(size(ds_))) AS INT) + 1",
+        "head": "0D / size(ds_)",
+        "sub_clauses": deps(SUBORDINATE_DEPS),
+        "coord_clauses": deps([COORDINATOR_DEP]),
+        "branching": "(size(ds_) - 1) / size(ds_)",
+        "balanced": "size(ds_) - 1 <= 2",
+    }
+    struct = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+    labels = f"transform({tokens}, (w_, i_) -> {stand_in_dep_sql('w_', '(i_ + 1)')})"
+    return Q.let(labels, "ds_", struct)
+
+
+def stand_in_metrics(sentences: str) -> Column:
+    """Tree numbers of each sentence of an array<array<string>> column."""
+    return F.expr(f"transform({sentences}, ts_ -> {stand_in_metrics_sql('ts_')})")

@@ -23,7 +23,7 @@ def explode_tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 def term_frequency(df: DataFrame, keys: list[str], text: str, fold_case: bool = False) -> DataFrame:
     """(keys, term, cnt, n): counts of kept terms and the total of the text."""
     return (
-        df.select(*keys, tokens.kept_tokens(F.col(text), fold_case).alias("_k"))
+        df.select(*keys, tokens.kept_tokens(text, fold_case).alias("_k"))
         .select(*keys, F.size("_k").cast("long").alias("n"), F.explode(A.term_counts(F.col("_k"))).alias("_c"))
         .select(*keys, F.col("_c.term").alias("term"), F.col("_c.cnt").alias("cnt"), "n")
     )
@@ -48,7 +48,7 @@ def type_frequency_profile(df: DataFrame, keys: list[str], text: str) -> DataFra
         df.select(
             *keys,
             tokens.word_tokens(F.col(text)).alias("_w"),
-            tokens.kept_tokens(F.col(text)).alias("_k"),
+            tokens.kept_tokens(text).alias("_k"),
         )
         .select(
             *keys,
@@ -85,7 +85,7 @@ def without_stop_words(tokens_df: DataFrame, word: str = "word") -> DataFrame:
 
 def tags(tokens_df: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Tag a token table; a (word, tag) lexicon overrules the built-in rules."""
-    ruled = tagging.tag_word(F.col("word"), F.col("tok_id") == 1)
+    ruled = F.expr(tagging.tag_word_sql("word", "tok_id = 1"))
     if lexicon is None:
         return tokens_df.withColumn("tag", ruled)
     known = lexicon.select("word", F.col("tag").alias("_known"))

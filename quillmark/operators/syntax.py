@@ -20,7 +20,7 @@ def stand_in_edges(tokens_df: DataFrame) -> DataFrame:
         *SENTENCE,
         "tok_id",
         trees.stand_in_head(F.col("tok_id")).alias("head_id"),
-        trees.stand_in_dep(F.col("word"), F.col("tok_id")).alias("dep"),
+        F.expr(trees.stand_in_dep_sql("word", "tok_id")).alias("dep"),
         "word",
     )
 

@@ -31,7 +31,7 @@ def analyse(df: DataFrame, label: Column, text_col: str = "text", clean: bool =
             tokens.split_marked(F.col("_marked")).alias("sents"),
             tokens.tokenise_marked(F.col("_marked")).alias("toks"),
         )
-        .withColumn("tags", tagging.tag_sentences(F.col("toks")))
+        .withColumn("tags", tagging.tag_sentences("toks"))
     )
 
 
@@ -104,17 +104,6 @@ def _look_up(dictionary: DataFrame, toks: Column, tags: Column) -> Column:
     )
 
 
-def _scored(sents: Column, lexicon: dict[str, float] | None) -> Column:
-    return F.transform(sents, lambda s: polarity.score_words(s, lexicon))
-
-
-def _sentence_scores(sents: Column, opinions: Column) -> Column:
-    return F.transform(
-        F.arrays_zip(sents.alias("s"), opinions.alias("o")),
-        lambda x: polarity.compound(x["s"], x["o"]),
-    )
-
-
 def _population_std(values: Column) -> Column:
     """Population standard deviation of a small array of doubles, two passes."""
 
@@ -161,15 +150,15 @@ def annotate_documents(
     doc = add_lemmas(analyse(df, label, text_col, clean), vocabulary)
     staged = (
         doc.withColumn("_w", F.flatten("toks"))
-        .withColumn("_k", tokens.kept_tokens(F.col("text")))
+        .withColumn("_k", tokens.kept_tokens("text"))
         .withColumn("_n", F.size("_k").cast("long"))
         .withColumn("_nw", F.size("_w").cast("long"))
         .withColumn("_len", A.moments(F.transform("toks", lambda t: F.size(t))))
         .withColumn("_prof", tokens.document_profile(F.col("_k"), F.col("_w")))
-        .withColumn("_opinions", _scored(F.col("sents"), lexicon))
-        .withColumn("sentiment", polarity.compound(F.col("text"), F.flatten("_opinions")))
-        .withColumn("_sent", _sentence_scores(F.col("sents"), F.col("_opinions")))
-        .withColumn("_syn", F.transform("toks", trees.stand_in_metrics))
+        .withColumn("_opinions", polarity.score_sentences("sents", lexicon))
+        .withColumn("sentiment", polarity.document_polarity("text", "_opinions"))
+        .withColumn("_sent", polarity.sentence_polarities("sents", "_opinions"))
+        .withColumn("_syn", trees.stand_in_metrics("toks"))
         .withColumn("_wc", F.transform("sents", lambda s: F.size(text.words(s))))
     )
     m, s1, s2 = F.col("_prof.m"), F.col("_prof.sums.s1"), F.col("_prof.sums.s2")
@@ -225,14 +214,14 @@ def annotate_sentences(
     """One row per sentence; type frequencies are looked up in the whole document."""
     doc = (
         add_lemmas(analyse(df, label, text_col, clean), vocabulary)
-        .withColumn("_k", tokens.kept_tokens(F.col("text")))
+        .withColumn("_k", tokens.kept_tokens("text"))
         .withColumn("_w", F.flatten("toks"))
         .withColumn("_ttr", A.mean_of(F.size("_w").cast("long"), A.distinct_count(F.col("_w"))))
         .withColumn("_n", F.size("_k").cast("long"))
         .withColumn("_prof", tokens.type_profile(F.col("_k"), tokens.types_of_sentences(F.col("toks"))))
-        .withColumn("_opinions", _scored(F.col("sents"), lexicon))
-        .withColumn("_doc", polarity.compound(F.col("text"), F.flatten("_opinions")))
-        .withColumn("_sent", _sentence_scores(F.col("sents"), F.col("_opinions")))
+        .withColumn("_opinions", polarity.score_sentences("sents", lexicon))
+        .withColumn("_doc", polarity.document_polarity("text", "_opinions"))
+        .withColumn("_sent", polarity.sentence_polarities("sents", "_opinions"))
     )
     rows = doc.select(
         "doc_id",
@@ -244,7 +233,7 @@ def annotate_sentences(
     ).select(
         "*",
         F.col("_s._sent").alias("sentiment"),
-        trees.stand_in_metrics(F.col("_s.toks")).alias("_syn"),
+        F.expr(trees.stand_in_metrics_sql("_s.toks")).alias("_syn"),
     )
     prof = F.col("_s._prof")
     return rows.select(
