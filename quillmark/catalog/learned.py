@@ -46,11 +46,10 @@ WORDS = f"""SELECT doc_id, term, count(*) AS cnt FROM (
 
 def summary(weights):
     """One row per document that depends on every weight."""
-    return weights.select(
-        "doc_id",
-        F.size("weights").cast("long").alias("n_terms"),
-        F.round(F.aggregate("weights", F.lit(0.0), lambda a, x: a + x["weight"]), 6).alias("weight_sum"),
-        F.round(F.array_max(F.transform("weights", lambda x: x["weight"])), 6).alias("weight_max"),
+    return weights.groupBy("doc_id").agg(
+        F.count("*").alias("n_terms"),
+        F.round(F.sum("weight"), 6).alias("weight_sum"),
+        F.round(F.max("weight"), 6).alias("weight_max"),
     )
 
 
@@ -65,9 +64,7 @@ def _(spark, folder):
 @query("word_tfidf", f"WITH {tfidf_sql(WORDS, 5000)} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def _(spark, folder):
     weights = features.tfidf(documents(spark, folder), features.word_terms(F.col("text")), 5000)
-    return weights.select("doc_id", F.explode("weights").alias("w")).select(
-        "doc_id", "w.term", F.round("w.weight", 6).alias("weight")
-    )
+    return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 _POS = f"""{S.token_tables()}, {TAGGED}, ps AS (SELECT doc_id, string_agg(tag, ' ' ORDER BY sent_id, tok_id) AS pos FROM tagged GROUP BY 1),

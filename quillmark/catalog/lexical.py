@@ -12,6 +12,7 @@ from quillmark.functions import constants as K
 from quillmark.functions import patterns as P
 from quillmark.functions import tagging, text, tokens
 from quillmark.operators import features, lexical
+from quillmark.sources.shared import settle
 
 @query(
     "regex_tokens",
@@ -133,28 +134,28 @@ def _(spark, folder):
 
 @query(
     "type_token_ratio",
-    f"""WITH {S.token_tables()} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT word) AS n_types,
-        count(DISTINCT word) / count(*) AS ttr FROM tok GROUP BY doc_id""",
+    f"""WITH {S.token_tables()} SELECT d.doc_id, count(word) AS n_tokens, count(DISTINCT word) AS n_types,
+        coalesce(count(DISTINCT word) / nullif(count(word), 0), 0) AS ttr FROM d LEFT JOIN tok USING (doc_id) GROUP BY d.doc_id""",
 )
 def _(spark, folder):
-    toks = documents(spark, folder).select("doc_id", tokens.word_tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    toks = documents(spark, folder).select("doc_id", tokens.word_tokens(F.col("text")).alias("w"))
     n, m = F.size("w").cast("long"), A.distinct_count(F.col("w"))
     return toks.select("doc_id", n.alias("n_tokens"), m.alias("n_types")).withColumn(
-        "ttr", F.col("n_types") / F.col("n_tokens")
+        "ttr", A.mean_of(F.col("n_tokens"), F.col("n_types"))
     )
 
 
 @query(
     "sentence_length_stats",
     f"""WITH {S.token_tables()}, l AS (SELECT doc_id, sent_id, count(*) AS n FROM tok GROUP BY 1, 2)
-        SELECT doc_id, count(*) AS n_sentences, round(avg(n), 6) AS mean_sentence_length,
-          round(sqrt(CAST(count(*) * sum(n * n) - sum(n) * sum(n) AS DOUBLE)) / count(*), 6) AS std_sentence_length
-        FROM l GROUP BY doc_id""",
+        SELECT d.doc_id, count(n) AS n_sentences, round(coalesce(avg(n), 0), 6) AS mean_sentence_length,
+          round(coalesce(sqrt(CAST(count(n) * sum(n * n) - sum(n) * sum(n) AS DOUBLE)) / nullif(count(n), 0), 0), 6) AS std_sentence_length
+        FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id""",
 )
 def _(spark, folder):
     lengths = documents(spark, folder).select(
         "doc_id", F.transform(tokens.sentence_tokens(F.col("text")), lambda t: F.size(t)).alias("l")
-    ).where(F.size("l") > 0)
+    )
     m = lengths.select("doc_id", A.moments(F.col("l")).alias("m"))
     return m.select(
         "doc_id", F.col("m.n").alias("n_sentences"),
@@ -168,15 +169,13 @@ TAGGED = f"tagged AS MATERIALIZED (SELECT *, {S.tag()} AS tag FROM tok)"
 
 @query(
     "pos_tags",
-    f"""WITH {S.token_tables()}, {TAGGED} SELECT doc_id, string_agg(tag, ' ' ORDER BY sent_id, tok_id) AS pos
-        FROM tagged GROUP BY doc_id""",
+    f"""WITH {S.token_tables()}, {TAGGED} SELECT d.doc_id, coalesce(string_agg(tag, ' ' ORDER BY sent_id, tok_id), '') AS pos
+        FROM d LEFT JOIN tagged USING (doc_id) GROUP BY d.doc_id""",
 )
 def _(spark, folder):
     toks = documents(spark, folder).select("doc_id", tokens.sentence_tokens(F.col("text")).alias("toks"))
     tags = tagging.tag_sentences("toks")
-    return toks.select("doc_id", F.array_join(F.flatten(tags), " ").alias("pos")).where(
-        F.col("pos") != ""
-    )
+    return toks.select("doc_id", F.array_join(F.flatten(tags), " ").alias("pos"))
 
 
 @query(
@@ -191,13 +190,14 @@ def _(spark, folder):
 
 @query(
     "lexical_density",
-    f"""WITH {S.token_tables()}, {TAGGED} SELECT doc_id,
-        count(*) FILTER (tag IN {S.CONTENT}) / count(*) AS lexical_density FROM tagged GROUP BY doc_id""",
+    f"""WITH {S.token_tables()}, {TAGGED} SELECT d.doc_id,
+        coalesce(count(*) FILTER (tag IN {S.CONTENT}) / nullif(count(tag), 0), 0) AS lexical_density
+        FROM d LEFT JOIN tagged USING (doc_id) GROUP BY d.doc_id""",
 )
 def _(spark, folder):
     toks = documents(spark, folder).select("doc_id", tokens.sentence_tokens(F.col("text")).alias("toks"))
     tags = F.flatten(tagging.tag_sentences("toks"))
-    return toks.select("doc_id", tags.alias("t")).where(F.size("t") > 0).select(
+    return toks.select("doc_id", tags.alias("t")).select(
         "doc_id", tagging.lexical_density(F.col("t")).alias("lexical_density")
     )
 
@@ -229,8 +229,8 @@ LEMMATISED = f"""
 )
 def _(spark, folder):
     toks = lexical.tags(lexical.explode_tokens(documents(spark, folder), ["doc_id"], "text"))
-    out = lexical.lemmas(toks.select("word", "tag"))
-    return out.groupBy("word", "class", "lemma").agg(F.count("*").alias("n"))
+    counts = settle(toks.groupBy("word", "tag").agg(F.count("*").alias("n")), "word-counts")
+    return lexical.lemmas(counts).groupBy("word", "class", "lemma").agg(F.sum("n").alias("n"))
 
 
 @query(
@@ -283,18 +283,19 @@ TOP = f"""{S.token_tables()},
                FROM kept GROUP BY doc_id, term)"""
 
 
-@query("top_terms", f"WITH {TOP} SELECT doc_id, string_agg(term, ' ' ORDER BY r) AS terms FROM ranked WHERE r <= 5 GROUP BY doc_id")
+@query("top_terms", f"WITH {TOP} SELECT doc_id, coalesce(string_agg(term, ' ' ORDER BY r), '') AS terms FROM documents LEFT JOIN (SELECT * FROM ranked WHERE r <= 5) b USING (doc_id) GROUP BY doc_id")
 def _(spark, folder):
-    kept = A.term_counts(tokens.kept_tokens("text"))
+    kept = A.placed_term_counts(tokens.kept_tokens("text"))
     return documents(spark, folder).select(
         "doc_id", F.array_join(tokens.top_terms(kept, 5), " ").alias("terms")
-    ).where(F.col("terms") != "")
+    )
 
 
 @query(
     "title_semi_join",
     f"""WITH {TOP} SELECT kept.doc_id, string_agg(kept.term, '_' ORDER BY kept.pos) AS title
-        FROM kept SEMI JOIN (SELECT doc_id, term FROM ranked WHERE r <= 5) b USING (doc_id, term) GROUP BY doc_id""",
+        FROM kept SEMI JOIN (SELECT doc_id, term FROM ranked WHERE r <= 5) b USING (doc_id, term) GROUP BY kept.doc_id
+        UNION ALL SELECT doc_id, '' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM kept)""",
 )
 def _(spark, folder):
     kept = documents(spark, folder).select("doc_id", tokens.kept_tokens("text").alias("k"))
@@ -302,8 +303,8 @@ def _(spark, folder):
         F.col("best"),
         lambda best: F.array_join(F.filter("k", lambda w: F.array_contains(best, w)), "_"),
     )
-    best = tokens.top_terms(A.term_counts(F.col("k")), 5)
-    return kept.where(F.size("k") > 0).withColumn("best", best).select("doc_id", title.alias("title"))
+    best = tokens.top_terms(A.placed_term_counts(F.col("k")), 5)
+    return kept.withColumn("best", best).select("doc_id", title.alias("title"))
 
 
 # Titles look at the first 20 words; lemmas of title words come from the irregular forms.

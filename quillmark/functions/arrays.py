@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmark.functions import sqltext as Q
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Compute ``value`` once and use it many times, also inside lambdas."""
@@ -29,7 +31,21 @@ def run_starts(ordered: Column, key: Callable[[Column], Column] = lambda x: x) -
     return F.filter(marked, lambda i: i.isNotNull())
 
 
-def term_counts(terms: Column) -> Column:
+def term_counts(terms: str) -> Column:
+    """The array<string> column ``terms`` -> array<struct<term, cnt>> ordered by term.
+
+    One sort of plain strings and one pass over the places where the term changes.
+    """
+    changes = "transform(s_, (x_, i_) -> if(i_ = 0 OR x_ <> get(s_, i_ - 1), i_, NULL))"
+    counted = (
+        "transform(at_, (p_, j_) -> named_struct('term', get(s_, p_), "
+        "'cnt', CAST(coalesce(get(at_, j_ + 1), size(s_)) - p_ AS BIGINT)))"
+    )
+    per_run = Q.let(f"filter({changes}, i_ -> i_ IS NOT NULL)", "at_", counted)
+    return F.expr(Q.let(f"sort_array({terms})", "s_", per_run))
+
+
+def placed_term_counts(terms: Column) -> Column:
     """array<string> -> array<struct<term, cnt, first_pos>> ordered by term."""
     tagged = F.sort_array(F.transform(terms, lambda t, i: record(t=t, i=i)))
 

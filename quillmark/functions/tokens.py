@@ -173,7 +173,7 @@ def title_by_lemma(col: Column, lemma_of=None, top: int = 5) -> Column:
     def long_title(ws: Column) -> Column:
         lemmas = F.transform(F.filter(ws, lambda w: ~is_stop(w)), lemma_of)
         return A.let(
-            top_terms(A.term_counts(lemmas), top),
+            top_terms(A.placed_term_counts(lemmas), top),
             lambda best: F.array_join(F.filter(ws, lambda w: F.array_contains(best, w)), "_"),
         )
 
@@ -184,7 +184,7 @@ def title_by_lemma(col: Column, lemma_of=None, top: int = 5) -> Column:
 
 
 def top_terms(counts: Column, n: int) -> Column:
-    """The n most frequent terms, ties by first appearance; input from ``term_counts``."""
+    """The n most frequent terms, ties by first appearance; input from ``placed_term_counts``."""
     ranked = F.sort_array(
         F.transform(
             counts,
@@ -198,7 +198,7 @@ def title_by_frequency(col: Column, top: int = 5, width: int = 5) -> Column:
     """Most frequent longer words, joined by underscores and cut to ``width`` characters."""
     plain = F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}_\s\x0B\x1C-\x1F\x85\p{Z}]", "")
     kept = F.filter(words(plain), lambda w: ~is_stop(w) & (F.length(w) > 2))
-    title = F.substring(F.array_join(top_terms(A.term_counts(kept), top), "_"), 1, width)
+    title = F.substring(F.array_join(top_terms(A.placed_term_counts(kept), top), "_"), 1, width)
     return F.when(F.coalesce(title, F.lit("")) == "", F.lit("untitled")).otherwise(title)
 
 

@@ -9,6 +9,7 @@ from quillmark.functions import arrays as A
 from quillmark.functions import constants as K
 from quillmark.functions import tagging, tokens
 from quillmark.operators.scale import lookup_join
+from quillmark.sources.shared import settle
 
 
 def explode_tokens(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -24,7 +25,7 @@ def term_frequency(df: DataFrame, keys: list[str], text: str, fold_case: bool =
     """(keys, term, cnt, n): counts of kept terms and the total of the text."""
     return (
         df.select(*keys, tokens.kept_tokens(text, fold_case).alias("_k"))
-        .select(*keys, F.size("_k").cast("long").alias("n"), F.explode(A.term_counts(F.col("_k"))).alias("_c"))
+        .select(*keys, F.size("_k").cast("long").alias("n"), F.explode(A.term_counts("_k")).alias("_c"))
         .select(*keys, F.col("_c.term").alias("term"), F.col("_c.cnt").alias("cnt"), "n")
     )
 
@@ -136,8 +137,8 @@ def lemma_dictionary(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def lemmas(tagged: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Add ``class`` and ``lemma`` to a tagged token table; case is kept."""
     classed = tagged.withColumn("class", tagging.coarse_class(F.col("tag")))
-    vocabulary = vocabulary if vocabulary is not None else tagged.select("word").distinct()
-    dictionary = lemma_dictionary(classed, vocabulary)
+    words = settle(classed.select("word", "class").distinct(), "words")
+    dictionary = lemma_dictionary(words, words if vocabulary is None else vocabulary)
     return lookup_join(classed, dictionary, ["word", "class"]).withColumn(
         "lemma", F.coalesce("lemma", "word")
     )
