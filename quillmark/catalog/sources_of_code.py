@@ -79,14 +79,27 @@ def _by(py: str, html: str, other: str) -> str:
 
 MASKED = _by(S.rewrite("src", P.MASK_PY), S.rewrite("src", P.MASK_HTML), S.rewrite("src", P.MASK_C))
 BARE = _by(S.rewrite("src", P.COMMENTS_PY), S.rewrite("src", P.COMMENTS_HTML), S.rewrite("src", P.COMMENTS_C))
-M = f"m AS MATERIALIZED (SELECT *, {MASKED} AS code, {BARE} AS bare FROM snip)"
+# Decisions of Python lines that some earlier, less indented definition still encloses.
+M = f"""m0 AS MATERIALIZED (SELECT *, {MASKED} AS code, {BARE} AS bare FROM snip),
+    ln AS (SELECT conv_id, turn, i, l, length(regexp_extract(l, '^[ \\t]*')) AS ind,
+             regexp_matches(l, {S.text(P.PY_DEF)}) AS is_def FROM (
+        SELECT conv_id, turn, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM (SELECT conv_id, turn,
+          list_filter(string_split(code, chr(10)), lambda x: regexp_matches(x, {S.text(P.NOT_WS)})) AS ls FROM m0 WHERE lang = 'py'))),
+    enclosed AS (SELECT DISTINCT b.conv_id, b.turn, b.i, b.l FROM ln a JOIN ln b ON a.conv_id = b.conv_id AND a.turn = b.turn
+        AND a.is_def AND a.i < b.i AND a.ind < b.ind AND NOT EXISTS (SELECT 1 FROM ln k WHERE k.conv_id = a.conv_id
+          AND k.turn = a.turn AND k.i > a.i AND k.i < b.i AND k.ind <= a.ind)),
+    pd AS (SELECT conv_id, turn, sum(len(regexp_extract_all(l, {S.text(P.PY_DECISION)}))) AS py_decisions FROM enclosed GROUP BY 1, 2),
+    m AS MATERIALIZED (SELECT m0.*, py_decisions FROM m0 LEFT JOIN pd USING (conv_id, turn))"""
 
 
 def _n(pattern: str, of: str = "code") -> str:
     return S.matches(of, pattern)
 
 
-LOC = f"CAST(len(list_filter(string_split(bare, chr(10)), lambda l: regexp_matches(l, {S.text(P.NOT_WS)}))) AS BIGINT)"
+LOC = (
+    f"CAST(len(list_filter(string_split(bare, chr(10)), lambda l: regexp_matches(l, {S.text(P.NOT_WS)})"
+    f" AND NOT (lang NOT IN ('py', 'html') AND regexp_matches(l, {S.text(P.UNCOUNTED_LINE)})))) AS BIGINT)"
+)
 TOKENS = f"({_n(P.CODE_TOKEN)} + {_by('0', '0', S.matches(S.rewrite('src', P.COMMENTS_C), P.PREPROCESSOR_LINE))})"
 CONTROL_C = (
     f"({_n(r'\bif\b')} + {_n(r'\bfor\b')} + 2 * {_n(r'\bwhile\b')} - {_n(r'\bdo[\s]*\{')} + 2 * {_n(r'\bcase\b')}"
@@ -99,15 +112,8 @@ CONTROL_PY = (
 CONTROL = _by(CONTROL_PY, "0", CONTROL_C)
 DEF = r"(?m)^[ \t]*(?:async[ \t]+)?def\b"
 FUNCTIONS = f"CAST({_by(_n(DEF), '0', f'greatest({_n(P.C_FUNCTION)} - {_n(P.C_BLOCK_HEAD)}, 0)')} AS BIGINT)"
-_BODY = (
-    "array_to_string(list_filter(string_split(code, chr(10)), lambda l: regexp_matches(l, '^[ \\t]')"
-    " OR regexp_matches(l, '^[ \\t]*(?:async[ \\t]+)?def\\b')), chr(10))"
-)
 DECISIONS_C = f"({_n(r'\b(?:if|for|while|case|catch)\b')} + {_n(r'&&|\|\||\?')})"
-DECISIONS_PY = (
-    f"(CASE WHEN regexp_matches(code, {S.text(DEF)}) THEN "
-    f"{_n(r'\b(?:if|elif|for|while|and|or|except|assert|finally)\b', _BODY)} ELSE 0 END)"
-)
+DECISIONS_PY = "coalesce(py_decisions, 0)"
 DECISIONS = _by(DECISIONS_PY, "0", DECISIONS_C)
 NAMES = _by(
     S.all_matches("code", P.ASSIGNED_NAME, 1), S.all_matches("code", P.ATTRIBUTE, 1), S.all_matches("code", P.ASSIGNED_NAME, 1)
@@ -132,6 +138,17 @@ NEST = f"""ev AS (SELECT conv_id, turn, generate_subscripts(st, 1) AS i, unnest(
                greatest(max(now + CASE WHEN step = 0 THEN 1 ELSE 0 END), 0) AS top FROM run GROUP BY 1, 2)"""
 
 
+def _tree(what: str) -> str:
+    """Nodes or depth from tokens and nesting; tags for markup."""
+    nest = {"nodes": "(coalesce(seen, 0) + 1)", "depth": "(coalesce(top, 0) + 1)"}
+    cases = []
+    for lang in ("c", "py", "cpp"):
+        per_token, base, per_level = C.TREE_SIZE[lang]
+        value = f"({TOKENS} * {per_token} + 50) // 100" if what == "nodes" else f"({base} + {nest['depth']} * {per_level} + 50) // 100"
+        cases.append(f"WHEN lang = '{lang}' THEN {value}" if lang != "cpp" else f"ELSE {value}")
+    return f"CAST(CASE WHEN lang = 'html' THEN {nest[what]} {' '.join(cases)} END AS BIGINT)"
+
+
 def _metric(name: str, column: str, sql: str, build):
     @query(name, f"WITH {SNIPPETS}, {M} SELECT conv_id, turn, lang, {sql} AS {column} FROM m")
     def _(spark, folder):
@@ -159,9 +176,9 @@ _metric(
 @query(
     "code_profile",
     f"""WITH {SNIPPETS}, {M}, {NEST} SELECT m.conv_id, m.turn, lang, src, {LOC} AS loc, CAST({TOKENS} AS BIGINT) AS n_tokens,
-        CAST(coalesce(seen, 0) + 1 AS BIGINT) AS n_nodes, {FUNCTIONS} AS n_functions,
+        {_tree('nodes')} AS n_nodes, {FUNCTIONS} AS n_functions,
         coalesce(CAST(list_sum(list_transform({NAMES}, lambda x: length(x))) AS DOUBLE) / len({NAMES}), 0) AS avg_variable_length,
-        CAST(coalesce(top, 0) + 1 AS BIGINT) AS max_depth, CASE WHEN {LOC} > 0 THEN {CONTROL} / {LOC} ELSE 0 END AS control_density,
+        {_tree('depth')} AS max_depth, CASE WHEN {LOC} > 0 THEN {CONTROL} / {LOC} ELSE 0 END AS control_density,
         CASE WHEN {FUNCTIONS} > 0 THEN ({DECISIONS} + {FUNCTIONS}) / {FUNCTIONS} ELSE 0 END AS complexity, 'LLM' AS label
         FROM m LEFT JOIN nest USING (conv_id, turn)""",
 )

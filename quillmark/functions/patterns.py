@@ -91,8 +91,12 @@ CODE_TOKEN = (
 )
 PREPROCESSOR_LINE = r"(?m)^[ \t]*#[^\n]*"
 RANGE_FOR = r"\bfor[ \t]*\([^;()]*(?:\([^()]*\))?[^;()]*:[^;:]"
+# Directives that count as a token but not as a line of code.
+UNCOUNTED_LINE = r"\A[ \t]*#[ \t]*(?:define|undef|pragma)"
+PY_DEF = r"\A[ \t]*(?:async[ \t]+)?def[ \t]"
+PY_DECISION = r"\b(?:if|elif|for|while|and|or|except|assert|finally)\b"
 C_FUNCTION = (
-    r"[\p{L}_][\p{L}\p{N}_]*[ \t]*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)"
+    r"(?:\boperator[ \t]*(?:\(\)|[^\s\p{L}\p{N}_(]+)|[\p{L}_][\p{L}\p{N}_]*)[ \t]*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)"
     r"[\s]*(?:const|override|noexcept)?[\s]*(?::[^;{}]*)?\{"
 )
 C_BLOCK_HEAD = (

@@ -18,17 +18,19 @@ def profile(df: DataFrame, label: Column, src: str = "src", lang: str = "lang")
         .withColumn("loc", C.line_count(F.col(src), language))
         .withColumn("_names", C.name_lengths(F.col("_masked"), language))
         .withColumn("_fn", C.function_count(F.col("_masked"), language))
+        .withColumn("n_tokens", C.token_count(F.col(src), language))
+        .withColumn("_tree", C.syntax_size(F.col("n_tokens"), F.col("_nest"), language))
     )
     loc = F.col("loc")
     names = F.size("_names").cast("long")
     return staged.select(
         *[c for c in df.columns],
         "loc",
-        C.token_count(F.col(src), language).alias("n_tokens"),
-        F.col("_nest.nodes").alias("n_nodes"),
+        "n_tokens",
+        F.col("_tree.nodes").alias("n_nodes"),
         F.col("_fn").alias("n_functions"),
         A.mean_of(names, A.sum_long(F.col("_names"))).alias("avg_variable_length"),
-        F.col("_nest.depth").alias("max_depth"),
+        F.col("_tree.depth").alias("max_depth"),
         F.when(loc > 0, C.control_blocks(F.col("_masked"), language) / loc)
         .otherwise(F.lit(0.0))
         .alias("control_density"),
