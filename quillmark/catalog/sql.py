@@ -89,7 +89,9 @@ def tag(word: str = "word", first: str = "(tok_id = 1)") -> str:
     return f"""CASE {closed}
       WHEN {word} IN ('?', '!') THEN '.'
       WHEN {word} IN (';', '--', '…', '—', '–') THEN ':'
-      WHEN NOT regexp_matches({word}, '[\\p{{L}}\\p{{N}}]') THEN {word}
+      WHEN regexp_matches({word}, '^\\.\\.+$') THEN ':'
+      WHEN NOT regexp_matches({word}, '[\\p{{L}}\\p{{N}}]') THEN
+        CASE WHEN length({word}) = 1 OR {word} IN ('``', '''''') THEN {word} ELSE 'SYM' END
       WHEN regexp_matches({word}, '^[\\p{{N}}.,]+$') THEN 'CD'
       WHEN {name} THEN 'NNP' {suffix} ELSE 'NN' END"""
 

@@ -57,29 +57,63 @@ def _(spark, folder):
     return readers.read_generation_log(spark, path, ["response", "language"])
 
 
-@query("ingest_text_files")
+def _language_of_path(path):
+    return F.regexp_extract(path, "/lang=([a-z]+)/", 1)
+
+
+@query(
+    "ingest_text_files",
+    """SELECT lang, 'LLM' AS label, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars
+       FROM documents GROUP BY lang""",
+)
 def _(spark, folder):
+    """Text files of each language written, then read whole; a line end follows each text."""
     path = new_path(spark, "texts")
-    named = turns(spark, folder).select(F.concat_ws("-", "conv_id", "turn").alias("name"), "text")
-    writers.write_texts(named.repartition("name"), path, "name", "text")
-    return readers.read_text_files(spark, path, True).select("label", F.length("text").alias("n_chars"))
+    writers.write_texts(documents(spark, folder).select("lang", "text"), path, "lang", "text")
+    files = readers.read_text_files(spark, path, True)
+    return files.groupBy(_language_of_path(F.col("path")).alias("lang"), "label").agg(
+        F.sum(F.length("text")).alias("n_chars")
+    )
 
 
-@query("ingest_code_files")
+@query(
+    "ingest_code_files",
+    f"""WITH {SNIPPETS} SELECT CASE WHEN lang = 'cpp' THEN 'cpp' ELSE 'txt' END AS suffix, lang = 'cpp' AS accepted,
+        CAST(sum(length(regexp_replace(src, '\\n+\\z', '')) + 1) AS BIGINT) AS n_chars FROM snip WHERE lang IN ('cpp', 'html') GROUP BY ALL""",
+)
 def _(spark, folder):
-    """Text part files carry no accepted code suffix, so all of them end in the rejects."""
+    """C++ snippets in .cpp files are accepted; pages in .txt files are rejected."""
     path = new_path(spark, "sources")
-    writers.write_texts(snippets(spark, folder).select("lang", "src"), path, "lang", "src")
+    code = snippets(spark, folder).withColumn("src", F.regexp_replace("src", r"\n+\z", ""))
+    # Line by line, so that no field holds a line break and nothing is quoted.
+    plain = {"quote": "\0", "escapeQuotes": False, "sep": "\x01", "lineSep": "\n", "extension": "cpp", "emptyValue": "", "comment": "\x03",
+             "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines = code.where(F.col("lang") == "cpp").select(F.explode(F.split("src", "\n")).alias("line"))
+    lines.write.options(**plain).csv(f"{path}/a")
+    code.where(F.col("lang") == "html").select("src").write.text(f"{path}/b", lineSep="\n")
     accepted, rejected = readers.read_code_files(spark, path, True)
-    return sets.concat_by_name([accepted.select("lang", "label"), rejected.select("lang")])
+    both = accepted.select("lang", "src", F.lit(True).alias("accepted")).unionByName(
+        rejected.select("lang", "src", F.lit(False).alias("accepted"))
+    )
+    return both.groupBy(F.col("lang").alias("suffix"), "accepted").agg(F.sum(F.length("src")).alias("n_chars"))
+
 
+_SECTION = "regexp_extract(url, '/([a-z][a-z])/', 1)"
 
-@query("save_texts")
+
+@query(
+    "save_texts",
+    f"""SELECT coalesce({S.rewrite(_SECTION, P.SLUG)}, 'untitled') AS slug,
+        CAST(sum(len(string_split(html, chr(10)))) AS BIGINT) AS n_lines FROM pages GROUP BY 1""",
+)
 def _(spark, folder):
     path = new_path(spark, "pages")
-    named = pages(spark, folder).select(text.slug(F.col("url")).alias("slug"), F.col("html").alias("text"))
+    section = text.slug(F.regexp_extract("url", "/([a-z][a-z])/", 1))
+    named = pages(spark, folder).select(section.alias("slug"), F.col("html").alias("text"))
     writers.write_texts(named, path, "slug", "text")
-    return spark.read.text(path).groupBy("slug").agg(F.count("*").alias("n_lines"))
+    back = spark.read.text(path, lineSep="\n").groupBy("slug").agg(F.count("*").alias("n_lines"))
+    # An empty name is kept in the folder of the default partition.
+    return back.withColumn("slug", F.coalesce("slug", F.lit("")))
 
 
 @query(

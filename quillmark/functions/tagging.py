@@ -9,6 +9,10 @@ from quillmark.functions import arrays as A
 from quillmark.functions import sqltext as Q
 from quillmark.functions.constants import CLOSED_CLASS, CONTENT_TAGS, SUFFIX_TAGS
 
+# The two quote tokens; other marks longer than one character are symbols, so the
+# set of tags is bounded.
+QUOTES = ["``", "''"]
+
 
 def tag_word_sql(word: str, first: str) -> str:
     """SQL text of the Penn tag of ``word``; ``first`` tells whether it opens its sentence."""
@@ -21,7 +25,8 @@ def tag_word_sql(word: str, first: str) -> str:
     other = [
         (Q.one_of(word, "?!"), "'.'"),
         (Q.one_of(word, [";", "--", "…", "—", "–"]), "':'"),
-        (f"NOT {word} RLIKE {Q.lit(r'[\p{L}\p{N}]')}", word),
+        (f"{word} RLIKE {Q.lit(r'\A\.\.+\z')}", "':'"),
+        (f"NOT {word} RLIKE {Q.lit(r'[\p{L}\p{N}]')}", f"if(length({word}) = 1 OR {Q.one_of(word, QUOTES)}, {word}, 'SYM')"),
         (f"{word} RLIKE {Q.lit(r'\A[\p{N}.,]+\z')}", "'CD'"),
         (name_like, "'NNP'"),
     ]
