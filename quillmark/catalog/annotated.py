@@ -23,6 +23,12 @@ SAMPLE_LEXICON = K.POLARITY | {
 }
 
 
+def places6(col):
+    """Six places, after a shift far below a place: averages that end in 5 at the seventh place
+    are frequent, and must fall the same way whatever the order of summation."""
+    return F.round(col + 1e-9, 6)
+
+
 def _double(x: float) -> str:
     return f"CAST({x} AS DOUBLE)"
 
@@ -127,13 +133,13 @@ def _(spark, folder):
 @query(
     "sentiment_deviation_document",
     f"""WITH {_sents()}, {SENT_SCORES}, {DOC_SCORES}
-        SELECT doc_id, round(stddev_pop(abs(ss.score - ds.score)), 6) AS sentiment_deviation
+        SELECT doc_id, round(stddev_pop(abs(ss.score - ds.score)) + 1e-9, 6) AS sentiment_deviation
         FROM ss JOIN ds USING (doc_id) GROUP BY doc_id""",
 )
 def _(spark, folder):
     gap = F.abs(F.col("sentiment") - F.col("document"))
     return sentence_scores(spark, folder).groupBy("doc_id").agg(
-        F.round(F.stddev_pop(gap), 6).alias("sentiment_deviation")
+        places6(F.stddev_pop(gap)).alias("sentiment_deviation")
     )
 
 
@@ -182,9 +188,9 @@ _counts_query("balanced_flag", "abs(lefts - rights) <= 2", "balanced")
     "syntax_rollup",
     f"""WITH {WALK}, {COUNTS}, {_sents()},
         wc AS (SELECT doc_id, sent_id, len({S.words('s')}) AS n_words FROM sents)
-        SELECT doc_id, max(depth) AS depth, round(avg(head / n_words), 6) AS head, round(avg(sub_clauses), 6) AS sub_clauses,
-          round(avg(coord_clauses), 6) AS coord_clauses, round(avg((rights - lefts) / n_tok), 6) AS branching,
-          round(avg(CASE WHEN abs(lefts - rights) <= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS balanced
+        SELECT doc_id, max(depth) AS depth, round(avg(head / n_words) + 1e-9, 6) AS head, round(avg(sub_clauses) + 1e-9, 6) AS sub_clauses,
+          round(avg(coord_clauses) + 1e-9, 6) AS coord_clauses, round(avg((rights - lefts) / n_tok) + 1e-9, 6) AS branching,
+          round(avg(CASE WHEN abs(lefts - rights) <= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + 1e-9, 6) AS balanced
         FROM counts JOIN depths USING (doc_id, sent_id) JOIN wc USING (doc_id, sent_id) GROUP BY doc_id""",
 )
 def _(spark, folder):
@@ -194,7 +200,7 @@ def _(spark, folder):
     rolled = syntax.document_syntax(syntax.sentence_syntax(edges(spark, folder)), counts)
     return rolled.select(
         "doc_id", "depth",
-        *[F.round(c, 6).alias(c) for c in ("head", "sub_clauses", "coord_clauses", "branching", "balanced")],
+        *[places6(F.col(c)).alias(c) for c in ("head", "sub_clauses", "coord_clauses", "branching", "balanced")],
     )
 
 
@@ -248,12 +254,12 @@ def document_sql(body: str, source: str, key: str = "doc_id", label: str = "'LLM
                 avg(CASE WHEN abs(lefts - rights) <= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS balanced
               FROM counts JOIN sents USING (doc_id, sent_id) GROUP BY 1)
       SELECT x.doc_id, src_.text, coalesce(pos, '') AS pos, coalesce(lemmas, '') AS lemmas,
-        round(coalesce(mean_len, 0), 6) AS mean_sentence_length, round(coalesce(std_len, 0), 6) AS std_sentence_length,
+        round(coalesce(mean_len, 0) + 1e-9, 6) AS mean_sentence_length, round(coalesce(std_len, 0) + 1e-9, 6) AS std_sentence_length,
         coalesce(density, 0) AS lexical_density, {NUMBERS},
-        ds.score AS sentiment, round(coalesce(dev, 0), 6) AS sentiment_deviation, coalesce(ttr, 0) AS ttr,
-        coalesce(depth, 0) AS depth, round(coalesce(head, 0), 6) AS head, round(coalesce(sub_clauses, 0), 6) AS sub_clauses,
-        round(coalesce(coord_clauses, 0), 6) AS coord_clauses, round(coalesce(branching, 0), 6) AS branching,
-        round(coalesce(balanced, 0), 6) AS balanced, label, n_words IS NULL AS is_empty
+        ds.score AS sentiment, round(coalesce(dev, 0) + 1e-9, 6) AS sentiment_deviation, coalesce(ttr, 0) AS ttr,
+        coalesce(depth, 0) AS depth, round(coalesce(head, 0) + 1e-9, 6) AS head, round(coalesce(sub_clauses, 0) + 1e-9, 6) AS sub_clauses,
+        round(coalesce(coord_clauses, 0) + 1e-9, 6) AS coord_clauses, round(coalesce(branching, 0) + 1e-9, 6) AS branching,
+        round(coalesce(balanced, 0) + 1e-9, 6) AS balanced, label, n_words IS NULL AS is_empty
       FROM x JOIN src_ USING (doc_id) JOIN ds USING (doc_id) LEFT JOIN len2 USING (doc_id) LEFT JOIN tagsum USING (doc_id)
         LEFT JOIN lemsum USING (doc_id) LEFT JOIN dev USING (doc_id) LEFT JOIN syn USING (doc_id)"""
 
@@ -267,7 +273,7 @@ ROUNDED = [
 def flat(df):
     """Arrays as joined strings and averages rounded, for comparison by value."""
     return df.withColumns(
-        {c: F.array_join(c, " ") for c in ("pos", "lemmas")} | {c: F.round(c, 6) for c in ROUNDED}
+        {c: F.array_join(c, " ") for c in ("pos", "lemmas")} | {c: places6(F.col(c)) for c in ROUNDED}
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.catalog import sql as S
-from quillmark.catalog.annotated import SAMPLE_LEXICON, SENTENCE_SQL, conversation_texts, sentence_rows
+from quillmark.catalog.annotated import SAMPLE_LEXICON, SENTENCE_SQL, conversation_texts, places6, sentence_rows
 from quillmark.catalog.lexical import LEMMATISED, TAGGED
 from quillmark.catalog.registry import query
 from quillmark.catalog.texts import documents
@@ -137,7 +137,7 @@ _LABEL = "CASE WHEN doc_id % 2 = 0 THEN 'LLM' ELSE 'HUMAN' END"
                 floor(avg(CAST(balanced AS INTEGER))) AS balanced FROM k GROUP BY 1, 2)
         SELECT doc_id, CASE label WHEN 'LLM' THEN 0 ELSE 1 END AS y, CAST(len({S.all_matches('lower(text)', features.WORD2)}) AS BIGINT) AS n_words,
           CAST(len({S.all_matches('lower(pos)', features.WORD2)}) AS BIGINT) AS n_pos, CAST(len({S.all_matches('lower(lemmas)', features.WORD2)}) AS BIGINT) AS n_lemmas,
-          round(lexical_density, 6) AS lexical_density, round(mean_sentence_length, 6) AS mean_sentence_length, CAST(balanced AS INTEGER) AS balanced FROM g""",
+          round(lexical_density + 1e-9, 6) AS lexical_density, round(mean_sentence_length + 1e-9, 6) AS mean_sentence_length, CAST(balanced AS INTEGER) AS balanced FROM g""",
 )
 def _(spark, folder):
     rows = sentence_rows(spark, folder).withColumns(
@@ -156,7 +156,7 @@ def _(spark, folder):
 
     return docs.select(
         "doc_id", labels.encode_label(F.col("label")).alias("y"), n("text").alias("n_words"), n("pos").alias("n_pos"),
-        n("lemmas").alias("n_lemmas"), *[F.round(m, 6).alias(m) for m in means[:2]], F.col("balanced").cast("int").alias("balanced"),
+        n("lemmas").alias("n_lemmas"), *[places6(F.col(m)).alias(m) for m in means[:2]], F.col("balanced").cast("int").alias("balanced"),
     )
 
 

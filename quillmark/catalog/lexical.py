@@ -148,8 +148,8 @@ def _(spark, folder):
 @query(
     "sentence_length_stats",
     f"""WITH {S.token_tables()}, l AS (SELECT doc_id, sent_id, count(*) AS n FROM tok GROUP BY 1, 2)
-        SELECT d.doc_id, count(n) AS n_sentences, round(coalesce(avg(n), 0), 6) AS mean_sentence_length,
-          round(coalesce(sqrt(CAST(count(n) * sum(n * n) - sum(n) * sum(n) AS DOUBLE)) / nullif(count(n), 0), 0), 6) AS std_sentence_length
+        SELECT d.doc_id, count(n) AS n_sentences, round(coalesce(avg(n), 0) + 1e-9, 6) AS mean_sentence_length,
+          round(coalesce(sqrt(CAST(count(n) * sum(n * n) - sum(n) * sum(n) AS DOUBLE)) / nullif(count(n), 0), 0) + 1e-9, 6) AS std_sentence_length
         FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id""",
 )
 def _(spark, folder):
@@ -159,8 +159,8 @@ def _(spark, folder):
     m = lengths.select("doc_id", A.moments(F.col("l")).alias("m"))
     return m.select(
         "doc_id", F.col("m.n").alias("n_sentences"),
-        F.round(A.mean_of(F.col("m.n"), F.col("m.s1")), 6).alias("mean_sentence_length"),
-        F.round(A.std_of(F.col("m.n"), F.col("m.s1"), F.col("m.s2")), 6).alias("std_sentence_length"),
+        F.round(A.mean_of(F.col("m.n"), F.col("m.s1")) + 1e-9, 6).alias("mean_sentence_length"),
+        F.round(A.std_of(F.col("m.n"), F.col("m.s1"), F.col("m.s2")) + 1e-9, 6).alias("std_sentence_length"),
     )
 
 
