@@ -55,6 +55,10 @@ def coarse_class(tag: Column) -> Column:
     )
 
 
+def coarse_class_sql(tag: str) -> str:
+    return f"CASE left({tag}, 1) WHEN 'J' THEN 'a' WHEN 'V' THEN 'v' WHEN 'R' THEN 'r' ELSE 'n' END"
+
+
 def content_count(tags: Column) -> Column:
     return F.size(F.filter(tags, lambda t: t.isin(CONTENT_TAGS))).cast("long")
 

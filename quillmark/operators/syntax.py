@@ -5,7 +5,7 @@ Token ids run from 1 within a sentence; the root has head 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import trees
@@ -35,37 +35,43 @@ def first_parse(edges: DataFrame, parse: str = "parse_id") -> DataFrame:
     )
 
 
+def _heads() -> Column:
+    """Heads of a sentence in token order; a sentence is never longer than its document's row."""
+    pairs = F.sort_array(F.collect_list(F.struct("tok_id", "head_id")))
+    return F.transform(pairs, lambda x: x["head_id"])
+
+
 def tree_depth(edges: DataFrame) -> DataFrame:
     """Depth per sentence: one grouping into head arrays, then pointer doubling in the row."""
-    return (
-        edges.groupBy(*SENTENCE)
-        .agg(F.sort_array(F.collect_list(F.struct("tok_id", "head_id"))).alias("_t"))
-        .select(
-            *SENTENCE,
-            trees.tree_depth(F.transform("_t", lambda x: x["head_id"])).cast("long").alias("depth"),
-        )
-    )
+    grouped = edges.groupBy(*SENTENCE).agg(_heads().alias("_heads"))
+    return grouped.select(*SENTENCE, trees.tree_depth(F.col("_heads")).cast("long").alias("depth"))
 
 
-def sentence_counts(edges: DataFrame) -> DataFrame:
-    """Length, root position, clause counts, branching and balance in one partial aggregation."""
+def _counts() -> list[Column]:
     right = F.col("tok_id") > F.col("head_id")
     child = F.col("head_id") > 0
     n = F.count(F.lit(1))
     lefts = F.count_if(child & ~right)
     rights = F.count_if(child & right)
-    return edges.groupBy(*SENTENCE).agg(
+    return [
         n.alias("n_tokens"),
         (F.min(F.when(~child, F.col("tok_id") - 1)) / n).alias("head"),
         F.count_if(F.col("dep").isin(SUBORDINATE_DEPS)).alias("sub_clauses"),
         F.count_if(F.col("dep") == COORDINATOR_DEP).alias("coord_clauses"),
         ((rights - lefts) / n).alias("branching"),
         (F.abs(lefts - rights) <= 2).alias("balanced"),
-    )
+    ]
+
+
+def sentence_counts(edges: DataFrame) -> DataFrame:
+    """Length, root position, clause counts, branching and balance by partial aggregation."""
+    return edges.groupBy(*SENTENCE).agg(*_counts())
 
 
 def sentence_syntax(edges: DataFrame) -> DataFrame:
-    return sentence_counts(edges).join(tree_depth(edges), SENTENCE)
+    """Counts and depth of each sentence from one grouping of its edges."""
+    grouped = edges.groupBy(*SENTENCE).agg(*_counts(), _heads().alias("_heads"))
+    return grouped.withColumn("depth", trees.tree_depth(F.col("_heads")).cast("long")).drop("_heads")
 
 
 def document_syntax(sentences: DataFrame, words: DataFrame | None = None) -> DataFrame:

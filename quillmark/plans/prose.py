@@ -43,11 +43,10 @@ def add_lemmas(analysed: DataFrame, vocabulary: DataFrame | None = None) -> Data
     to the exploded words and the documents are put together again.
     """
     analysed = settle(analysed, "analysed")
-    pairs = F.arrays_zip(F.flatten("toks").alias("word"), F.flatten("tags").alias("tag"))
-    words = analysed.select(F.explode(F.array_distinct(pairs)).alias("_p")).select(
-        "_p.word", tagging.coarse_class(F.col("_p.tag")).alias("class")
-    )
-    words = settle(words.distinct(), "words")
+    # Class letter and word as one string: distinct strings are found by hash, structs are not.
+    classed = f"zip_with(flatten(toks), flatten(tags), (w_, t_) -> concat({tagging.coarse_class_sql('t_')}, w_))"
+    distinct = analysed.select(F.explode(F.array_distinct(F.expr(classed))).alias("_p")).distinct()
+    words = settle(distinct.selectExpr("substring(_p, 2) AS word", "left(_p, 1) AS class"), "words")
     dictionary = settle(lexical.lemma_dictionary(words, words if vocabulary is None else vocabulary), "lemmas")
     if table_bytes(dictionary) <= BROADCAST_BYTES:
         return analysed.withColumn("lemmas", _look_up(dictionary, F.col("toks"), F.col("tags")))
