@@ -31,24 +31,18 @@ def numbered_turns(turns: DataFrame, out: str = "iteration") -> DataFrame:
 def turn_pairs(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, prompt, response): each user turn with the assistant turn that follows.
 
-    Every turn is offered at its own number and at the one before, so one grouping by
-    (conversation, number) meets each neighbour pair and no conversation is held whole.
+    A user turn waits at its own number, an assistant turn at the number before its own, so one
+    grouping by (conversation, number) meets each pair. A row moves once, and no conversation is
+    held whole.
     """
-    row = F.struct("turn", "role", "text")
-    offers = numbered_turns(turns, "rn").select(
-        "conv_id",
-        F.explode(
-            F.array(
-                F.struct(F.col("rn").alias("at"), F.lit(0).alias("side"), row.alias("row")),
-                F.struct((F.col("rn") - 1).alias("at"), F.lit(1).alias("side"), row.alias("row")),
-            )
-        ).alias("o"),
-    ).select("conv_id", "o.*")
-    met = offers.groupBy("conv_id", "at").agg(
-        F.max(F.when(F.col("side") == 0, F.col("row"))).alias("a"),
-        F.max(F.when(F.col("side") == 1, F.col("row"))).alias("b"),
+    is_user = F.col("role") == "user"
+    at = F.when(is_user, F.col("rn")).when(F.col("role") == "assistant", F.col("rn") - 1)
+    placed = numbered_turns(turns, "rn").select("conv_id", at.alias("at"), "turn", "role", "text")
+    met = placed.where(F.col("at").isNotNull()).groupBy("conv_id", "at").agg(
+        F.max(F.when(is_user, F.struct("turn", "text"))).alias("a"),
+        F.max(F.when(~is_user, F.struct("turn", "text"))).alias("b"),
     )
-    return met.where((F.col("a.role") == "user") & (F.col("b.role") == "assistant")).select(
+    return met.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(
         "conv_id", F.col("a.turn").alias("turn"), F.col("a.text").alias("prompt"),
         F.col("b.text").alias("response"),
     )
