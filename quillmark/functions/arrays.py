@@ -54,7 +54,11 @@ def placed_term_counts(terms: Column) -> Column:
             run_starts(s, lambda x: x["t"]),
             lambda starts: F.transform(
                 starts,
-                lambda p, j: record(term=F.get(s, p)["t"], cnt=(F.coalesce(F.get(starts, j + 1), F.size(s)) - p).cast("long"), first_pos=F.get(s, p)["i"].cast("long")),
+                lambda p, j: record(
+                    term=F.get(s, p)["t"],
+                    cnt=(F.coalesce(F.get(starts, j + 1), F.size(s)) - p).cast("long"),
+                    first_pos=F.get(s, p)["i"].cast("long"),
+                ),
             ),
         )
 
@@ -72,7 +76,11 @@ def sum_long(values: Column, value_of: Callable[[Column], Column] = lambda x: x)
 def moments(values: Column) -> Column:
     """Integer array -> struct<n, s1, s2>: count, sum and sum of squares."""
     zero = F.lit(0).cast("long")
-    return record(n=F.size(values).cast("long"), s1=F.aggregate(values, zero, lambda a, x: a + x.cast("long")), s2=F.aggregate(values, zero, lambda a, x: a + x.cast("long") * x.cast("long")))
+    return record(
+        n=F.size(values).cast("long"),
+        s1=F.aggregate(values, zero, lambda a, x: a + x.cast("long")),
+        s2=F.aggregate(values, zero, lambda a, x: a + x.cast("long") * x.cast("long")),
+    )
 
 
 def mean_of(n: Column, s1: Column) -> Column:

@@ -179,7 +179,11 @@ def run_depth(steps: Column) -> Column:
     end = F.aggregate(
         steps,
         zero,
-        lambda a, s: A.record(now=a["now"] + s, top=F.greatest(a["top"], a["now"] + F.greatest(s, F.when(s == 0, 1).otherwise(0))), seen=a["seen"] + F.when(s >= 0, 1).otherwise(0)),
+        lambda a, s: A.record(
+            now=a["now"] + s,
+            top=F.greatest(a["top"], a["now"] + F.greatest(s, F.when(s == 0, 1).otherwise(0))),
+            seen=a["seen"] + F.when(s >= 0, 1).otherwise(0),
+        ),
     )
     return A.let(
         end,

@@ -85,11 +85,19 @@ def document_profile(kept: Column, tokens: Column) -> Column:
                 x.endswith(end),
                 A.record(t=a["t"], run=a["run"], s1=a["s1"] + count, s2=a["s2"] + count * count),
             ).otherwise(
-                A.record(t=x, run=F.when(x == a["t"], a["run"] + 1).otherwise(F.lit(1).cast("long")), s1=a["s1"], s2=a["s2"])
+                A.record(
+                    t=x,
+                    run=F.when(x == a["t"], a["run"] + 1).otherwise(F.lit(1).cast("long")),
+                    s1=a["s1"],
+                    s2=a["s2"],
+                )
             )
 
         marked = F.transform(types, lambda t: F.concat(t, F.lit(end)))
-        return A.record(m=F.size(types).cast("long"), sums=F.aggregate(F.sort_array(F.concat(kept, marked)), start, step))
+        return A.record(
+            m=F.size(types).cast("long"),
+            sums=F.aggregate(F.sort_array(F.concat(kept, marked)), start, step),
+        )
 
     return A.let(F.array_distinct(tokens), one_pass)
 
@@ -146,7 +154,11 @@ def type_profile(kept: Column, types: Column) -> Column:
                 st,
                 lambda p, j: A.let(
                     F.slice(pairs, p + 1, F.coalesce(F.get(st, j + 1), F.size(pairs)) - p),
-                    lambda run: A.record(m=F.size(run).cast("long"), s1=A.sum_long(run, lambda x: x["c"]), s2=A.sum_long(run, lambda x: x["c"] * x["c"])),
+                    lambda run: A.record(
+                        m=F.size(run).cast("long"),
+                        s1=A.sum_long(run, lambda x: x["c"]),
+                        s2=A.sum_long(run, lambda x: x["c"] * x["c"]),
+                    ),
                 ),
             ),
         )
