@@ -15,6 +15,7 @@ from quillmark.functions.constants import SUBORDINATE_DEPS
 from quillmark.operators import lexical, syntax
 from quillmark.operators.labels import label_of
 from quillmark.plans import corpora, prose
+from quillmark.sources.tables import spread
 
 # Scores for frequent words of the given texts, next to the built-in lexicon.
 SAMPLE_LEXICON = K.POLARITY | {
@@ -277,8 +278,12 @@ def flat(df):
     )
 
 
+def spread_turns(spark, folder):
+    return spread(turns(spark, folder), "conv_id", "turn")
+
+
 def conversation_texts(spark, folder):
-    return turns(spark, folder).where(F.col("role") != "system").select(
+    return spread_turns(spark, folder).where(F.col("role") != "system").select(
         F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text", "role"
     )
 
@@ -302,7 +307,7 @@ def _(spark, folder):
     document_sql(S.clean(), "(SELECT conv_id || '-' || turn AS id, text FROM conversations)", "id"),
 )
 def _(spark, folder):
-    return flat(corpora.from_conversations(turns(spark, folder), lexicon=SAMPLE_LEXICON))
+    return flat(corpora.from_conversations(spread_turns(spark, folder), lexicon=SAMPLE_LEXICON))
 
 
 SENTENCE_SQL = f"""WITH {S.token_tables('text', '(SELECT doc_id, text FROM documents) x')}, {PROFILE}, {TAGGED}, {LEMMATISED},
