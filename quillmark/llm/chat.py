@@ -60,37 +60,40 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """(tree, leaf, rank, node, depth): nodes of the ``best`` root-to-leaf paths of each tree.
 
     A path's score is the mean of its messages' scores, null as 0; ties go to the smaller leaf. A
-    parent that is not in the tree counts as none. Repeated rows of a node count once.
+    parent that is not in the tree counts as none. Repeated rows of a node count once. Messages
+    whose parents form a circle have no root and no path.
     """
     nodes = messages.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
     nodes = Stored(nodes, "messages").df
     heads = nodes.select("tree", F.col("node").alias("up"))
-    step = nodes.withColumnRenamed("parent", "up").join(heads, ["tree", "up"], "left_semi")
-    lone = nodes.select("tree", "node", "score").join(step.select("tree", "node"), ["tree", "node"], "left_anti")
-    # Each round, a node knows its 2^k-th ancestor, and depth and score of the messages below it.
-    each = step.select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), "score").unionByName(
-        lone.select("tree", "node", F.lit(None).cast("long").alias("up"), F.lit(1).cast("long").alias("depth"), "score")
-    )
-    jumps = [Stored(each, "jumps").df]
-    while not jumps[-1].where("up is not null").isEmpty():
-        now = jumps[-1]
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("score").alias("_s"))
-        jumps.append(Stored(now.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("_up").alias("up"),
-            (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
-            (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score"),
-        ), "jumps").df)
-    parents = jumps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = jumps[-1].join(parents, ["tree", "node"], "left_anti")
+    step = nodes.withColumnRenamed("parent", "up")
+    rooted = step.join(heads, ["tree", "up"], "left_semi").select("tree", "node", "up", "score")
+    lone = step.join(rooted.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "node", F.lit(None).cast("long").alias("up"), "score")
+    one = F.lit(1).cast("long").alias("depth")
+    first = Stored(rooted.unionByName(lone).select("tree", "node", "up", one, "score"), "jumps").df
+    # A round's open nodes know their 2^k-th ancestor, and depth and score of the messages below it;
+    # nodes whose path has reached its root are done and are only looked up.
+    open_, done = first.where("up is not null"), first.where("up is null")
+    parents = open_.select("tree", F.col("up").alias("node")).distinct()
+    jumps, left, rounds = [], open_.count(), max(1, nodes.count()).bit_length() + 1
+    while left and len(jumps) < rounds:
+        jumps.append(open_)
+        above = done.unionByName(open_).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("score").alias("_s"))
+        after = Stored(open_.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"),
+            (F.col("score") + F.col("_s")).alias("score"),
+        ), "jumps").df
+        open_, done = after.where("up is not null"), done.unionByName(after.where("up is null"))
+        left = open_.count()
+    leaves = done.join(parents, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy((F.col("score") / F.col("depth")).desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     found = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node")
     # Back down: each round adds, to every node found, its ancestor at the round's distance.
-    for jump in reversed(jumps[:-1]):
-        up = jump.where("up is not null").select("tree", "node", "up")
-        more = found.join(up, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"))
+    for jump in reversed(jumps):
+        more = found.join(jump.select("tree", "node", "up"), ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"))
         found = Stored(found.unionByName(more), "paths").df
-    return found.join(jumps[-1].select("tree", "node", "depth"), ["tree", "node"]).select("tree", "leaf", "rank", "node", "depth")
+    return found.join(done.select("tree", "node", "depth"), ["tree", "node"]).select("tree", "leaf", "rank", "node", "depth")
 
 
 def conversations(messages: DataFrame, best: int = 1, learned: str = LEARNED) -> DataFrame:
