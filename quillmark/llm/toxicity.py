@@ -244,25 +244,24 @@ def fit(samples: list[tuple[str | None, int]]) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int) -> list[tuple[str | None, int]]:
     """Labelled rows outside the held-out quarter: of each class the first ``rows`` by a hash of
-    the id, then as many of them as ``most_bytes`` allow; whole texts. Bounded for the driver."""
+    the id, then as many of them as ``most_bytes`` allow; whole texts. Both bounds hold for the
+    driver, and the ids that are broadcast are at most two times ``rows``."""
     marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max(label).alias("_y"))
-    each = docs.select(F.col("doc_id"), "text").join(marks, "doc_id")
-    out: list[tuple[str | None, int]] = []
+    # Only ids and sizes are joined; texts are fetched for the chosen ids alone.
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    each = sizes.join(marks, "doc_id").withColumn("_o", F.xxhash64(F.lit("sample"), "doc_id"))
+    chosen: dict[int, int] = {}
     for y in (0, 1):
-        order = [F.xxhash64(F.lit("sample"), "doc_id"), F.col("doc_id"), F.col("text")]
-        keys = each.where(F.col("_y") == y).select(
-            "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), *[o.alias(f"o{i}") for i, o in enumerate(order[:1])]
-        ).orderBy("o0", "doc_id").limit(rows).collect()
-        chosen, total = [], 0
-        for key in keys:
+        total = 0
+        for key in each.where(F.col("_y") == y).select("_o", "doc_id", "n").orderBy("_o", "doc_id", "n").limit(rows).collect():
             if total + key["n"] <= most_bytes:
-                chosen.append(key["doc_id"])
+                chosen[key["doc_id"]] = y
                 total += key["n"]
-        ids = docs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(chosen)], "doc_id long")
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-        texts = found.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-        out += [(r["text"], y) for r in texts]
+    ids = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, y int")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    texts = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    out = [(r["text"], r["y"]) for r in texts]
     return out
 
 
