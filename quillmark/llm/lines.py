@@ -1,10 +1,10 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard, union-find, one line per component.
 
 A line is compared by the set of its character shingles, lower case and with single blanks. Exact
-copies share a key and cost nothing more. Lines that share a band are candidates. In a small bucket
-all pairs are verified. In a large one every line is verified against one leader, and the triangle
-inequality of the Jaccard distance says which lines can still have links that the leader's cluster
-does not already connect; only those go on.
+copies share a key and cost nothing more. Lines that share a band are candidates. Every line of a
+bucket is verified against one leader and the links are joined to components; after that only
+pairs between components are left, and the triangle inequality of the Jaccard distance says which
+of them can be links at all. Those are verified, so no connection within a bucket is lost.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from quillmark.llm.components import components
 
 SHINGLE = 9
 SIMILARITY = 0.8
-#: Bands of rows: a pair at the threshold meets with probability 1 - (1 - 0.8 ** 4) ** 12 = 0.998.
-BANDS, ROWS = 12, 4
+#: Bands of rows: a pair at the threshold meets with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995,
+#: one at 0.85 with 0.9994.
+BANDS, ROWS = 10, 4
 #: Lines with fewer words repeat by chance and are left alone.
 LEAST_WORDS = 5
-#: Lines of a bucket that are verified in pairs, and rounds of leaders before the rest is too.
-BUCKET = 24
-ROUNDS = 12
+#: Rounds of leaders before the pairs that are left are verified.
+ROUNDS = 2
 #: Texts at a time; characters hashed at a time; lines a task remembers as already signed.
 TEXTS = 400
 STRIP = 1 << 16
@@ -40,23 +40,13 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def shingles(line: str, size: int = SHINGLE) -> set[str]:
-    """Distinct character shingles of a normal line; a shorter line is one shingle."""
-    return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
+def shingles(line: str, size: int = SHINGLE) -> np.ndarray:
+    """Distinct character shingles of a normal line as sorted 64-bit codes; a shorter line is one."""
+    return np.unique(_codes([line], size)[0])
 
 
-def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
-    x, y = shingles(a, size), shingles(b, size)
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
-
-
-def _multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(7).integers(1, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-
-
-def signatures(lines: list[str], size: int = SHINGLE, n: int = BANDS * ROWS) -> np.ndarray:
-    """MinHash values (lines x n) of normal lines, computed over one flat array of characters."""
+def _codes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the shingles of all lines in a row, and where each line's begin."""
     padded = [x if len(x) >= size else x + "\0" * (size - len(x)) for x in lines]
     flat = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
@@ -66,11 +56,30 @@ def signatures(lines: list[str], size: int = SHINGLE, n: int = BANDS * ROWS) ->
         code[: len(flat) - i] = code[: len(flat) - i] * np.uint64(0x9E3779B97F4A7C15) + flat[i:]
     code ^= code >> np.uint64(31)
     code *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (code >> np.uint64(32)).astype(np.uint32)
     # Windows that run over a line's end are no shingles of it.
     inner = lengths - size + 1
     begins = np.cumsum(inner) - inner
-    mixed = mixed[np.arange(int(inner.sum())) + np.repeat(starts - begins, inner)]
+    return code[np.arange(int(inner.sum())) + np.repeat(starts - begins, inner)], begins
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of codes."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
+    return overlap(shingles(a, size), shingles(b, size))
+
+
+def _multipliers(n: int) -> np.ndarray:
+    return np.random.default_rng(7).integers(1, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+
+
+def signatures(lines: list[str], size: int = SHINGLE, n: int = BANDS * ROWS) -> np.ndarray:
+    """MinHash values (lines x n) of normal lines, computed over one flat array of characters."""
+    code, begins = _codes(lines, size)
+    mixed = (code >> np.uint64(32)).astype(np.uint32)
     factors = _multipliers(n)
     out = np.full((len(lines), n), 0xFFFFFFFF, np.uint32)
     # Strips that end with a line keep the working set in the processor's cache.
@@ -138,53 +147,63 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
+        sets: dict[str, np.ndarray] = {}
+
+        def of(line: str) -> np.ndarray:
+            if line not in sets:
+                if len(sets) > 2000:
+                    sets.clear()
+                sets[line] = shingles(normal(line))
+            return sets[line]
+
+        return pd.Series([overlap(of(x), of(y)) for x, y in zip(a, b)], dtype="float64")
 
     left = texts.select(F.col("key").alias("a"), F.col("line").alias("_a"))
     right = texts.select(F.col("key").alias("b"), F.col("line").alias("_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", similarity("_a", "_b").alias("similarity"))
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    left, right = (members.select("bucket", F.col("key").alias(x)) for x in "ab")
-    return left.join(right, "bucket").where("a < b").select("a", "b").distinct()
-
-
-def line_links(crowd: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+def line_links(crowd: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): links that connect all lines which share a bucket and are similar enough.
 
-    ``crowd``: bucket, key, n (lines of the bucket); ``texts``: key, line. Within a bucket no
-    connection is lost: a line near the leader is left out only if no line outside the leader's
-    cluster can be as near to it as the threshold.
+    ``crowd``: bucket, key; ``texts``: key, line. Each round verifies the lines of a bucket against
+    its least key and joins the links to components. Lines outside the leader's component go on;
+    of those inside, only lines that can be as near as the threshold to one outside: distances to
+    the leader of two linked lines differ by the threshold's distance at most. At the end all pairs
+    that are left between components are verified.
     """
-    far = 1 - similarity
-    small = _all_pairs(crowd.where(F.col("n") <= bucket))
-    found = Stored(_verified(small, texts).where(F.col("similarity") >= similarity).select("a", "b"), "line-links").df
-    rest = Stored(crowd.where(F.col("n") > bucket).select("bucket", "key"), "crowded-lines").df
-    for _ in range(ROUNDS):
+    far = 1 - similarity + 1e-9
+    found = None
+    rest = Stored(crowd.select("bucket", "key"), "line-buckets").df
+    for _ in range(rounds):
+        leaders = rest.groupBy("bucket").agg(F.min("key").alias("a"))
+        met = rest.join(leaders, "bucket").where(F.col("key") > F.col("a")).select("bucket", "a", F.col("key").alias("b"))
+        known = Stored(_verified(met.select("a", "b").distinct(), texts), "leader-links").df
+        links = known.where(F.col("similarity") >= similarity).select("a", "b")
+        found = links if found is None else found.unionAll(links)
+        roots = components(found)
+        each = met.join(known, ["a", "b"]).select("bucket", F.col("a").alias("lead"), F.col("b").alias("key"), (1 - F.col("similarity")).alias("d"))
+        own = roots.select(F.col("node").alias("key"), "root")
+        lead = roots.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+        each = each.join(own, "key", "left").join(lead, "lead", "left").select(
+            "bucket", "key", "d", (F.coalesce("root", "key") != F.coalesce("lead_root", "lead")).alias("outside")
+        )
+        outer = each.where("outside").groupBy("bucket").agg(F.min("d").alias("least"))
+        stay = each.join(outer, "bucket").where(F.col("outside") | (F.col("d") >= F.col("least") - far))
+        rest = Stored(stay.select("bucket", "key", "d"), "line-buckets").df
         if rest.isEmpty():
             return found
-        leaders = rest.groupBy("bucket").agg(F.min("key").alias("b"))
-        met = Stored(rest.join(leaders, "bucket").where(F.col("key") > F.col("b")).select("bucket", F.col("key").alias("a"), "b"), "met").df
-        known = Stored(_verified(met.select("a", "b").distinct(), texts), "leader-links").df
-        found = found.unionAll(known.where(F.col("similarity") >= similarity).select("a", "b"))
-        each = met.join(known, ["a", "b"]).select("bucket", F.col("a").alias("key"), (1 - F.col("similarity")).alias("d"))
-        outer = each.where(F.col("d") > far).groupBy("bucket").agg(F.min("d").alias("least"))
-        # d is a metric: lines at a <= far and b > far from the leader differ by b - a at least.
-        stay = each.join(outer, "bucket").where((F.col("d") > far) | (F.col("d") >= F.col("least") - far - 1e-9))
-        stay = Stored(stay.select("bucket", "key"), "rest-of-lines").df
-        counts = stay.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        few = stay.join(counts.where(F.col("n") <= bucket), "bucket").select("bucket", "key")
-        pairs = _verified(_all_pairs(few), texts).where(F.col("similarity") >= similarity).select("a", "b")
-        found = found.unionAll(Stored(pairs, "line-links").df)
-        rest = Stored(stay.join(counts.where(F.col("n") > bucket), "bucket").select("bucket", "key"), "crowded-lines").df
-    last = _verified(_all_pairs(rest), texts).where(F.col("similarity") >= similarity).select("a", "b")
-    return found.unionAll(last)
+    own = roots.select(F.col("node").alias("key"), "root")
+    last = rest.join(own, "key", "left").select("bucket", "key", "d", F.coalesce("root", "key").alias("root"))
+    left, right = (last.select("bucket", F.col("key").alias(x), F.col("root").alias(f"r{x}"), F.col("d").alias(f"d{x}")) for x in "ab")
+    open_ = left.join(right, "bucket").where((F.col("ra") < F.col("rb")) & (F.abs(F.col("da") - F.col("db")) <= far))
+    pairs = Stored(open_.select("a", "b").distinct(), "open-pairs").df
+    return found.unionAll(_verified(pairs, texts).where(F.col("similarity") >= similarity).select("a", "b"))
 
 
 def duplicate_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-    least_words: int = LEAST_WORDS, bucket: int = BUCKET,
+    least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """(doc_id, line_no, first_doc_id, first_line_no, kept): lines that have copies or near copies.
 
@@ -209,7 +228,7 @@ def duplicate_lines(
         F.col("at.key").alias("key"), F.get("lines", F.col("at.line_no")).alias("line")
     )
     texts = Stored(texts.where("line is not null").dropDuplicates(["key"]), "line-texts").df
-    roots = components(line_links(crowd, texts, similarity, bucket)).select(F.col("node").alias("key"), "root")
+    roots = components(line_links(crowd, texts, similarity)).select(F.col("node").alias("key"), "root")
     tied = classes.join(roots, "key", "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     whole = tied.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
     owners = Stored(tied.select("key", "root").join(whole, "root").select("key", "first"), "line-components").df
