@@ -339,12 +339,12 @@ def _(spark, folder):
     document_sql(
         S.clean(),
         f"""(SELECT 'd' || doc_id AS id, text FROM (SELECT doc_id, text, row_number() OVER (ORDER BY {_h("'d' || doc_id")}, 'd' || doc_id) AS rn
-             FROM documents WHERE trim(text) <> '') WHERE rn <= 40
+             FROM documents WHERE regexp_matches(text, {S.text(P.NOT_WS)})) WHERE rn <= 40
              UNION ALL SELECT 'b' || item_id, text FROM (SELECT item_id, text, row_number() OVER (ORDER BY {_h("'b' || item_id")}, 'b' || item_id) AS rn
-             FROM benchmark WHERE trim(text) <> '') WHERE rn <= 40
+             FROM benchmark WHERE regexp_matches(text, {S.text(P.NOT_WS)})) WHERE rn <= 40
              UNION ALL SELECT conv_id || '-' || turn, text FROM (SELECT conv_id, turn, text,
                row_number() OVER (ORDER BY {_h("conv_id || '-' || turn")}, conv_id || '-' || turn) AS rn
-             FROM conversations WHERE role = 'user' AND trim(text) <> '') WHERE rn <= 40)""",
+             FROM conversations WHERE role = 'user' AND regexp_matches(text, {S.text(P.NOT_WS)})) WHERE rn <= 40)""",
         "id", "'HUMAN'",
     ),
 )

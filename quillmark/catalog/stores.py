@@ -118,7 +118,8 @@ def _(spark, folder):
 
 @query(
     "prompt_lines",
-    """SELECT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''""",
+    f"""SELECT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
+        WHERE regexp_matches(line, {S.text(P.NOT_WS)})""",
 )
 def _(spark, folder):
     path = new_path(spark, "lines")

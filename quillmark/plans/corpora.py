@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.constants import CODE_EXTENSIONS
+from quillmark.functions.patterns import NOT_WS
 from quillmark.operators import sampling, sets
 from quillmark.operators.labels import label_of
 from quillmark.plans import prose, source_code
@@ -23,7 +24,7 @@ def human_texts(sources: dict[str, DataFrame], per_source: int, seed: int) -> Da
     """Union of seeded samples of each source of (doc_id, text); blank texts are left out."""
     picked = [
         sampling.sample_groups(
-            df.where(F.trim("text") != "").select("doc_id", "text", F.lit(name).alias("source")),
+            df.where(F.col("text").rlike(NOT_WS)).select("doc_id", "text", F.lit(name).alias("source")),
             ["source"], "doc_id", per_source, seed,
         )
         for name, df in sources.items()
