@@ -3,8 +3,8 @@
 A line is compared by the set of its character shingles, lower case and with single blanks. Exact
 copies share a key and cost nothing more. Lines that share a band are candidates. Every line of a
 bucket is verified against one leader and the links are joined to components; after that only
-pairs between components are left, and the triangle inequality of the Jaccard distance says which
-of them can be links at all. Those are verified, so no connection within a bucket is lost.
+pairs between components are left. These are verified block by block, as products of shingle
+matrices, so that no connection within a bucket is lost and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 #: Lines with fewer words repeat by chance and are left alone.
 LEAST_WORDS = 5
-#: Rounds of leaders before the pairs that are left are verified.
-ROUNDS = 2
+#: Load of a block of lines, where a line counts 1 and 1 more for every 1000 characters; rows of small
+#: blocks that share a task; shingles that a matrix holds at a time; pairs verified at a time.
+BLOCK, PACK, COLUMNS, PAIRS = 256, 4000, 4096, 512
 #: Texts at a time; characters hashed at a time; lines a task remembers as already signed.
 TEXTS = 400
 STRIP = 1 << 16
@@ -142,63 +143,141 @@ def _occurrences(least_words: int):
     return run
 
 
+def _sets(lines: list[str], size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted shingle codes of each normal line, hashed over one flat array."""
+    if not lines:
+        return []
+    code, begins = _codes(lines, size)
+    return [np.unique(x) for x in np.split(code, begins[1:])]
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, similarity) of distinct pairs of line keys, from their whole lines."""
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        sets: dict[str, np.ndarray] = {}
-
-        def of(line: str) -> np.ndarray:
-            if line not in sets:
-                if len(sets) > 2000:
-                    sets.clear()
-                sets[line] = shingles(normal(line))
-            return sets[line]
-
-        return pd.Series([overlap(of(x), of(y)) for x, y in zip(a, b)], dtype="float64")
+        out = []
+        for start in range(0, len(a), PAIRS):
+            left, right = a[start : start + PAIRS].tolist(), b[start : start + PAIRS].tolist()
+            lines = list(dict.fromkeys(left + right))
+            sets = dict(zip(lines, _sets([normal(x) for x in lines])))
+            out += [overlap(sets[x], sets[y]) for x, y in zip(left, right)]
+        return pd.Series(out, dtype="float64")
 
     left = texts.select(F.col("key").alias("a"), F.col("line").alias("_a"))
     right = texts.select(F.col("key").alias("b"), F.col("line").alias("_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", similarity("_a", "_b").alias("similarity"))
 
 
-def line_links(crowd: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def similarities(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Exact Jaccard similarities of all sets of codes on the left with all on the right."""
+    sets = left + right
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Codes of one set alone add nothing to an overlap.
+    column = (np.cumsum(times > 1) - 1)[at]
+    owner, column = owner[times[at] > 1], column[times[at] > 1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [low, low + COLUMNS])
+        holds = np.zeros((len(sets), COLUMNS), np.float32)
+        holds[owner[i:j], column[i:j] - low] = 1
+        both += holds[: len(left)] @ holds[len(left) :].T
+    both = both.astype(np.float64)
+    return both / (sizes[: len(left), None] + sizes[None, len(left) :] - both)
+
+
+def forest(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], cut: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what the similar pairs connect, beyond the roots that are known.
+
+    Lines before ``cut`` are compared with the ones from there on, or all with all if ``cut`` is 0.
+    """
+    first, last = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
+    near = similarities(sets[first], sets[last]) >= similarity
+    near &= roots[first][:, None] != roots[last][None, :]
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+        j += cut
+        a, b = top(int(roots[i])), top(int(roots[j]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((int(keys[i]), int(keys[j])))
+    return out
+
+
+def _block_pairs(rest: DataFrame) -> DataFrame:
+    """(task, bucket, a, b, block, key, root): the lines of every pair of blocks that may hold links.
+
+    ``rest``: bucket, key, root, load. A root with much load has blocks of its own, dealt by key; the
+    other roots of a bucket are dealt whole. Two blocks of one and the same root need no comparison.
+    Pairs of small blocks share tasks; any other task holds two blocks.
+    """
+    sizes = rest.groupBy("bucket", "root").agg(F.sum("load").alias("own"))
+    small = sizes.where(F.col("own") <= BLOCK).groupBy("bucket").agg(F.sum("own").alias("others"))
+    parts = lambda load: F.ceil(F.col(load) / BLOCK)
+    block = F.when(
+        F.col("own") > BLOCK, F.xxhash64("root", F.pmod(F.xxhash64("key"), parts("own")))
+    ).otherwise(F.pmod(F.xxhash64("root"), parts("others")))
+    dealt = rest.join(sizes, ["bucket", "root"]).join(small, "bucket", "left")
+    dealt = Stored(dealt.select("bucket", block.alias("block"), "key", "root", "load"), "line-blocks").df
+    packs = dealt.count() // PACK + 1
+    blocks = dealt.groupBy("bucket", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("load").alias("load"))
+    left, right = (blocks.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "lo", "hi", "load"))) for x in "ab")
+    one_root = (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
+    pairs = left.join(right, "bucket").where((F.col("block_a") <= F.col("block_b")) & ~one_root)
+    alone = F.xxhash64("bucket", "block_a", "block_b")
+    task = F.when(F.col("load_a") + F.col("load_b") < BLOCK // 4, F.pmod(alone, F.lit(packs))).otherwise(alone)
+    ends = pairs.select(
+        task.alias("task"), "bucket", F.col("block_a").alias("a"), F.col("block_b").alias("b"),
+        F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"),
+    )
+    return dealt.select("bucket", "block", "key", "root").join(ends, ["bucket", "block"])
+
+
+def line_links(crowd: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links that connect all lines which share a bucket and are similar enough.
 
-    ``crowd``: bucket, key; ``texts``: key, line. Each round verifies the lines of a bucket against
-    its least key and joins the links to components. Lines outside the leader's component go on;
-    of those inside, only lines that can be as near as the threshold to one outside: distances to
-    the leader of two linked lines differ by the threshold's distance at most. At the end all pairs
-    that are left between components are verified.
+    ``crowd``: bucket, key; ``texts``: key, line. The lines of a bucket are verified against its
+    least key, and the links joined to components. In buckets that still hold several components,
+    the lines are dealt to blocks, and every two blocks that do not belong to one component are
+    compared as matrices of shingles. A pair of blocks gives a forest of links, not all of them.
     """
-    far = 1 - similarity + 1e-9
-    found = None
-    rest = Stored(crowd.select("bucket", "key"), "line-buckets").df
-    for _ in range(rounds):
-        leaders = rest.groupBy("bucket").agg(F.min("key").alias("a"))
-        met = rest.join(leaders, "bucket").where(F.col("key") > F.col("a")).select("bucket", "a", F.col("key").alias("b"))
-        known = Stored(_verified(met.select("a", "b").distinct(), texts), "leader-links").df
-        links = known.where(F.col("similarity") >= similarity).select("a", "b")
-        found = links if found is None else found.unionAll(links)
-        roots = components(found)
-        each = met.join(known, ["a", "b"]).select("bucket", F.col("a").alias("lead"), F.col("b").alias("key"), (1 - F.col("similarity")).alias("d"))
-        own = roots.select(F.col("node").alias("key"), "root")
-        lead = roots.select(F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-        each = each.join(own, "key", "left").join(lead, "lead", "left").select(
-            "bucket", "key", "d", (F.coalesce("root", "key") != F.coalesce("lead_root", "lead")).alias("outside")
-        )
-        outer = each.where("outside").groupBy("bucket").agg(F.min("d").alias("least"))
-        stay = each.join(outer, "bucket").where(F.col("outside") | (F.col("d") >= F.col("least") - far))
-        rest = Stored(stay.select("bucket", "key", "d"), "line-buckets").df
-        if rest.isEmpty():
-            return found
-    own = roots.select(F.col("node").alias("key"), "root")
-    last = rest.join(own, "key", "left").select("bucket", "key", "d", F.coalesce("root", "key").alias("root"))
-    left, right = (last.select("bucket", F.col("key").alias(x), F.col("root").alias(f"r{x}"), F.col("d").alias(f"d{x}")) for x in "ab")
-    open_ = left.join(right, "bucket").where((F.col("ra") < F.col("rb")) & (F.abs(F.col("da") - F.col("db")) <= far))
-    pairs = Stored(open_.select("a", "b").distinct(), "open-pairs").df
-    return found.unionAll(_verified(pairs, texts).where(F.col("similarity") >= similarity).select("a", "b"))
+    crowd = crowd.select("bucket", "key")
+    leaders = crowd.groupBy("bucket").agg(F.min("key").alias("a"))
+    met = crowd.join(leaders, "bucket").where(F.col("key") > F.col("a")).select("a", F.col("key").alias("b"))
+    known = _verified(met.distinct(), texts).where(F.col("similarity") >= similarity)
+    roots = components(Stored(known.select("a", "b"), "leader-links").df)
+    tied = crowd.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
+        "bucket", "key", F.coalesce("root", "key").alias("root")
+    )
+    # Two lines have met as leader and line already.
+    several = tied.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    several = several.where("n > 2 and lo <> hi").select("bucket")
+    load = texts.select("key", (1 + F.length("line") / 1000).cast("long").alias("load"))
+    rest = Stored(tied.join(several, "bucket").join(load, "key"), "open-buckets").df
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for (_, a, b), rows in frame.groupby(["bucket", "a", "b"]):
+            rows = rows.sort_values(["block", "key"])
+            cut = 0 if a == b else int((rows["block"] == a).sum())
+            sets = _sets([normal(x) for x in rows["line"]])
+            out += forest(rows["key"].to_numpy(), rows["root"].to_numpy(), sets, cut, similarity)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    pairs = _block_pairs(rest).join(texts, "key")
+    found = pairs.groupBy("task").applyInPandas(links, "a long, b long")
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)
 
 
 def duplicate_lines(

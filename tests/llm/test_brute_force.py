@@ -171,7 +171,7 @@ def test_links_of_crowded_buckets(spark):
         assert {(r["a"], r["b"]) for r in simhash.links(frame, bucket=bucket).collect()} == near
 
 
-def test_links_of_crowded_lines(spark):
+def test_links_of_crowded_lines(spark, monkeypatch):
     rng = np.random.default_rng(5)
     words = [f"word{i}" for i in range(400)]
     found = set()
@@ -187,8 +187,9 @@ def test_links_of_crowded_lines(spark):
     crowd = texts.select(F.lit(1).cast("long").alias("bucket"), "key", F.lit(len(found)).cast("long").alias("n"))
     near = [(a, b) for a in range(len(found)) for b in range(a) if lines.jaccard(found[a], found[b]) >= 0.8]
     want = least_reachable(range(len(found)), near)
-    for rounds in (1, 2, 5):
-        got = lines.line_links(crowd, texts, rounds=rounds).collect()
+    for block in (3, 40, 256):
+        monkeypatch.setattr(lines, "BLOCK", block)
+        got = lines.line_links(crowd, texts).collect()
         assert least_reachable(range(len(found)), [(r["a"], r["b"]) for r in got]) == want
 
 
