@@ -230,7 +230,7 @@ def long_sentences(spark, folder):
 
 @query(
     "document_rollup_mean",
-    f"""WITH r AS ({SENTENCE_SQL}) SELECT doc_id, label, CAST(0 AS BIGINT) AS part, {_JOINED}, {', '.join(map(_avg, MEANS))},
+    f"""WITH r AS ({SENTENCE_SQL}) SELECT doc_id, label, {_JOINED}, {', '.join(map(_avg, MEANS))},
         count(*) AS n_sentences FROM r WHERE length(sentence) > 3 GROUP BY doc_id, label""",
 )
 def _(spark, folder):
@@ -239,7 +239,7 @@ def _(spark, folder):
 
 @query(
     "document_rollup_sum",
-    f"""WITH r AS ({SENTENCE_SQL}) SELECT doc_id, label, CAST(0 AS BIGINT) AS part, {_JOINED}, {', '.join(map(_avg, SUMS))},
+    f"""WITH r AS ({SENTENCE_SQL}) SELECT doc_id, label, {_JOINED}, {', '.join(map(_avg, SUMS))},
         arg_min(document_ttr, sent_id) AS document_ttr, CAST(sum(CAST(balanced AS INTEGER)) AS DOUBLE) AS balanced, count(*) AS n_sentences
         FROM r GROUP BY doc_id, label""",
 )

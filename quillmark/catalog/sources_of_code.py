@@ -278,7 +278,7 @@ def _(spark, folder):
 
 @query(
     "session_concat",
-    """SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(chr(10) || chr(10) || text, '' ORDER BY turn) AS text, count(*) AS n_items
+    """SELECT conv_id, string_agg(chr(10) || chr(10) || text, '' ORDER BY turn) AS text, count(*) AS n_items
        FROM conversations WHERE role = 'assistant' GROUP BY conv_id""",
 )
 def _(spark, folder):

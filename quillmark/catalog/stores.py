@@ -130,7 +130,7 @@ def _(spark, folder):
 @query(
     "documents_from_tokens",
     f"""WITH w AS (SELECT doc_id, lang, {S.words('text')} AS ws FROM documents)
-        SELECT doc_id, CAST(0 AS BIGINT) AS part, array_to_string(ws, ' ') AS text, CAST(len(ws) AS BIGINT) AS n_items
+        SELECT doc_id, array_to_string(ws, ' ') AS text, CAST(len(ws) AS BIGINT) AS n_items
         FROM w WHERE lang IN ('en', 'fr') AND len(ws) > 0""",
 )
 def _(spark, folder):

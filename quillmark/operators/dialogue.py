@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import tokens
-from quillmark.operators.scale import number_rows, text_in_parts
+from quillmark.operators.scale import joined_text, number_rows
 
 TURNS_PER_BUCKET = 4096
 
@@ -48,11 +48,11 @@ def turn_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def session_text(turns: DataFrame, part_rows: int = 100_000) -> DataFrame:
-    """All replies of a conversation, each after a blank line, in parts of bounded size."""
+def session_text(turns: DataFrame) -> DataFrame:
+    """All replies of a conversation, each after a blank line, as one text."""
     replies = turns.where(F.col("role") == "assistant")
     value = F.concat(F.lit("\n\n"), F.coalesce("text", F.lit("")))
-    return text_in_parts(replies, ["conv_id"], "turn", value, "", part_rows)
+    return joined_text(replies, ["conv_id"], "turn", value, "")
 
 
 def conversation_titles(turns: DataFrame) -> DataFrame:

@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 TEXTS = ["sentence", "pos", "lemmas"]
 
 
-def _roll(df: DataFrame, keys: list[str], order: str, aggregates: dict, texts: list[str], part_rows: int):
-    """Group once by (keys, part): text joined per part, numbers folded over all parts.
+def _roll(df: DataFrame, keys: list[str], order: str, aggregates: dict, texts: list[str]) -> DataFrame:
+    """One grouping by the keys and one row per key: texts joined in order, numbers folded.
 
-    ``aggregates``: output name -> (column, "mean" | "sum" | "first"). A group below ``part_rows``
-    sentences has the single part 0; a larger one repeats its numbers beside each part of its text.
+    ``aggregates``: output name -> (column, "mean" | "sum" | "first").
     """
     for k in keys:
         df = df.where(F.col(k).isNotNull())
-    part = F.floor(F.col(order) / part_rows)
     aggs = []
     for t in texts:
         value = F.array_join(t, " ") if dict(df.dtypes)[t].startswith("array") else F.col(t)
@@ -24,41 +22,28 @@ def _roll(df: DataFrame, keys: list[str], order: str, aggregates: dict, texts: l
         aggs.append(F.array_join(F.transform(items, lambda x: x["v"]), " ").alias(t))
     for out, (col, kind) in aggregates.items():
         if kind == "first":
-            aggs.append(F.min(F.when(F.col(col).isNotNull(), F.struct(F.col(order).alias("o"), F.col(col).alias("v")))).alias(f"_{out}"))
+            present = F.when(F.col(col).isNotNull(), F.struct(F.col(order).alias("o"), F.col(col).alias("v")))
+            aggs.append(F.min(present)["v"].alias(out))
         else:
-            number = F.col(col).cast("double")
-            aggs += [F.sum(number).alias(f"_{out}_s"), F.count(number).alias(f"_{out}_n")]
-    parts = df.withColumn("part", part).groupBy(*keys, "part").agg(
-        *aggs, F.count(F.lit(1)).alias("_rows")
-    )
-    folded = []
-    for out, (_, kind) in aggregates.items():
-        if kind == "first":
-            folded.append(F.min(f"_{out}")["v"].alias(out))
-        elif kind == "sum":
-            folded.append(F.sum(f"_{out}_s").alias(out))
-        else:
-            folded.append((F.sum(f"_{out}_s") / F.sum(f"_{out}_n")).alias(out))
-    numbers = parts.groupBy(*keys).agg(*folded, F.sum("_rows").alias("n_sentences"))
-    return parts.select(*keys, "part", *texts).join(numbers, keys)
+            fold = F.sum if kind == "sum" else F.avg
+            aggs.append(fold(F.col(col).cast("double")).alias(out))
+    return df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("n_sentences"))
 
 
 def rollup_mean(
-    df: DataFrame, keys: list[str], metrics: list[str], order: str = "sent_id",
-    texts: list[str] = TEXTS, part_rows: int = 100_000,
+    df: DataFrame, keys: list[str], metrics: list[str], order: str = "sent_id", texts: list[str] = TEXTS
 ) -> DataFrame:
     """Ordered text joins and the mean of every metric; null keys are dropped."""
-    return _roll(df, keys, order, {m: (m, "mean") for m in metrics}, texts, part_rows)
+    return _roll(df, keys, order, {m: (m, "mean") for m in metrics}, texts)
 
 
 def rollup_sum(
-    df: DataFrame, keys: list[str], metrics: list[str], order: str = "sent_id",
-    texts: list[str] = TEXTS, part_rows: int = 100_000,
+    df: DataFrame, keys: list[str], metrics: list[str], order: str = "sent_id", texts: list[str] = TEXTS
 ) -> DataFrame:
     """As ``rollup_mean``, but the first non-null ``document_ttr`` and the sum of ``balanced``."""
     aggregates = {m: (m, "mean") for m in metrics}
     aggregates |= {"document_ttr": ("document_ttr", "first"), "balanced": ("balanced", "sum")}
-    return _roll(df, keys, order, aggregates, texts, part_rows)
+    return _roll(df, keys, order, aggregates, texts)
 
 
 def rollup_all(df: DataFrame, metrics: list[str]) -> DataFrame:

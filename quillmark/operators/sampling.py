@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.scale import (
-    SMALL_QUOTA,
-    hash_bucket,
-    range_bucket,
-    seeded_key,
-    take_in_order,
-)
+from quillmark.operators.scale import hash_bucket, range_bucket, seeded_key, take_in_order
 
 
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
@@ -32,8 +26,7 @@ def skip_take(df: DataFrame, key: str, text: str, skip: int, n: int) -> DataFram
 
 
 def take_per_group(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
-    bucket = F.lit(0) if n <= SMALL_QUOTA else range_bucket(df, key)
-    return take_in_order(df, [by], [F.col(key)], bucket, n)
+    return take_in_order(df, [by], [F.col(key)], range_bucket(df, key), n)
 
 
 def split(df: DataFrame, key: str, test_share: float, seed: int, by: list[str] | None = None) -> DataFrame:

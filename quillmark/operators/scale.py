@@ -11,7 +11,6 @@ from quillmark.sources.shared import settle
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
-SMALL_QUOTA = 10_000
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -101,32 +100,22 @@ def take_in_order(
 ) -> DataFrame:
     """First ``quota`` rows of each group, the quota being a number or a column.
 
-    A small number is a per-task top-k followed by a merge. Otherwise whole buckets are let
-    through or dropped by their offsets, and only what is left is ranked.
+    Whole buckets are let through or dropped by their offsets, and only what is left is ranked,
+    bucket by bucket; no group meets in one task, whatever the quota.
     """
-    if isinstance(quota, int) and quota <= SMALL_QUOTA:
-        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-        return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= quota).drop("_rn")
     limit = F.lit(quota) if isinstance(quota, int) else quota
     reachable = _with_offsets(df, by, bucket).where(F.col("_before") < limit)
     return _ranked_in_bucket(reachable, by, order, "_rn").where(F.col("_rn") <= limit).drop("_rn")
 
 
-def text_in_parts(
-    df: DataFrame, keys: list[str], position: str, value: Column, sep: str, part_rows: int = 100_000
-) -> DataFrame:
-    """Join strings of a key in position order; a key beyond ``part_rows`` continues in new parts.
-
-    Concatenating the parts of a key in order, with ``sep`` between, gives the whole text.
-    """
-    part = F.floor(F.col(position) / part_rows).alias("part")
+def joined_text(df: DataFrame, keys: list[str], position: str, value: Column, sep: str) -> DataFrame:
+    """(keys, text, n_items): the strings of each key joined in position order, one row per key."""
     return (
-        df.select(*keys, part, F.col(position).alias("_p"), value.alias("_v"))
-        .groupBy(*keys, "part")
+        df.select(*keys, F.col(position).alias("_p"), value.alias("_v"))
+        .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("_p", "_v"))).alias("_items"))
         .select(
             *keys,
-            "part",
             F.array_join(F.transform("_items", lambda x: x["_v"]), sep).alias("text"),
             F.size("_items").cast("long").alias("n_items"),
         )

@@ -37,18 +37,15 @@ def test_number_rows_keeps_null_groups(spark):
     assert sorted((r["id"], r["rn"]) for r in got.collect()) == [(1, 1), (2, 2), (3, 1)]
 
 
-@pytest.mark.parametrize("quota", [7, 400, 100_000])
-def test_quota_paths_agree(skewed, quota, monkeypatch):
+@pytest.mark.parametrize("quota", [7, 400, 5_000, 100_000])
+def test_quotas_of_a_hot_group(skewed, quota):
     frame, rows = skewed
     groups = {}
     for i, k in rows:
         groups.setdefault(k, []).append((md5(5, i), i))
     want = {i for members in groups.values() for _, i in sorted(members)[:quota]}
-    small = sampling.sample_groups(frame, ["key"], "id", quota, 5)
-    assert {r["id"] for r in small.collect()} == want
-    monkeypatch.setattr(scale, "SMALL_QUOTA", 0)
-    bucketed = sampling.sample_groups(frame, ["key"], "id", quota, 5)
-    assert {r["id"] for r in bucketed.collect()} == want
+    drawn = sampling.sample_groups(frame, ["key"], "id", quota, 5)
+    assert {r["id"] for r in drawn.collect()} == want
 
 
 @pytest.mark.parametrize("by", [None, ["key"]])
@@ -95,12 +92,11 @@ def test_lemma_paths_agree(spark, monkeypatch):
     assert small[1] == [["Cats", "chase", "a", "cat", "."], ["Dogs", "be", "dog", "!"]] and small[2] == []
 
 
-def test_text_in_parts(spark):
-    rows = [("a", i, f"w{i}") for i in range(25)] + [("b", 0, "x")]
+def test_joined_text_is_one_row_per_key(spark):
+    rows = [("a", i * 20_000, f"w{i}") for i in range(25)] + [("b", 0, "x")]
     frame = spark.createDataFrame(rows, "k string, p int, w string")
-    parts = scale.text_in_parts(frame, ["k"], "p", F.col("w"), " ", part_rows=10).orderBy("k", "part").collect()
-    assert [(r["k"], r["part"], r["n_items"]) for r in parts] == [("a", 0, 10), ("a", 1, 10), ("a", 2, 5), ("b", 0, 1)]
-    assert " ".join(r["text"] for r in parts[:3]) == " ".join(f"w{i}" for i in range(25))
+    got = scale.joined_text(frame, ["k"], "p", F.col("w"), " ").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [("a", " ".join(f"w{i}" for i in range(25)), 25), ("b", "x", 1)]
 
 
 def test_positional_zip_stops_at_the_shorter(spark):
@@ -142,17 +138,16 @@ def sentences(spark, n=23):
     return spark.createDataFrame(rows, schema)
 
 
-@pytest.mark.parametrize("part_rows", [5, 1000])
-def test_rollups(spark, part_rows):
+def test_rollups(spark):
     frame = sentences(spark)
-    got = rollup.rollup_mean(frame, ["doc_id", "label"], ["depth", "balanced"], part_rows=part_rows).collect()
-    first = sorted((r for r in got if r["doc_id"] == 1), key=lambda r: r["part"])
-    assert " ".join(r["sentence"] for r in first) == " ".join(f"s{i}" for i in range(23))
-    assert {(r["depth"], r["balanced"], r["n_sentences"]) for r in first} == {(11.0, 12 / 23, 23)}
-    assert len(first) == math.ceil(23 / part_rows) and {r["doc_id"] for r in got} == {1, 2}
+    got = rollup.rollup_mean(frame, ["doc_id", "label"], ["depth", "balanced"]).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2]
+    first = next(r for r in got if r["doc_id"] == 1)
+    assert first["sentence"] == " ".join(f"s{i}" for i in range(23))
+    assert (first["depth"], first["balanced"], first["n_sentences"]) == (11.0, 12 / 23, 23)
     second = next(r for r in got if r["doc_id"] == 2)
     assert second["depth"] is None and second["pos"] == "V"
-    summed = rollup.rollup_sum(frame, ["doc_id"], ["depth"], part_rows=part_rows).where("doc_id = 1").first()
+    summed = rollup.rollup_sum(frame, ["doc_id"], ["depth"]).where("doc_id = 1").first()
     assert (summed["document_ttr"], summed["balanced"]) == (0.5, 12.0)
 
 
