@@ -26,8 +26,8 @@ SIMILARITY = 0.8
 #: Bands of rows: a pair at the threshold meets with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995,
 #: one at 0.85 with 0.9994.
 BANDS, ROWS = 10, 4
-#: Lines with fewer words repeat by chance and are left alone.
-LEAST_WORDS = 5
+#: Every line with a word takes part; blank lines do not.
+LEAST_WORDS = 1
 #: Load of a block of lines, where a line counts 1 and 1 more for every 1000 characters; rows of small
 #: blocks that share a task; shingles that a matrix holds at a time; pairs verified at a time.
 BLOCK, PACK, COLUMNS, PAIRS = 256, 4000, 4096, 512

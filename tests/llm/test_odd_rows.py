@@ -50,6 +50,14 @@ def test_empty_texts_are_linked_and_copied_lines_go(spark, docs):
     assert texts[7] == "" and texts[3] is None and texts[1] == ROWS[0][1] and texts[None] == ROWS[3][1]
 
 
+def test_short_lines_and_scripts_without_blanks(spark):
+    long = "東京は日本の首都であり世界最大の都市圏を形成している。" * 3
+    texts = {1: f"All rights reserved.\n{long}\n\nown", 2: f"ALL  rights reserved.\n\n{long}", 3: f"ok\n{long}。", 4: "ok\nOKAY\n"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.drop_duplicate_lines(docs).collect()}
+    assert got == {1: texts[1], 2: "", 3: "ok", 4: "OKAY\n"}
+
+
 def test_vectors_without_direction_take_no_part(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, None), (6, [None, 1.0]), (None, [1.0, 1.0])]
