@@ -177,6 +177,11 @@ def near_duplicates(
     of ``docs`` are not looked at. An empty table gives an empty result.
     """
     each = docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), size).alias("fp"))
+    return _rooted(each, distance, bucket).select("doc_id", "fp", "component_id")
+
+
+def _rooted(each: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """The rows of ``each`` (doc_id, fp, ...) with the root and the least id of their component."""
     table = Stored(each, "fingerprints").df
     classes = Stored(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes").df
     roots = components(links(classes, distance, bucket))
@@ -184,19 +189,34 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     heads = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = Stored(tied.join(heads, "root").select("fp", "component_id"), "fingerprint-components").df
-    return table.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = Stored(tied.join(heads, "root").select("fp", "root", "component_id"), "fingerprint-components").df
+    return table.join(labels, "fp")
+
+
+def _row_marks(docs: DataFrame) -> list[Column]:
+    """What tells rows apart: the id, null or not, and 128 bits of the text's hash."""
+    doc_id, text = docs["doc_id"], docs["text"]
+    hashes = [F.xxhash64(text).alias("_x"), F.xxhash64(F.lit(1), text).alias("_y")]
+    return [doc_id.isNull().alias("_none"), F.when(doc_id.isNull(), F.lit("")).otherwise(doc_id.cast("string")).alias("_id"), *hashes]
 
 
 def keep_first(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
-    """One row of each component, the one with the least id; the columns of ``docs`` stay.
+    """One row of each component, the one with the least (id, text); the columns of ``docs`` stay.
 
-    Of rows that repeat the least id, the one with the least text stays. Rows without an id are
-    kept unless their component has a row with one.
+    Rows without an id come after those with one, and a null text after any other. Rows that are
+    equal in id and text are one document, and any one of them stays.
     """
-    marks = near_duplicates(docs, size=size, distance=distance).where(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
-    ids = marks.select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return chosen.dropDuplicates(["doc_id"])
+    keys = ["_none", "_id", "_x", "_y"]
+    marked = docs.select(*docs.columns, *_row_marks(docs))
+    each = marked.select("doc_id", *keys, fingerprints(F.col("text"), size).alias("fp"))
+    heads = _rooted(each, distance, BUCKET).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = Stored(heads.select("root", *keys).distinct(), "component-heads").df
+    several = heads.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    chosen = heads.join(several, "root", "left_anti").select(*keys)
+    # Only where an id or its lack is repeated in a component, texts decide.
+    tied = Stored(heads.join(several, "root"), "tied-heads").df
+    if not tied.isEmpty():
+        first = F.struct(F.col("text").isNull().alias("no_text"), "text", *keys)
+        least = marked.select(*keys, "text").join(tied, keys).groupBy("root").agg(F.min(first).alias("first"))
+        chosen = chosen.unionAll(least.select(*(F.col(f"first.{k}").alias(k) for k in keys)))
+    return marked.join(chosen, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -58,6 +58,17 @@ def test_short_lines_and_scripts_without_blanks(spark):
     assert got == {1: texts[1], 2: "", 3: "ok", 4: "OKAY\n"}
 
 
+def test_one_row_of_each_component_stays(spark):
+    unlike = [" ".join(f"{w}{i}" for i in range(60)) for w in ("ash", "birch", "cedar", "elm", "fir", "oak")]
+    rows = [(None, unlike[0], "a"), (None, unlike[1], "b"), (None, unlike[1], "b"), (3, unlike[2], "c"), (3, unlike[3], "d"),
+            (4, unlike[4], "e"), (None, unlike[4], "f"), (2, unlike[4].upper(), "g"), (2, unlike[4], "h"), (9, None, "i"), (None, "", "j"),
+            (None, unlike[5], "k"), (None, unlike[5].upper(), "l")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got.columns == ["doc_id", "text", "source"]
+    assert {tuple(r) for r in got.collect()} == {rows[0], rows[1], rows[3], rows[4], rows[7], rows[9], rows[12]}
+    assert got.count() == 7
+
+
 def test_vectors_without_direction_take_no_part(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, None), (6, [None, 1.0]), (None, [1.0, 1.0])]
