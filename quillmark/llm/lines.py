@@ -107,15 +107,15 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _occurrences(least_words: int):
-    """Rows (doc_id, line_no, key, bands) of each line; bands only where the task first meets a line."""
+    """Rows (doc_id, text_hash, line_no, key, bands) of each line; bands only where the task first meets a line."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, TEXTS):
-            ids, places, keys, fresh, at = [], [], [], [], []
+            ids, hashes, places, keys, fresh, at = [], [], [], [], [], []
             if len(seen) > REMEMBERED:
                 seen.clear()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for place, line in enumerate((text or "").split("\n")):
                     words = line.lower().split()
                     if len(words) < least_words:
@@ -127,6 +127,7 @@ def _occurrences(least_words: int):
                         at.append(len(ids))
                         fresh.append(line)
                     ids.append(doc_id)
+                    hashes.append(text_hash)
                     places.append(place)
                     keys.append(key)
             if not ids:
@@ -136,8 +137,8 @@ def _occurrences(least_words: int):
             flat = band_keys(signatures(fresh)).ravel() if fresh else np.empty(0, np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), bands],
-                ["doc_id", "line_no", "key", "bands"],
+                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), bands],
+                ["doc_id", "text_hash", "line_no", "key", "bands"],
             )
 
     return run
@@ -284,26 +285,28 @@ def duplicate_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
     least_words: int = LEAST_WORDS,
 ) -> DataFrame:
-    """(doc_id, line_no, first_doc_id, first_line_no, kept): lines that have copies or near copies.
+    """(doc_id, line_no, first_doc_id, first_line_no, kept, text_hash): lines that have copies or near copies.
 
     Lines are cut at line feeds and numbered from 0. A component keeps its first line by (doc_id,
-    line_no). Lines of fewer than ``least_words`` words, null and empty texts, and rows without an id
-    have no rows here. Rows that repeat an id count as one document, whose line at a place is the
-    line of any of them. Other columns are not looked at. An empty table gives an empty result.
+    line_no, text_hash). Lines of fewer than ``least_words`` words, null and empty texts, and rows
+    without an id have no rows here. A document is its id and the hash of its text: rows that repeat
+    both count as one, and texts that share an id are told apart by ``text_hash``. Other columns are
+    not looked at. An empty table gives an empty result.
     """
-    table = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    schema = "doc_id long, line_no int, key long, bands array<long>"
+    table = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    table = table.where("doc_id is not null")
+    schema = "doc_id long, text_hash long, line_no int, key long, bands array<long>"
     lines = Stored(table.mapInArrow(_occurrences(least_words), schema), "lines").df
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "line_no", "text_hash")
     classes = Stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes").df
     # One shuffle by bucket: copies of a line fall together there and buckets of one line go.
     each = lines.where(F.size("bands") > 0).select("key", F.explode("bands").alias("bucket"))
     each = each.repartition(F.col("bucket")).dropDuplicates(["bucket", "key"])
     crowd = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
     crowd = Stored(crowd, "buckets").df
-    wanted = classes.join(crowd.select("key").distinct(), "key").select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.line_no").alias("line_no"), "key").alias("at"))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list("at").alias("wanted"))
-    texts = table.join(wanted, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("at")).select(
+    wanted = classes.join(crowd.select("key").distinct(), "key").select("first.doc_id", "first.text_hash", F.struct(F.col("first.line_no").alias("line_no"), "key").alias("at"))
+    wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("wanted"))
+    texts = table.join(wanted, ["doc_id", "text_hash"]).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("at")).select(
         F.col("at.key").alias("key"), F.get("lines", F.col("at.line_no")).alias("line")
     )
     texts = Stored(texts.where("line is not null").dropDuplicates(["key"]), "line-texts").df
@@ -311,10 +314,9 @@ def duplicate_lines(
     tied = classes.join(roots, "key", "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     whole = tied.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
     owners = Stored(tied.select("key", "root").join(whole, "root").select("key", "first"), "line-components").df
-    kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
-    return lines.select("doc_id", "line_no", "key").join(owners, "key").select(
+    return lines.select("doc_id", "text_hash", "line_no", "key").join(owners, "key").select(
         "doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
-        kept.alias("kept"),
+        (place == F.col("first")).alias("kept"), "text_hash",
     ).distinct()
 
 
@@ -322,11 +324,14 @@ def drop_duplicate_lines(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose texts have lost every duplicate line but the one kept.
 
     Other columns stay as they are, and so do rows without an id. A text all of whose lines are
-    copies becomes empty; null texts stay null. Takes the options of ``duplicate_lines``.
+    copies becomes empty; null texts stay null. Rows that repeat an id lose the lines of their own
+    text only. Takes the options of ``duplicate_lines``.
     """
     gone = duplicate_lines(docs, **options).where(~F.col("kept"))
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_arrays(F.collect_list("line_no"), F.collect_list(F.lit(True))).alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+        F.map_from_arrays(F.collect_list("line_no"), F.collect_list(F.lit(True))).alias("_gone")
+    )
+    joined = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.map_contains_key("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.withColumn("text", text).select(*docs.columns)

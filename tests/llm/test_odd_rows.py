@@ -69,6 +69,14 @@ def test_one_row_of_each_component_stays(spark):
     assert got.count() == 7
 
 
+def test_texts_of_one_id_lose_their_own_lines_only(spark):
+    copied, own, other = "again the very same line here", "a line that no other text has", "something else of its own stands there"
+    rows = [(1, copied), (2, f"{own}\n{copied}"), (2, f"{copied}\n{other}"), (2, f"{copied}\n{other}"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(lines.drop_duplicate_lines(docs).collect(), key=lambda r: r["text"] or "")
+    assert [tuple(r) for r in got] == [(2, None), (2, own), (1, copied), (2, other), (2, other)]
+
+
 def test_vectors_without_direction_take_no_part(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, None), (6, [None, 1.0]), (None, [1.0, 1.0])]
