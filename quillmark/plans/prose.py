@@ -40,34 +40,35 @@ def add_lemmas(analysed: DataFrame, vocabulary: DataFrame | None = None) -> Data
 
     The dictionary of changed words is built by grouping. While it stays below the broadcast
     bound it is looked up per Arrow batch, so documents are not shuffled; a larger one is joined
-    to the exploded words and the documents are put together again.
+    to the exploded words and the documents are put together again by a key of their row, as ids
+    may be null or repeated.
     """
-    analysed = settle(analysed, "analysed")
+    analysed = settle(analysed.withColumn("_row", F.monotonically_increasing_id()), "analysed")
     # Class letter and word as one string: distinct strings are found by hash, structs are not.
     classed = f"zip_with(flatten(toks), flatten(tags), (w_, t_) -> concat({tagging.coarse_class_sql('t_')}, w_))"
     distinct = analysed.select(F.explode(F.array_distinct(F.expr(classed))).alias("_p")).distinct()
     words = settle(distinct.selectExpr("substring(_p, 2) AS word", "left(_p, 1) AS class"), "words")
     dictionary = settle(lexical.lemma_dictionary(words, words if vocabulary is None else vocabulary), "lemmas")
     if table_bytes(dictionary) <= BROADCAST_BYTES:
-        return analysed.withColumn("lemmas", _look_up(dictionary, F.col("toks"), F.col("tags")))
+        return analysed.withColumn("lemmas", _look_up(dictionary, F.col("toks"), F.col("tags"))).drop("_row")
     exploded = (
-        analysed.select("doc_id", F.posexplode(F.arrays_zip("toks", "tags")).alias("sent_id", "_s"))
-        .select("doc_id", "sent_id", F.posexplode(F.arrays_zip("_s.toks", "_s.tags")).alias("tok_id", "_t"))
+        analysed.select("_row", F.posexplode(F.arrays_zip("toks", "tags")).alias("sent_id", "_s"))
+        .select("_row", "sent_id", F.posexplode(F.arrays_zip("_s.toks", "_s.tags")).alias("tok_id", "_t"))
         .select(
-            "doc_id", "sent_id", "tok_id", F.col("_t.toks").alias("word"),
+            "_row", "sent_id", "tok_id", F.col("_t.toks").alias("word"),
             tagging.coarse_class(F.col("_t.tags")).alias("class"),
         )
     )
     back = (
         lookup_join(exploded, dictionary, ["word", "class"])
-        .groupBy("doc_id", "sent_id")
+        .groupBy("_row", "sent_id")
         .agg(F.sort_array(F.collect_list(F.struct("tok_id", F.coalesce("lemma", "word").alias("l")))).alias("_l"))
-        .groupBy("doc_id")
+        .groupBy("_row")
         .agg(F.sort_array(F.collect_list(F.struct("sent_id", "_l"))).alias("_d"))
-        .select("doc_id", F.transform("_d", lambda s: F.transform(s["_l"], lambda x: x["l"])).alias("lemmas"))
+        .select("_row", F.transform("_d", lambda s: F.transform(s["_l"], lambda x: x["l"])).alias("lemmas"))
     )
     empty = F.array().cast("array<array<string>>")
-    return analysed.join(back, "doc_id", "left").withColumn("lemmas", F.coalesce("lemmas", empty))
+    return analysed.join(back, "_row", "left").withColumn("lemmas", F.coalesce("lemmas", empty)).drop("_row")
 
 
 def _look_up(dictionary: DataFrame, toks: Column, tags: Column) -> Column:

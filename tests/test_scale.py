@@ -92,6 +92,19 @@ def test_lemma_paths_agree(spark, monkeypatch):
     assert small[1] == [["Cats", "chase", "a", "cat", "."], ["Dogs", "be", "dog", "!"]] and small[2] == []
 
 
+def test_lemma_paths_agree_on_odd_ids(spark, monkeypatch):
+    rows = [(1, "Cats chase a cat. Dogs was dogs!"), (1, "One dog, two dogs; cat?"), (None, "Dogs was cats."), (None, "Two cats!"), (1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    analysed = prose.analyse(docs, F.lit("LLM"))
+    small = prose.add_lemmas(analysed)
+    want = {(r["doc_id"], r["text"]): r["lemmas"] for r in small.collect()}
+    for module in (scale, prose):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    large = prose.add_lemmas(analysed)
+    assert large.columns == small.columns and large.count() == len(rows) == len(want)
+    assert {(r["doc_id"], r["text"]): r["lemmas"] for r in large.collect()} == want
+
+
 def test_joined_text_is_one_row_per_key(spark):
     rows = [("a", i * 20_000, f"w{i}") for i in range(25)] + [("b", 0, "x")]
     frame = spark.createDataFrame(rows, "k string, p int, w string")
