@@ -23,9 +23,9 @@ from quillmark.llm.components import components
 
 SHINGLE = 9
 SIMILARITY = 0.8
-#: Bands of rows: a pair at the threshold meets with probability 1 - (1 - 0.8 ** 4) ** 10 = 0.995,
-#: one at 0.85 with 0.9994.
-BANDS, ROWS = 10, 4
+#: Bands of rows: a pair at the threshold meets with probability 1 - (1 - 0.8 ** 4) ** 12 = 0.998,
+#: one at 0.85 with 0.9998.
+BANDS, ROWS = 12, 4
 #: Every line with a word takes part; blank lines do not.
 LEAST_WORDS = 1
 #: Load of a block of lines, where a line counts 1 and 1 more for every 1000 characters; rows of small

@@ -77,6 +77,10 @@ def test_texts_of_one_id_lose_their_own_lines_only(spark):
     assert [tuple(r) for r in got] == [(2, None), (2, own), (1, copied), (2, other), (2, other)]
 
 
+def test_bands_miss_few_pairs_at_the_threshold():
+    assert (1 - lines.SIMILARITY**lines.ROWS) ** lines.BANDS < 0.002
+
+
 def test_vectors_without_direction_take_no_part(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, None), (6, [None, 1.0]), (None, [1.0, 1.0])]
