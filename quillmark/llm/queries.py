@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, chat, lines, mixing, neighbours, quality_knn, rules, simhash, toxicity, warc
+from quillmark.llm import (
+    bpe, chat, lines, manifest, mixing, neighbours, phrases, quality_knn, rules, sharding, simhash, toxicity, warc,
+)
 from quillmark.llm.common import held_out
 from quillmark.sources.tables import table
 
@@ -110,6 +112,31 @@ def rules_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def manifest_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    leaf = lambda text: manifest.leaf(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    struck = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(struck, lowered).otherwise(F.col("text"))
+    found = manifest.proofs(docs, leaf(F.col("text")), F.col("lang"), F.col("doc_id"), shown=leaf(tampered))
+    found = found.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+        manifest.fold(F.col("shown"), F.col("path")).alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def sharding_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = sharding.shard(table(spark, folder, "documents"), shards=16)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def phrases_query(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash_query,
     "op2_bpe": bpe_query,
@@ -121,11 +148,105 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality_query,
     "op9_neighbours": neighbours_query,
     "op10_rules": rules_query,
+    "op11_manifest": manifest_query,
+    "op12_sharding": sharding_query,
+    "op13_phrases": phrases_query,
 }
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+def _climbed(name: str, levels: int) -> str:
+    """SQL: tables name1, name2, ... of ever higher nodes above name0 (g, slot, total, node, before, after)."""
+    run = "PARTITION BY g, slot // 8 ORDER BY slot"
+    out = []
+    for i in range(1, levels + 1):
+        out.append(f"""{name}{i} AS MATERIALIZED (
+          SELECT *, coalesce(string_agg(node, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+            coalesce(string_agg(node, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM (
+            SELECT g, slot // 8 AS slot, (any_value(total) + 7) // 8 AS total,
+              CASE WHEN any_value(total) > 1 THEN sha256(string_agg(node, '' ORDER BY slot)) ELSE any_value(node) END AS node
+            FROM {name}{i - 1} GROUP BY g, slot // 8))""")
+    return ", ".join(out)
+
+
+def _first_level(rows: str) -> str:
+    run = "PARTITION BY g, slot // 8 ORDER BY slot"
+    return (
+        f"SELECT *, coalesce(string_agg(node, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before, "
+        f"coalesce(string_agg(node, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM ({rows})"
+    )
+
+
+#: Levels of the trees that the SQL spells out: documents of a language, and languages.
+DEEP, FLAT = 9, 3
+_CRC = (
+    "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+    "lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))))"
+)
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')" for x in fields) + ")"
+
+
+def _manifest_sql() -> str:
+    steps, proof, folded = [], [], "shown"
+    for name, levels, slot in (("t", DEEP, "slot"), ("u", FLAT, "u_slot")):
+        for i in range(levels):
+            steps.append(f"JOIN {name}{i} ON {name}{i}.g = {'d.g' if name == 't' else chr(39) * 2} AND {name}{i}.slot = d.{slot} // {8 ** i}")
+            proof.append(f"CASE WHEN {name}{i}.total > 1 THEN {name}{i}.before || {name}{i}.after ELSE '' END")
+    plan = [(f"t{i}", "f" if i else "shown") for i in range(DEEP)] + [(f"u{i}", "f") for i in range(FLAT)]
+    base = "SELECT d.*, " + " || ".join(proof) + " AS proof, " + ", ".join(
+        f"{n}.total AS {n}_total, {n}.before AS {n}_before, {n}.after AS {n}_after" for n, _ in plan
+    ) + " FROM (SELECT d0.*, u0.slot AS u_slot FROM d0 JOIN u0 ON u0.name = d0.g) d " + " ".join(steps)
+    chain, last = [f"f0 AS MATERIALIZED (SELECT *, {folded} AS h0 FROM ({base}))"], 0
+    for i, (n, _) in enumerate(plan):
+        chain.append(f"f{i + 1} AS (SELECT *, CASE WHEN {n}_total > 1 THEN sha256({n}_before || h{i} || {n}_after) ELSE h{i} END AS h{i + 1} FROM f{i})")
+        last = i + 1
+    return f"""
+        WITH e AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {_leaf_sql('text')} AS leaf,
+            CASE WHEN {_CRC} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+              ELSE {_leaf_sql('text')} END AS shown FROM documents),
+        d0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, leaf) - 1 AS slot,
+            count(*) OVER (PARTITION BY g) AS total FROM e),
+        t0 AS MATERIALIZED ({_first_level("SELECT g, slot, total, leaf AS node FROM d0")}), {_climbed("t", DEEP)},
+        u0 AS MATERIALIZED ({_first_level(f"SELECT '' AS g, g AS name, row_number() OVER (ORDER BY g) - 1 AS slot, count(*) OVER () AS total, node FROM t{DEEP}")}),
+        {_climbed("u", FLAT)}, {", ".join(chain)}
+        SELECT doc_id, leaf, t{DEEP}.node AS subroot, u{FLAT}.node AS root, sha256(proof) AS proof_sha256,
+          h{last} AS folded_root, h{last} = u{FLAT}.node AS verified
+        FROM f{last} JOIN t{DEEP} ON t{DEEP}.g = f{last}.g CROSS JOIN u{FLAT}"""
+
+
+def _phrases_sql(least: int = 100, k: int = 2000) -> str:
+    lead = lambda i: f"lead(w, {i}) OVER s"
+    runs = ["w", *(" || ' ' || ".join(["w", *(lead(i) for i in range(1, size))]) for size in range(2, 6))]
+    columns = ", ".join(f"{run} AS g{size}" for size, run in enumerate(runs, 1))
+    grams = " UNION ALL ".join(f"SELECT lang, {size} AS size, g{size} AS phrase FROM grams WHERE g{size} IS NOT NULL" for size in range(1, 6))
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+            regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+        p AS (SELECT id, lang, generate_subscripts(ps, 1) AS pno, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS ws FROM d),
+        t AS (SELECT id, lang, pno, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM p),
+        grams AS MATERIALIZED (SELECT lang, {columns} FROM t WINDOW s AS (PARTITION BY id, pno ORDER BY i)),
+        f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS c FROM ({grams}) GROUP BY ALL HAVING count(*) >= {least}),
+        n AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+        s AS (SELECT c.lang, c.phrase, c.size, c.c AS a, c.k, x.c AS l, y.c AS r, n.n,
+            (1000::HUGEINT * c.c * n.n) // (x.c::HUGEINT * y.c) AS score
+          FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[:c.k], ' ')
+          JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1:], ' ') JOIN n ON n.lang = c.lang),
+        m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        part AS (SELECT DISTINCT b.lang, b.phrase FROM f b JOIN f h ON h.lang = b.lang AND h.size > b.size AND 100 * h.c >= 100 * b.c
+            AND contains(' ' || h.phrase || ' ', ' ' || b.phrase || ' ') WHERE b.size > 1),
+        z AS (SELECT m.* FROM m ANTI JOIN part ON part.lang = m.lang AND part.phrase = m.phrase),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o WHERE rank <= {k}"""
+
+
 SQL: dict[str, str] = {
+    "op11_manifest": _manifest_sql(),
+    "op13_phrases": _phrases_sql(),
     "op7_chat": r"""
         WITH t AS (
           SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
