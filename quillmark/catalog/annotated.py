@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmark.catalog import sql as S
@@ -12,7 +13,7 @@ from quillmark.functions import constants as K
 from quillmark.functions import patterns as P
 from quillmark.functions import polarity, text, tokens, trees
 from quillmark.functions.constants import SUBORDINATE_DEPS
-from quillmark.operators import lexical, syntax
+from quillmark.operators import syntax
 from quillmark.operators.labels import label_of
 from quillmark.plans import corpora, prose
 from quillmark.sources.tables import spread
@@ -144,38 +145,81 @@ def _(spark, folder):
     )
 
 
+# A parse is given with the tables: its words are those between white space, a sentence of it ends
+# after a word of 7, 14, ... characters, wherever ours end, and the lengths of words give the root
+# and the heads, which lead towards it.
 _DEP = " ".join(f"WHEN lower(word) IN {S.names(ws)} THEN '{d}'" for d, ws in trees.MARKED_DEPS.items())
-EDGES = f"""edges AS MATERIALIZED (SELECT doc_id, sent_id, tok_id, word, tok_id // 2 AS head_id,
-    CASE WHEN tok_id = 1 THEN 'ROOT' {_DEP} ELSE 'dep' END AS dep FROM tok)"""
+_PIECE = P.WS + "*" + P.NOT_WS + "+"
+EDGES = f"""ep AS (SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS piece FROM (SELECT doc_id, {S.all_matches('text', _PIECE)} AS ps FROM d0)),
+    ew AS (SELECT doc_id, i, {S.rewrite('piece', P.STRIP[:1])} AS word, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS end_ FROM ep),
+    eb AS (SELECT *, CAST(coalesce(sum((length(word) % 7 = 0)::BIGINT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS parse_id FROM ew),
+    et AS (SELECT *, row_number() OVER p AS tok_id, count(*) OVER (PARTITION BY doc_id, parse_id) AS n, first_value(length(word)) OVER p AS lead_
+      FROM eb WINDOW p AS (PARTITION BY doc_id, parse_id ORDER BY i)),
+    er AS (SELECT *, lead_ % n + 1 AS root FROM et),
+    edges AS MATERIALIZED (SELECT doc_id, parse_id, tok_id, word, end_ - length(word) AS start_, end_, CASE WHEN tok_id = root THEN 0
+        WHEN tok_id < root THEN tok_id + 1 + length(word) % (root - tok_id) ELSE tok_id - 1 - length(word) % (tok_id - root) END AS head_id,
+      CASE WHEN tok_id = root THEN 'ROOT' {_DEP} ELSE 'dep' END AS dep FROM er)"""
 SUBORDINATE = S.names(SUBORDINATE_DEPS)
-WALK = f"""RECURSIVE {S.token_tables()}, {EDGES},
-    walk(doc_id, sent_id, tok_id, level) AS (
-      SELECT doc_id, sent_id, tok_id, 1 FROM edges WHERE head_id = 0
-      UNION ALL SELECT e.doc_id, e.sent_id, e.tok_id, level + 1 FROM walk
-        JOIN edges e ON e.doc_id = walk.doc_id AND e.sent_id = walk.sent_id AND e.head_id = walk.tok_id),
-    depths AS (SELECT doc_id, sent_id, CAST(max(level) AS BIGINT) AS depth FROM walk GROUP BY 1, 2)"""
+_D0 = "d0 AS (SELECT doc_id, text FROM documents)"
+DEPTHS = """walk(doc_id, parse_id, tok_id, level) AS (
+      SELECT doc_id, parse_id, tok_id, 1 FROM edges WHERE head_id = 0
+      UNION ALL SELECT e.doc_id, e.parse_id, e.tok_id, level + 1 FROM walk
+        JOIN edges e ON e.doc_id = walk.doc_id AND e.parse_id = walk.parse_id AND e.head_id = walk.tok_id),
+    depths AS (SELECT doc_id, parse_id, CAST(max(level) AS BIGINT) AS depth FROM walk GROUP BY 1, 2)"""
+COUNTS = f"""counts AS (SELECT doc_id, parse_id, count(*) AS n_tok, min(CASE WHEN head_id = 0 THEN tok_id - 1 END) / count(*) AS head,
+    count(*) FILTER (dep IN {SUBORDINATE}) AS sub_clauses, count(*) FILTER (dep = 'cc') AS coord_clauses,
+    count(*) FILTER (head_id > 0 AND tok_id > head_id) AS rights,
+    count(*) FILTER (head_id > 0 AND tok_id < head_id) AS lefts, min(start_) AS s, max(end_) AS e FROM edges GROUP BY 1, 2)"""
+# Our sentences by their place in the text, each with the first parsed one that overlaps it.
+ALIGNED = f"""sp0 AS (SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM (
+        SELECT doc_id, string_split({S.rewrite('text', P.SENTENCE_SPANS)}, chr(1)) AS ps FROM d0)),
+    sp1 AS (SELECT doc_id, i, {S.rewrite('p', P.STRIP)} AS bare, length({S.rewrite('p', P.STRIP[:1])}) AS rest,
+        sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM sp0),
+    sp AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent_id, upto - rest AS s, upto - rest + length(bare) AS e,
+        len({S.words('bare')}) AS n_words FROM sp1 WHERE bare <> ''),
+    al AS (SELECT sp.doc_id, sp.sent_id, any_value(n_words) AS n_words, arg_min(parse_id, counts.s) AS parse_id
+      FROM sp JOIN counts ON sp.doc_id = counts.doc_id AND sp.s < counts.e AND counts.s < sp.e GROUP BY ALL),
+    aligned AS (SELECT * FROM al JOIN (SELECT * EXCLUDE (s, e) FROM counts) USING (doc_id, parse_id) JOIN depths USING (doc_id, parse_id))"""
+
+
+def given_edges(docs, text_col="text"):
+    """The parse of (doc_id, text): words by windows over their document."""
+    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all(text_col, F.lit(_PIECE), F.lit(0))).alias("i", "piece"))
+    within, size = Window.partitionBy("doc_id").orderBy("i"), F.length("word")
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    words = pieces.select(
+        "doc_id", "i", text.rewrite(F.col("piece"), P.STRIP[:1]).alias("word"), F.sum(F.length("piece")).over(within).alias("end")
+    ).withColumn("parse_id", F.coalesce(F.sum((size % 7 == 0).cast("long")).over(earlier), F.lit(0).cast("long")))
+    parse = Window.partitionBy("doc_id", "parse_id")
+    placed = words.withColumns({
+        "tok_id": F.row_number().over(parse.orderBy("i")),
+        "root": F.first(size).over(parse.orderBy("i")) % F.count(F.lit(1)).over(parse) + 1,
+    })
+    tok, root = F.col("tok_id"), F.col("root")
+    to_right, to_left = F.greatest(root - tok, F.lit(1)), F.greatest(tok - root, F.lit(1))
+    head = F.when(tok == root, 0).when(tok < root, tok + 1 + size % to_right).otherwise(tok - 1 - size % to_left)
+    dep = F.when(tok == root, "ROOT")
+    for name, marks in trees.MARKED_DEPS.items():
+        dep = dep.when(F.lower("word").isin(marks), name)
+    return placed.select(
+        "doc_id", "parse_id", "tok_id", head.alias("head_id"), dep.otherwise("dep").alias("dep"), "word",
+        (F.col("end") - size).alias("start"), "end",
+    )
 
 
 def edges(spark, folder):
-    toks = lexical.explode_tokens(documents(spark, folder), ["doc_id"], "text")
-    return syntax.stand_in_edges(toks.withColumn("sent_id", F.col("sent_id").cast("long")))
+    return given_edges(documents(spark, folder))
 
 
-@query("tree_depth", f"WITH {WALK} SELECT doc_id, sent_id, depth FROM depths")
+@query("tree_depth", f"WITH RECURSIVE {_D0}, {EDGES}, {DEPTHS} SELECT doc_id, parse_id, depth FROM depths")
 def _(spark, folder):
     return syntax.tree_depth(edges(spark, folder))
 
 
-COUNTS = f"""counts AS (SELECT doc_id, sent_id, count(*) AS n_tok, min(CASE WHEN head_id = 0 THEN tok_id - 1 END) / count(*) AS head,
-    count(*) FILTER (dep IN {SUBORDINATE}) AS sub_clauses, count(*) FILTER (dep = 'cc') AS coord_clauses,
-    count(*) FILTER (head_id > 0 AND tok_id > head_id) AS rights,
-    count(*) FILTER (head_id > 0 AND tok_id < head_id) AS lefts FROM edges GROUP BY 1, 2)"""
-
-
 def _counts_query(name: str, expr: str, column: str):
-    @query(name, f"WITH {S.token_tables()}, {EDGES}, {COUNTS} SELECT doc_id, sent_id, {expr} AS {column} FROM counts")
+    @query(name, f"WITH {_D0}, {EDGES}, {COUNTS} SELECT doc_id, parse_id, {expr} AS {column} FROM counts")
     def _(spark, folder):
-        return syntax.sentence_counts(edges(spark, folder)).select("doc_id", "sent_id", column)
+        return syntax.parse_counts(edges(spark, folder)).select("doc_id", "parse_id", column)
 
 
 _counts_query("root_position", "head", "head")
@@ -185,20 +229,26 @@ _counts_query("branching_bias", "(rights - lefts) / n_tok", "branching")
 _counts_query("balanced_flag", "abs(lefts - rights) <= 2", "balanced")
 
 
+@query(
+    "aligned_parses",
+    f"WITH RECURSIVE {_D0}, {EDGES}, {DEPTHS}, {COUNTS}, {ALIGNED} SELECT doc_id, sent_id, parse_id, n_words::BIGINT AS n_words, depth FROM aligned",
+)
+def _(spark, folder):
+    rows = syntax.sentence_syntax(syntax.sentence_spans(documents(spark, folder)), edges(spark, folder))
+    return rows.select("doc_id", "sent_id", "parse_id", F.col("n_words").cast("long").alias("n_words"), "depth")
+
+
 @query(
     "syntax_rollup",
-    f"""WITH {WALK}, {COUNTS}, {_sents()},
-        wc AS (SELECT doc_id, sent_id, len({S.words('s')}) AS n_words FROM sents)
+    f"""WITH RECURSIVE {_D0}, {EDGES}, {DEPTHS}, {COUNTS}, {ALIGNED}
         SELECT doc_id, max(depth) AS depth, round(avg(head / n_words) + 1e-9, 6) AS head, round(avg(sub_clauses) + 1e-9, 6) AS sub_clauses,
           round(avg(coord_clauses) + 1e-9, 6) AS coord_clauses, round(avg((rights - lefts) / n_tok) + 1e-9, 6) AS branching,
           round(avg(CASE WHEN abs(lefts - rights) <= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + 1e-9, 6) AS balanced
-        FROM counts JOIN depths USING (doc_id, sent_id) JOIN wc USING (doc_id, sent_id) GROUP BY doc_id""",
+        FROM aligned GROUP BY doc_id""",
 )
 def _(spark, folder):
-    counts = documents(spark, folder).select(
-        "doc_id", F.posexplode(F.transform(tokens.sentences(F.col("text")), lambda s: F.size(text.words(s)))).alias("sent_id", "n_words")
-    ).withColumn("sent_id", F.col("sent_id").cast("long"))
-    rolled = syntax.document_syntax(syntax.sentence_syntax(edges(spark, folder)), counts)
+    spans = syntax.sentence_spans(documents(spark, folder))
+    rolled = syntax.document_syntax(syntax.sentence_syntax(spans, edges(spark, folder)))
     return rolled.select(
         "doc_id", "depth",
         *[places6(F.col(c)).alias(c) for c in ("head", "sub_clauses", "coord_clauses", "branching", "balanced")],
@@ -227,8 +277,20 @@ def _(spark, folder):
     )
 
 
-def document_sql(body: str, source: str, key: str = "doc_id", label: str = "'LLM'", halve_head: bool = True) -> str:
-    """The document job: every number from token, sentence and edge tables."""
+NO_SYNTAX = """syn AS (SELECT NULL::BIGINT AS doc_id, NULL::DOUBLE AS depth, NULL::DOUBLE AS head, NULL::DOUBLE AS sub_clauses,
+        NULL::DOUBLE AS coord_clauses, NULL::DOUBLE AS branching, NULL::DOUBLE AS balanced WHERE false)"""
+
+
+def _syntax_of_documents(halve_head: bool) -> str:
+    return f"""{EDGES}, {DEPTHS}, {COUNTS}, {ALIGNED},
+      syn AS (SELECT doc_id, max(depth)::DOUBLE AS depth, avg(head {"/ n_words" if halve_head else ""}) AS head, avg(sub_clauses) AS sub_clauses,
+                avg(coord_clauses) AS coord_clauses, avg((rights - lefts) / n_tok) AS branching,
+                avg(CASE WHEN abs(lefts - rights) <= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS balanced
+              FROM aligned GROUP BY 1)"""
+
+
+def document_sql(body: str, source: str, key: str = "doc_id", label: str = "'LLM'", halve_head: bool = True, parsed: bool = False) -> str:
+    """The document job: every number from token, sentence and, if ``parsed``, edge tables."""
     src = f"(SELECT {key} AS doc_id, {label} AS label, {body} AS text FROM {source}) src"
     clean_src = "(SELECT doc_id, text FROM src_) x"
     return f"""WITH RECURSIVE src_ AS MATERIALIZED (SELECT * FROM {src}),
@@ -248,21 +310,16 @@ def document_sql(body: str, source: str, key: str = "doc_id", label: str = "'LLM
                    count(DISTINCT word) / count(*) AS ttr, count(*) AS n_words FROM tagged GROUP BY 1),
       lemsum AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY sent_id, tok_id) AS lemmas FROM lemmatised GROUP BY 1),
       dev AS (SELECT doc_id, stddev_pop(abs(ss.score - ds.score)) AS dev FROM ss JOIN ds USING (doc_id) GROUP BY 1),
-      {EDGES}, {COUNTS},
-      syn AS (SELECT doc_id, max(CAST(floor(log2(n_tok)) AS INTEGER) + 1) AS depth,
-                avg(head {"/ len(" + S.words('s') + ")" if halve_head else ""}) AS head, avg(sub_clauses) AS sub_clauses,
-                avg(coord_clauses) AS coord_clauses, avg((rights - lefts) / n_tok) AS branching,
-                avg(CASE WHEN abs(lefts - rights) <= 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS balanced
-              FROM counts JOIN sents USING (doc_id, sent_id) GROUP BY 1)
+      {_syntax_of_documents(halve_head) if parsed else NO_SYNTAX}
       SELECT x.doc_id, src_.text, coalesce(pos, '') AS pos, coalesce(lemmas, '') AS lemmas,
         round(coalesce(mean_len, 0) + 1e-9, 6) AS mean_sentence_length, round(coalesce(std_len, 0) + 1e-9, 6) AS std_sentence_length,
         coalesce(density, 0) AS lexical_density, {NUMBERS},
         ds.score AS sentiment, round(coalesce(dev, 0) + 1e-9, 6) AS sentiment_deviation, coalesce(ttr, 0) AS ttr,
-        coalesce(depth, 0) AS depth, round(coalesce(head, 0) + 1e-9, 6) AS head, round(coalesce(sub_clauses, 0) + 1e-9, 6) AS sub_clauses,
-        round(coalesce(coord_clauses, 0) + 1e-9, 6) AS coord_clauses, round(coalesce(branching, 0) + 1e-9, 6) AS branching,
-        round(coalesce(balanced, 0) + 1e-9, 6) AS balanced, label, n_words IS NULL AS is_empty
+        depth, round(head + 1e-9, 6) AS head, round(sub_clauses + 1e-9, 6) AS sub_clauses,
+        round(coord_clauses + 1e-9, 6) AS coord_clauses, round(branching + 1e-9, 6) AS branching,
+        round(balanced + 1e-9, 6) AS balanced, label, n_words IS NULL AS is_empty
       FROM x JOIN src_ USING (doc_id) JOIN ds USING (doc_id) LEFT JOIN len2 USING (doc_id) LEFT JOIN tagsum USING (doc_id)
-        LEFT JOIN lemsum USING (doc_id) LEFT JOIN dev USING (doc_id) LEFT JOIN syn USING (doc_id)"""
+        LEFT JOIN lemsum USING (doc_id) LEFT JOIN dev USING (doc_id) LEFT JOIN syn ON syn.doc_id::VARCHAR = x.doc_id::VARCHAR"""
 
 
 ROUNDED = [
@@ -288,9 +345,15 @@ def conversation_texts(spark, folder):
     )
 
 
-@query("annotate_documents", document_sql(S.clean(), "documents"))
-def _(spark, folder):
-    return flat(prose.annotate_documents(documents(spark, folder), F.lit("LLM"), lexicon=SAMPLE_LEXICON))
+def cleaned_edges(docs):
+    """The parse of the cleaned texts of (doc_id, text)."""
+    return given_edges(docs.select("doc_id", text.clean_text(F.col("text")).alias("text")))
+
+
+@query("annotate_documents", document_sql(S.clean(), "documents", parsed=True))
+def parsed_documents(spark, folder):
+    docs = documents(spark, folder)
+    return flat(prose.annotate_documents(docs, F.lit("LLM"), lexicon=SAMPLE_LEXICON, parses=cleaned_edges(docs)))
 
 
 @query("annotate_documents_raw", document_sql("text", "documents", label="'HUMAN'", halve_head=False))
@@ -310,7 +373,7 @@ def _(spark, folder):
     return flat(corpora.from_conversations(spread_turns(spark, folder), lexicon=SAMPLE_LEXICON))
 
 
-SENTENCE_SQL = f"""WITH {S.token_tables('text', '(SELECT doc_id, text FROM documents) x')}, {PROFILE}, {TAGGED}, {LEMMATISED},
+SENTENCE_SQL = f"""WITH RECURSIVE {S.token_tables('text', '(SELECT doc_id, text FROM documents) x')}, {PROFILE}, {TAGGED}, {LEMMATISED},
       {_sents('text', 'd0')}, {scores_sql('ss', ['doc_id', 'sent_id'], 'sents', 's')}, {scores_sql('ds', ['doc_id'], 'd0', 'text')},
       types AS (SELECT DISTINCT doc_id, sent_id, word FROM tok),
       g AS (SELECT t.doc_id, sent_id, count(*) AS m, CAST(sum(coalesce(c, 0)) AS BIGINT) AS s1,
@@ -321,18 +384,21 @@ SENTENCE_SQL = f"""WITH {S.token_tables('text', '(SELECT doc_id, text FROM docum
       tg AS (SELECT doc_id, sent_id, string_agg(tag, ' ' ORDER BY tok_id) AS pos, count(*) FILTER (tag IN {S.CONTENT}) / count(*) AS density
              FROM tagged GROUP BY 1, 2),
       lm AS (SELECT doc_id, sent_id, string_agg(lemma, ' ' ORDER BY tok_id) AS lemmas FROM lemmatised GROUP BY 1, 2),
-      {EDGES}, {COUNTS}
+      lens AS (SELECT doc_id, sent_id, count(*) AS n_words FROM tok GROUP BY 1, 2),
+      {EDGES}, {DEPTHS}, {COUNTS}, {ALIGNED}
       SELECT x.doc_id, x.sent_id, s AS sentence, pos, lemmas, density AS lexical_density, {NUMBERS},
         ss.score AS sentiment, round(abs(ss.score - ds.score), 4) AS sentiment_deviation, ttr AS document_ttr,
-        n_tok AS sentence_length, CAST(floor(log2(n_tok)) AS INTEGER) + 1 AS depth, head, sub_clauses, coord_clauses,
+        lens.n_words AS sentence_length, depth, head, sub_clauses, coord_clauses,
         (rights - lefts) / n_tok AS branching, abs(lefts - rights) <= 2 AS balanced, 'LLM' AS label
       FROM x JOIN sents USING (doc_id, sent_id) JOIN ss USING (doc_id, sent_id) JOIN ds USING (doc_id) JOIN tt USING (doc_id)
-        JOIN tg USING (doc_id, sent_id) JOIN lm USING (doc_id, sent_id) JOIN counts USING (doc_id, sent_id)"""
+        JOIN tg USING (doc_id, sent_id) JOIN lm USING (doc_id, sent_id) JOIN lens USING (doc_id, sent_id)
+        LEFT JOIN aligned USING (doc_id, sent_id)"""
 
 
 def sentence_rows(spark, folder):
-    rows = prose.annotate_sentences(documents(spark, folder), F.lit("LLM"), lexicon=SAMPLE_LEXICON)
-    return rows.withColumns({"sent_id": F.col("sent_id").cast("long"), "sentence_length": F.col("sentence_length").cast("long")})
+    docs = documents(spark, folder)
+    rows = prose.annotate_sentences(docs, F.lit("LLM"), lexicon=SAMPLE_LEXICON, parses=given_edges(docs))
+    return rows.withColumn("sentence_length", F.col("sentence_length").cast("long"))
 
 
 @query("annotate_sentences", SENTENCE_SQL)

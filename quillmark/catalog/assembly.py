@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.catalog import sql as S
-from quillmark.catalog.annotated import SENTENCE_SQL, conversation_texts, document_sql, flat, sentence_rows
+from quillmark.catalog.annotated import SENTENCE_SQL, conversation_texts, document_sql, flat, parsed_documents, sentence_rows
 from quillmark.catalog.registry import query
 from quillmark.catalog.texts import documents, turns
 from quillmark.functions import patterns as P
@@ -55,9 +55,9 @@ def _(spark, folder):
     return sampling.take_per_group(documents(spark, folder).select("doc_id", "lang"), "lang", "doc_id", 25)
 
 
-@query("limited_prompts", f"SELECT doc_id, left(text, 40) AS prompt FROM documents ORDER BY {_h('doc_id')}, doc_id LIMIT 30")
+@query("limited_prompts", f"SELECT doc_id, text AS prompt FROM documents ORDER BY {_h('doc_id')}, doc_id LIMIT 30")
 def _(spark, folder):
-    prompts = documents(spark, folder).select("doc_id", F.left("text", F.lit(40)).alias("prompt"))
+    prompts = documents(spark, folder).select("doc_id", F.col("text").alias("prompt"))
     return sampling.shuffled(prompts, SEED, "doc_id").limit(30)
 
 
@@ -261,12 +261,11 @@ def _(spark, folder):
 
 @query(
     "metric_matrix",
-    f"""WITH r AS ({document_sql(S.clean(), 'documents')}) SELECT doc_id, {', '.join(m for m in METRICS if m != 'balanced')},
+    f"""WITH r AS ({document_sql(S.clean(), 'documents', parsed=True)}) SELECT doc_id, {', '.join(m for m in METRICS if m != 'balanced')},
         CAST(floor(balanced) AS INTEGER) AS balanced FROM r""",
 )
 def _(spark, folder):
-    docs = flat(prose.annotate_documents(documents(spark, folder), F.lit("LLM"), lexicon=_lexicon()))
-    return rollup.metric_matrix(docs, METRICS)
+    return rollup.metric_matrix(parsed_documents(spark, folder), METRICS)
 
 
 @query(

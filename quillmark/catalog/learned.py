@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.catalog import sql as S
-from quillmark.catalog.annotated import SAMPLE_LEXICON, SENTENCE_SQL, conversation_texts, places6, sentence_rows
+from quillmark.catalog.annotated import SAMPLE_LEXICON, SENTENCE_SQL, cleaned_edges, conversation_texts, places6, sentence_rows
 from quillmark.catalog.lexical import LEMMATISED, TAGGED
 from quillmark.catalog.registry import query
 from quillmark.catalog.texts import documents
@@ -90,7 +90,7 @@ def _(spark, folder):
         SELECT term, CAST(sum(cnt) AS BIGINT) AS cf, count(*) AS df FROM c GROUP BY term ORDER BY cf DESC, term LIMIT 3000""",
 )
 def _(spark, folder):
-    docs = prose.add_lemmas(prose.analyse(documents(spark, folder), F.lit("LLM"), clean=False))
+    docs = prose.lemmatised(documents(spark, folder), F.lit("LLM"), clean=False)
     lemmas = docs.select("doc_id", F.array_join(F.flatten("lemmas"), " ").alias("lemmas"))
     return features.vocabulary(features.document_terms(lemmas, features.word_terms(F.col("lemmas"))), 3000)
 
@@ -163,7 +163,7 @@ def _(spark, folder):
 def labelled_turns(spark, folder):
     """Annotated user and assistant turns with ``y`` and a stratified split."""
     texts = conversation_texts(spark, folder).withColumn("label", labels.label_of(F.col("role") == "assistant"))
-    annotated = prose.annotate_documents(texts, F.col("label"), lexicon=SAMPLE_LEXICON)
+    annotated = prose.annotate_documents(texts, F.col("label"), lexicon=SAMPLE_LEXICON, parses=cleaned_edges(texts))
     return sampling.split(annotated, "doc_id", 0.2, SEED, ["label"]).withColumn("y", labels.encode_label(F.col("label")).cast("double"))
 
 
@@ -217,7 +217,8 @@ def _(spark, folder):
     blocks = models.margin_blocks()
     rows = settle(models.with_terms(labelled_turns(spark, folder), blocks), "training")
     model = models.fit(rows, blocks, K.SCALED_METRICS, models.linear_svm(rows.count()))
-    unseen = prose.annotate_documents(documents(spark, folder), F.lit("HUMAN"), normalise_head=False, lexicon=SAMPLE_LEXICON)
+    docs = documents(spark, folder)
+    unseen = prose.annotate_documents(docs, F.lit("HUMAN"), lexicon=SAMPLE_LEXICON, parses=cleaned_edges(docs))
     called = models.predict(model, models.with_terms(unseen, blocks))
     return called.select("doc_id", labels.decode_label(F.col("prediction")).alias("predicted"))
 

@@ -10,66 +10,75 @@ from quillmark.catalog.texts import documents, pages, turns
 from quillmark.functions import arrays as A
 from quillmark.functions import code as C
 from quillmark.functions import constants as K
+from quillmark.functions import nesting as N
 from quillmark.functions import patterns as P
 from quillmark.functions import text
-from quillmark.operators import dialogue, sampling
+from quillmark.operators import dialogue, nesting, sampling
 from quillmark.plans import corpora, source_code
 
-# Each turn becomes one snippet of source in a language picked by its conversation. The pieces use
-# the turn's own words as names, strings and comments, so snippets differ and grow with the table.
+# Each turn becomes one source in a language picked by its conversation, a line for every word of
+# its whole text. A word gives the names and strings of its line, and its length and place the kind
+# of line, so that lines, blocks and loops nest as the words have it, some closed that never opened.
 LANGS = ["c", "cpp", "py", "java", "html"]
-TEMPLATES = {
-    "c": '#include <stdio.h>\n/* @T */\nint @A(int @B) {\n  int @C = 0; // if (@B)\n  for (int i = 0; i < @N; i++) {\n'
-         '    while (@B > i && @C) { @B--; }\n    do { @C += 1; } while (@C < 3);\n  }\n'
-         '  switch (@B) { case 1: return 1; case 2: return 2; default: break; }\n'
-         '  if (@B) { printf("if for { @S"); }\n  return @C;\n}\n\n',
-    "cpp": '#include <iostream>\nclass @A {\npublic:\n  int @B(int n) const {\n    int @C = n;\n'
-           '    for (auto x : items) { if (x > n || n == @N) @C = x; }\n    try { run(); } catch (int e) { std::cout << "@S"; }\n'
-           '    return n > 0 ? @C : 0;\n  }\n};\n',
-    "py": 'import os\n# @T if\ndef @A(@B):\n    """Doc: @S\n    for while"""\n    @C = 0\n    for i in range(@N):\n'
-          '        if i and @B:\n            @C = i\n        elif i or @B:\n            while @C:\n                @C = 0\n'
-          '    return @C\n\nif @N:\n    x_@A = "def @S"\n',
-    "java": 'public class @A {\n  int @B = 1;\n  int run(int @C) {\n    for (int i = 0; i < @N; i++) {\n      for (int j = 0; j < i; j++) { if (@C > j) { @B = j; } }\n'
-            '    }\n    return @B;\n  }\n}\n',
-    "html": '<html><body class="@A">\n<!-- @T -->\n<div id="@B"><p title="@C">@S</p><br><img src="x"/></div>\n</body></html>\n',
+HEADS = {"c": "#include <stdio.h>\n", "cpp": "#include <iostream>\n", "py": "import os\n", "java": "import java.util.List;\n", "html": "<html>\n"}
+LINES = {
+    "c": [
+        "if (@n > @l) {", "for (int @n = 0; @n < @l; @n++) {", "}", '@n[1] = "@n {" + @l; // @n }', "} /* @n\n { */",
+        "while (@n && f(@l)) {", "} else if (@n) { return; }", "int f_@n(int x) { switch (x) { case @l: return x; default: break; } return @n ? 1 : 0; }",
+    ],
+    "cpp": [
+        "if (@n == @l || !@n) {", "for (auto @n : items) {", "}", 'std::cout << "@n \\" {" << @l; // @n }', "} // for",
+        "do {", "} while (@n < @l);", "auto f_@n(int x) const { for (auto y : @n) { x += y; } return x; }",
+    ],
+    "py": [
+        "if @n > @l:", "for @n in range(@l):", '@n = "@n # (" # @n if', "x = [@n, (@l, @n)]", "while @n and @l:",
+        "def f_@n(x):", 'y = {"@n": (@l,)}', "return @n or @l",
+    ],
+    "java": [
+        "if (@n > @l) {", "for (int @n : list) {", "}", 'String @n = "}" + @l;', "} // @n {", "while (run(@n) < @l) {",
+        "}", "int f_@n(int x) { try { run(); } catch (Exception e) { @n = x; } return x; }",
+    ],
+    "html": [
+        '<div id="@n">', '<p title="@n">', "</p>", "@n", "<br>", "</div>", "<!-- <div> @n -->", '<span class="@n">@n<img src="@n"/></span>',
+    ],
 }
 _PICK = "CASE conv_id % 5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LANGS)) + " END"
 
 
-def _word_sql(i: int) -> str:
-    return f"coalesce(nullif(regexp_replace(coalesce(ws[{i}], ''), '[^A-Za-z]', '', 'g'), ''), 'w') || '_{i}'"
+def _line_sql(lang: str) -> str:
+    kinds = " ".join(f"WHEN {k} THEN {S.text(t)}" for k, t in enumerate(LINES[lang]))
+    name = "coalesce(nullif(regexp_replace(w, '[^A-Za-z]', '', 'g'), ''), 'w') || '_' || length(w)"
+    indent = "repeat('    ', length(w) % 4) || " if lang == "py" else ""
+    return f"{indent}replace(replace(CASE (length(w) + i) % 8 {kinds} END, '@n', {name}), '@l', length(w)::VARCHAR)"
 
 
-def _fill_sql(template: str) -> str:
-    pairs = [("@A", _word_sql(1)), ("@B", _word_sql(2)), ("@C", _word_sql(3)), ("@N", "CAST(turn AS VARCHAR)"),
-             ("@T", "regexp_replace(head, '[^A-Za-z ]', '', 'g')"), ("@S", "regexp_replace(head, '[^A-Za-z ]', '', 'g')")]
-    out = S.text(template)
-    for mark, value in pairs:
-        out = f"replace({out}, '{mark}', {value})"
-    return out
+def _source_sql(lang: str) -> str:
+    lines = f"list_transform(ws, lambda w, i: {_line_sql(lang)})"
+    return f"{S.text(HEADS[lang])} || array_to_string({lines}, chr(10)) || chr(10)"
 
 
-_FILLED = "CASE lang " + " ".join(f"WHEN '{x}' THEN {_fill_sql(t)}" for x, t in TEMPLATES.items()) + " END"
 SNIPPETS = f"""t0 AS (SELECT conv_id, turn, {_PICK} AS lang, {S.words('text')} AS ws FROM conversations),
-    t1 AS (SELECT *, array_to_string(list_slice(ws, 1, 8), ' ') AS head FROM t0),
-    snip AS MATERIALIZED (SELECT conv_id, turn, lang, {_FILLED} AS src FROM t1)"""
+    snip AS MATERIALIZED (SELECT conv_id, turn, lang, CASE lang {" ".join(f"WHEN '{x}' THEN {_source_sql(x)}" for x in LANGS)} END AS src FROM t0)"""
 
 
 def snippets(spark, folder):
     pick = F.element_at(F.array(*[F.lit(x) for x in LANGS]), (F.col("conv_id") % 5 + 1).cast("int"))
-    named = turns(spark, folder).select(
-        "conv_id", "turn", pick.alias("lang"), text.words(F.col("text")).alias("ws")
-    ).withColumn("head", F.array_join(F.slice("ws", 1, 8), " "))
-
-    def word(i):
-        letters = F.regexp_replace(F.coalesce(F.get("ws", F.lit(i - 1)), F.lit("")), "[^A-Za-z]", "")
-        return F.concat(F.when(letters == "", "w").otherwise(letters), F.lit(f"_{i}"))
-
-    plain = F.regexp_replace("head", "[^A-Za-z ]", "")
-    src = F.element_at(F.create_map(*[x for k, v in TEMPLATES.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
-    marks = {"@A": word(1), "@B": word(2), "@C": word(3), "@N": F.col("turn").cast("string"), "@T": plain, "@S": plain}
-    for mark, value in marks.items():
-        src = F.replace(src, F.lit(mark), value)
+    named = turns(spark, folder).select("conv_id", "turn", pick.alias("lang"), text.words(F.col("text")).alias("ws"))
+
+    def source(lang):
+        kinds = F.array(*[F.lit(x) for x in LINES[lang]])
+
+        def line(w, i):
+            letters = F.regexp_replace(w, "[^A-Za-z]", "")
+            size = F.length(w).cast("string")
+            name = F.concat(F.when(letters == "", "w").otherwise(letters), F.lit("_"), size)
+            kind = F.element_at(kinds, (F.length(w) + i + 1) % 8 + 1)
+            filled = F.replace(F.replace(kind, F.lit("@n"), name), F.lit("@l"), size)
+            return F.concat(F.repeat(F.lit("    "), F.length(w) % 4), filled) if lang == "py" else filled
+
+        return F.concat(F.lit(HEADS[lang]), F.array_join(F.transform("ws", line), "\n"), F.lit("\n"))
+
+    src = F.coalesce(*[F.when(F.col("lang") == x, source(x)) for x in LANGS])
     return named.select("conv_id", "turn", "lang", src.alias("src"))
 
 
@@ -79,16 +88,16 @@ def _by(py: str, html: str, other: str) -> str:
 
 MASKED = _by(S.rewrite("src", P.MASK_PY), S.rewrite("src", P.MASK_HTML), S.rewrite("src", P.MASK_C))
 BARE = _by(S.rewrite("src", P.COMMENTS_PY), S.rewrite("src", P.COMMENTS_HTML), S.rewrite("src", P.COMMENTS_C))
-# Decisions of Python lines that some earlier, less indented definition still encloses.
+_PY_LINES = f"list_filter(string_split(code, chr(10)), lambda x: regexp_matches(x, {S.text(P.NOT_WS)}))"
+_INDENT = "length(regexp_extract(x, '^[ \\t]*'))"
+# Python lines in order, folded: decisions that a definition encloses; the indents of enclosing lines,
+# and how many of them are loops.
 M = f"""m0 AS MATERIALIZED (SELECT *, {MASKED} AS code, {BARE} AS bare FROM snip),
-    ln AS (SELECT conv_id, turn, i, l, length(regexp_extract(l, '^[ \\t]*')) AS ind,
-             regexp_matches(l, {S.text(P.PY_DEF)}) AS is_def FROM (
-        SELECT conv_id, turn, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM (SELECT conv_id, turn,
-          list_filter(string_split(code, chr(10)), lambda x: regexp_matches(x, {S.text(P.NOT_WS)})) AS ls FROM m0 WHERE lang = 'py'))),
-    enclosed AS (SELECT DISTINCT b.conv_id, b.turn, b.i, b.l FROM ln a JOIN ln b ON a.conv_id = b.conv_id AND a.turn = b.turn
-        AND a.is_def AND a.i < b.i AND a.ind < b.ind AND NOT EXISTS (SELECT 1 FROM ln k WHERE k.conv_id = a.conv_id
-          AND k.turn = a.turn AND k.i > a.i AND k.i < b.i AND k.ind <= a.ind)),
-    pd AS (SELECT conv_id, turn, sum(len(regexp_extract_all(l, {S.text(P.PY_DECISION)}))) AS py_decisions FROM enclosed GROUP BY 1, 2),
+    py AS (SELECT conv_id, turn, list_transform({_PY_LINES}, lambda x: {{'ind': {_INDENT}, 'def': regexp_matches(x, {S.text(P.PY_DEF)}),
+        'n': len(regexp_extract_all(x, {S.text(P.PY_DECISION)})), 'at': -1}}) AS ls FROM m0 WHERE lang = 'py'),
+    pd AS (SELECT conv_id, turn, list_reduce(list_prepend({{'ind': 0, 'def': false, 'n': 0, 'at': -1}}, ls), lambda a, b: {{
+        'ind': 0, 'def': false, 'n': a.n + CASE WHEN a.at < 0 OR b.ind <= a.at THEN 0 ELSE b.n END,
+        'at': CASE WHEN a.at < 0 OR b.ind <= a.at THEN CASE WHEN b.def THEN b.ind ELSE -1 END ELSE a.at END}}).n AS py_decisions FROM py),
     m AS MATERIALIZED (SELECT m0.*, py_decisions FROM m0 LEFT JOIN pd USING (conv_id, turn))"""
 
 
@@ -128,25 +137,36 @@ def steps_sql(code: str) -> str:
     )
 
 
-_BRACKETS = (
-    f"list_transform({S.all_matches('code', r'[()\[\]{}]')}, lambda b: CASE WHEN b IN ('(', '[', '{{') THEN 1 ELSE -1 END)"
+_STEPS = (
+    f"list_transform({S.all_matches('x', P.CODE_TOKEN)}, lambda b: CASE WHEN b IN ('(', '[', '{{') THEN 1 WHEN b IN (')', ']', '}}') THEN -1 ELSE 0 END)"
 )
-NEST = f"""ev AS (SELECT conv_id, turn, generate_subscripts(st, 1) AS i, unnest(st) AS step FROM (
-      SELECT conv_id, turn, {_by(_BRACKETS, steps_sql('code'), _BRACKETS)} AS st FROM m)),
-    run AS (SELECT *, sum(step) OVER (PARTITION BY conv_id, turn ORDER BY i) AS now FROM ev),
-    nest AS (SELECT conv_id, turn, count(*) FILTER (step >= 0) AS seen,
-               greatest(max(now + CASE WHEN step = 0 THEN 1 ELSE 0 END), 0) AS top FROM run GROUP BY 1, 2)"""
-
-
-def _tree(what: str) -> str:
-    """Nodes or depth from tokens and nesting; tags for markup."""
-    nest = {"nodes": "(coalesce(seen, 0) + 1)", "depth": "(coalesce(top, 0) + 1)"}
-    cases = []
-    for lang in ("c", "py", "cpp"):
-        per_token, base, per_level = C.TREE_SIZE[lang]
-        value = f"({TOKENS} * {per_token} + 50) // 100" if what == "nodes" else f"({base} + {nest['depth']} * {per_level} + 50) // 100"
-        cases.append(f"WHEN lang = '{lang}' THEN {value}" if lang != "cpp" else f"ELSE {value}")
-    return f"CAST(CASE WHEN lang = 'html' THEN {nest[what]} {' '.join(cases)} END AS BIGINT)"
+_SO_FAR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def floored(name: str, source: str, key: str) -> str:
+    """CTEs name: events (key, i, step) with ``now``, their depth if closings that open nothing are ignored."""
+    order = f"(PARTITION BY {key} ORDER BY i {_SO_FAR})"
+    return f"""{name}0 AS (SELECT *, sum(step) OVER {order} AS s FROM {source}),
+    {name} AS (SELECT *, s - least(0, min(s) OVER {order}) AS now FROM {name}0)"""
+
+
+# Lines of Python are blocks under the last line that is less indented; elsewhere a source is one line.
+NEST = f"""ls AS (SELECT conv_id, turn, lang, CASE WHEN lang = 'py' THEN {_PY_LINES} ELSE [code] END AS ls FROM m WHERE lang <> 'html'),
+    ln AS (SELECT conv_id, turn, lang, generate_subscripts(ls, 1) AS line, unnest(ls) AS x FROM ls),
+    stacks AS (SELECT conv_id, turn, list_reduce(list_prepend({{'stack': []::INTEGER[], 'levels': []::BIGINT[]}}, list_transform(ls, lambda x: {{'stack': [{_INDENT}::INTEGER], 'levels': []::BIGINT[]}})),
+        lambda a, b: {{'stack': list_append(list_filter(a.stack, lambda s: s < b.stack[1]), b.stack[1]),
+          'levels': list_append(a.levels, len(list_filter(a.stack, lambda s: s < b.stack[1]))::BIGINT)}}).levels AS levels FROM ls WHERE lang = 'py'),
+    lv AS (SELECT conv_id, turn, generate_subscripts(levels, 1) AS line, unnest(levels) + 1 AS level FROM stacks),
+    ev AS (SELECT conv_id, turn, line, generate_subscripts(st, 1) AS i, unnest(st) AS step FROM (SELECT conv_id, turn, line, {_STEPS} AS st FROM ln)),
+    {floored('run', 'ev', 'conv_id, turn, line')},
+    inner_ AS (SELECT conv_id, turn, line, count(*) FILTER (step >= 0) AS seen, max(now + CASE WHEN step = 0 THEN 1 ELSE 0 END) AS top FROM run GROUP BY ALL),
+    nest AS (SELECT conv_id, turn, sum(coalesce(seen, 0) + CASE WHEN level IS NULL THEN 0 ELSE 1 END)::BIGINT AS seen,
+        max(coalesce(top, 0) + coalesce(level, 0))::BIGINT AS top FROM ln LEFT JOIN inner_ USING (conv_id, turn, line) LEFT JOIN lv USING (conv_id, turn, line) GROUP BY ALL
+      UNION ALL SELECT conv_id, turn, count(*) FILTER (step >= 0), greatest(max(s + CASE WHEN step = 0 THEN 1 ELSE 0 END), 0)
+      FROM (SELECT *, sum(step) OVER (PARTITION BY conv_id, turn ORDER BY i) AS s FROM (
+        SELECT conv_id, turn, generate_subscripts(st, 1) AS i, unnest(st) AS step FROM (SELECT conv_id, turn, {steps_sql('code')} AS st FROM m WHERE lang = 'html'))) GROUP BY ALL)"""
+_NODES = "CAST(coalesce(nest.seen, 0) + 1 AS BIGINT)"
+_DEPTH = "CAST(coalesce(nest.top, 0) + 1 AS BIGINT)"
 
 
 def _metric(name: str, column: str, sql: str, build):
@@ -176,9 +196,9 @@ _metric(
 @query(
     "code_profile",
     f"""WITH {SNIPPETS}, {M}, {NEST} SELECT m.conv_id, m.turn, lang, src, {LOC} AS loc, CAST({TOKENS} AS BIGINT) AS n_tokens,
-        {_tree('nodes')} AS n_nodes, {FUNCTIONS} AS n_functions,
+        {_NODES} AS n_nodes, {FUNCTIONS} AS n_functions,
         coalesce(CAST(list_sum(list_transform({NAMES}, lambda x: length(x))) AS DOUBLE) / len({NAMES}), 0) AS avg_variable_length,
-        {_tree('depth')} AS max_depth, CASE WHEN {LOC} > 0 THEN {CONTROL} / {LOC} ELSE 0 END AS control_density,
+        {_DEPTH} AS max_depth, CASE WHEN {LOC} > 0 THEN {CONTROL} / {LOC} ELSE 0 END AS control_density,
         CASE WHEN {FUNCTIONS} > 0 THEN ({DECISIONS} + {FUNCTIONS}) / {FUNCTIONS} ELSE 0 END AS complexity, 'LLM' AS label
         FROM m LEFT JOIN nest USING (conv_id, turn)""",
 )
@@ -244,19 +264,33 @@ def _(spark, folder):
     return names.select("page_id", size.alias("n_names"), A.mean_of(size, A.sum_long(F.col("n"))).alias("avg_variable_length"))
 
 
-# Braces of a turn's rendered loops, nested as deep as the turn number modulo 4.
-def _nested(depth: int) -> str:
-    return "".join("for (i = 0; i < 9; i++) { if (i) { " for _ in range(depth)) + "run();" + " } }" * depth
+# A loop lasts from its brace to the one that closes it, the next event at its depth. Loops of Python
+# last as long as lines are more indented.
+LOOPS = f"""lev AS (SELECT conv_id, turn, generate_subscripts(es, 1) AS i, unnest(es) AS e FROM (
+        SELECT conv_id, turn, {S.all_matches('code', N.LOOP_EVENT)} AS es FROM m WHERE lang NOT IN ('py', 'html'))),
+    steps AS (SELECT *, CASE WHEN e = '}}' THEN -1 ELSE 1 END AS step, CASE WHEN e IN ('{{', '}}') THEN 0 ELSE 1 END AS loop FROM lev),
+    {floored('deep', 'steps', 'conv_id, turn')},
+    lvl AS (SELECT *, CASE WHEN step = 1 THEN now ELSE now + 1 END AS level FROM (
+        SELECT *, coalesce(lag(now) OVER (PARTITION BY conv_id, turn ORDER BY i), 0) AS before FROM deep) WHERE step = 1 OR before > 0),
+    pairs AS (SELECT *, CASE WHEN step = 1 THEN loop ELSE lag(loop) OVER (PARTITION BY conv_id, turn, level ORDER BY i) END AS own FROM lvl),
+    open_loops AS (SELECT conv_id, turn, sum(step * own) OVER (PARTITION BY conv_id, turn ORDER BY i) AS n FROM pairs),
+    py_loops AS (SELECT conv_id, turn, list_max(list_reduce(list_prepend({{'stack': []::INTEGER[], 'loops': [0]::BIGINT[]}}, list_transform({_PY_LINES}, lambda x: {{
+          'stack': [{_INDENT}::INTEGER * 2 + regexp_matches(x, {S.text(N.PY_LOOP)})::INTEGER], 'loops': []::BIGINT[]}})),
+        lambda a, b: {{'stack': list_append(list_filter(a.stack, lambda s: s // 2 < b.stack[1] // 2), b.stack[1]),
+          'loops': list_append(a.loops, (b.stack[1] % 2 + list_sum(list_prepend(0, list_transform(list_filter(a.stack, lambda s: s // 2 < b.stack[1] // 2), lambda s: s % 2))))::BIGINT)}}).loops) AS n
+      FROM m WHERE lang = 'py'),
+    loops AS (SELECT conv_id, turn, max(n) AS n FROM (SELECT * FROM open_loops UNION ALL SELECT * FROM py_loops) GROUP BY ALL)"""
 
 
 @query(
     "loop_nest_depth",
-    "SELECT conv_id, turn, turn % 4 + 1 AS nest_depth FROM conversations",
+    f"""WITH {SNIPPETS}, {M}, {NEST}, {LOOPS}
+        SELECT m.conv_id, m.turn, {_NODES} AS n_nodes, {_DEPTH} AS max_depth, CAST(greatest(coalesce(n, 0), 0) AS BIGINT) AS loop_depth
+        FROM m LEFT JOIN nest USING (conv_id, turn) LEFT JOIN loops USING (conv_id, turn) WHERE lang <> 'html'""",
 )
 def _(spark, folder):
-    bodies = F.element_at(F.array(*[F.lit(_nested(d)) for d in range(4)]), (F.col("turn") % 4 + 1).cast("int"))
-    src = F.concat(F.lit("int f() { while (x) { "), bodies, F.lit(" } do { x--; } while (x); }"))
-    return turns(spark, folder).select("conv_id", "turn", C.loop_depth(src).alias("nest_depth"))
+    code = snippets(spark, folder).where("lang <> 'html'")
+    return nesting.nesting(code, ["conv_id", "turn"], lines=64)
 
 
 _MARKERS = " UNION ALL ".join(

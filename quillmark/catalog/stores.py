@@ -179,17 +179,15 @@ def _(spark, folder):
 
 @query("stream_annotate", document_sql(S.clean(), "benchmark", "item_id"))
 def _(spark, folder):
-    """Annotation by stream of the benchmark items; the result equals the batch job."""
-    items = table(spark, folder, "benchmark")
+    """Annotation of the benchmark items by a stream of one file a batch equals the batch job."""
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     inbox, master = new_path(spark, "inbox"), new_path(spark, "master")
-    items.write.parquet(inbox)
+    items.repartition(3, "doc_id").write.parquet(inbox)
 
-    def job(batch):
-        return prose.annotate_documents(
-            batch.withColumnRenamed("item_id", "doc_id"), F.lit("LLM"), lexicon=SAMPLE_LEXICON
-        )
+    def job(batch, vocabulary):
+        return prose.annotate_documents(batch, F.lit("LLM"), lexicon=SAMPLE_LEXICON, vocabulary=vocabulary)
 
-    annotate_stream(spark, inbox, items.schema, job, master, new_path(spark, "checkpoint"))
+    annotate_stream(spark, inbox, items.schema, job, master, new_path(spark, "checkpoint"), files_per_batch=1)
     return flat(read_master(spark, master))
 
 

@@ -194,7 +194,7 @@ _NO_EN = "nullif(lang, 'en')"
 
 @query(
     "render_prompts",
-    f"""WITH t AS (SELECT doc_id, lang, array_to_string(list_slice({S.words('text')}, 1, 3), ' ') AS topic FROM documents)
+    f"""WITH t AS (SELECT doc_id, lang, text AS topic FROM documents)
         SELECT doc_id, 'Lets discuss ' || topic || '. What are your thoughts?' AS discussion,
           'LANGUAGE:' || lang || chr(10) || 'TASK:' || topic || chr(10) || 'ONLY OUTPUT RAW CODE' AS code_prompt,
           'Generate a short prompt with instructions to create code' || coalesce(' in ' || {_NO_EN}, '')
@@ -202,7 +202,7 @@ _NO_EN = "nullif(lang, 'en')"
 )
 def _(spark, folder):
     topic = F.col("topic")
-    return documents(spark, folder).select("doc_id", "lang", text.head_words(F.col("text"), 3).alias("topic")).select(
+    return documents(spark, folder).select("doc_id", "lang", F.col("text").alias("topic")).select(
         "doc_id",
         text.discussion_prompt(topic).alias("discussion"),
         text.code_prompt(topic, F.col("lang")).alias("code_prompt"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmark.functions import arrays as A
+from quillmark.functions import nesting as N
 from quillmark.functions import patterns as P
 from quillmark.functions.constants import CODE_MARKERS
 from quillmark.functions.text import rewrite
@@ -13,10 +14,6 @@ from quillmark.functions.text import rewrite
 PY = ["py", "ipynb"]
 MARKUP = ["html"]
 
-# Nodes per token, depth at no nesting and depth per level, in hundredths; measured
-# on sample sources of these languages.
-TREE_SIZE = {"c": (157, 603, 155), "cpp": (156, 144, 233), "py": (170, 818, 162)}
-
 
 def by_language(lang: Column, py: Column, markup: Column, other: Column) -> Column:
     return F.when(lang.isin(PY), py).when(lang.isin(MARKUP), markup).otherwise(other)
@@ -113,24 +110,6 @@ def python_decisions(code: Column) -> Column:
     return F.aggregate(lines, A.record(at=F.lit(-1), n=zero), step)["n"]
 
 
-def syntax_size(tokens: Column, nest: Column, lang: Column) -> Column:
-    """struct<nodes, depth>: size of a syntax tree, estimated from tokens and bracket nesting.
-
-    Markup is counted by its tags. Elsewhere nodes and depth are linear in tokens and nesting,
-    in hundredths per token and level.
-    """
-
-    def estimate(per_token: int, base: int, per_level: int) -> Column:
-        return A.record(
-            nodes=F.floor((tokens * per_token + 50) / 100).cast("long"),
-            depth=F.floor((base + nest["depth"] * per_level + 50) / 100).cast("long"),
-        )
-
-    cpp_like = estimate(*TREE_SIZE["cpp"])
-    other = F.when(lang == "c", estimate(*TREE_SIZE["c"])).otherwise(cpp_like)
-    return by_language(lang, estimate(*TREE_SIZE["py"]), nest, other)
-
-
 def mean_complexity(code: Column, lang: Column) -> Column:
     functions = function_count(code, lang)
     return F.when(
@@ -150,12 +129,14 @@ def name_lengths(code: Column, lang: Column) -> Column:
 
 
 def nesting(code: Column, lang: Column) -> Column:
-    """struct<nodes, depth>: opening events and deepest nesting, the root being level 1."""
-    brackets = F.transform(
-        F.regexp_extract_all(code, F.lit(r"[()\[\]{}]"), F.lit(0)),
-        lambda b: F.when(b.isin("(", "[", "{"), 1).otherwise(-1),
-    )
-    return by_language(lang, run_depth(brackets), run_depth(tag_steps(code)), run_depth(brackets))
+    """struct<nodes, depth> of masked source: tags of markup; else blocks and tokens, by indentation
+    and brackets in Python and by brackets elsewhere. The root is level 1."""
+
+    def tree(n: Column) -> Column:
+        return A.let(n, lambda x: A.record(nodes=x["seen"] + 1, depth=(x["top"] + 1).cast("long")))
+
+    brackets = N.merged(F.array(N.summary(N.token_events(code))))
+    return by_language(lang, tree(N.indented_summary(code)), run_depth(tag_steps(code)), tree(brackets))
 
 
 def tag_steps(html: Column) -> Column:
@@ -192,27 +173,8 @@ def run_depth(steps: Column) -> Column:
 
 
 def loop_depth(code: Column) -> Column:
-    """Deepest nesting of loops in brace languages.
-
-    A loop head pushes the block it opens; every other block is transparent. Blocks are tracked
-    as a string of ``L`` (loop) and ``b`` (other), one letter for each open brace.
-    """
-    events = F.regexp_extract_all(
-        code,
-        F.lit(r"\b(?:for|while)[ \t]*\([^(){}]*(?:\([^()]*\)[^(){}]*)*\)[\s]*\{|\bdo[\s]*\{|\{|\}"),
-        F.lit(0),
-    )
-    zero = A.record(open=F.lit(""), top=F.lit(0))
-
-    def step(a: Column, e: Column) -> Column:
-        opened = (
-            F.when(e == "}", F.substring(a["open"], F.lit(1), F.greatest(F.length(a["open"]) - 1, F.lit(0))))
-            .when(e == "{", F.concat(a["open"], F.lit("b")))
-            .otherwise(F.concat(a["open"], F.lit("L")))
-        )
-        return A.record(open=opened, top=F.greatest(a["top"], F.length(F.replace(opened, F.lit("b"), F.lit("")))))
-
-    return F.aggregate(events, zero, step)["top"].cast("long")
+    """Deepest nesting of loops of masked source in brace languages; other blocks are transparent."""
+    return N.merged(F.array(N.summary(N.loop_events(code))))["loops"].cast("long")
 
 
 def detect_language(src: Column) -> Column:

@@ -32,6 +32,16 @@ SENTENCE_BREAKS = [
         "$1$2 $3",
     ),
 ]
+# The same breaks, with the white space kept, so that the pieces add up to the text.
+SENTENCE_SPANS = [
+    (r"[\x01\x02]", " "),
+    (rf"([.?!][\"”’)\]]*)({WS}+{NOT_WS})", "$1" + MARK + "$2"),
+    (
+        rf"(\A|[\s\x01\p{{Z}}(\"])((?:\p{{L}}|[Mm]rs?|[Mm]s|[Dd]r|[Pp]rof|[Ss]t|[JjSs]r|[Ee]tc"
+        rf"|[Ii]\.e|[Uu]\.[Ss])\.)\x01({WS}+{NOT_WS})",
+        "$1$2$3",
+    ),
+]
 
 # Word tokens: pad marks with blanks, then split on white space. MARK separates sentences.
 TOKEN_PADDING = [

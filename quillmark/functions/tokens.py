@@ -35,6 +35,25 @@ def split_marked(marked: Column) -> Column:
     return F.filter(stripped, lambda s: s != "")
 
 
+def sentence_pieces(col: Column) -> Column:
+    """array<struct<size, lead, length, n_words>>: the pieces of a text between sentence breaks.
+
+    ``size`` characters with the white space around, ``lead`` of it before; ``length`` is that of the
+    sentence, 0 for a piece that holds none. The sizes add up to the text's length.
+    """
+
+    def measured(p: Column) -> Column:
+        bare = rewrite(p, P.STRIP)
+        return A.record(
+            size=F.length(p),
+            lead=F.length(p) - F.length(rewrite(p, P.STRIP[:1])),
+            length=F.length(bare),
+            n_words=F.size(words(bare)),
+        )
+
+    return F.transform(F.split(rewrite(col, P.SENTENCE_SPANS), P.MARK), measured)
+
+
 def tokenise_marked(marked: Column) -> Column:
     """Word tokens of each sentence of a marked text: array<array<string>>."""
     per_sentence = F.transform(F.split(rewrite(marked, P.TOKEN_PADDING), P.MARK), words)

@@ -6,10 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmark.functions import arrays as A
-from quillmark.functions import sqltext as Q
-from quillmark.functions.constants import COORDINATOR_DEP, SUBORDINATE_DEPS
 
-# Words that mark a dependency in the built-in stand-in for a parser.
+# Words that mark a clause or a coordination.
 MARKED_DEPS = {
     "cc": "and or but et ou und oder aber y o".split(),
     "advcl": "because if while when since unless although weil wenn si cuando quand".split(),
@@ -18,16 +16,6 @@ MARKED_DEPS = {
 }
 
 
-def stand_in_dep_sql(word: str, position: str) -> str:
-    """SQL text of the label of the 1-based token ``position``; the first token is the root."""
-    named = Q.cases([(Q.one_of("low_", ws), Q.lit(d)) for d, ws in MARKED_DEPS.items()], "'dep'")
-    return f"if({position} = 1, 'ROOT', {Q.let(f'lower({word})', 'low_', named)})"
-
-
-def stand_in_head(position: Column) -> Column:
-    return F.floor(position / 2).cast("int")
-
-
 def tree_depth(heads: Column) -> Column:
     """Nodes on the longest path from the root.
 
@@ -53,31 +41,3 @@ def tree_depth(heads: Column) -> Column:
         return F.array_max(F.aggregate(rounds, start, step)["d"])
 
     return F.when(F.size(heads) > 0, A.let(heads, doubled)).otherwise(F.lit(0))
-
-
-def stand_in_metrics_sql(tokens: str) -> str:
-    """Tree numbers of one tokenised sentence under the stand-in tree (head of i is i div 2).
-
-    Depth and child counts of that tree have closed forms; the root is the first token and every
-    other token lies to the right of its head.
-    """
-
-    def deps(names: list[str]) -> str:
-        return f"CAST(size(filter(ds_, d_ -> {Q.one_of('d_', names)})) AS BIGINT)"
-
-    fields = {
-        "depth": "CAST(floor(log2(size(ds_))) AS INT) + 1",
-        "head": "0D / size(ds_)",
-        "sub_clauses": deps(SUBORDINATE_DEPS),
-        "coord_clauses": deps([COORDINATOR_DEP]),
-        "branching": "(size(ds_) - 1) / size(ds_)",
-        "balanced": "size(ds_) - 1 <= 2",
-    }
-    struct = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
-    labels = f"transform({tokens}, (w_, i_) -> {stand_in_dep_sql('w_', '(i_ + 1)')})"
-    return Q.let(labels, "ds_", struct)
-
-
-def stand_in_metrics(sentences: str) -> Column:
-    """Tree numbers of each sentence of an array<array<string>> column."""
-    return F.expr(f"transform({sentences}, ts_ -> {stand_in_metrics_sql('ts_')})")

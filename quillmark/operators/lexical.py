@@ -97,30 +97,63 @@ def tags(tokens_df: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     )
 
 
-def lemma_dictionary(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, class, lemma) for words whose lemma differs from them.
-
-    ``words``: (word, class), any multiplicity. ``vocabulary``: (word). An irregular form comes
-    first; otherwise the first suffix detachment whose result is in the vocabulary.
-    """
-    spark = words.sparkSession
-    distinct = words.select("word", "class").distinct()
-    irregular = F.broadcast(spark.createDataFrame(K.LEMMA_EXCEPTIONS, "word string, class string, irregular string"))
+def detached(word: Column, cls: Column) -> Column:
+    """array<struct<rule, candidate>>: what is left of a word when a suffix of its class is detached."""
     candidates = F.array(
         *[
             F.when(
-                (F.col("class") == cls) & F.col("word").endswith(suffix)
-                & (F.length("word") > len(suffix) + 1),
+                (cls == c) & word.endswith(suffix) & (F.length(word) > len(suffix) + 1),
                 F.struct(
                     F.lit(i).alias("rule"),
-                    F.concat(F.expr(f"left(word, length(word) - {len(suffix)})"), F.lit(new)).alias("candidate"),
+                    F.concat(F.substring(word, F.lit(1), F.length(word) - len(suffix)), F.lit(new)).alias("candidate"),
                 ),
             )
-            for i, (cls, suffix, new) in enumerate(K.DETACHMENTS)
+            for i, (c, suffix, new) in enumerate(K.DETACHMENTS)
         ]
     )
+    return F.filter(candidates, lambda c: c.isNotNull())
+
+
+def irregular(word: Column, cls: Column) -> Column:
+    """The lemma of an irregular form, else null."""
+    forms = [((word == w) & (cls == c), F.lit(lemma)) for w, c, lemma in K.LEMMA_EXCEPTIONS]
+    return F.coalesce(*[F.when(condition, lemma) for condition, lemma in forms])
+
+
+def changed_lemmas(tokens_df: DataFrame, keys: list[str], vocabulary: DataFrame) -> DataFrame:
+    """(keys, lemma) of the tokens whose lemma is not the word itself.
+
+    ``tokens_df``: keys, word, class, any multiplicity; ``vocabulary``: (word), the words that may be
+    lemmas. Only tokens with an irregular form or a suffix that may be detached are joined, by what
+    is left of them. An irregular form comes first, then the first rule with a known result.
+    """
+    special = irregular(F.col("word"), F.col("class"))
+    rules = F.when(special.isNull(), detached(F.col("word"), F.col("class"))).otherwise(
+        F.array(F.struct(F.lit(-1).alias("rule"), special.alias("candidate")))
+    )
+    open_ = tokens_df.select(*keys, "word", F.explode(rules).alias("_c")).select(*keys, "word", "_c.rule", "_c.candidate")
+    known = vocabulary.select(F.col("word").alias("candidate"), F.lit(True).alias("_known")).distinct()
+    met = open_.join(known, "candidate", "left").where("_known OR rule = -1")
+    best = met.groupBy(*keys).agg(F.min(F.struct("rule", "candidate")).alias("_b"), F.first("word").alias("word"))
+    return best.where(F.col("_b.candidate") != F.col("word")).select(*keys, F.col("_b.candidate").alias("lemma"))
+
+
+def word_table(df: DataFrame, text: str) -> DataFrame:
+    """(word): the distinct word tokens of the texts, the vocabulary that they give."""
+    return df.select(F.explode(F.array_distinct(tokens.word_tokens(F.col(text)))).alias("word")).distinct()
+
+
+def lemma_dictionary(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, class, lemma) for words whose lemma differs from them.
+
+    ``words``: (word, class), any multiplicity. ``vocabulary``: (word). An irregular form comes
+    first; otherwise the first suffix detachment whose result is in the vocabulary.
+    """
+    spark = words.sparkSession
+    distinct = words.select("word", "class").distinct()
+    irregular = F.broadcast(spark.createDataFrame(K.LEMMA_EXCEPTIONS, "word string, class string, irregular string"))
     ruled = (
-        distinct.select("word", "class", F.explode(F.filter(candidates, lambda c: c.isNotNull())).alias("_c"))
+        distinct.select("word", "class", F.explode(detached(F.col("word"), F.col("class"))).alias("_c"))
         .select("word", "class", "_c.rule", "_c.candidate")
         .join(vocabulary.select(F.col("word").alias("candidate")).distinct(), "candidate", "left_semi")
         .groupBy("word", "class")

@@ -1,6 +1,9 @@
-"""Numbers over a dependency-edge table (doc_id, sent_id, tok_id, head_id, dep, word).
+"""Numbers over a dependency-edge table of a parser, and their alignment with our sentences.
 
-Token ids run from 1 within a sentence; the root has head 0.
+An edge is (doc_id, parse_id, tok_id, head_id, dep, word, start, end). Token ids run from 1 within a
+parsed sentence, whose root has head 0; ``start`` and ``end`` are offsets in the text, from 0, the
+end not included. Parsers cut sentences differently: one of ours takes the first parsed sentence
+that it overlaps.
 """
 
 from __future__ import annotations
@@ -8,31 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions import trees
+from quillmark.functions import tokens, trees
 from quillmark.functions.constants import COORDINATOR_DEP, SUBORDINATE_DEPS
 
-SENTENCE = ["doc_id", "sent_id"]
-
-
-def stand_in_edges(tokens_df: DataFrame) -> DataFrame:
-    """Deterministic edges where no parser output is at hand: head of token i is i div 2."""
-    return tokens_df.select(
-        *SENTENCE,
-        "tok_id",
-        trees.stand_in_head(F.col("tok_id")).alias("head_id"),
-        F.expr(trees.stand_in_dep_sql("word", "tok_id")).alias("dep"),
-        "word",
-    )
-
-
-def first_parse(edges: DataFrame, parse: str = "parse_id") -> DataFrame:
-    """Keep the first parsed sentence where a parser split a sentence further."""
-    w = Window.partitionBy(*SENTENCE)
-    return (
-        edges.withColumn("_first", F.min(parse).over(w))
-        .where(F.col(parse) == F.col("_first"))
-        .drop("_first")
-    )
+PARSE = ["doc_id", "parse_id"]
+SENTENCE = ["doc_id", "text_hash", "sent_id"]
+#: Characters of a bucket in which spans meet.
+WIDTH = 512
 
 
 def _heads() -> Column:
@@ -42,9 +27,9 @@ def _heads() -> Column:
 
 
 def tree_depth(edges: DataFrame) -> DataFrame:
-    """Depth per sentence: one grouping into head arrays, then pointer doubling in the row."""
-    grouped = edges.groupBy(*SENTENCE).agg(_heads().alias("_heads"))
-    return grouped.select(*SENTENCE, trees.tree_depth(F.col("_heads")).cast("long").alias("depth"))
+    """Depth per parsed sentence: one grouping into head arrays, then pointer doubling in the row."""
+    grouped = edges.groupBy(*PARSE).agg(_heads().alias("_heads"))
+    return grouped.select(*PARSE, trees.tree_depth(F.col("_heads")).cast("long").alias("depth"))
 
 
 def _counts() -> list[Column]:
@@ -63,28 +48,72 @@ def _counts() -> list[Column]:
     ]
 
 
-def sentence_counts(edges: DataFrame) -> DataFrame:
+def parse_counts(edges: DataFrame) -> DataFrame:
     """Length, root position, clause counts, branching and balance by partial aggregation."""
-    return edges.groupBy(*SENTENCE).agg(*_counts())
+    return edges.groupBy(*PARSE).agg(*_counts())
 
 
-def sentence_syntax(edges: DataFrame) -> DataFrame:
-    """Counts and depth of each sentence from one grouping of its edges."""
-    grouped = edges.groupBy(*SENTENCE).agg(*_counts(), _heads().alias("_heads"))
+def parse_syntax(edges: DataFrame) -> DataFrame:
+    """Counts, depth and span of each parsed sentence from one grouping of its edges."""
+    span = [F.min("start").alias("start"), F.max("end").alias("end")]
+    grouped = edges.groupBy(*PARSE).agg(*_counts(), *span, _heads().alias("_heads"))
     return grouped.withColumn("depth", trees.tree_depth(F.col("_heads")).cast("long")).drop("_heads")
 
 
-def document_syntax(sentences: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """Roll sentence numbers up to documents.
+def sentence_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, sent_id, start, end, n_words): where our sentences stand in their texts.
+
+    Lengths of the pieces are added up over the document; no text is shuffled. Rows that repeat id
+    and text are one document here.
+    """
+    pieces = docs.select(
+        "doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(tokens.sentence_pieces(F.col(text))).alias("_i", "_p")
+    ).dropDuplicates(["doc_id", "text_hash", "_i"])
+    within = Window.partitionBy("doc_id", "text_hash").orderBy("_i")
+    start = F.sum("_p.size").over(within) - F.col("_p.size") + F.col("_p.lead")
+    placed = pieces.withColumn("start", start).where(F.col("_p.length") > 0)
+    return placed.select(
+        "doc_id", "text_hash", (F.row_number().over(within).cast("long") - 1).alias("sent_id"),
+        "start", (F.col("start") + F.col("_p.length")).alias("end"), F.col("_p.n_words").alias("n_words"),
+    )
+
+
+def _in_buckets(spans: DataFrame, width: int) -> DataFrame:
+    """A row for every bucket that a span touches; one over a boundary is in both."""
+    return spans.withColumn("_bucket", F.explode(F.sequence(
+        F.floor(F.col("start") / width), F.floor((F.greatest("end", F.col("start") + 1) - 1) / width)
+    )))
+
+
+def aligned(spans: DataFrame, parsed: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text_hash, sent_id, parse_id): the first parsed sentence that each of ours overlaps.
+
+    An interval join on character offsets: spans meet in buckets of ``width`` characters of their
+    document, so a long document is not compared sentence with sentence. Sentences that no parse
+    overlaps, and documents without an id, have no row.
+    """
+    ours = _in_buckets(spans.select(*SENTENCE, "start", "end"), width)
+    theirs = _in_buckets(parsed.select(*PARSE, "start", "end"), width).withColumnsRenamed({"start": "_start", "end": "_end"})
+    met = ours.join(theirs, ["doc_id", "_bucket"]).where((F.col("start") < F.col("_end")) & (F.col("_start") < F.col("end")))
+    first = F.min(F.struct("_start", "parse_id"))
+    return met.groupBy(*SENTENCE).agg(first["parse_id"].alias("parse_id"))
+
+
+def sentence_syntax(spans: DataFrame, parses: DataFrame) -> DataFrame:
+    """Our sentences (doc_id, text_hash, sent_id, n_words) with the numbers of their parses."""
+    parsed = parse_syntax(parses)
+    numbers = parsed.drop("start", "end")
+    return spans.select(*SENTENCE, "n_words").join(aligned(spans, parsed), SENTENCE).join(numbers, PARSE)
+
+
+def document_syntax(sentences: DataFrame, normalise_head: bool = True) -> DataFrame:
+    """Numbers of sentences rolled up to documents (doc_id, text_hash).
 
-    ``words``: (doc_id, sent_id, n_words); when given, each root position is divided by the
-    sentence's white-space word count before averaging.
+    With ``normalise_head`` each root position is divided by the sentence's number of words between
+    white space before averaging.
     """
-    head = F.col("head")
-    if words is not None:
-        sentences = sentences.join(words, SENTENCE)
-        head = head / F.col("n_words")
-    return sentences.groupBy("doc_id").agg(
+    head = F.col("head") / F.col("n_words") if normalise_head else F.col("head")
+    return sentences.groupBy("doc_id", "text_hash").agg(
         F.max("depth").alias("depth"),
         F.avg(head).alias("head"),
         F.avg("sub_clauses").alias("sub_clauses"),

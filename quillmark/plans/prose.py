@@ -2,106 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import arrays as A
-from quillmark.functions import patterns as P
-from quillmark.functions import polarity, tagging, text, tokens, trees
+from quillmark.functions import polarity, tagging, text, tokens
 from quillmark.operators import lexical, syntax
-from quillmark.operators.scale import BROADCAST_BYTES, lookup_join, table_bytes
-from quillmark.sources.shared import settle
 
-MEAN_SYNTAX = ["head", "sub_clauses", "coord_clauses", "branching"]
+#: Syntax columns of a document and of a sentence, with their types.
+DOCUMENT_SYNTAX = {
+    "depth": "double", "head": "double", "sub_clauses": "double", "coord_clauses": "double", "branching": "double", "balanced": "double",
+}
+SENTENCE_SYNTAX = DOCUMENT_SYNTAX | {"depth": "long", "sub_clauses": "long", "coord_clauses": "long", "balanced": "boolean"}
+
 
+#: Two hashes of a row's id and text: rows that agree in them have the same words and lemmas.
+KEY = ["_k1", "_k2"]
 
-def analyse(df: DataFrame, label: Column, text_col: str = "text", clean: bool = True) -> DataFrame:
-    """(doc_id, label, text, sents, toks, tags): the row-local analysis all jobs share."""
+
+def _texts(df: DataFrame, label: Column, text_col: str, clean: bool) -> DataFrame:
+    """(doc_id, label, text, keys): the text that is analysed."""
     body = text.clean_text(F.col(text_col)) if clean else F.coalesce(text_col, F.lit(""))
+    rows = df.select("doc_id", label.alias("label"), body.alias("text"))
+    return rows.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64(F.lit(1), "text", "doc_id")})
+
+
+def _analysed(rows: DataFrame) -> DataFrame:
+    """Rows with ``sents``, ``toks`` and ``tags`` of their text, computed within the row."""
     return (
-        df.select("doc_id", label.alias("label"), body.alias("text"))
-        .withColumn("_marked", tokens.marked_sentences(F.col("text")))
-        .select(
-            "doc_id",
-            "label",
-            "text",
-            tokens.split_marked(F.col("_marked")).alias("sents"),
-            tokens.tokenise_marked(F.col("_marked")).alias("toks"),
-        )
+        rows.withColumn("_marked", tokens.marked_sentences(F.col("text")))
+        .withColumn("sents", tokens.split_marked(F.col("_marked")))
+        .withColumn("toks", tokens.tokenise_marked(F.col("_marked")))
+        .drop("_marked")
         .withColumn("tags", tagging.tag_sentences("toks"))
     )
 
 
-def add_lemmas(analysed: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Add ``lemmas``, array<array<string>> parallel to ``toks``.
+def words_of(df: DataFrame, text_col: str = "text", clean: bool = True) -> DataFrame:
+    """(word): the vocabulary that the texts give."""
+    return lexical.word_table(_texts(df, F.lit(None), text_col, clean), "text")
 
-    The dictionary of changed words is built by grouping. While it stays below the broadcast
-    bound it is looked up per Arrow batch, so documents are not shuffled; a larger one is joined
-    to the exploded words and the documents are put together again by a key of their row, as ids
-    may be null or repeated.
-    """
-    analysed = settle(analysed.withColumn("_row", F.monotonically_increasing_id()), "analysed")
-    # Class letter and word as one string: distinct strings are found by hash, structs are not.
-    classed = f"zip_with(flatten(toks), flatten(tags), (w_, t_) -> concat({tagging.coarse_class_sql('t_')}, w_))"
-    distinct = analysed.select(F.explode(F.array_distinct(F.expr(classed))).alias("_p")).distinct()
-    words = settle(distinct.selectExpr("substring(_p, 2) AS word", "left(_p, 1) AS class"), "words")
-    dictionary = settle(lexical.lemma_dictionary(words, words if vocabulary is None else vocabulary), "lemmas")
-    if table_bytes(dictionary) <= BROADCAST_BYTES:
-        return analysed.withColumn("lemmas", _look_up(dictionary, F.col("toks"), F.col("tags"))).drop("_row")
-    exploded = (
-        analysed.select("_row", F.posexplode(F.arrays_zip("toks", "tags")).alias("sent_id", "_s"))
-        .select("_row", "sent_id", F.posexplode(F.arrays_zip("_s.toks", "_s.tags")).alias("tok_id", "_t"))
-        .select(
-            "_row", "sent_id", "tok_id", F.col("_t.toks").alias("word"),
-            tagging.coarse_class(F.col("_t.tags")).alias("class"),
-        )
-    )
-    back = (
-        lookup_join(exploded, dictionary, ["word", "class"])
-        .groupBy("_row", "sent_id")
-        .agg(F.sort_array(F.collect_list(F.struct("tok_id", F.coalesce("lemma", "word").alias("l")))).alias("_l"))
-        .groupBy("_row")
-        .agg(F.sort_array(F.collect_list(F.struct("sent_id", "_l"))).alias("_d"))
-        .select("_row", F.transform("_d", lambda s: F.transform(s["_l"], lambda x: x["l"])).alias("lemmas"))
-    )
-    empty = F.array().cast("array<array<string>>")
-    return analysed.join(back, "_row", "left").withColumn("lemmas", F.coalesce("lemmas", empty)).drop("_row")
-
-
-def _look_up(dictionary: DataFrame, toks: Column, tags: Column) -> Column:
-    """Lemmas by a broadcast dictionary; a document crosses to Python as two plain strings."""
-    entries = {(r["word"], r["class"]): r["lemma"] for r in dictionary.toLocalIterator()}
-    shared = dictionary.sparkSession.sparkContext.broadcast(entries)
-    # Plain locals: the function travels to the workers without this package.
-    unit = P.UNIT
-    between = P.UNIT + P.MARK + P.UNIT
-
-    @F.pandas_udf("string")
-    def change(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        lemma_of = shared.value.get
-        for words, classes in batches:
-            yield pd.Series(
-                [
-                    unit.join(lemma_of(pair, pair[0]) for pair in zip(ws.split(unit), cs))
-                    for ws, cs in zip(words, classes)
-                ],
-                dtype=object,
-            )
-
-    words = F.array_join(F.transform(toks, lambda t: F.array_join(t, P.UNIT)), between)
-    classes = F.array_join(
-        F.transform(
-            tags, lambda t: F.array_join(F.transform(t, lambda x: tagging.coarse_class(x)), "")
-        ),
-        P.MARK,
+
+def candidates_of(df: DataFrame, text_col: str = "text", clean: bool = True) -> DataFrame:
+    """(doc_id, candidate): what the words of each document may change to, if it is a known word."""
+    each = _tokens(_analysed(_texts(df, F.lit(None), text_col, clean)), ["doc_id"])
+    found = each.select("doc_id", F.explode(lexical.detached(F.col("word"), F.col("class"))).alias("_c"))
+    return found.select("doc_id", F.col("_c.candidate").alias("candidate")).distinct()
+
+
+def _tokens(analysed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sent_id, tok_id, word, class) of every token."""
+    return (
+        analysed.select(*keys, F.posexplode(F.arrays_zip("toks", "tags")).alias("sent_id", "_s"))
+        .select(*keys, "sent_id", F.posexplode(F.arrays_zip("_s.toks", "_s.tags")).alias("tok_id", "_t"))
+        .select(*keys, "sent_id", "tok_id", F.col("_t.toks").alias("word"), tagging.coarse_class(F.col("_t.tags")).alias("class"))
     )
-    changed = F.split(change(words, classes), between)
-    return F.when(F.size(toks) == 0, F.array().cast("array<array<string>>")).otherwise(
-        F.transform(changed, lambda s: F.split(s, P.UNIT))
+
+
+def lemmatised(
+    df: DataFrame, label: Column, text_col: str = "text", clean: bool = True, vocabulary: DataFrame | None = None
+) -> DataFrame:
+    """(doc_id, label, text, sents, toks, tags, lemmas): the analysis that all jobs share.
+
+    ``vocabulary`` (word) holds the words that may be lemmas; without one, the words of the texts. The
+    tokens that may change are joined with it by what they change to, and only the changes come back
+    to their row: the one shuffle of texts is by row, the tokens stay where they are. Ids may be
+    null or repeated. Null and empty texts have no sentences.
+    """
+    rows = _texts(df, label, text_col, clean)
+    if vocabulary is None:
+        vocabulary = lexical.word_table(rows, "text")
+    each = _tokens(_analysed(rows), KEY)
+    changed = lexical.changed_lemmas(each, [*KEY, "sent_id", "tok_id"], vocabulary)
+    by_sentence = changed.groupBy(*KEY, "sent_id").agg(F.map_from_entries(F.collect_list(F.struct("tok_id", "lemma"))).alias("_m"))
+    by_row = by_sentence.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("sent_id", "_m"))).alias("_changed"))
+    found = _analysed(rows.join(by_row, KEY, "left"))
+    lemmas = (
+        "transform(toks, (ts_, s_) -> get(transform(array(_changed[s_]), m_ -> "
+        "if(m_ IS NULL, ts_, transform(ts_, (w_, i_) -> coalesce(m_[i_], w_)))), 0))"
     )
+    return found.withColumn("lemmas", F.expr(lemmas)).drop("_changed", *KEY)
 
 
 def _population_std(values: Column) -> Column:
@@ -124,11 +104,8 @@ def _population_std(values: Column) -> Column:
     ).otherwise(F.lit(0.0))
 
 
-def _mean(values: Column) -> Column:
-    return F.when(
-        F.size(values) > 0,
-        F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values),
-    ).otherwise(F.lit(0.0))
+def _no_syntax(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items()})
 
 
 def annotate_documents(
@@ -143,11 +120,12 @@ def annotate_documents(
 ) -> DataFrame:
     """One row per document with its lexical, sentiment and syntax numbers.
 
-    An empty text keeps its row with zero numbers. Without ``parses`` (a dependency-edge table)
-    the syntax numbers come from the built-in stand-in tree. Apart from the lemma dictionary
-    everything is computed inside the document's row.
+    An empty text keeps its row with zero numbers. ``parses`` is a dependency-edge table (see
+    ``operators.syntax``) whose offsets are into the analysed text; the syntax columns of documents
+    without a parse, and of all without ``parses``, are null. A table holds one parse of an id:
+    rows that repeat an id are all aligned with it. ``vocabulary`` as in ``lemmatised``.
     """
-    doc = add_lemmas(analyse(df, label, text_col, clean), vocabulary)
+    doc = lemmatised(df, label, text_col, clean, vocabulary)
     staged = (
         doc.withColumn("_w", F.flatten("toks"))
         .withColumn("_k", tokens.kept_tokens("text"))
@@ -158,21 +136,8 @@ def annotate_documents(
         .withColumn("_opinions", polarity.score_sentences("sents", lexicon))
         .withColumn("sentiment", polarity.document_polarity("text", "_opinions"))
         .withColumn("_sent", polarity.sentence_polarities("sents", "_opinions"))
-        .withColumn("_syn", trees.stand_in_metrics("toks"))
-        .withColumn("_wc", F.transform("sents", lambda s: F.size(text.words(s))))
     )
     m, s1, s2 = F.col("_prof.m"), F.col("_prof.sums.s1"), F.col("_prof.sums.s2")
-    syn = F.col("_syn")
-
-    def syntax_mean(field: str) -> Column:
-        values = F.transform(syn, lambda x: x[field].cast("double"))
-        if field == "head" and normalise_head:
-            values = F.transform(
-                F.arrays_zip(values.alias("h"), F.col("_wc").alias("c")),
-                lambda x: x["h"] / x["c"],
-            )
-        return _mean(values)
-
     out = staged.select(
         "doc_id",
         "text",
@@ -187,20 +152,17 @@ def annotate_documents(
             F.transform("_sent", lambda s: F.abs(s - F.col("sentiment")))
         ).alias("sentiment_deviation"),
         A.mean_of(F.col("_nw"), A.distinct_count(F.col("_w"))).alias("ttr"),
-        F.coalesce(F.array_max(F.transform(syn, lambda x: x["depth"])), F.lit(0)).alias("depth"),
-        *[syntax_mean(f).alias(f) for f in MEAN_SYNTAX],
-        _mean(F.transform(syn, lambda x: x["balanced"].cast("double"))).alias("balanced"),
         "label",
         (F.col("_nw") == 0).alias("is_empty"),
     )
+    names = [*out.columns[:-2], *DOCUMENT_SYNTAX, *out.columns[-2:]]
     if parses is None:
-        return out
-    counts = staged.select("doc_id", F.posexplode("_wc").alias("sent_id", "n_words"))
-    parsed = syntax.document_syntax(
-        syntax.sentence_syntax(parses), counts if normalise_head else None
-    )
-    plain = out.drop("depth", *MEAN_SYNTAX, "balanced")
-    return plain.join(parsed, "doc_id", "left").fillna(0).select(*out.columns)
+        return _no_syntax(out, DOCUMENT_SYNTAX).select(*names)
+    spans = syntax.sentence_spans(_texts(df, label, text_col, clean))
+    parsed = syntax.document_syntax(syntax.sentence_syntax(spans, parses), normalise_head)
+    parsed = parsed.withColumn("depth", F.col("depth").cast("double"))
+    keyed = out.withColumn("text_hash", F.xxhash64("text"))
+    return keyed.join(parsed, ["doc_id", "text_hash"], "left").select(*names)
 
 
 def annotate_sentences(
@@ -210,10 +172,14 @@ def annotate_sentences(
     clean: bool = False,
     lexicon: dict[str, float] | None = None,
     vocabulary: DataFrame | None = None,
+    parses: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per sentence; type frequencies are looked up in the whole document."""
+    """One row per sentence; type frequencies are looked up in the whole document.
+
+    ``parses`` and ``vocabulary`` as in ``annotate_documents``.
+    """
     doc = (
-        add_lemmas(analyse(df, label, text_col, clean), vocabulary)
+        lemmatised(df, label, text_col, clean, vocabulary)
         .withColumn("_k", tokens.kept_tokens("text"))
         .withColumn("_w", F.flatten("toks"))
         .withColumn("_ttr", A.mean_of(F.size("_w").cast("long"), A.distinct_count(F.col("_w"))))
@@ -226,19 +192,16 @@ def annotate_sentences(
     rows = doc.select(
         "doc_id",
         "label",
+        F.xxhash64("text").alias("text_hash"),
         "_ttr",
         "_n",
         "_doc",
         F.posexplode(F.arrays_zip("sents", "toks", "tags", "lemmas", "_prof", "_sent")).alias("sent_id", "_s"),
-    ).select(
-        "*",
-        F.col("_s._sent").alias("sentiment"),
-        F.expr(trees.stand_in_metrics_sql("_s.toks")).alias("_syn"),
-    )
+    ).select("*", F.col("_s._sent").alias("sentiment"))
     prof = F.col("_s._prof")
-    return rows.select(
+    out = rows.select(
         "doc_id",
-        "sent_id",
+        F.col("sent_id").cast("long").alias("sent_id"),
         F.col("_s.sents").alias("sentence"),
         F.col("_s.tags").alias("pos"),
         F.col("_s.lemmas").alias("lemmas"),
@@ -248,6 +211,12 @@ def annotate_sentences(
         F.abs(F.col("sentiment") - F.col("_doc")).alias("sentiment_deviation"),
         F.col("_ttr").alias("document_ttr"),
         F.size("_s.toks").alias("sentence_length"),
-        "_syn.*",
         "label",
+        "text_hash",
     )
+    names = [*out.columns[:-2], *SENTENCE_SYNTAX, "label"]
+    if parses is None:
+        return _no_syntax(out, SENTENCE_SYNTAX).select(*names)
+    spans = syntax.sentence_spans(_texts(df, label, text_col, clean))
+    parsed = syntax.sentence_syntax(spans, parses).drop("n_words", "parse_id", "n_tokens")
+    return out.join(parsed, syntax.SENTENCE, "left").select(*names)

@@ -14,12 +14,11 @@ def profile(df: DataFrame, label: Column, src: str = "src", lang: str = "lang")
     language = F.col(lang)
     staged = (
         df.withColumn("_masked", C.masked(F.col(src), language))
-        .withColumn("_nest", C.nesting(F.col("_masked"), language))
+        .withColumn("_tree", C.nesting(F.col("_masked"), language))
         .withColumn("loc", C.line_count(F.col(src), language))
         .withColumn("_names", C.name_lengths(F.col("_masked"), language))
         .withColumn("_fn", C.function_count(F.col("_masked"), language))
         .withColumn("n_tokens", C.token_count(F.col(src), language))
-        .withColumn("_tree", C.syntax_size(F.col("n_tokens"), F.col("_nest"), language))
     )
     loc = F.col("loc")
     names = F.size("_names").cast("long")

@@ -3,8 +3,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.functions import code, polarity, trees
-from quillmark.operators import syntax
+from quillmark.functions import code, polarity
+from quillmark.operators import nesting, syntax
 
 LEXICON = {"good": 2.0, "bad": -2.0}
 
@@ -41,7 +41,9 @@ def test_polarity(spark, raw, total):
 
 
 def edges(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, sent_id int, tok_id int, head_id int, dep string")
+    """Edges whose tokens have 10 characters each, sentence after sentence."""
+    each = [(*r, f"w{r[2]}", 1000 * r[1] + 10 * r[2], 1000 * r[1] + 10 * r[2] + 9) for r in rows]
+    return spark.createDataFrame(each, "doc_id long, parse_id int, tok_id int, head_id int, dep string, word string, start int, end int")
 
 
 def test_tree_shapes(spark):
@@ -49,32 +51,71 @@ def test_tree_shapes(spark):
     star = [(1, 1, 1, 3, "cc"), (1, 1, 2, 3, "advcl"), (1, 1, 3, 0, "ROOT"), (1, 1, 4, 3, "relcl"), (1, 1, 5, 3, "x")]
     single = [(2, 0, 1, 0, "ROOT")]
     backwards = [(3, 0, i, i + 1 if i < 6 else 0, "x") for i in range(1, 7)]
-    rows = {(r["doc_id"], r["sent_id"]): r for r in syntax.sentence_syntax(edges(spark, chain + star + single + backwards)).collect()}
+    rows = {(r["doc_id"], r["parse_id"]): r for r in syntax.parse_syntax(edges(spark, chain + star + single + backwards)).collect()}
     assert [rows[k]["depth"] for k in ((1, 0), (1, 1), (2, 0), (3, 0))] == [40, 2, 1, 6]
     s = rows[1, 1]
     assert (s["head"], s["sub_clauses"], s["coord_clauses"], s["branching"], s["balanced"]) == (2 / 5, 2, 1, 0.0, True)
     assert rows[3, 0]["branching"] == pytest.approx(-5 / 6) and not rows[3, 0]["balanced"]
-
-
-def test_first_parse_only(spark):
-    frame = edges(spark, [(1, 0, 1, 0, "ROOT"), (1, 0, 2, 0, "ROOT")]).withColumn("parse_id", F.col("tok_id") + 4)
-    assert [r["tok_id"] for r in syntax.first_parse(frame).collect()] == [1]
+    assert (s["start"], s["end"]) == (1010, 1059)
 
 
 def test_document_syntax_divides_heads(spark):
-    frame = syntax.sentence_syntax(edges(spark, [(1, 0, 1, 2, "x"), (1, 0, 2, 0, "ROOT"), (1, 1, 1, 0, "ROOT")]))
-    words = spark.createDataFrame([(1, 0, 2), (1, 1, 1)], "doc_id long, sent_id int, n_words int")
-    assert syntax.document_syntax(frame).first()["head"] == pytest.approx(0.25)
-    assert syntax.document_syntax(frame, words).first()["head"] == pytest.approx(0.125)
-
-
-def test_stand_in_numbers_agree_with_the_edge_table(spark):
-    toks = spark.createDataFrame([(1, 0, i + 1, w) for i, w in enumerate("a and b that c if d e f".split())], "doc_id long, sent_id int, tok_id int, word string")
-    table = syntax.sentence_syntax(syntax.stand_in_edges(toks)).first()
-    closed = spark.createDataFrame([([["a", "and", "b", "that", "c", "if", "d", "e", "f"]],)], "t array<array<string>>")
-    row = closed.select(trees.stand_in_metrics("t")[0].alias("s")).first()["s"]
-    for name in ("depth", "head", "sub_clauses", "coord_clauses", "branching", "balanced"):
-        assert row[name] == table[name], name
+    spans = spark.createDataFrame([(1, 7, 0, 0, 40, 2), (1, 7, 1, 1000, 1040, 1)], "doc_id long, text_hash long, sent_id int, start int, end int, n_words int")
+    frame = syntax.sentence_syntax(spans, edges(spark, [(1, 0, 1, 2, "x"), (1, 0, 2, 0, "ROOT"), (1, 1, 1, 0, "ROOT")]))
+    assert syntax.document_syntax(frame, False).first()["head"] == pytest.approx(0.25)
+    assert syntax.document_syntax(frame).first()["head"] == pytest.approx(0.125)
+
+
+def plain_nesting(code, tokens):
+    """(nodes, depth) of brackets and other tokens, closings without an opening left out."""
+    depth = top = seen = 0
+    for t in tokens:
+        if t in ")]}":
+            depth = max(0, depth - 1)
+            continue
+        seen += 1
+        top = max(top, depth + 1)
+        depth += t in "([{"
+    return seen + 1, top + 1
+
+
+def plain_loops(events):
+    stack, top = [], 0
+    for e in events:
+        if e == "}":
+            stack = stack[:-1]
+        else:
+            stack.append(e != "{")
+            top = max(top, sum(stack))
+    return top
+
+
+@pytest.mark.parametrize("lines", [1, 3, 7, 1000])
+def test_nesting_is_the_same_however_a_source_is_cut(spark, lines):
+    import random
+    import re
+
+    draw = random.Random(3)
+    kinds = ["{", "}", "while (a) {", "do {", "for (i = 0; f(i); i++) {", "}", "x[(1)] = y;", "}", ")", "if (b) {", ""]
+    sources = ["\n".join(draw.choice(kinds) for _ in range(n)) for n in (0, 1, 5, 40, 160)] + ["}}} {", "while (x) {" * 30 + "}" * 31 + "{"]
+    frame = spark.createDataFrame([(i, s, "cpp") for i, s in enumerate(sources)], "id long, src string, lang string")
+    got = {r["id"]: tuple(r)[1:] for r in nesting.nesting(frame, ["id"], lines=lines).collect()}
+    for i, s in enumerate(sources):
+        tokens = re.findall(r"[A-Za-z_]\w*|[0-9]+|\+\+|\S", s)
+        events = re.findall(r"\b(?:for|while)[ \t]*\([^(){}]*(?:\([^()]*\)[^(){}]*)*\)\s*\{|\bdo\s*\{|\{|\}", s)
+        assert got[i] == (*plain_nesting(s, tokens), plain_loops(events)), s
+
+
+def test_nesting_by_indentation_and_tags(spark):
+    rows = [
+        ("py", "import os\nfor a in b:\n    while c:\n        f(g(1))\n    x\nwhile d:\n\n  async for y in z:\n    pass\nend"),
+        ("html", "<html><body\n class='a'><p>a<br>b</p></body></html>"), ("py", ""), ("c", None),
+    ]
+    frame = spark.createDataFrame([(i, r[1], r[0]) for i, r in enumerate(rows)], "id long, src string, lang string")
+    got = {r["id"]: tuple(r)[1:] for r in nesting.nesting(frame, ["id"]).collect()}
+    # The line of f is in two loops, its 1 in two pairs of brackets; 9 lines, 2 openings, 25 other tokens.
+    assert got[0] == (1 + 9 + 2 + 25, 1 + 2 + 1 + 3, 2)
+    assert got[1] == (5, 5, 0) and got[2] == (1, 1, 0) and got[3] == (None, None, None)
 
 
 C_SOURCE = """#include <stdio.h>

@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import constants as K
-from quillmark.operators import features, labels, models
+from quillmark.operators import features, labels, models, syntax
 from quillmark.plans import corpora, prose, source_code
 from quillmark.plans.custom import annotate_with
 from quillmark.sources import readers, writers
-from quillmark.streaming.annotate import annotate_stream, read_master
+from quillmark.streaming.annotate import annotate_stream, changes, read_master, read_vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -119,8 +119,8 @@ def test_stream_appends_once(spark, tmp_path):
     docs = spark.createDataFrame([(1, "A cat sat."), (2, "Dogs ran off!")], "doc_id long, text string")
     late = spark.createDataFrame([(3, "Late one. Here.")], "doc_id long, text string")
 
-    def job(batch):
-        return prose.annotate_documents(batch, F.lit("LLM"))
+    def job(batch, vocabulary=None):
+        return prose.annotate_documents(batch, F.lit("LLM"), vocabulary=vocabulary)
 
     docs.write.parquet(inbox)
     for _ in range(2):
@@ -129,24 +129,64 @@ def test_stream_appends_once(spark, tmp_path):
     annotate_stream(spark, inbox, docs.schema, job, master, state)
     got = read_master(spark, master)
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 2, 3]
-    assert got.where("doc_id < 3").exceptAll(job(docs)).count() == 0
+    assert got.exceptAll(job(docs.unionByName(late))).count() == 0
+
+
+STREAMED = [
+    (1, "Wolves howl at tables. Cats was here."), (2, "One table stood there."), (3, "A cat and dogs; a wolf."), (None, "No tables, no dog."),
+    (None, "Two cats!"), (2, "Other tables of id two."), (4, ""), (5, None), (6, "One table stood there."),
+]
+
+
+@pytest.mark.parametrize("cuts", [[range(9)], [[0, 7], [3, 8, 1, 5], [2, 6, 4]]])
+def test_streams_do_not_depend_on_their_batches(spark, tmp_path, cuts):
+    inbox, master, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "doc_id long, text string"
+    for cut in cuts:
+        spark.createDataFrame([STREAMED[i] for i in cut], schema).coalesce(1).write.mode("append").parquet(inbox)
+        annotate_stream(spark, inbox, spark.createDataFrame([], schema).schema, lambda d, v: prose.annotate_documents(d, F.lit("LLM"), vocabulary=v), master, state, 1)
+    whole = spark.createDataFrame(STREAMED, schema)
+    want = prose.annotate_documents(whole, F.lit("LLM"))
+    got = read_master(spark, master)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert {r["word"] for r in read_vocabulary(spark, master).collect()} == {r["word"] for r in prose.words_of(whole).collect()}
+    again = [r["doc_id"] for v in range(len(cuts)) for r in changes(spark, master, v).collect()]
+    assert (len(again) > 0) == (len(cuts) > 1)
 
 
 def test_empty_documents_keep_their_row(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, "  "), (4, "Fine.")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in prose.annotate_documents(docs, F.lit("HUMAN")).collect()}
     assert [got[i]["is_empty"] for i in (1, 2, 3, 4)] == [True, True, True, False]
-    assert got[2]["depth"] == 0 and got[2]["sentiment"] == 0.0 and got[2]["pos"] == []
-
-
-def test_parser_output_replaces_the_stand_in(spark):
-    docs = spark.createDataFrame([(1, "Dogs bark loudly.")], "doc_id long, text string")
-    parses = spark.createDataFrame(
-        [(1, 0, 1, 2, "nsubj"), (1, 0, 2, 0, "ROOT"), (1, 0, 3, 2, "advmod"), (1, 0, 4, 2, "punct")],
-        "doc_id long, sent_id int, tok_id int, head_id int, dep string",
-    )
-    row = prose.annotate_documents(docs, F.lit("LLM"), parses=parses).first()
-    assert (row["depth"], row["head"], row["branching"], row["balanced"]) == (2, 0.25 / 3, 0.25, 1.0)
+    assert got[2]["depth"] is None and got[2]["sentiment"] == 0.0 and got[2]["pos"] == []
+
+
+PARSE = "doc_id long, parse_id int, tok_id int, head_id int, dep string, word string, start int, end int"
+
+
+def test_syntax_comes_from_a_given_parse_only(spark):
+    docs = spark.createDataFrame([(1, "Dogs bark loudly."), (1, "Dogs bark loudly."), (2, "No parse."), (None, "x y.")], "doc_id long, text string")
+    edges = [(1, 0, 1, 2, "nsubj", "Dogs", 0, 4), (1, 0, 2, 0, "ROOT", "bark", 5, 9), (1, 0, 3, 2, "advmod", "loudly", 10, 16), (1, 0, 4, 2, "punct", ".", 16, 17)]
+    rows = prose.annotate_documents(docs, F.lit("LLM"), parses=spark.createDataFrame(edges, PARSE)).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "2", "None"]
+    for row in rows:
+        found = (row["depth"], row["head"], row["branching"], row["balanced"])
+        assert found == ((2, 0.25 / 3, 0.25, 1.0) if row["doc_id"] == 1 else (None,) * 4)
+    assert {r["depth"] for r in prose.annotate_documents(docs, F.lit("LLM")).collect()} == {None}
+    assert {r["balanced"] for r in prose.annotate_sentences(docs, F.lit("LLM")).collect()} == {None}
+
+
+@pytest.mark.parametrize("width", [1, 5, 4096])
+def test_parses_are_aligned_by_their_place(spark, width):
+    text = "  One two.  Three four five! Dr. Six said so.\nEnd"
+    docs = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    spans = syntax.sentence_spans(docs)
+    found = sorted((r["sent_id"], text[r["start"] : r["end"]], r["n_words"]) for r in spans.collect())
+    assert found == [(0, "One two.", 2), (1, "Three four five!", 3), (2, "Dr. Six said so.", 4), (3, "End", 1)]
+    # The parser's second sentence begins in our first one and ends in the third.
+    parsed = spark.createDataFrame([(1, 7, 2, 5), (1, 8, 6, 33), (1, 9, 33, 45), (3, 1, 0, 9)], "doc_id long, parse_id int, start int, end int")
+    got = {r["sent_id"]: r["parse_id"] for r in syntax.aligned(spans, parsed, width).collect()}
+    assert got == {0: 7, 1: 8, 2: 8}
 
 
 def test_custom_annotator(spark):

@@ -79,30 +79,18 @@ def test_lookup_join_paths_agree(spark, skewed, monkeypatch):
         assert sorted((r["id"], r["v"]) for r in got.collect()) == want
 
 
-def test_lemma_paths_agree(spark, monkeypatch):
-    docs = spark.createDataFrame(
-        [(1, "Cats chase a cat. Dogs was dogs!"), (2, ""), (3, "One dog, two dogs; cat?")], "doc_id long, text string"
-    )
-    analysed = prose.analyse(docs, F.lit("LLM"))
-    small = {r["doc_id"]: r["lemmas"] for r in prose.add_lemmas(analysed).collect()}
-    for module in (scale, prose):
-        monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
-    large = {r["doc_id"]: r["lemmas"] for r in prose.add_lemmas(analysed).collect()}
-    assert small == large
-    assert small[1] == [["Cats", "chase", "a", "cat", "."], ["Dogs", "be", "dog", "!"]] and small[2] == []
-
-
-def test_lemma_paths_agree_on_odd_ids(spark, monkeypatch):
-    rows = [(1, "Cats chase a cat. Dogs was dogs!"), (1, "One dog, two dogs; cat?"), (None, "Dogs was cats."), (None, "Two cats!"), (1, "")]
+def test_lemmas_of_rows_with_odd_ids(spark):
+    rows = [(1, "Cats chase a cat. Dogs was dogs!"), (1, "One dog, two dogs; cat?"), (None, "Dogs was cats."), (None, "Two cats!"), (1, ""), (1, ""), (2, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    analysed = prose.analyse(docs, F.lit("LLM"))
-    small = prose.add_lemmas(analysed)
-    want = {(r["doc_id"], r["text"]): r["lemmas"] for r in small.collect()}
-    for module in (scale, prose):
-        monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
-    large = prose.add_lemmas(analysed)
-    assert large.columns == small.columns and large.count() == len(rows) == len(want)
-    assert {(r["doc_id"], r["text"]): r["lemmas"] for r in large.collect()} == want
+    got = prose.lemmatised(docs, F.lit("LLM"))
+    assert got.count() == len(rows)
+    lemmas = {(r["doc_id"], r["text"]): r["lemmas"] for r in got.collect()}
+    assert lemmas[1, rows[0][1]] == [["Cats", "chase", "a", "cat", "."], ["Dogs", "be", "dog", "!"]]
+    assert lemmas[None, "Two cats!"] == [["Two", "cat", "!"]] and lemmas[1, ""] == lemmas[2, ""] == []
+    # A vocabulary of one's own decides what may be a lemma.
+    own = spark.createDataFrame([("Dog",), ("Dog",)], "word string")
+    served = {(r["doc_id"], r["text"]): r["lemmas"] for r in prose.lemmatised(docs, F.lit("LLM"), vocabulary=own).collect()}
+    assert served[1, rows[0][1]] == [["Cats", "chase", "a", "cat", "."], ["Dog", "be", "dogs", "!"]]
 
 
 def test_joined_text_is_one_row_per_key(spark):
