@@ -13,16 +13,35 @@ from quillmark.functions import constants as K
 from quillmark.functions import patterns as P
 from quillmark.functions import polarity, text, tokens, trees
 from quillmark.functions.constants import SUBORDINATE_DEPS
-from quillmark.operators import syntax
+from quillmark.operators import opinion, syntax
 from quillmark.operators.labels import label_of
 from quillmark.plans import corpora, prose
-from quillmark.sources.tables import spread
-
-# Scores for frequent words of the given texts, next to the built-in lexicon.
-SAMPLE_LEXICON = K.POLARITY | {
-    "the": 0.4, "that": -0.6, "with": 1.1, "this": -1.3, "la": 0.5, "les": -0.4, "der": 0.7,
-    "und": -0.2, "el": 0.8, "es": -1.1, "thing": 1.7, "sure": 1.3,
-}
+from quillmark.sources.shared import settle
+from quillmark.sources.tables import spread, table
+
+# The lexicon is a table made from the benchmark items: words of 4, 8, ... characters, and runs of two
+# and three words at every fifth and seventh place, scored by their length.
+_WORDS = f"list_filter(string_split_regex({S.rewrite('{0}', polarity.EDGE_MARKS)}, {S.text(P.WS + '+')}), lambda x: length(x) > 1)"
+LEXICON = f"""bg AS (SELECT ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT {_WORDS.replace('{0}', 'text')} AS ws FROM benchmark)),
+    lexicon AS MATERIALIZED (SELECT DISTINCT term, (length(term) % 7 - 3)::DOUBLE / 2 + 0.25::DOUBLE AS v FROM (
+      SELECT lower(ws[i]) AS term FROM bg WHERE length(ws[i]) % 4 = 0
+      UNION ALL SELECT lower(ws[i] || ' ' || ws[i + 1]) FROM bg WHERE i % 5 = 0 AND i < len(ws)
+      UNION ALL SELECT lower(ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) FROM bg WHERE i % 7 = 0 AND i + 1 < len(ws)))"""
+
+
+def lexicon(spark, folder):
+    """The lexicon as a table in the shared folder."""
+    words = F.transform(F.expr(polarity.words_sql("text")), lambda x: x["w"])
+    each = table(spark, folder, "benchmark").select(words.alias("ws")).select("ws", F.posexplode("ws").alias("p", "w"))
+    i = F.col("p") + 1
+    run = lambda n: F.array_join(F.slice("ws", i, n), " ")
+    terms = F.array(
+        F.when(F.length("w") % 4 == 0, F.col("w")),
+        F.when((i % 5 == 0) & (i < F.size("ws")), run(2)),
+        F.when((i % 7 == 0) & (i + 1 < F.size("ws")), run(3)),
+    )
+    found = each.select(F.explode(terms).alias("term")).where("term is not null").distinct()
+    return settle(found.select("term", ((F.length("term") % 7 - 3) / 2 + 0.25).alias("score")), "lexicon")
 
 
 def places6(col):
@@ -42,8 +61,26 @@ def _boost_sql(w: str) -> str:
     )
 
 
+# Terms of the lexicon in each sentence: the longest at a place, from left to right; a term is one item.
+ITEMS = f"""{LEXICON},
+    sw AS MATERIALIZED (SELECT doc_id, sent_id, i, w, lower(w) AS low, (w <> lower(w) AND w = upper(w)) AS shout FROM (
+      SELECT doc_id, sent_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT doc_id, sent_id, {_WORDS.replace('{0}', 's')} AS ws FROM sents))),
+    sn AS (SELECT *, lead(low, 1) OVER o AS n1, lead(low, 2) OVER o AS n2 FROM sw WINDOW o AS (PARTITION BY doc_id, sent_id ORDER BY i)),
+    sm AS (SELECT doc_id, sent_id, i, max(n) AS n, arg_max(v, n) AS v FROM (
+        SELECT doc_id, sent_id, i, 1 AS n, v FROM sn JOIN lexicon ON term = low
+        UNION ALL SELECT doc_id, sent_id, i, 2, v FROM sn JOIN lexicon ON term = low || ' ' || n1
+        UNION ALL SELECT doc_id, sent_id, i, 3, v FROM sn JOIN lexicon ON term = low || ' ' || n1 || ' ' || n2) GROUP BY doc_id, sent_id, i),
+    sr AS (SELECT doc_id, sent_id, list_reduce(list_prepend({{'i': 0::BIGINT, 'n': 0::BIGINT, 'v': 0::DOUBLE, 'kept': []::STRUCT(i BIGINT, n BIGINT, v DOUBLE)[]}},
+          list({{'i': i::BIGINT, 'n': n::BIGINT, 'v': v, 'kept': []::STRUCT(i BIGINT, n BIGINT, v DOUBLE)[]}} ORDER BY i)),
+        lambda a, b: CASE WHEN b.i < a.i + a.n THEN a ELSE {{'i': b.i, 'n': b.n, 'v': b.v, 'kept': list_append(a.kept, {{'i': b.i, 'n': b.n, 'v': b.v}})}} END).kept AS kept
+      FROM sm GROUP BY ALL),
+    sk AS (SELECT doc_id, sent_id, k.i AS k, k.n AS n, k.v AS v FROM (SELECT doc_id, sent_id, unnest(kept) AS k FROM sr)),
+    items AS MATERIALIZED (SELECT s.doc_id, s.sent_id, coalesce(k, i) AS i, string_agg(low, ' ' ORDER BY i) AS low, bool_and(shout) AS shout, any_value(v) AS v
+      FROM sw s LEFT JOIN sk ON sk.doc_id = s.doc_id AND sk.sent_id = s.sent_id AND s.i >= k AND s.i < k + n GROUP BY s.doc_id, s.sent_id, coalesce(k, i))"""
+
+
 def scores_sql(name: str, unit: list[str], source: str, body: str) -> str:
-    """CTEs ending in ``name`` (unit..., score): polarity of ``body`` for each row of ``source``."""
+    """CTEs ending in ``name`` (unit..., score): polarity of ``body`` for each row of ``source``, from ``items``."""
     by, on = ", ".join(unit), ", ".join(unit)
     e = f"(v + CASE WHEN mixed AND shout THEN sign * {_double(K.CAPS_BOOST)} ELSE 0.0 END)"
     for k, damping in enumerate(K.DAMPING, start=1):
@@ -54,16 +91,11 @@ def scores_sql(name: str, unit: list[str], source: str, body: str) -> str:
             f" THEN {_double(K.NEGATION)} ELSE 1.0::DOUBLE END)"
         )
     lags = ", ".join(f"lag(low, {k}) OVER g AS l{k}, lag(v, {k}) OVER g AS v{k}" for k in (1, 2, 3))
-    lexicon = ", ".join(f"({S.text(w)}, {_double(v)})" for w, v in SAMPLE_LEXICON.items())
-    split = f"string_split_regex({S.rewrite(body, polarity.EDGE_MARKS)}, {S.text(P.WS + '+')})"
     own = f"body_.{body}"
     asks = f"(length({own}) - length(replace({own}, '?', '')))"
     shouts = f"(length({own}) - length(replace({own}, '!', '')))"
     return f"""
-    {name}_w AS (SELECT {by}, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (
-      SELECT {by}, list_filter({split}, lambda x: length(x) > 1) AS ws FROM {source})),
-    {name}_v AS (SELECT {name}_w.*, lower(w) AS low, (w <> lower(w) AND w = upper(w)) AS shout, lx.v
-      FROM {name}_w LEFT JOIN (VALUES {lexicon}) AS lx(term, v) ON lx.term = lower(w)),
+    {name}_v AS (SELECT {by}, row_number() OVER (PARTITION BY {by} ORDER BY sent_id, i) AS i, low, shout, v FROM items),
     {name}_g AS (SELECT *, {lags}, CASE WHEN v < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign,
         (count(*) FILTER (shout) OVER p) BETWEEN 1 AND (count(*) OVER p) - 1 AS mixed,
         min(CASE WHEN low = 'but' THEN i END) OVER p AS b
@@ -89,41 +121,26 @@ DOC_SCORES = scores_sql("ds", ["doc_id"], "documents", "text")
 SENT_SCORES = scores_sql("ss", ["doc_id", "sent_id"], "sents", "s")
 
 
-@query("document_sentiment", f"WITH {DOC_SCORES} SELECT doc_id, score AS sentiment FROM ds")
+@query("document_sentiment", f"WITH {_sents()}, {ITEMS}, {DOC_SCORES} SELECT doc_id, score AS sentiment FROM ds")
 def _(spark, folder):
-    return documents(spark, folder).select(
-        "doc_id", polarity.polarity("text", SAMPLE_LEXICON).alias("sentiment")
-    )
+    return opinion.sentiment(documents(spark, folder), lexicon(spark, folder)).drop("sentences")
 
 
 def sentence_scores(spark, folder):
     """(doc_id, sent_id, sentiment, document): scores of sentences beside their document's."""
-    docs = documents(spark, folder).select(
-        "doc_id", "text", tokens.sentences(F.col("text")).alias("sents")
-    )
-    scored = docs.select(
-        "doc_id", "text", "sents",
-        polarity.score_sentences("sents", SAMPLE_LEXICON).alias("o"),
-    )
-    rows = scored.select(
-        "doc_id",
-        polarity.document_polarity("text", "o").alias("document"),
-        F.posexplode(polarity.sentence_polarities("sents", "o")).alias("sent_id", "sentiment"),
-    )
-    return rows.select(
-        "doc_id", F.col("sent_id").cast("long").alias("sent_id"),
-        "sentiment", "document",
-    )
+    scored = opinion.sentiment(documents(spark, folder), lexicon(spark, folder))
+    rows = scored.select("doc_id", F.col("sentiment").alias("document"), F.posexplode("sentences").alias("sent_id", "sentiment"))
+    return rows.withColumn("sent_id", F.col("sent_id").cast("long"))
 
 
-@query("sentence_sentiment", f"WITH {_sents()}, {SENT_SCORES} SELECT doc_id, sent_id, score AS sentiment FROM ss")
+@query("sentence_sentiment", f"WITH {_sents()}, {ITEMS}, {SENT_SCORES} SELECT doc_id, sent_id, score AS sentiment FROM ss")
 def _(spark, folder):
     return sentence_scores(spark, folder).drop("document")
 
 
 @query(
     "sentiment_deviation_sentence",
-    f"""WITH {_sents()}, {SENT_SCORES}, {DOC_SCORES}
+    f"""WITH {_sents()}, {ITEMS}, {SENT_SCORES}, {DOC_SCORES}
         SELECT doc_id, sent_id, round(abs(ss.score - ds.score), 4) AS sentiment_deviation FROM ss JOIN ds USING (doc_id)""",
 )
 def _(spark, folder):
@@ -134,7 +151,7 @@ def _(spark, folder):
 
 @query(
     "sentiment_deviation_document",
-    f"""WITH {_sents()}, {SENT_SCORES}, {DOC_SCORES}
+    f"""WITH {_sents()}, {ITEMS}, {SENT_SCORES}, {DOC_SCORES}
         SELECT doc_id, round(stddev_pop(abs(ss.score - ds.score)) + 1e-9, 6) AS sentiment_deviation
         FROM ss JOIN ds USING (doc_id) GROUP BY doc_id""",
 )
@@ -295,7 +312,7 @@ def document_sql(body: str, source: str, key: str = "doc_id", label: str = "'LLM
     clean_src = "(SELECT doc_id, text FROM src_) x"
     return f"""WITH RECURSIVE src_ AS MATERIALIZED (SELECT * FROM {src}),
       {S.token_tables('text', clean_src)}, {PROFILE}, {TAGGED}, {LEMMATISED},
-      {_sents('text', 'd0')}, {scores_sql('ss', ['doc_id', 'sent_id'], 'sents', 's')}, {scores_sql('ds', ['doc_id'], 'd0', 'text')},
+      {_sents('text', 'd0')}, {ITEMS}, {scores_sql('ss', ['doc_id', 'sent_id'], 'sents', 's')}, {scores_sql('ds', ['doc_id'], 'd0', 'text')},
       types AS (SELECT DISTINCT doc_id, word FROM tok),
       g AS (SELECT t.doc_id, count(*) AS m, CAST(sum(coalesce(c, 0)) AS BIGINT) AS s1,
               CAST(sum(coalesce(c, 0) * coalesce(c, 0)) AS BIGINT) AS s2
@@ -353,14 +370,14 @@ def cleaned_edges(docs):
 @query("annotate_documents", document_sql(S.clean(), "documents", parsed=True))
 def parsed_documents(spark, folder):
     docs = documents(spark, folder)
-    return flat(prose.annotate_documents(docs, F.lit("LLM"), lexicon=SAMPLE_LEXICON, parses=cleaned_edges(docs)))
+    return flat(prose.annotate_documents(docs, F.lit("LLM"), lexicon=lexicon(spark, folder), parses=cleaned_edges(docs)))
 
 
 @query("annotate_documents_raw", document_sql("text", "documents", label="'HUMAN'", halve_head=False))
 def _(spark, folder):
     return flat(
         prose.annotate_documents(
-            documents(spark, folder), F.lit("HUMAN"), clean=False, normalise_head=False, lexicon=SAMPLE_LEXICON
+            documents(spark, folder), F.lit("HUMAN"), clean=False, normalise_head=False, lexicon=lexicon(spark, folder)
         )
     )
 
@@ -370,11 +387,11 @@ def _(spark, folder):
     document_sql(S.clean(), "(SELECT conv_id || '-' || turn AS id, text FROM conversations)", "id"),
 )
 def _(spark, folder):
-    return flat(corpora.from_conversations(spread_turns(spark, folder), lexicon=SAMPLE_LEXICON))
+    return flat(corpora.from_conversations(spread_turns(spark, folder), lexicon=lexicon(spark, folder)))
 
 
 SENTENCE_SQL = f"""WITH RECURSIVE {S.token_tables('text', '(SELECT doc_id, text FROM documents) x')}, {PROFILE}, {TAGGED}, {LEMMATISED},
-      {_sents('text', 'd0')}, {scores_sql('ss', ['doc_id', 'sent_id'], 'sents', 's')}, {scores_sql('ds', ['doc_id'], 'd0', 'text')},
+      {_sents('text', 'd0')}, {ITEMS}, {scores_sql('ss', ['doc_id', 'sent_id'], 'sents', 's')}, {scores_sql('ds', ['doc_id'], 'd0', 'text')},
       types AS (SELECT DISTINCT doc_id, sent_id, word FROM tok),
       g AS (SELECT t.doc_id, sent_id, count(*) AS m, CAST(sum(coalesce(c, 0)) AS BIGINT) AS s1,
               CAST(sum(coalesce(c, 0) * coalesce(c, 0)) AS BIGINT) AS s2
@@ -397,7 +414,7 @@ SENTENCE_SQL = f"""WITH RECURSIVE {S.token_tables('text', '(SELECT doc_id, text
 
 def sentence_rows(spark, folder):
     docs = documents(spark, folder)
-    rows = prose.annotate_sentences(docs, F.lit("LLM"), lexicon=SAMPLE_LEXICON, parses=given_edges(docs))
+    rows = prose.annotate_sentences(docs, F.lit("LLM"), lexicon=lexicon(spark, folder), parses=given_edges(docs))
     return rows.withColumn("sentence_length", F.col("sentence_length").cast("long"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.catalog import sql as S
-from quillmark.catalog.annotated import SENTENCE_SQL, conversation_texts, document_sql, flat, parsed_documents, sentence_rows
+from quillmark.catalog.annotated import SENTENCE_SQL, conversation_texts, document_sql, flat, lexicon, parsed_documents, sentence_rows
 from quillmark.catalog.registry import query
 from quillmark.catalog.texts import documents, turns
 from quillmark.functions import patterns as P
@@ -92,13 +92,7 @@ def _(spark, folder):
 @query("paired_dataset", document_sql(S.clean(), f"(WITH {BALANCED} SELECT * FROM pair)", label="label"))
 def _(spark, folder):
     machine, human = machine_and_human(spark, folder)
-    return flat(corpora.paired(machine, human, SEED, lexicon=_lexicon()))
-
-
-def _lexicon():
-    from quillmark.catalog.annotated import SAMPLE_LEXICON
-
-    return SAMPLE_LEXICON
+    return flat(corpora.paired(machine, human, SEED, lexicon=lexicon(spark, folder)))
 
 
 @query(
@@ -354,4 +348,4 @@ def _(spark, folder):
         "benchmark": table(spark, folder, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("doc_id"), "text"),
         "user": both.where(F.col("role") == "user").select("doc_id", "text"),
     }
-    return flat(corpora.from_human_sources(sources, 40, SEED, lexicon=_lexicon()))
+    return flat(corpora.from_human_sources(sources, 40, SEED, lexicon=lexicon(spark, folder)))

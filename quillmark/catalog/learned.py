@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.catalog import sql as S
-from quillmark.catalog.annotated import SAMPLE_LEXICON, SENTENCE_SQL, cleaned_edges, conversation_texts, places6, sentence_rows
+from quillmark.catalog.annotated import SENTENCE_SQL, cleaned_edges, conversation_texts, lexicon, places6, sentence_rows
 from quillmark.catalog.lexical import LEMMATISED, TAGGED
 from quillmark.catalog.registry import query
 from quillmark.catalog.texts import documents
@@ -163,7 +163,7 @@ def _(spark, folder):
 def labelled_turns(spark, folder):
     """Annotated user and assistant turns with ``y`` and a stratified split."""
     texts = conversation_texts(spark, folder).withColumn("label", labels.label_of(F.col("role") == "assistant"))
-    annotated = prose.annotate_documents(texts, F.col("label"), lexicon=SAMPLE_LEXICON, parses=cleaned_edges(texts))
+    annotated = prose.annotate_documents(texts, F.col("label"), lexicon=lexicon(spark, folder), parses=cleaned_edges(texts))
     return sampling.split(annotated, "doc_id", 0.2, SEED, ["label"]).withColumn("y", labels.encode_label(F.col("label")).cast("double"))
 
 
@@ -218,7 +218,7 @@ def _(spark, folder):
     rows = settle(models.with_terms(labelled_turns(spark, folder), blocks), "training")
     model = models.fit(rows, blocks, K.SCALED_METRICS, models.linear_svm(rows.count()))
     docs = documents(spark, folder)
-    unseen = prose.annotate_documents(docs, F.lit("HUMAN"), lexicon=SAMPLE_LEXICON, parses=cleaned_edges(docs))
+    unseen = prose.annotate_documents(docs, F.lit("HUMAN"), lexicon=lexicon(spark, folder), parses=cleaned_edges(docs))
     called = models.predict(model, models.with_terms(unseen, blocks))
     return called.select("doc_id", labels.decode_label(F.col("prediction")).alias("predicted"))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillmark.catalog import sql as S
-from quillmark.catalog.annotated import SAMPLE_LEXICON, document_sql, flat
+from quillmark.catalog.annotated import document_sql, flat, lexicon
 from quillmark.catalog.registry import query
 from quillmark.catalog.sources_of_code import SNIPPETS, snippets
 from quillmark.catalog.texts import documents, pages, turns
@@ -184,8 +184,10 @@ def _(spark, folder):
     inbox, master = new_path(spark, "inbox"), new_path(spark, "master")
     items.repartition(3, "doc_id").write.parquet(inbox)
 
+    terms = lexicon(spark, folder)
+
     def job(batch, vocabulary):
-        return prose.annotate_documents(batch, F.lit("LLM"), lexicon=SAMPLE_LEXICON, vocabulary=vocabulary)
+        return prose.annotate_documents(batch, F.lit("LLM"), lexicon=terms, vocabulary=vocabulary)
 
     annotate_stream(spark, inbox, items.schema, job, master, new_path(spark, "checkpoint"), files_per_batch=1)
     return flat(read_master(spark, master))
@@ -205,7 +207,7 @@ def _(spark, folder):
         (F.col("conv_id") % 2 == 0).alias("is_ai"),
     )
     texts, code, rejected = corpora.split_manifest(files.drop("is_ai"), files.select("path", "is_ai"))
-    annotated = prose.annotate_documents(texts.withColumn("doc_id", F.col("path")), F.col("label"), lexicon=SAMPLE_LEXICON)
+    annotated = prose.annotate_documents(texts.withColumn("doc_id", F.col("path")), F.col("label"), lexicon=lexicon(spark, folder))
     profiled = source_code.profile(code.select("path", "lang", F.col("text").alias("src"), F.col("label").alias("given")), F.col("given"))
     jobs = sets.concat_by_name(
         [f.select(F.lit(name).alias("job"), "label") for name, f in (("prose", annotated), ("code", profiled), ("rejected", rejected))]

@@ -1,6 +1,6 @@
 """Lexicon polarity of a text in [-1, 1], after the published valence rules.
 
-A word of the lexicon counts with its score, raised when written in capitals in a text of mixed
+A word or phrase of the lexicon counts with its score, raised when written in capitals in a text of mixed
 case, moved by degree words among the three words before it, turned by a negation there, halved
 before and raised by half after "but"; exclamation and question marks add to the sum, which is
 then squashed.
@@ -8,8 +8,6 @@ then squashed.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,27 +23,32 @@ EDGE_MARKS = [
 ]
 
 
-def _valence(low: str, lexicon: dict[str, float]) -> str:
-    """Score of a lower-cased word: one set test for a miss, then one per distinct score."""
-    by_score: dict[float, list[str]] = defaultdict(list)
-    for term, score in lexicon.items():
-        by_score[float(score)].append(term)
-    scored = Q.cases(
-        [(Q.one_of(low, by_score[s]), Q.number(s)) for s in sorted(by_score)], "NULL"
-    )
-    return f"CASE WHEN {Q.one_of(low, lexicon)} THEN {scored} END"
+def words_sql(text: str) -> str:
+    """array<struct<w, shout>>: lower-cased words without outer marks, and whether they are in
+    capitals. Words of one character are dropped."""
+    found = f"split({Q.rewrite(text, EDGE_MARKS)}, {Q.lit(P.WS + '+')})"
+    fields = "named_struct('w', low_, 'shout', w_ <> low_ AND w_ = upper(w_))"
+    return f"transform(filter({found}, w_ -> length(w_) > 1), w_ -> {Q.let('lower(w_)', 'low_', fields)})"
 
 
-def score_words_sql(text: str, lexicon: dict[str, float] | None = None) -> str:
-    """array<struct<w, shout, v>>: lower-cased words without outer marks, all-capitals flag and
-    valence, which is null outside the lexicon (built in unless given). Words of one character
-    are dropped."""
-    found = f"split({Q.rewrite(text, EDGE_MARKS)}, {Q.lit(P.WS + '+')})"
-    fields = (
-        f"named_struct('w', low_, 'shout', w_ <> low_ AND w_ = upper(w_), "
-        f"'v', {_valence('low_', lexicon or K.POLARITY)})"
+def items_sql(words: str, found: str) -> str:
+    """array<struct<w, shout, v>>: the words of a sentence, each term of the lexicon as one of them.
+
+    ``found``: map<place, struct<size, score>>, or null; ``v`` is null outside the lexicon.
+    """
+    plain = "named_struct('w', {x}.w, 'shout', {x}.shout, 'v', CAST(NULL AS DOUBLE))"
+    covered = f"exists(map_entries({found}), e_ -> e_.key < y_.i AND y_.i < e_.key + e_.value.size)"
+    term = Q.let(
+        f"slice({words}, y_.i + 1, h_.size)",
+        "run_",
+        "named_struct('w', array_join(transform(run_, z_ -> z_.w), ' '), 'shout', forall(run_, z_ -> z_.shout), 'v', h_.score)",
+    )
+    item = Q.let(f"{found}[y_.i]", "h_", f"if(h_ IS NULL, {plain.format(x='y_.x')}, {term})")
+    placed = f"transform({words}, (x_, i_) -> named_struct('x', x_, 'i', i_))"
+    return (
+        f"if({found} IS NULL, transform({words}, x_ -> {plain.format(x='x_')}), "
+        f"transform(filter({placed}, y_ -> NOT {covered}), y_ -> {item}))"
     )
-    return f"transform(filter({found}, w_ -> length(w_) > 1), w_ -> {Q.let('lower(w_)', 'low_', fields)})"
 
 
 def _boost(word: str) -> str:
@@ -101,14 +104,11 @@ def compound_sql(text: str, scored_words: str) -> str:
     )
 
 
-def polarity(text: str, lexicon: dict[str, float] | None = None) -> Column:
-    """Polarity of the text column ``text``."""
-    return F.expr(compound_sql(text, score_words_sql(text, lexicon)))
-
-
-def score_sentences(sentences: str, lexicon: dict[str, float] | None = None) -> Column:
-    """Scored words of each sentence of an array column."""
-    return F.expr(f"transform({sentences}, s_ -> {score_words_sql('s_', lexicon)})")
+def score_sentences(sentences: str, found: str) -> Column:
+    """Items of each sentence of an array column; ``found``: map of a sentence's terms, or null."""
+    words = f"transform({sentences}, s_ -> {words_sql('s_')})"
+    items = Q.let(f"{found}[n_]", "m_", items_sql("o_", "m_"))
+    return F.expr(f"transform({words}, (o_, n_) -> {items})")
 
 
 def document_polarity(text: str, sentence_words: str) -> Column:

@@ -1,8 +1,8 @@
 """Mixing sources to target weights, by exact block quotas split down a tree of output shards.
 
 Each source has a target in words and draws from an endless sequence of epochs, each a new random
-order of its documents. Whole epochs are taken whole; the last one up to the document that brings
-the source nearest to its target. Documents of an epoch lie in blocks. The number of blocks that
+order of its blocks of documents. Whole epochs are taken whole; the last one up to the document that
+brings the source nearest to its target. The number of blocks that
 each source gives is split from the root of a binary tree over output shards to its leaves, each
 time by a multivariate hypergeometric draw; a shard then owns disjoint runs of the permuted blocks
 and orders its documents at random. Everything is DataFrame operations over ids and sizes.
@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Stored, let, words
+from quillmark.llm.common import Stored, let, packed, words
 
 #: Fixed values of the contract: repeating source weights, and most repeats of a document.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -153,20 +153,27 @@ def split_tree(quotas: DataFrame, levels: int, seed: int = 0) -> DataFrame:
     return each.select("shard", F.col("p.source").alias("source"), F.col("p.q").alias("quota"))
 
 
-def _block_starts(blocks: DataFrame) -> DataFrame:
-    """Words of a source before each of its blocks; ``blocks``: _src, _block, words.
+def _dealt(blocks: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """(_src, epoch, _block, place, start): where each block stands in its source's epochs.
 
-    Two levels: totals of runs of blocks, then of blocks within a run, so that a large source is
-    not ordered in one task.
+    ``blocks``: _src, _block, words. Every epoch is an order of its own, by the hash of epoch and
+    block; ``start`` counts the words before. Totals are of two levels, parts of the hash's range and
+    blocks within a part, so that a large source is not ordered in one task.
     """
-    runs = blocks.withColumn("_run", F.floor(F.col("_block") / RUN))
-    before = Window.partitionBy("_src").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    sums = runs.groupBy("_src", "_run").agg(F.sum("words").alias("w")).select(
-        "_src", "_run", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("_before")
+    each = blocks.join(sources.select("_src", "_epochs", "_n"), "_src").select(
+        "_src", "_block", "words", "_n", F.explode(F.sequence(F.lit(0).cast("long"), "_epochs")).alias("epoch")
     )
-    inside = Window.partitionBy("_src", "_run").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("words").over(inside), F.lit(0))
-    return runs.join(sums, ["_src", "_run"]).select("_src", "_block", start.alias("_start"))
+    each = each.withColumn("_u", _uniform(seed, F.lit("order"), "epoch", "_src", "_block"))
+    each = each.withColumn("_run", F.floor(F.col("_u") * F.ceil(F.col("_n") / RUN)))
+    lower = Window.partitionBy("_src", "epoch").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = each.groupBy("_src", "epoch", "_run").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("k")).select(
+        "_src", "epoch", "_run", F.coalesce(F.sum("w").over(lower), F.lit(0)).alias("_words"),
+        F.coalesce(F.sum("k").over(lower), F.lit(0)).alias("_blocks"),
+    )
+    inside = Window.partitionBy("_src", "epoch", "_run").orderBy("_u", "_block")
+    start = F.col("_words") + F.coalesce(F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("_blocks") + F.row_number().over(inside) - 1
+    return each.join(sums, ["_src", "epoch", "_run"]).select("_src", "epoch", "_block", place.alias("place"), start.alias("start"))
 
 
 def plan(
@@ -178,10 +185,16 @@ def plan(
 
     ``docs`` needs doc_id, text and source. Null and empty texts have size 0; in a source without
     words they are taken once. A null source is a source, the last one. Rows that repeat an id are
-    told apart by their text; full repeats are interchangeable. An empty table gives an empty
-    result. Columns whose names begin with an underscore are reserved: ``_mix``, ``_src``, ``_block``,
-    ``_key`` of the input are replaced.
+    told apart by their text; full repeats are interchangeable. Texts of any length are counted
+    whole. An empty table gives an empty result. Further columns stay, whatever their names; only
+    ``_mix`` is replaced. Sources are weighed and split in one task, as one row each.
     """
+    kept = ["`" + c.replace("`", "``") + "`" for c in docs.columns if c != "_mix"]
+    return _planned(docs, weights, most, seed, shard_words).select(*[F.col(f"_row.{c}") for c in kept], "_mix")
+
+
+def _planned(docs: DataFrame, weights: tuple[float, ...], most: int, seed: int, shard_words: int) -> DataFrame:
+    """(_row, _key, _mix): every row of ``docs`` in a struct, a hash of id and text, and its plan."""
     # A source's name with a mark before it, so that a null source is a plain join key too.
     src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_src")
     key = F.xxhash64("doc_id", "text").alias("_key")
@@ -196,41 +209,46 @@ def plan(
     ), "mix-sources").df
     block = F.floor(_uniform(seed, "_key") * F.col("_n")).cast("long").alias("_block")
     blocks = sizes.join(sources.select("_src", "_n"), "_src").select("_src", block, "size")
-    starts = Stored(_block_starts(blocks.groupBy("_src", "_block").agg(F.sum("size").alias("words"))), "mix-blocks").df
-    # Blocks that the last epoch of a source reaches; whole epochs give all their blocks.
-    reached = starts.join(sources, "_src").where(F.col("_start") <= F.col("_rest"))
-    last = reached.groupBy("_src").agg((F.max("_block") + 1).alias("last"))
-    quota = F.col("_epochs") * F.col("_n") + F.coalesce("last", F.lit(0))
-    quotas = sources.join(last, "_src", "left").select(F.col("_src").alias("source"), quota.alias("quota"))
+    blocks = blocks.groupBy("_src", "_block").agg(F.sum("size").alias("words"))
+    dealt = Stored(_dealt(blocks, sources, seed), "mix-blocks").df
+    # Whole epochs give all their blocks; the last one those that begin before the target is met.
+    whole = dealt.join(sources.select("_src", "_epochs", "_rest"), "_src")
+    given = whole.where((F.col("epoch") < F.col("_epochs")) | (F.col("start") <= F.col("_rest")))
+    # Places of a source's blocks, epoch after epoch, in one row of draws.
+    counts = given.groupBy("_src", "epoch").agg(F.count(F.lit(1)).alias("k"))
+    earlier = Window.partitionBy("_src").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("_src", "epoch", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("_first"))
+    quotas = counts.groupBy("_src").agg(F.sum("k").alias("quota"))
+    quotas = sources.select("_src").join(quotas, "_src", "left").select(F.col("_src").alias("source"), F.coalesce("quota", F.lit(0)).alias("quota"))
     mixed = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     shares = split_tree(quotas, max(0, math.ceil(math.log2(max(1.0, mixed / shard_words)))), seed)
     upto = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     owned = shares.select(F.col("source").alias("_src"), "shard", "quota", F.coalesce(F.sum("quota").over(upto), F.lit(0)).alias("first"))
     draws = owned.where("quota > 0").select("_src", "shard", F.explode(F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("draw"))
-    draws = draws.join(sources.select("_src", "_n"), "_src").select(
-        "_src", "shard", F.floor(F.col("draw") / F.col("_n")).alias("epoch"), (F.col("draw") % F.col("_n")).alias("_block")
+    given = given.join(firsts, ["_src", "epoch"]).select("_src", "epoch", "_block", (F.col("_first") + F.col("place")).alias("draw"))
+    shards = given.join(draws, ["_src", "draw"]).groupBy("_src", "_block").agg(
+        F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("_shards")
     )
-    shards = draws.groupBy("_src", "_block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("_shards"))
+    starts = whole.where(F.col("epoch") == F.col("_epochs")).select("_src", "_block", F.col("start").alias("_start"))
     blocks = Stored(starts.join(shards, ["_src", "_block"], "left").join(sources.drop("_n"), "_src"), "mix-plan").df
     # One shuffle of the documents, by block; the running total within a block uses it as well.
-    placed = docs.withColumns({"_src": src, "_key": key}).join(sources.select("_src", "_n"), "_src")
-    placed = placed.withColumn("_block", block).drop("_n").join(blocks, ["_src", "_block"])
+    rows = docs.select(packed(docs).alias("_row"), src, key, size_of(F.col("text")).alias("_size"))
+    placed = rows.join(sources.select("_src", "_n"), "_src").withColumn("_block", block).drop("_n").join(blocks, ["_src", "_block"])
     inside = Window.partitionBy("_src", "_block").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    size = size_of(F.col("text"))
-    placed = placed.withColumn("_size", size)
-    placed = placed.withColumn("_at", F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    at = F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    placed = placed.withColumn("_at", at)
     nearer = F.col("_at") + F.col("_size") / 2 <= F.col("_rest")
     copies = F.filter(F.coalesce("_shards", F.array().cast("array<struct<epoch:bigint,shard:bigint>>")), lambda c: (c["epoch"] < F.col("_epochs")) | nearer)
     mix = F.struct(F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))
-    kept = [c for c in docs.columns if c not in ("_mix", "_src", "_key", "_block", "_size", "_at")]
-    return placed.select(*kept, mix.alias("_mix"))
+    return placed.select("_row", "_key", mix.alias("_mix"))
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
+def mixture(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 0, shard_words: int = SHARD_WORDS
+) -> DataFrame:
     """The mix itself: every row as often as it is taken, in the columns of ``docs``, shard by shard
     and in random order within a shard. Takes the options of ``plan`` and treats rows as it does."""
-    seed = options.get("seed", 0)
-    each = plan(docs, **options).withColumn("_copy", F.explode("_mix.copies"))
-    place = F.xxhash64(F.lit(seed), F.col("_copy.epoch"), "doc_id", "text")
-    each = each.withColumns({"_shard": F.col("_copy.shard"), "_place": place})
-    return each.repartition("_shard").sortWithinPartitions("_shard", "_place").select(*docs.columns)
+    each = _planned(docs, weights, most, seed, shard_words).select("_row", "_key", F.explode("_mix.copies").alias("_copy"))
+    place = F.xxhash64(F.lit(seed), F.col("_copy.epoch"), "_key")
+    each = each.select("_row", F.col("_copy.shard").alias("_shard"), place.alias("_place"))
+    return each.repartition("_shard").sortWithinPartitions("_shard", "_place").select("_row.*")

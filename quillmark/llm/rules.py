@@ -133,6 +133,11 @@ def apply(entries: DataFrame, policy: str | tuple[str, ...]) -> DataFrame:
     return entries.withColumn("kept", F.col("bits").bitwiseAND(F.lit(mask(policy))) == 0)
 
 
+def rules_names() -> tuple[str, ...]:
+    """Names of the rules in the order of their bits."""
+    return POLICIES["v2"]
+
+
 def ablation(entries: DataFrame, policy: str | tuple[str, ...]) -> DataFrame:
     """(rule, n_failed, n_only, n_kept_without): per rule of the policy, rows that fail it, rows that
     fail nothing else, and rows kept if it is left out. One aggregation by distinct bit sets."""

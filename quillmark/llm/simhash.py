@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Stored, slices
+from quillmark.llm.common import Stored, packed, slices
 from quillmark.llm.components import components
 
 #: Generator polynomial of the Golay code, hash seed of the contract.
@@ -204,10 +204,11 @@ def keep_first(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
     """One row of each component, the one with the least (id, text); the columns of ``docs`` stay.
 
     Rows without an id come after those with one, and a null text after any other. Rows that are
-    equal in id and text are one document, and any one of them stays.
+    equal in id and text are one document, and any one of them stays. Null and empty texts are
+    documents with fingerprint 0; an empty table stays empty; other columns may have any name.
     """
     keys = ["_none", "_id", "_x", "_y"]
-    marked = docs.select(*docs.columns, *_row_marks(docs))
+    marked = docs.select(packed(docs).alias("_row"), "doc_id", "text", *_row_marks(docs))
     each = marked.select("doc_id", *keys, fingerprints(F.col("text"), size).alias("fp"))
     heads = _rooted(each, distance, BUCKET).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     heads = Stored(heads.select("root", *keys).distinct(), "component-heads").df
@@ -219,4 +220,4 @@ def keep_first(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
         first = F.struct(F.col("text").isNull().alias("no_text"), "text", *keys)
         least = marked.select(*keys, "text").join(tied, keys).groupBy("root").agg(F.min(first).alias("first"))
         chosen = chosen.unionAll(least.select(*(F.col(f"first.{k}").alias(k) for k in keys)))
-    return marked.join(chosen, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return marked.join(chosen, keys, "left_semi").dropDuplicates(keys).select("_row.*")

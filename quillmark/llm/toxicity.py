@@ -248,21 +248,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes
     driver, and the ids that are broadcast are at most two times ``rows``."""
     marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max(label).alias("_y"))
-    # Only ids and sizes are joined; texts are fetched for the chosen ids alone.
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
-    each = sizes.join(marks, "doc_id").withColumn("_o", F.xxhash64(F.lit("sample"), "doc_id"))
-    chosen: dict[int, int] = {}
+    # Only ids, hashes and sizes are joined; texts are fetched for the chosen rows alone. A row is its
+    # id and the hash of its text: texts that share an id are chosen, and counted, one by one.
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    each = sizes.join(marks, "doc_id").dropDuplicates(["doc_id", "_h"]).withColumn("_o", F.xxhash64(F.lit("sample"), "doc_id"))
+    chosen: list[tuple[int, int, int]] = []
     for y in (0, 1):
         total = 0
-        for key in each.where(F.col("_y") == y).select("_o", "doc_id", "n").orderBy("_o", "doc_id", "n").limit(rows).collect():
+        order = ["_o", "doc_id", "n", "_h"]
+        for key in each.where(F.col("_y") == y).select(*order).orderBy(*order).limit(rows).collect():
             if total + key["n"] <= most_bytes:
-                chosen[key["doc_id"]] = y
+                chosen.append((key["doc_id"], key["_h"], y))
                 total += key["n"]
-    ids = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, y int")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    texts = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    out = [(r["text"], r["y"]) for r in texts]
-    return out
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, _h long, y int")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), "text")
+    found = found.join(F.broadcast(wanted), ["doc_id", "_h"]).groupBy("doc_id", "_h", "y").agg(F.min("text").alias("text"))
+    return [(r["text"], r["y"]) for r in found.orderBy("doc_id", "_h").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import arrays as A
 from quillmark.functions import polarity, tagging, text, tokens
-from quillmark.operators import lexical, syntax
+from quillmark.operators import lexical, opinion, syntax
 
 #: Syntax columns of a document and of a sentence, with their types.
 DOCUMENT_SYNTAX = {
@@ -60,14 +60,16 @@ def _tokens(analysed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lemmatised(
-    df: DataFrame, label: Column, text_col: str = "text", clean: bool = True, vocabulary: DataFrame | None = None
+    df: DataFrame, label: Column, text_col: str = "text", clean: bool = True, vocabulary: DataFrame | None = None,
+    lexicon: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, label, text, sents, toks, tags, lemmas): the analysis that all jobs share.
 
     ``vocabulary`` (word) holds the words that may be lemmas; without one, the words of the texts. The
     tokens that may change are joined with it by what they change to, and only the changes come back
     to their row: the one shuffle of texts is by row, the tokens stay where they are. Ids may be
-    null or repeated. Null and empty texts have no sentences.
+    null or repeated. Null and empty texts have no sentences. With a ``lexicon`` (term, score) there
+    is a column ``found``, the places of its terms, by the same shuffle.
     """
     rows = _texts(df, label, text_col, clean)
     if vocabulary is None:
@@ -76,7 +78,10 @@ def lemmatised(
     changed = lexical.changed_lemmas(each, [*KEY, "sent_id", "tok_id"], vocabulary)
     by_sentence = changed.groupBy(*KEY, "sent_id").agg(F.map_from_entries(F.collect_list(F.struct("tok_id", "lemma"))).alias("_m"))
     by_row = by_sentence.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("sent_id", "_m"))).alias("_changed"))
-    found = _analysed(rows.join(by_row, KEY, "left"))
+    joined = rows.join(by_row, KEY, "left")
+    if lexicon is not None:
+        joined = joined.join(opinion.found_terms(rows, KEY, "text", lexicon), KEY, "left")
+    found = _analysed(joined)
     lemmas = (
         "transform(toks, (ts_, s_) -> get(transform(array(_changed[s_]), m_ -> "
         "if(m_ IS NULL, ts_, transform(ts_, (w_, i_) -> coalesce(m_[i_], w_)))), 0))"
@@ -114,7 +119,7 @@ def annotate_documents(
     text_col: str = "text",
     clean: bool = True,
     normalise_head: bool = True,
-    lexicon: dict[str, float] | None = None,
+    lexicon: DataFrame | None = None,
     vocabulary: DataFrame | None = None,
     parses: DataFrame | None = None,
 ) -> DataFrame:
@@ -123,9 +128,11 @@ def annotate_documents(
     An empty text keeps its row with zero numbers. ``parses`` is a dependency-edge table (see
     ``operators.syntax``) whose offsets are into the analysed text; the syntax columns of documents
     without a parse, and of all without ``parses``, are null. A table holds one parse of an id:
-    rows that repeat an id are all aligned with it. ``vocabulary`` as in ``lemmatised``.
+    rows that repeat an id are all aligned with it. ``vocabulary`` as in ``lemmatised``; ``lexicon``
+    is a table (term, score) of words and phrases, by default a small one.
     """
-    doc = lemmatised(df, label, text_col, clean, vocabulary)
+    lexicon = opinion.built_in(df.sparkSession) if lexicon is None else lexicon
+    doc = lemmatised(df, label, text_col, clean, vocabulary, lexicon)
     staged = (
         doc.withColumn("_w", F.flatten("toks"))
         .withColumn("_k", tokens.kept_tokens("text"))
@@ -133,7 +140,7 @@ def annotate_documents(
         .withColumn("_nw", F.size("_w").cast("long"))
         .withColumn("_len", A.moments(F.transform("toks", lambda t: F.size(t))))
         .withColumn("_prof", tokens.document_profile(F.col("_k"), F.col("_w")))
-        .withColumn("_opinions", polarity.score_sentences("sents", lexicon))
+        .withColumn("_opinions", polarity.score_sentences("sents", "found"))
         .withColumn("sentiment", polarity.document_polarity("text", "_opinions"))
         .withColumn("_sent", polarity.sentence_polarities("sents", "_opinions"))
     )
@@ -170,7 +177,7 @@ def annotate_sentences(
     label: Column,
     text_col: str = "text",
     clean: bool = False,
-    lexicon: dict[str, float] | None = None,
+    lexicon: DataFrame | None = None,
     vocabulary: DataFrame | None = None,
     parses: DataFrame | None = None,
 ) -> DataFrame:
@@ -178,14 +185,15 @@ def annotate_sentences(
 
     ``parses`` and ``vocabulary`` as in ``annotate_documents``.
     """
+    lexicon = opinion.built_in(df.sparkSession) if lexicon is None else lexicon
     doc = (
-        lemmatised(df, label, text_col, clean, vocabulary)
+        lemmatised(df, label, text_col, clean, vocabulary, lexicon)
         .withColumn("_k", tokens.kept_tokens("text"))
         .withColumn("_w", F.flatten("toks"))
         .withColumn("_ttr", A.mean_of(F.size("_w").cast("long"), A.distinct_count(F.col("_w"))))
         .withColumn("_n", F.size("_k").cast("long"))
         .withColumn("_prof", tokens.type_profile(F.col("_k"), tokens.types_of_sentences(F.col("toks"))))
-        .withColumn("_opinions", polarity.score_sentences("sents", lexicon))
+        .withColumn("_opinions", polarity.score_sentences("sents", "found"))
         .withColumn("_doc", polarity.document_polarity("text", "_opinions"))
         .withColumn("_sent", polarity.sentence_polarities("sents", "_opinions"))
     )

@@ -108,3 +108,84 @@ def test_equal_replicas_and_null_parts(spark):
     pages = spark.createDataFrame([(1, "u", "h"), (None, None, "x"), (None, "y", None), (1, "u", "h"), (5000, "v", "")], "page_id long, url string, html string")
     assert warc.audit(pages, pages).count() == 0
     assert warc.audit(pages, pages.where("page_id is not null")).count() == 2
+
+
+#: Names that plans use themselves, or that callers often have.
+CLASHING = (
+    "target size source_size _n _start _size _src _key _block _at _row _mix _copy _shard _place _id _hash _gone _x _y _none _of"
+    " _text_hash fp root key line bucket component_id score toxic quality bits kept ids decoded"
+).split()
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    docs = spark.createDataFrame([r[:3] for r in ROWS], "doc_id long, text string, source string")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for c in CLASHING})
+    mild = toxicity.fit([("good words", 0), ("bad words", 1)] * 3)
+    found = {
+        "mixing": mixing.mixture(docs), "simhash": simhash.keep_first(docs), "lines": lines.drop_duplicate_lines(docs),
+        "toxicity": toxicity.keep_ordinary(docs, mild, threshold=1.1),
+    }
+    for name, kept in found.items():
+        assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        assert rows and all(r[c] == c + ("?" if r["doc_id"] is None else str(r["doc_id"])) for r in rows for c in CLASHING), name
+    assert mixing.plan(docs).columns == [c for c in docs.columns if c != "_mix"] + ["_mix"]
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"), F.lit(0).alias("quality"), "score", "text")
+    for name, each in {
+        "near": simhash.near_duplicates(docs), "scores": toxicity.scores(docs, toxicity.train(docs, labels)),
+        "quality": quality_knn.scores(docs, quality_knn.train(docs, labels)), "ledger": rules.ledger(docs),
+        "bpe": bpe.round_trip(docs, queries.vocabulary_path(), ["doc_id", "line"]), "lines": lines.duplicate_lines(docs),
+    }.items():
+        assert each.count() > 0, name
+
+
+def test_empty_tables_of_other_operators(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert simhash.keep_first(docs).count() == mixing.mixture(docs).count() == 0
+    assert bpe.round_trip(docs, queries.vocabulary_path(), ["doc_id"], exact="same").count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.audit(pages, pages).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.conversations(chat.reply_trees(turns)).count() == 0
+
+
+def test_training_without_labels_or_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b" * 5000), (1, "a"), (4, None), (None, "c")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert len({r["score"] for r in toxicity.scores(docs, toxicity.train(docs, none)).collect()}) == 1
+    assert len({r["score"] for r in quality_knn.scores(docs, quality_knn.train(docs, none)).collect()}) == 1
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (4, 0, 0)], "doc_id long, toxic int, quality int")
+    kept = [i for i in (1, 4) if __import__("zlib").crc32(str(i).encode()) % 4 != 2]
+    # A text that was refused for its size is never fetched by its id.
+    assert sorted(toxicity.sample(docs, labels, "toxic", 10, 100), key=str) == sorted(
+        [(t, y) for i, t, y in ((1, "a", 1), (4, None, 0)) if i in kept], key=str
+    )
+    assert len(toxicity.sample(docs, labels, "toxic", 10, 10_000)) == len([x for x in (1, 1, 4) if x in kept])
+
+
+def test_very_long_lines(spark):
+    base = " ".join(f"word{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, base), (2, base + " more"), (3, base[::-1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.drop_duplicate_lines(docs).collect()}
+    assert got[1] == base and got[2] == "" and got[3] == base[::-1]
+
+
+def test_equal_scores_across_tiles(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(5000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(frame, F.col("vec_id").isin(1, 2, 4999), k=4).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [
+        (1, 3), (1, 5), (1, 7), (1, 9), (2, 0), (2, 4), (2, 6), (2, 8), (4999, 1), (4999, 3), (4999, 5), (4999, 7)
+    ]
+
+
+def test_texts_are_cut_to_strips_by_bytes_only_between_rows():
+    import pyarrow as pa
+
+    from quillmark.llm.common import strips
+
+    texts = ["a" * 7, None, "", "é" * 10, "b" * 100, "c", "d" * 9, "e"]
+    batch = pa.record_batch([pa.array(texts)], ["t"])
+    cut = [b.column(0).to_pylist() for b in strips([batch, batch.slice(0, 0)], "t", 10)]
+    assert [x for c in cut for x in c] == texts
+    assert all(len(c) == 1 or sum(len((x or "").encode()) for x in c) <= 10 for c in cut)

@@ -3,8 +3,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.functions import code, polarity
-from quillmark.operators import nesting, syntax
+from quillmark.functions import code
+from quillmark.operators import nesting, opinion, syntax
 
 LEXICON = {"good": 2.0, "bad": -2.0}
 
@@ -36,8 +36,24 @@ def squash(s):
     ],
 )
 def test_polarity(spark, raw, total):
-    frame = spark.createDataFrame([(raw,)], "text string")
-    assert frame.select(polarity.polarity("text", LEXICON)).first()[0] == pytest.approx(squash(total))
+    frame = spark.createDataFrame([(1, raw)], "doc_id long, text string")
+    lexicon = spark.createDataFrame(list(LEXICON.items()), "term string, score double")
+    assert opinion.sentiment(frame, lexicon).first()["sentiment"] == pytest.approx(squash(total))
+
+
+def test_longest_phrases_of_a_large_lexicon(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"w{i}", 0.5) for i in range(7000)] + [("w1 w2", -1.0), ("W1  w2 w3", 3.0), ("w3 w4", 2.0), ("cut above", 1.5), ("w9", 0.25), ("", 1.0), (None, 2.0), ("w5", None)]
+    lexicon = spark.createDataFrame(rows, "term string, score double")
+    texts = ["w1 w2 w3 w4 yes", "w1 w2 w4", "not w1 w2", "a CUT ABOVE the rest", "w1. w2 w3", "w6999 but w9", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "w1 w2"), (None, "w3")], "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]): r["sentiment"] for r in opinion.sentiment(docs, lexicon).join(docs, "doc_id").collect()}
+    half = 0.5
+    totals = [3.0 + half, -1.0 + half, -1.0 * -0.74, 1.5 + 0.733, half + half + half, half * 0.5 + half * 1.5, 0.0, 0.0]
+    assert [got[i, t] for i, t in enumerate(texts)] == pytest.approx([squash(t) for t in totals])
+    nulls = opinion.sentiment(docs, lexicon).where(F.col("doc_id").isNull())
+    assert sorted(r["sentiment"] for r in nulls.collect()) == pytest.approx([squash(-1.0), squash(half)])
 
 
 def edges(spark, rows):
