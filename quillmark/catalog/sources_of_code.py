@@ -9,11 +9,10 @@ from quillmark.catalog.registry import query
 from quillmark.catalog.texts import documents, pages, turns
 from quillmark.functions import arrays as A
 from quillmark.functions import code as C
-from quillmark.functions import constants as K
 from quillmark.functions import nesting as N
 from quillmark.functions import patterns as P
 from quillmark.functions import text
-from quillmark.operators import dialogue, nesting, sampling
+from quillmark.operators import dialogue, language, nesting
 from quillmark.plans import corpora, source_code
 
 # Each turn becomes one source in a language picked by its conversation, a line for every word of
@@ -293,21 +292,32 @@ def _(spark, folder):
     return nesting.nesting(code, ["conv_id", "turn"], lines=64)
 
 
-_MARKERS = " UNION ALL ".join(
-    f"SELECT '{lang}' AS lang, unnest([{', '.join(S.text(p) for p in pieces)}]) AS piece, unnest([{', '.join(map(str, pieces.values()))}])::DOUBLE AS w"
-    for lang, pieces in K.CODE_MARKERS.items()
-)
+# Half of the conversations teach, the other half is called: logarithms in millionths, so sums are exact.
+_LOG = "CAST(round(1000000 * ln({0})) AS BIGINT)"
+BAYES = f"""pc AS MATERIALIZED (SELECT conv_id, turn, lang, CAST('0x' || left(md5(p), 4) AS INTEGER) AS b FROM (
+        SELECT conv_id, turn, lang, unnest({S.all_matches('src', P.CODE_TOKEN)}) AS p FROM snip)),
+    nb AS (SELECT lang, b, count(*) AS n FROM pc WHERE conv_id % 2 = 0 GROUP BY ALL),
+    nc AS (SELECT lang, sum(n) AS total FROM nb GROUP BY lang),
+    prior AS (SELECT lang, {_LOG.format('count(*) / (SELECT count(*) FROM snip WHERE conv_id % 2 = 0)')} AS p,
+        {_LOG.format('1 / (coalesce(any_value(total), 0) + 65536)')} AS unseen, any_value(total) AS total
+      FROM snip LEFT JOIN nc USING (lang) WHERE conv_id % 2 = 0 GROUP BY lang),
+    wt AS (SELECT lang, b, {_LOG.format('(n + 1) / (total + 65536)')} - unseen AS w FROM nb JOIN prior USING (lang)),
+    df AS (SELECT conv_id, turn, b, count(*) AS c FROM pc WHERE conv_id % 2 = 1 GROUP BY ALL),
+    dn AS (SELECT conv_id, turn, CAST(sum(c) AS BIGINT) AS n FROM df GROUP BY ALL),
+    ds AS (SELECT conv_id, turn, wt.lang, CAST(sum(c * w) AS BIGINT) AS s FROM df JOIN wt USING (b) GROUP BY ALL),
+    sc AS (SELECT conv_id, turn, prior.lang, p + coalesce(n, 0) * unseen + coalesce(s, 0) AS score FROM snip JOIN prior ON snip.conv_id % 2 = 1
+      LEFT JOIN dn USING (conv_id, turn) LEFT JOIN ds ON ds.conv_id = snip.conv_id AND ds.turn = snip.turn AND ds.lang = prior.lang)"""
 
 
 @query(
     "detect_code_language",
-    f"""WITH {SNIPPETS}, mk AS ({_MARKERS}),
-        sc AS (SELECT conv_id, turn, mk.lang AS l, sum(w) AS s FROM snip JOIN mk ON contains(src, piece) GROUP BY ALL),
-        b AS (SELECT conv_id, turn, max((s, l)) AS best FROM sc GROUP BY ALL)
-        SELECT conv_id, turn, struct_extract_at(best, 2) AS detected FROM conversations LEFT JOIN b USING (conv_id, turn)""",
+    f"""WITH {SNIPPETS}, {BAYES} SELECT conv_id, turn, struct_extract(best, 'lang') AS detected, struct_extract(best, 's')::BIGINT AS score
+        FROM (SELECT conv_id, turn, max({{'s': score, 'lang': lang}}) AS best FROM sc GROUP BY ALL)""",
 )
 def _(spark, folder):
-    return snippets(spark, folder).select("conv_id", "turn", C.detect_language(F.col("src")).alias("detected"))
+    code = snippets(spark, folder)
+    model = language.train(code.where("conv_id % 2 = 0"), F.col("src"), F.col("lang"))
+    return language.detect(code.where("conv_id % 2 = 1"), ["conv_id", "turn"], F.col("src"), model)
 
 
 @query(
@@ -321,9 +331,13 @@ def _(spark, folder):
 
 @query(
     "group_by_language",
-    """SELECT lang, doc_id // 500 AS batch, count(*) AS n_responses, CAST(sum(length(text)) AS BIGINT) AS n_chars
-       FROM (SELECT nullif(lang, 'es') AS lang, doc_id, text FROM documents) WHERE lang IS NOT NULL GROUP BY ALL""",
+    """WITH r AS (SELECT lang, doc_id, text, strlen(text) AS n FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+        l AS (SELECT lang, doc_id, text, n, 's' || (coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 10000)::BIGINT AS list_id FROM r WHERE n <= 10000
+          UNION ALL SELECT lang, doc_id, text, n, 'l' || doc_id FROM r WHERE n > 10000)
+        SELECT lang, list_id, string_agg(text, chr(30) ORDER BY doc_id) AS responses, count(*) AS n_responses, CAST(sum(n) AS BIGINT) AS n_bytes
+        FROM l GROUP BY lang, list_id""",
 )
 def _(spark, folder):
-    docs = documents(spark, folder).withColumn("lang", F.nullif("lang", F.lit("es")))
-    return source_code.batches_by_language(docs, "lang", "doc_id", "text", 500)
+    lists = source_code.work_lists(documents(spark, folder), "lang", "doc_id", "text", 20_000)
+    return lists.withColumn("responses", F.array_join("responses", "\x1e"))

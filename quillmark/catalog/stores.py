@@ -168,13 +168,18 @@ def _(spark, folder):
 
 @query(
     "append_master",
-    "SELECT doc_id AS id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark",
+    """SELECT doc_id AS id, text, 'documents' AS run_id FROM documents
+       UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark""",
 )
 def _(spark, folder):
+    """Two runs, one of them repeated, and rows of a third that never came to its end."""
     path = new_path(spark, "master")
-    writers.append_master(documents(spark, folder).select(F.col("doc_id").alias("id"), "text"), path)
-    writers.append_master(table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text"), path)
-    return spark.read.parquet(path)
+    docs = documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), "text")
+    for rows, run in ((docs.limit(10), "documents"), (items, "benchmark"), (docs, "documents")):
+        writers.append_master(rows, path, run)
+    items.withColumn("run_id", F.lit("failed")).write.partitionBy("run_id").mode("append").parquet(f"{path}/rows")
+    return writers.read_master(spark, path)
 
 
 @query("stream_annotate", document_sql(S.clean(), "benchmark", "item_id"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quillmark.functions import arrays as A
 from quillmark.functions import nesting as N
 from quillmark.functions import patterns as P
-from quillmark.functions.constants import CODE_MARKERS
 from quillmark.functions.text import rewrite
 
 PY = ["py", "ipynb"]
@@ -175,20 +174,3 @@ def run_depth(steps: Column) -> Column:
 def loop_depth(code: Column) -> Column:
     """Deepest nesting of loops of masked source in brace languages; other blocks are transparent."""
     return N.merged(F.array(N.summary(N.loop_events(code))))["loops"].cast("long")
-
-
-def detect_language(src: Column) -> Column:
-    """Name of the language with the heaviest markers; null when none is present."""
-    scores = F.array(
-        *[
-            A.record(score=sum(
-                    (F.when(src.contains(piece), F.lit(w)).otherwise(F.lit(0.0))
-                     for piece, w in pieces.items()),
-                    start=F.lit(0.0),
-                ), lang=F.lit(lang))
-            for lang, pieces in CODE_MARKERS.items()
-        ]
-    )
-    return A.let(
-        F.array_max(scores), lambda best: F.when(best["score"] > 0, best["lang"])
-    )

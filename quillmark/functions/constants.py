@@ -133,13 +133,3 @@ LANGUAGE_MARKERS = {
     "de": {"der": 2.0, "die": 1.5, "und": 2.0, "das": 1.5, "ist": 1.0, "nicht": 1.0},
     "es": {"el": 2.0, "los": 2.0, "y": 1.5, "que": 0.5, "una": 1.0, "para": 1.0, "por": 1.0},
 }
-
-# Marker pieces with weights, for naming the language of a source text.
-CODE_MARKERS = {
-    "py": {"def ": 2.0, "import ": 1.0, "elif ": 2.0, "self": 1.0, ":\n": 1.0},
-    "cpp": {"#include <iostream>": 3.0, "std::": 3.0, "cout": 2.0, "#include": 1.0},
-    "c": {"#include <stdio.h>": 3.0, "printf(": 2.0, "#include": 1.0, "int main": 1.0},
-    "java": {"public class": 3.0, "System.out": 3.0, "import java": 2.0},
-    "js": {"function ": 1.5, "console.log": 3.0, "const ": 1.0, "=>": 1.0},
-    "html": {"<html": 3.0, "<div": 2.0, "</p>": 2.0, "<!doctype": 2.0, "<!DOCTYPE": 2.0},
-}

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import code
-from quillmark.operators import nesting, opinion, syntax
+from quillmark.operators import language, nesting, opinion, syntax
+from quillmark.plans import source_code
 
 LEXICON = {"good": 2.0, "bad": -2.0}
 
@@ -204,7 +205,39 @@ def test_markup_depth(one):
     assert (got["nodes"], got["depth"]) == (6, 5)
 
 
-def test_language_detection(one):
-    assert one("#include <iostream>\nstd::cout << 1;", code.detect_language) == "cpp"
-    assert one("def f(self):\n  pass", code.detect_language) == "py"
-    assert one("plain words", code.detect_language) is None
+def test_language_by_naive_bayes(spark):
+    import hashlib
+    import math
+    from collections import Counter
+
+    rows = [("a b b", "x"), ("b c", "x"), ("c c d", "y"), ("z", None), (None, "y"), ("", "y")]
+    frame = spark.createDataFrame(rows, "src string, lang string")
+    model = language.train(frame, F.col("src"), F.col("lang"))
+    code_of = lambda p: int(hashlib.md5(p.encode()).hexdigest()[:4], 16)
+    taught = [(s, y) for s, y in rows if s is not None and y]
+    counts = {y: Counter(code_of(p) for s, l in taught if l == y for p in s.split()) for y in "xy"}
+
+    def score(text, y):
+        total = sum(counts[y].values()) + language.PIECES
+        prior = round(1e6 * math.log(sum(l == y for _, l in taught) / len(taught)))
+        return prior + sum(round(1e6 * math.log((counts[y][code_of(p)] + 1) / total)) for p in text.split())
+
+    texts = ["a b", "c d", "q", "", "b c"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "id long, src string")
+    got = {r["id"]: (r["detected"], r["score"]) for r in language.detect(docs, ["id"], F.col("src"), model).collect()}
+    for i, t in enumerate([*texts]):
+        best = max((score(t, y), y) for y in "xy")
+        assert got[i] == (best[1], best[0])
+    assert got[9] == got[3] and language.detect(docs.limit(0), ["id"], F.col("src"), model).count() == 0
+
+
+def test_work_lists_keep_their_bound(spark):
+    sizes = [3, 50, 1, 200, 7, 40, 51, 2, 2, 2, 49, 30, 30, 30]
+    rows = [(i, "en" if i % 3 else "fr", "é" * (n // 2) + "x" * (n % 2)) for i, n in enumerate(sizes)] + [(90, None, "n"), (91, "en", None), (92, "en", "")]
+    frame = spark.createDataFrame(rows, "k long, lang string, text string")
+    lists = source_code.work_lists(frame, "lang", "k", "text", 100).collect()
+    assert all(r["n_bytes"] <= 100 or r["n_responses"] == 1 for r in lists)
+    held = sorted((r["lang"], t) for r in lists for t in r["responses"])
+    assert held == sorted((g, t) for _, g, t in rows if g and t is not None)
+    assert len(lists) < len(held) and all(r["n_bytes"] == sum(len(t.encode()) for t in r["responses"]) for r in lists)
+    assert source_code.work_lists(frame.limit(0), "lang", "k", "text", 100).count() == 0

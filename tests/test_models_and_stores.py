@@ -154,6 +154,16 @@ def test_streams_do_not_depend_on_their_batches(spark, tmp_path, cuts):
     assert (len(again) > 0) == (len(cuts) > 1)
 
 
+def test_a_run_is_appended_once(spark, tmp_path):
+    path = str(tmp_path / "master")
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, text string")
+    for run, frame in (("r1", rows), ("r2", rows.limit(0)), ("r1", rows), ("r3", rows.limit(1)), ("r3", rows)):
+        writers.append_master(frame, path, run)
+    rows.write.partitionBy().mode("append").parquet(f"{path}/rows/run_id=broken")
+    got = sorted((r["run_id"], r["id"]) for r in writers.read_master(spark, path).collect())
+    assert got == [("r1", 1), ("r1", 2), ("r3", 1), ("r3", 2)]
+
+
 def test_empty_documents_keep_their_row(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, "  "), (4, "Fine.")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in prose.annotate_documents(docs, F.lit("HUMAN")).collect()}
