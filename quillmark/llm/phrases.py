@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -29,7 +30,7 @@ from quillmark.llm.common import Stored, slices
 #: Words of the longest phrase, occurrences of a frequent one, phrases returned of each language.
 LONGEST, LEAST, BEST = 5, 100, 2000
 #: Share of the documents in the sample, and of a phrase's expected count there that proposes it.
-SAMPLE, LOWERED = 0.1, 0.5
+SAMPLE, LOWERED = 0.1, 0.8
 #: Bytes of text that a task counts at a time, and rows it takes from a batch at a time.
 STRIP, ROWS = 6 << 20, 256
 #: Bits for each phrase in a filter, its bits at least and at most, and probes.
@@ -44,6 +45,8 @@ UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 END = b"\xff"
 LETTERS = bytes.maketrans(UPPER + ENDS + b"\t", LOWER + b"\n" * len(ENDS) + b" ")
 SCHEMA = "lang string, size int, phrase string, n long"
+#: Between a language and a phrase in the key of a count; no word holds it.
+BETWEEN = "\t"
 
 
 @dataclass
@@ -120,7 +123,10 @@ def count_strip(texts: list[bytes], lang: str, filters: Filters) -> Iterator[tup
             key = number[place] * len(names) + word[place + size - 1]
         if not len(place):
             return
-        _, first, at, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        at, found = pd.factorize(key)
+        times = np.bincount(at, minlength=len(found))
+        first = np.empty(len(found), np.int64)
+        first[at[::-1]] = np.arange(len(at) - 1, -1, -1)
         start = place[first]
         own = code_of[word[start]] if size == 1 else _mix(codes[number[start]], code_of[word[start + size - 1]])
         new = np.ones(len(start), bool)
@@ -172,14 +178,16 @@ def counts(docs: DataFrame, filters: Filters) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _strips(batches):
-            for size, phrases, n in count_strip(texts, lang, filters):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(phrases, pa.string()), pa.array(n.astype(np.int64))],
-                    ["lang", "size", "phrase", "n"],
-                )
-
-    each = docs.mapInArrow(run, SCHEMA)
-    return each.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+            before = lang + BETWEEN
+            for _, phrases, n in count_strip(texts, lang, filters):
+                yield pa.RecordBatch.from_arrays([pa.array([before + p for p in phrases], pa.string()), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    # One string and one number a row is what is shuffled.
+    each = docs.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("key", BETWEEN, -1)
+    size = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1)
+    lang = F.substring(F.col("key"), F.lit(1), F.length("key") - F.length(phrase) - 1)
+    return each.select(lang.alias("lang"), size.cast("int").alias("size"), phrase.alias("phrase"), "n")
 
 
 def bloom(phrases: DataFrame) -> np.ndarray:
