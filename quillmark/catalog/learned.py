@@ -161,16 +161,25 @@ def _(spark, folder):
 
 
 def labelled_turns(spark, folder):
-    """Annotated user and assistant turns with ``y`` and a stratified split."""
+    """Annotated user and assistant turns with ``y`` and a stratified split, which is drawn by keys."""
     texts = conversation_texts(spark, folder).withColumn("label", labels.label_of(F.col("role") == "assistant"))
     annotated = prose.annotate_documents(texts, F.col("label"), lexicon=lexicon(spark, folder), parses=cleaned_edges(texts))
-    return sampling.split(annotated, "doc_id", 0.2, SEED, ["label"]).withColumn("y", labels.encode_label(F.col("label")).cast("double"))
+    sides = sampling.split(texts.select("doc_id", "label"), "doc_id", 0.2, SEED, ["label"]).select("doc_id", "split")
+    return annotated.join(sides, "doc_id").withColumn("y", labels.encode_label(F.col("label")).cast("double"))
 
 
-def _fitted(spark, folder, blocks, metrics, classifier_of):
+def _fitted(spark, folder, blocks, metrics, classifier, scaled=False):
     rows = settle(models.with_terms(labelled_turns(spark, folder), blocks), "training")
-    train = rows.where(F.col("split") == "train")
-    return rows, models.fit(train, blocks, metrics, classifier_of(train))
+    return rows, models.fit(rows.where(F.col("split") == "train"), blocks, metrics, classifier, scaled)
+
+
+def _forest(spark, folder):
+    return _fitted(spark, folder, models.forest_blocks(), K.METRICS, models.random_forest())
+
+
+def _svm(spark, folder):
+    """The margin classifier on scaled metrics; scale and vocabularies are those of the training rows."""
+    return _fitted(spark, folder, models.margin_blocks(), K.SCALED_METRICS, models.linear_svm(), True)
 
 
 def _test_predictions(rows, model):
@@ -180,21 +189,29 @@ def _test_predictions(rows, model):
     )
 
 
+def _verdict(rows, model):
+    """Sizes of both sides, and whether the model beats the more frequent label of the test rows."""
+    called = _test_predictions(rows, model).agg(
+        F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("label") == F.col("predicted")).alias("right"),
+        F.greatest(F.count_if(F.col("label") == "LLM"), F.count_if(F.col("label") == "HUMAN")).alias("majority"),
+    )
+    return called.select("n_test", (F.col("right") > F.col("majority")).alias("beats_majority"))
+
+
+# The split of the turns: the first fifth of each label in the order of the seeded hash.
+_KEY = f"md5('{SEED}:' || doc_id), doc_id"
+SPLIT = f"""t AS (SELECT conv_id || '-' || turn AS doc_id, CASE role WHEN 'assistant' THEN 'LLM' ELSE 'HUMAN' END AS label FROM conversations WHERE role <> 'system'),
+    sp AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_KEY}) <= ceil(round(0.2 * count(*) OVER (PARTITION BY label), 6)) AS test FROM t)"""
+
+
 @query("random_forest_predictions")
 def _(spark, folder):
-    rows, model = _fitted(
-        spark, folder, models.forest_blocks(), K.METRICS, lambda train: models.random_forest()
-    )
-    return _test_predictions(rows, model)
+    return _test_predictions(*_forest(spark, folder))
 
 
-def _svm(spark, folder):
-    """The margin classifier on scaled metrics; the scale is measured on the training rows."""
-    blocks = models.margin_blocks()
-    rows = settle(models.with_terms(labelled_turns(spark, folder), blocks), "training")
-    scaled = features.standard_scale(rows, K.SCALED_METRICS, F.col("split") == "train")
-    train = scaled.where(F.col("split") == "train")
-    return scaled, models.fit(train, blocks, K.SCALED_METRICS, models.linear_svm(train.count()))
+@query("random_forest_check", f"WITH {SPLIT} SELECT count(*) AS n_test, true AS beats_majority FROM sp WHERE test")
+def _(spark, folder):
+    return _verdict(*_forest(spark, folder))
 
 
 @query("linear_svm_predictions")
@@ -202,27 +219,49 @@ def _(spark, folder):
     return _test_predictions(*_svm(spark, folder))
 
 
-@query("model_roundtrip")
+@query(
+    "linear_svm_certificate",
+    f"WITH {SPLIT} SELECT count(*) AS n_test, true AS beats_majority, true AS solved, 0.001::DOUBLE AS tolerance FROM sp WHERE test",
+)
 def _(spark, folder):
+    """Whether the duality gap is within the tolerance, beside the verdict on the test rows."""
+    rows, model = _svm(spark, folder)
+    last = model.stages[-1]
+    return _verdict(rows, model).withColumns(
+        {"solved": F.lit(last.solved), "tolerance": F.lit(last.getOrDefault("tolerance"))}
+    )
+
+
+@query("model_roundtrip", f"WITH {SPLIT} SELECT doc_id, label, true AS same FROM sp WHERE test")
+def _(spark, folder):
+    """Whether a model that was saved and read again calls every test row as before."""
     rows, model = _svm(spark, folder)
     again = models.load(models.save(model, new_path(spark, "model")))
     before = _test_predictions(rows, model).withColumnRenamed("predicted", "before")
     after = _test_predictions(rows, again).select("doc_id", F.col("predicted").alias("after"))
-    return before.join(after, "doc_id")
+    return before.join(after, "doc_id").select("doc_id", "label", F.col("before").eqNullSafe(F.col("after")).alias("same"))
 
 
-@query("classify_unseen")
-def _(spark, folder):
-    """Documents, unseen in training, called LLM or HUMAN by the model of the turns."""
-    blocks = models.margin_blocks()
-    rows = settle(models.with_terms(labelled_turns(spark, folder), blocks), "training")
-    model = models.fit(rows, blocks, K.SCALED_METRICS, models.linear_svm(rows.count()))
+def unseen_calls(spark, folder):
+    """(doc_id, predicted): documents, unseen in training, called by the model of the turns.
+
+    The documents are annotated with the words of the training texts as vocabulary.
+    """
+    rows, model = _svm(spark, folder)
     docs = documents(spark, folder)
-    unseen = prose.annotate_documents(docs, F.lit("HUMAN"), lexicon=lexicon(spark, folder), parses=cleaned_edges(docs))
-    called = models.predict(model, models.with_terms(unseen, blocks))
+    unseen = prose.annotate_documents(
+        docs, F.lit("HUMAN"), lexicon=lexicon(spark, folder), parses=cleaned_edges(docs), vocabulary=prose.words_of(rows, clean=False)
+    )
+    called = models.predict(model, models.with_terms(unseen, models.margin_blocks()))
     return called.select("doc_id", labels.decode_label(F.col("prediction")).alias("predicted"))
 
 
+@query("classify_unseen", "SELECT doc_id, true AS called FROM documents")
+def _(spark, folder):
+    """One call, of the two that there are, for every document."""
+    return unseen_calls(spark, folder).select("doc_id", F.col("predicted").isin("LLM", "HUMAN").alias("called"))
+
+
 @query(
     "detect_natural_language",
     "WITH mk AS ("

@@ -12,6 +12,7 @@ from quillmark.functions import constants as K
 from quillmark.functions import patterns as P
 from quillmark.functions import tagging, text, tokens
 from quillmark.operators import features, lexical
+from quillmark.operators import sentence_model as M
 from quillmark.sources.shared import settle
 
 @query(
@@ -49,6 +50,49 @@ def _(spark, folder):
         "doc_id", F.posexplode(tokens.sentences(F.col("text"))).alias("sent_id", "sentence")
     ).withColumn("sent_id", F.col("sent_id").cast("long"))
 
+# The split that learns: words by what is left of them without marks, and the counts of their stops.
+def _plain(w: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({w}), {S.text(M.OPENING)}, ''), {S.text('[.?!,;:]*' + M.CLOSING + '$')}, '')"
+
+
+def _likelihood(n: str, of: str, p: str) -> str:
+    return f"(CASE WHEN {n} = 0 THEN 0 ELSE {n} * ln({p}) END + CASE WHEN {of} - {n} = 0 THEN 0 ELSE ({of} - {n}) * ln(1 - {p}) END)"
+
+
+SENTENCE_MODEL = f"""w0 AS MATERIALIZED (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM (SELECT doc_id, {S.words('text')} AS ws FROM documents)),
+    w1 AS MATERIALIZED (SELECT *, {_plain('word')} AS type, regexp_matches(word, {S.text('\\.' + M.CLOSING + '$')}) AS stop, regexp_matches(word, {S.text(M.END)}) AS ends,
+      lag(word) OVER o AS before, lead(word) OVER o AS next FROM w0 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    ty AS (SELECT type, count(*) AS n, count(*) FILTER (stop) AS k, count(*) FILTER (regexp_matches(coalesce(before, ''), {S.text(M.END)})) AS s
+      FROM w1 WHERE regexp_matches(type, '\\p{{L}}') GROUP BY type),
+    al AS (SELECT *, sum(n) OVER () AS n_all, sum(k) OVER () / sum(n) OVER () AS chance, sum(s) OVER () AS s_all, length(replace(type, '.', '')) AS bare FROM ty),
+    sc AS (SELECT type, k, 2 * ({_likelihood('k', 'n', str(M.STOPPED))} - {_likelihood('k', 'n', 'chance')}) * exp(-bare) * (length(type) - bare + 1)
+        * pow(bare, -(n - k)) AS abbr,
+      CASE WHEN s_all > 0 AND n_all > s_all AND s / s_all > (n - s) / (n_all - s_all) THEN 2 * ({_likelihood('s', 's_all', '(s / s_all)')}
+        + {_likelihood('(n - s)', '(n_all - s_all)', '((n - s) / (n_all - s_all))')} - {_likelihood('s', 's_all', '(n / n_all)')}
+        - {_likelihood('(n - s)', '(n_all - s_all)', '(n / n_all)')}) ELSE 0 END AS start FROM al),
+    model AS MATERIALIZED (SELECT type, 'abbreviation' AS kind, abbr AS score FROM sc WHERE k > 0 AND abbr >= {M.ABBREVIATION}
+      UNION ALL SELECT type, 'starter', start FROM sc WHERE start >= {M.STARTER})"""
+
+
+@query("sentence_model", f"WITH {SENTENCE_MODEL} SELECT type, kind, round(score, 4) AS score FROM model")
+def _(spark, folder):
+    return M.train(documents(spark, folder)).select("type", "kind", F.round("score", 4).alias("score"))
+
+
+@query(
+    "learned_sentences",
+    f"""WITH {SENTENCE_MODEL}, br AS (SELECT *, next IS NULL OR (ends AND NOT (stop AND type IN (SELECT type FROM model WHERE kind = 'abbreviation')
+          AND NOT ({_plain('next')} IN (SELECT type FROM model WHERE kind = 'starter')
+            AND left(regexp_replace(next, {S.text(M.OPENING)}, ''), 1) <> lower(left(regexp_replace(next, {S.text(M.OPENING)}, ''), 1))))) AS b FROM w1),
+        sg AS (SELECT *, coalesce(sum(b::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_id FROM br)
+        SELECT doc_id, CAST(sent_id AS BIGINT) AS sent_id, string_agg(word, ' ' ORDER BY i) AS sentence FROM sg GROUP BY ALL""",
+)
+def _(spark, folder):
+    docs = documents(spark, folder)
+    cut = M.split(docs, settle(M.train(docs), "sentence-model"))
+    return cut.select("doc_id", F.posexplode("sentences").alias("sent_id", "sentence")).withColumn("sent_id", F.col("sent_id").cast("long"))
+
+
 
 @query("word_count", f"SELECT doc_id, CAST(len({S.words('text')}) AS BIGINT) AS n_words FROM documents")
 def _(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.operators.scale import hash_bucket, range_bucket, seeded_key, take_in_order
+from quillmark.operators.scale import hash_bucket, seeded_key, sort_digits, take_in_order
 
 
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
@@ -15,9 +15,7 @@ def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
 
 def sample_groups(df: DataFrame, by: list[str], key: str, quota: Column | int, seed: int) -> DataFrame:
     """Up to ``quota`` random rows of each group; all of a group that has fewer."""
-    keyed = df.withColumn("_h", seeded_key(seed, key))
-    bucket = hash_bucket(F.col("_h"))
-    return take_in_order(keyed, by, [F.col("_h"), F.col(key)], bucket, quota).drop("_h")
+    return take_in_order(df, by, seeded_key(seed, key), [F.col(key)], quota)
 
 
 def skip_take(df: DataFrame, key: str, text: str, skip: int, n: int) -> DataFrame:
@@ -26,7 +24,8 @@ def skip_take(df: DataFrame, key: str, text: str, skip: int, n: int) -> DataFram
 
 
 def take_per_group(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
-    return take_in_order(df, [by], [F.col(key)], range_bucket(df, key), n)
+    """The first n rows of each group in the order of ``key``, a whole number."""
+    return take_in_order(df, [by], sort_digits(F.col(key)), [F.col(key)], n)
 
 
 def split(df: DataFrame, key: str, test_share: float, seed: int, by: list[str] | None = None) -> DataFrame:

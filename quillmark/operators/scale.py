@@ -11,6 +11,8 @@ from quillmark.sources.shared import settle
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
+#: Rows of a group that are ranked in one task, and digits that a round adds to a cut.
+RANKED, DIGITS = 1000, 3
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -46,8 +48,13 @@ def hash_bucket(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
 
 
-def range_bucket(df: DataFrame, col: str, buckets: int = 256) -> Column:
-    """Bucket of a numeric column in its own order, cut at approximate quantiles."""
+def range_bucket(df: DataFrame, col: str, buckets: int | None = None) -> Column:
+    """Bucket of a numeric column in its own order, cut at approximate quantiles.
+
+    Without a number of buckets there is one for every 10,000 rows, at most 10,000 of them.
+    """
+    if buckets is None:
+        buckets = min(10_000, df.count() // 10_000 + 2)
     probabilities = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(col, probabilities, 1 / (4 * buckets))))
     if not cuts:
@@ -95,17 +102,66 @@ def number_rows(
     return _ranked_in_bucket(_with_offsets(df, by, bucket), by, order, out)
 
 
+def sort_digits(column: Column) -> Column:
+    """16 hexadecimal digits whose order as text is that of a whole number."""
+    return F.lpad(F.lower(F.hex(column.cast("long").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")
+
+
+def _group_name(by: list[str]) -> Column:
+    """One string for a group, null members included."""
+    return F.to_json(F.struct(*by)) if by else F.lit("")
+
+
+def cut_points(keys: DataFrame, ranked: int = RANKED) -> DataFrame:
+    """(_g, _cut, _before, _quota) of groups that have more rows than their quota.
+
+    ``keys``: _g, _h (digits, in whose order rows are taken) and _quota. The cut is found by its
+    leading digits: a histogram of the first ones finds the bin where a group's quota ends, and only
+    that bin is looked at again, with more digits, until it holds at most ``ranked`` rows or all
+    digits are used. Rows whose digits begin below the cut are taken, ``_before`` in number.
+    """
+    sizes = keys.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.max("_quota").alias("_quota"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+    # Digits that all keys of a group share tell nothing.
+    shared = F.expr("aggregate(sequence(1, 8 * 16), 0, (a, i) -> if(a = i - 1 AND i <= length(_lo) AND left(_lo, i) = left(_hi, i), i, a))")
+    opened = sizes.where(F.col("_n") > F.col("_quota")).withColumn("_p", shared).select(
+        "_g", F.expr("left(_lo, _p)").alias("_cut"), F.lit(0).cast("long").alias("_before"), "_quota", F.col("_n").alias("_in"), F.length("_hi").alias("_digits")
+    )
+    opened = settle(opened, "cuts")
+    while opened.where((F.col("_in") > ranked) & (F.length("_cut") < F.col("_digits"))).limit(1).count():
+        more = (F.col("_in") > ranked) & (F.length("_cut") < F.col("_digits"))
+        near = lookup_join(keys.select("_g", "_h"), opened.where(more), ["_g"], "inner")
+        near = near.where(F.expr("left(_h, length(_cut)) = _cut"))
+        wider = F.expr(f"left(_h, length(_cut) + {DIGITS})")
+        bins = near.groupBy("_g", wider.alias("_bin")).agg(F.count(F.lit(1)).alias("_in"), *[F.first(c).alias(c) for c in ("_before", "_quota", "_digits")])
+        # At most 16 ** 3 bins a group.
+        upto = F.sum("_in").over(Window.partitionBy("_g").orderBy("_bin"))
+        placed = bins.withColumn("_upto", F.col("_before") + upto)
+        first = placed.where(F.col("_upto") > F.col("_quota")).groupBy("_g").agg(F.min(F.struct("_bin", "_in", "_upto", "_quota", "_digits")).alias("b"))
+        refined = first.select(
+            "_g", F.col("b._bin").alias("_cut"), (F.col("b._upto") - F.col("b._in")).alias("_before"), "b._quota", "b._in", "b._digits"
+        )
+        opened = settle(opened.where(~more).unionByName(refined), "cuts")
+    return opened.select("_g", "_cut", "_before", "_quota")
+
+
 def take_in_order(
-    df: DataFrame, by: list[str], order: list[Column], bucket: Column, quota: Column | int
+    df: DataFrame, by: list[str], digits: Column, ties: list[Column], quota: Column | int
 ) -> DataFrame:
-    """First ``quota`` rows of each group, the quota being a number or a column.
+    """First ``quota`` rows of each group in the order of ``digits``, the quota being a number or a column.
 
-    Whole buckets are let through or dropped by their offsets, and only what is left is ranked,
-    bucket by bucket; no group meets in one task, whatever the quota.
+    ``digits`` are hexadecimal digits of equal length. The cut is found on keys alone; then rows are
+    let through or dropped where they are, and only those of a group's last bin are ranked, by
+    digits and ``ties``. No group meets in one task, and no text moves but that of these few.
     """
-    limit = F.lit(quota) if isinstance(quota, int) else quota
-    reachable = _with_offsets(df, by, bucket).where(F.col("_before") < limit)
-    return _ranked_in_bucket(reachable, by, order, "_rn").where(F.col("_rn") <= limit).drop("_rn")
+    limit = (F.lit(quota) if isinstance(quota, int) else quota).cast("long")
+    rows = df.withColumns({"_g": _group_name(by), "_h": digits, "_quota": limit})
+    cuts = cut_points(rows.select("_g", "_h", "_quota"))
+    placed = lookup_join(rows.drop("_quota"), cuts, ["_g"])
+    head = F.expr("left(_h, length(_cut))")
+    whole = placed.where(F.col("_cut").isNull() | (head < F.col("_cut"))).select(*df.columns)
+    inside = Window.partitionBy("_g").orderBy("_h", *ties)
+    last = placed.where(head == F.col("_cut")).withColumn("_rn", F.row_number().over(inside))
+    return whole.unionAll(last.where(F.col("_before") + F.col("_rn") <= F.col("_quota")).select(*df.columns))
 
 
 def joined_text(df: DataFrame, keys: list[str], position: str, value: Column, sep: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import os
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from quillmark.functions import constants as K
-from quillmark.operators import features, labels, models, syntax
+from quillmark.operators import features, labels, margin, models, syntax
 from quillmark.plans import corpora, prose, source_code
 from quillmark.plans.custom import annotate_with
 from quillmark.sources import readers, writers
@@ -26,15 +28,39 @@ def test_classifier_learns_and_reloads(rows, kind, tmp_path):
     if kind == "forest":
         blocks, metrics, classifier = models.forest_blocks(), K.METRICS, models.random_forest(trees=10)
     else:
-        blocks, metrics, classifier = models.margin_blocks(), K.SCALED_METRICS, models.linear_svm(64)
+        blocks, metrics, classifier = models.margin_blocks(), K.SCALED_METRICS, models.linear_svm()
     frame = models.with_terms(rows, blocks)
-    model = models.fit(frame, blocks, metrics, classifier)
+    model = models.fit(frame, blocks, metrics, classifier, scaled=kind != "forest")
     called = models.predict(model, frame)
     assert labels.accuracy(called.withColumn("y", F.col("y").cast("int")), "y", "prediction").first()["accuracy"] > 0.9
     again = models.predict(models.load(models.save(model, str(tmp_path / kind))), frame)
     assert called.select("doc_id", "prediction").exceptAll(again.select("doc_id", "prediction")).count() == 0
 
 
+@pytest.mark.parametrize("rows_of_a_block", [1000, 40, 9])
+def test_the_margin_problem_is_solved(spark, monkeypatch, rows_of_a_block):
+    monkeypatch.setattr(margin, "ROWS", rows_of_a_block)
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(120, 4)) * (draw.random((120, 4)) < 0.7)
+    y = (x @ [1.0, -2.0, 0.5, 0.0] + 0.3 + draw.normal(size=120) * 0.5 > 0).astype(float)
+    vectors = [Vectors.dense(r) if i % 2 else Vectors.sparse(4, [(j, v) for j, v in enumerate(r) if v]) for i, r in enumerate(x.tolist())]
+    frame = spark.createDataFrame([(i, v, t) for i, (v, t) in enumerate(zip(vectors, y.tolist()))], ["id", "features", "y"])
+    model = margin.MarginClassifier(c=0.5, tolerance=1e-4).fit(frame)
+    w, signs = np.array(model.getOrDefault("weights")), 2 * y - 1
+    padded = np.hstack([x, np.ones((120, 1))])
+    primal = w @ w / 2 + 0.5 * np.maximum(0, 1 - signs * (padded @ w)).sum()
+    assert model.solved and primal == pytest.approx(model.getOrDefault("objective"))
+    # A plain subgradient descent finds nothing better by more than the gap.
+    v, best = np.zeros(5), np.inf
+    for t in range(1, 20_000):
+        active = signs * (padded @ v) < 1
+        v = v - (v - 0.5 * (signs[active, None] * padded[active]).sum(axis=0)) / t
+        best = min(best, v @ v / 2 + 0.5 * np.maximum(0, 1 - signs * (padded @ v)).sum())
+    assert primal <= best + model.getOrDefault("gap") and model.getOrDefault("gap") <= 1e-4 * primal
+    called = np.array([r["prediction"] for r in model.transform(frame).orderBy("id").collect()])
+    assert (called == (padded @ w > 0)).all()
+
+
 def test_tfidf_by_hand(spark):
     import math
 
