@@ -251,21 +251,26 @@ def _values(rows, names) -> str:
     return f"(VALUES {body}) AS {names}"
 
 
-LEMMATISED = f"""
-    words AS (SELECT DISTINCT word, {S.coarse()} AS class FROM tagged),
+def lemmatised_sql(tagged: str = "tagged", vocabulary: str = "words", out: str = "lemmatised") -> str:
+    """CTEs ending in ``out``: the rows of ``tagged`` with class and lemma; ``vocabulary``: table of the words."""
+    return f"""
+    words AS (SELECT DISTINCT word, {S.coarse()} AS class FROM {tagged}),
     ruled AS (
       SELECT word, class, arg_min(candidate, rule) AS ruled FROM (
         SELECT w.word, w.class, r.rule,
                left(w.word, length(w.word) - length(r.suffix)) || r.new AS candidate
         FROM words w JOIN {_values([(i, *d) for i, d in enumerate(K.DETACHMENTS)], 'r(rule, class, suffix, new)')}
           ON r.class = w.class AND ends_with(w.word, r.suffix) AND length(w.word) > length(r.suffix) + 1)
-      WHERE candidate IN (SELECT word FROM words) GROUP BY word, class),
-    lemmatised AS (
-      SELECT t.*, coalesce(e.lemma, ruled, t.word) AS lemma FROM (SELECT *, {S.coarse()} AS class FROM tagged) t
+      WHERE candidate IN (SELECT word FROM {vocabulary}) GROUP BY word, class),
+    {out} AS (
+      SELECT t.*, coalesce(e.lemma, ruled, t.word) AS lemma FROM (SELECT *, {S.coarse()} AS class FROM {tagged}) t
       LEFT JOIN ruled USING (word, class)
       LEFT JOIN {_values(K.LEMMA_EXCEPTIONS, 'e(word, class, lemma)')} ON e.word = t.word AND e.class = t.class)"""
 
 
+LEMMATISED = lemmatised_sql()
+
+
 @query(
     "lemmas",
     f"""WITH {S.token_tables()}, {TAGGED}, {LEMMATISED}
@@ -351,29 +356,20 @@ def _(spark, folder):
     return kept.withColumn("best", best).select("doc_id", title.alias("title"))
 
 
-# Titles look at the first 20 words; lemmas of title words come from the irregular forms.
-_IRREGULAR = dict((w, l) for w, _, l in K.LEMMA_EXCEPTIONS)
-
-
-def irregular_lemma(word):
-    out = F
-    for w, l in _IRREGULAR.items():
-        out = out.when(word == w, l)
-    return F.when(word.isin(list(_IRREGULAR)), out).otherwise(word)
-
-
+# Titles look at the first 20 words; the vocabulary of their lemmas is that of all documents.
 _HEAD = f"array_to_string(list_slice({S.words('text')}, 1, 20), ' ')"
-_LEMMA = "CASE w " + " ".join(f"WHEN {S.text(a)} THEN {S.text(b)}" for a, b in _IRREGULAR.items()) + " ELSE w END"
 
 
 @query(
     "title_slug",
-    f"""WITH h AS (SELECT doc_id, {_HEAD} AS head FROM documents),
+    f"""WITH {S.token_tables()}, h AS (SELECT doc_id, {_HEAD} AS head FROM documents),
         ws AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS w
                FROM (SELECT doc_id, {S.all_matches('lower(head)', P.WORD)} AS l FROM h WHERE len({S.words('head')}) >= 6)),
+        kw AS (SELECT doc_id, pos, w AS word, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS tok_id FROM ws WHERE w NOT IN {S.STOP}),
+        kt AS (SELECT *, {S.tag()} AS tag FROM kw), {lemmatised_sql('kt', 'tok', 'kl')},
         best AS (SELECT doc_id, lemma FROM (
-            SELECT doc_id, {_LEMMA} AS lemma, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS r
-            FROM ws WHERE w NOT IN {S.STOP} GROUP BY doc_id, {_LEMMA}) WHERE r <= 5),
+            SELECT doc_id, lemma, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS r
+            FROM kl GROUP BY doc_id, lemma) WHERE r <= 5),
         long AS (SELECT ws.doc_id, string_agg(w, '_' ORDER BY pos) AS title FROM ws JOIN best
                  ON best.doc_id = ws.doc_id AND best.lemma = ws.w GROUP BY ws.doc_id),
         short AS (SELECT doc_id, replace(regexp_replace(lower(array_to_string(
@@ -383,8 +379,9 @@ _LEMMA = "CASE w " + " ".join(f"WHEN {S.text(a)} THEN {S.text(b)}" for a, b in _
         FROM h LEFT JOIN long USING (doc_id) LEFT JOIN short USING (doc_id)""",
 )
 def _(spark, folder):
-    head = documents(spark, folder).select("doc_id", text.head_words(F.col("text")).alias("head"))
-    return head.select("doc_id", tokens.title_by_lemma(F.col("head"), irregular_lemma).alias("title"))
+    docs = documents(spark, folder)
+    head = docs.select("doc_id", text.head_words(F.col("text")).alias("head"))
+    return lexical.lemma_titles(head, "doc_id", "head", lexical.word_table(docs, "text"))
 
 
 @query(

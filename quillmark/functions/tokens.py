@@ -185,12 +185,17 @@ def type_profile(kept: Column, types: Column) -> Column:
     return A.let(A.let(merged, per_run), per_group)
 
 
-def title_by_lemma(col: Column, lemma_of=None, top: int = 5) -> Column:
-    """Words of the text that belong to its most frequent lemmas, joined by underscores.
+def title_words(col: Column) -> Column:
+    """Lower-cased words of a text that are no stop words, from which its title is chosen."""
+    return F.filter(regex_tokens(F.lower(col)), lambda w: ~is_stop(w))
 
-    A text of fewer than six words keeps its words that are no stop words.
+
+def title_by_lemma(col: Column, lemmas: Column, top: int = 5) -> Column:
+    """Words of the text that are among its most frequent lemmas, joined by underscores.
+
+    ``lemmas`` are those of ``title_words``. A text of fewer than six words keeps its words that are no
+    stop words.
     """
-    lemma_of = lemma_of or (lambda w: w)
     short = F.replace(
         F.regexp_replace(
             F.lower(F.array_join(F.filter(words(col), lambda w: ~is_stop(F.lower(w))), " ")),
@@ -202,7 +207,6 @@ def title_by_lemma(col: Column, lemma_of=None, top: int = 5) -> Column:
     )
 
     def long_title(ws: Column) -> Column:
-        lemmas = F.transform(F.filter(ws, lambda w: ~is_stop(w)), lemma_of)
         return A.let(
             top_terms(A.placed_term_counts(lemmas), top),
             lambda best: F.array_join(F.filter(ws, lambda w: F.array_contains(best, w)), "_"),

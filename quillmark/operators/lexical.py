@@ -143,6 +143,28 @@ def word_table(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(F.array_distinct(tokens.word_tokens(F.col(text)))).alias("word")).distinct()
 
 
+def lemma_titles(df: DataFrame, key: str, text: str, vocabulary: DataFrame, top: int = 5) -> DataFrame:
+    """(key, title): the words of each text that are among its most frequent lemmas.
+
+    Words are tagged and lemmatised as in the annotation jobs, with the same vocabulary table (word).
+    Keys may be null or repeated; a text without words is ``untitled``.
+    """
+    keys = ["_k1", "_k2"]
+    rows = df.select(
+        key, F.coalesce(text, F.lit("")).alias("_t"), F.xxhash64(key, text).alias("_k1"), F.xxhash64(F.lit(1), text, key).alias("_k2")
+    )
+    found = rows.select(*keys, tokens.title_words(F.col("_t")).alias("_w"))
+    tagged = found.withColumn("_s", F.array("_w")).withColumn("_g", tagging.tag_sentences("_s")[0])
+    each = tagged.select(*keys, F.posexplode(F.arrays_zip("_w", "_g")).alias("pos", "_x")).select(
+        *keys, "pos", F.col("_x._w").alias("word"), tagging.coarse_class(F.col("_x._g")).alias("class")
+    )
+    changed = changed_lemmas(each, [*keys, "pos"], vocabulary).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "lemma"))).alias("_m")
+    )
+    lemmas = A.let(tokens.title_words(F.col("_t")), lambda ws: F.transform(ws, lambda w, i: F.coalesce(F.try_element_at("_m", i), w)))
+    return rows.join(changed, keys, "left").select(key, tokens.title_by_lemma(F.col("_t"), lemmas, top).alias("title"))
+
+
 def lemma_dictionary(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, class, lemma) for words whose lemma differs from them.
 

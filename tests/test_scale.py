@@ -48,6 +48,21 @@ def test_quotas_of_a_hot_group(skewed, quota):
     assert {r["id"] for r in drawn.collect()} == want
 
 
+@pytest.mark.parametrize("ranked", [1, 20, 100_000])
+def test_cuts_are_refined_to_any_depth(spark, skewed, monkeypatch, ranked):
+    frame, rows = skewed
+    monkeypatch.setattr(scale, "RANKED", ranked)
+    monkeypatch.setattr(scale.cut_points, "__defaults__", (ranked,))
+    odd = frame.unionByName(spark.createDataFrame([(7, None), (8, None), (7, None), (-5, None), (-(2**63), "hot")], "id long, key string"))
+    got = sorted(((r["key"] or "", r["id"]) for r in sampling.take_per_group(odd, "key", "id", 3).collect()))
+    groups = {}
+    for i, k in [*rows, (7, None), (8, None), (7, None), (-5, None), (-(2**63), "hot")]:
+        groups.setdefault(k or "", []).append(i)
+    assert got == sorted((k, i) for k, ids in groups.items() for i in sorted(ids)[:3])
+    assert sampling.take_per_group(odd, "key", "id", 0).count() == 0
+    assert sampling.sample_groups(odd, ["key"], "id", 3, 1).count() == 3 * len(groups)
+
+
 @pytest.mark.parametrize("by", [None, ["key"]])
 def test_split_is_exact(skewed, by):
     frame, rows = skewed

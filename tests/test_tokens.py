@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import tagging, tokens
-from quillmark.operators import lexical
+from quillmark.operators import lexical, sentence_model
 
 
 @pytest.mark.parametrize(
@@ -99,7 +99,7 @@ def test_user_lexicon_overrules(spark):
     ],
 )
 def test_title_by_lemma(one, raw, title):
-    assert one(raw, tokens.title_by_lemma) == title
+    assert one(raw, lambda c: tokens.title_by_lemma(c, tokens.title_words(c))) == title
 
 
 def test_other_titles(one):
@@ -107,3 +107,74 @@ def test_other_titles(one):
     assert one("an of", tokens.title_by_frequency) == "untitled"
     assert one("write the long story now", tokens.chat_title) == "write_long_story"
     assert one("the red fox", tokens.chat_title) == "the_red_fox"
+
+
+def test_titles_by_lemma(spark):
+    rows = [
+        (1, "The dogs and the dog saw a cat, cats were cats; dogs ran"), (None, "Wolves howl, a wolf howls and the wolf howled then"), (2, "Big red DOG's!"),
+        (2, ""), (3, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = spark.createDataFrame([(w,) for w in "dog cat wolf howl run".split()], "word string")
+    got = sorted((str(r["doc_id"]), r["title"]) for r in lexical.lemma_titles(docs, "doc_id", "text", words, 2).collect())
+    assert got == [("1", "dog_cat"), ("2", "big_red_dogs"), ("2", "untitled"), ("3", "untitled"), ("None", "wolf_wolf")] or got == [
+        ("1", "dog_cat"), ("2", "big_red_dogs"), ("2", "untitled"), ("3", "untitled"), ("None", "howl_wolf_wolf")
+    ]
+
+
+def plain_sentence_model(texts):
+    """Counts and scores by hand: {(type, kind): score}."""
+    import math
+    import re
+    from collections import Counter
+
+    closing, opening = "[\"”’')\\]]*", "^[\"“‘'(\\[]+"
+    plain = lambda w: re.sub("[.?!,;:]*" + closing + "$", "", re.sub(opening, "", w.lower()))
+    n, k, s = Counter(), Counter(), Counter()
+    for text in texts:
+        words = (text or "").split()
+        for i, w in enumerate(words):
+            t = plain(w)
+            if re.search(r"[^\W\d_]", t):
+                n[t] += 1
+                k[t] += bool(re.search(r"\." + closing + "$", w))
+                s[t] += bool(i and re.search("[.?!]" + closing + "$", words[i - 1]))
+    every, stops, after = sum(n.values()), sum(k.values()), sum(s.values())
+    log = lambda h, of, p: (h * math.log(p) if h else 0) + ((of - h) * math.log(1 - p) if of - h else 0)
+    out = {}
+    for t in n:
+        bare = len(t.replace(".", ""))
+        score = 2 * (log(k[t], n[t], 0.99) - log(k[t], n[t], stops / every)) * math.exp(-bare) * (len(t) - bare + 1) * bare ** -(n[t] - k[t])
+        if k[t] and score >= 0.3:
+            out[t, "abbreviation"] = score
+        a, b, p = s[t] / after, (n[t] - s[t]) / (every - after), n[t] / every
+        tied = 2 * (log(s[t], after, a) + log(n[t] - s[t], every - after, b) - log(s[t], after, p) - log(n[t] - s[t], every - after, p))
+        if a > b and tied >= 30:
+            out[t, "starter"] = tied
+    return out
+
+
+def test_abbreviations_are_learned(spark):
+    import random
+
+    draw, texts = random.Random(2), []
+    for _ in range(60):
+        parts = []
+        for _ in range(6):
+            body = " ".join(draw.choice("house tree walks blue under dr. runs e.g. seven apples".split()) for _ in range(draw.randint(3, 9)))
+            parts.append(draw.choice(["The ", "The ", "It "]) + body + " home" + draw.choice([".", ".", "!", "?\""]))
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, ""), (5, None)], "doc_id long, text string")
+    model = sentence_model.train(docs)
+    got = {(r["type"], r["kind"]): r["score"] for r in model.collect()}
+    want = plain_sentence_model(texts)
+    assert got == pytest.approx(want) and {("dr", "abbreviation"), ("e.g", "abbreviation"), ("the", "starter")} <= set(want)
+    said = spark.createDataFrame(
+        [(1, "He met Dr. Brown e.g. today. The end"), (1, "It was the dr. The house is (blue)! it goes on?  Yes"), (None, "no"), (2, ""), (3, None)],
+        "doc_id long, text string",
+    )
+    cut = {(r["doc_id"], tuple(r["sentences"])) for r in sentence_model.split(said, model).collect()}
+    assert cut == {
+        (1, ("He met Dr. Brown e.g. today.", "The end")), (1, ("It was the dr.", "The house is (blue)!", "it goes on?", "Yes")), (None, ("no",)), (2, ()), (3, ()),
+    }
+    assert sentence_model.train(docs.limit(0)).count() == 0
