@@ -171,6 +171,32 @@ def test_links_of_crowded_buckets(spark):
         assert {(r["a"], r["b"]) for r in simhash.links(frame, bucket=bucket).collect()} == near
 
 
+@pytest.mark.parametrize("strip", [3, 10, 1 << 15])
+def test_shingle_codes_are_polynomials_of_their_characters(monkeypatch, strip):
+    monkeypatch.setattr(lines, "STRIP", strip)
+    rng = np.random.default_rng(7)
+    for size in (1, 2, 3, 5, 9, 12):
+        for _ in range(20):
+            texts = ["".join(rng.choice(list("abcé 🙂"), int(rng.integers(0, 40)))) for _ in range(int(rng.integers(1, 6)))]
+            want = []
+            for text in texts:
+                padded = text + "\0" * max(0, size - len(text))
+                for i in range(len(padded) - size + 1):
+                    code = 0
+                    for c in padded[i : i + size]:
+                        code = (code * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+                    want.append((code ^ code >> 31) * 0xBF58476D1CE4E5B9 % 2**64)
+            assert lines._codes(texts, size)[0].tolist() == want
+            assert all((s == np.unique(s)).all() for s in lines._sets(texts, size))
+
+
+def test_normal_lines_of_any_white_space():
+    rng = np.random.default_rng(8)
+    for _ in range(500):
+        text = "".join(rng.choice(["a", "B", "É", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "İ"], 12))
+        assert lines.normal_lines(text) == [" ".join(x.split()) for x in text.lower().split("\n")]
+
+
 def test_links_of_crowded_lines(spark, monkeypatch):
     rng = np.random.default_rng(5)
     words = [f"word{i}" for i in range(400)]
