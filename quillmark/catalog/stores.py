@@ -63,39 +63,34 @@ def _language_of_path(path):
 
 @query(
     "ingest_text_files",
-    """SELECT lang, 'LLM' AS label, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars
-       FROM documents GROUP BY lang""",
+    "SELECT lang, 'LLM' AS label, md5(text || chr(10)) AS content, length(text) + 1 AS n_chars FROM documents",
 )
 def _(spark, folder):
-    """Text files of each language written, then read whole; a line end follows each text."""
+    """A text file for every document, read whole; a line end follows each text."""
     path = new_path(spark, "texts")
-    writers.write_texts(documents(spark, folder).select("lang", "text"), path, "lang", "text")
+    writers.write_texts(documents(spark, folder).select("lang", "text"), path, "lang", "text", single=True)
     files = readers.read_text_files(spark, path, True)
-    return files.groupBy(_language_of_path(F.col("path")).alias("lang"), "label").agg(
-        F.sum(F.length("text")).alias("n_chars")
+    return files.select(
+        _language_of_path(F.col("path")).alias("lang"), "label", F.md5("text").alias("content"), F.length("text").cast("long").alias("n_chars")
     )
 
 
 @query(
     "ingest_code_files",
     f"""WITH {SNIPPETS} SELECT CASE WHEN lang = 'cpp' THEN 'cpp' ELSE 'txt' END AS suffix, lang = 'cpp' AS accepted,
-        CAST(sum(length(regexp_replace(src, '\\n+\\z', '')) + 1) AS BIGINT) AS n_chars FROM snip WHERE lang IN ('cpp', 'html') GROUP BY ALL""",
+        md5(regexp_replace(src, '\\n+\\z', '') || chr(10)) AS content FROM snip WHERE lang IN ('cpp', 'html')""",
 )
 def _(spark, folder):
-    """C++ snippets in .cpp files are accepted; pages in .txt files are rejected."""
+    """A file for every source: C++ in .cpp files is accepted; pages in .txt files are rejected."""
     path = new_path(spark, "sources")
     code = snippets(spark, folder).withColumn("src", F.regexp_replace("src", r"\n+\z", ""))
-    # Line by line, so that no field holds a line break and nothing is quoted.
-    plain = {"quote": "\0", "escapeQuotes": False, "sep": "\x01", "lineSep": "\n", "extension": "cpp", "emptyValue": "", "comment": "\x03",
-             "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    lines = code.where(F.col("lang") == "cpp").select(F.explode(F.split("src", "\n")).alias("line"))
-    lines.write.options(**plain).csv(f"{path}/a")
-    code.where(F.col("lang") == "html").select("src").write.text(f"{path}/b", lineSep="\n")
+    writers.write_sources(code.where(F.col("lang") == "cpp"), f"{path}/a", ["conv_id", "turn"], "src", "cpp")
+    writers.write_texts(code.where(F.col("lang") == "html").select("lang", "src"), f"{path}/b", "lang", "src", single=True)
     accepted, rejected = readers.read_code_files(spark, path, True)
     both = accepted.select("lang", "src", F.lit(True).alias("accepted")).unionByName(
         rejected.select("lang", "src", F.lit(False).alias("accepted"))
     )
-    return both.groupBy(F.col("lang").alias("suffix"), "accepted").agg(F.sum(F.length("src")).alias("n_chars"))
+    return both.select(F.col("lang").alias("suffix"), "accepted", F.md5("src").alias("content"))
 
 
 _SECTION = "regexp_extract(url, '/([a-z][a-z])/', 1)"
