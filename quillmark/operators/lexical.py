@@ -127,6 +127,10 @@ def changed_lemmas(tokens_df: DataFrame, keys: list[str], vocabulary: DataFrame)
     lemmas. Only tokens with an irregular form or a suffix that may be detached are joined, by what
     is left of them. An irregular form comes first, then the first rule with a known result.
     """
+    # Most words end in no suffix of any rule, and go at once.
+    ends = "|".join(sorted({suffix for _, suffix, _ in K.DETACHMENTS}))
+    forms = [w for w, _, _ in K.LEMMA_EXCEPTIONS]
+    tokens_df = tokens_df.where(F.col("word").rlike(f"(?:{ends})$") | F.col("word").isin(forms))
     special = irregular(F.col("word"), F.col("class"))
     rules = F.when(special.isNull(), detached(F.col("word"), F.col("class"))).otherwise(
         F.array(F.struct(F.lit(-1).alias("rule"), special.alias("candidate")))

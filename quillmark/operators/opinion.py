@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import constants as K
 from quillmark.functions import polarity, tokens
 from quillmark.functions import text as T
+from quillmark.sources.shared import settle
 
 
 def built_in(spark: SparkSession) -> DataFrame:
@@ -33,16 +34,17 @@ def prefixes(terms: DataFrame) -> DataFrame:
     return terms.groupBy(F.substring_index("term", " ", 1).alias("first")).agg(F.max("size").alias("longest"))
 
 
-def found_terms(texts: DataFrame, keys: list[str], text: str, lexicon: DataFrame) -> DataFrame:
+def found_terms(texts: DataFrame, keys: list[str], sentences: str, lexicon: DataFrame) -> DataFrame:
     """(keys, found): map<sentence, map<place, struct<size, score>>> of the terms in each text.
 
-    Texts without a term have no row. Texts with equal keys must be equal. Words are counted from 0
-    within a sentence. The lexicon may be of any size: both look-ups are joins.
+    ``sentences`` is an array column. Texts without a term have no row. Texts with equal keys must be
+    equal. Words are counted from 0 within a sentence. The lexicon may be of any size: both look-ups
+    are joins.
     """
     terms = normal(lexicon)
     longest = terms.agg(F.max("size")).first()[0] or 1
-    sentences = texts.select(*keys, F.posexplode(tokens.sentences(F.col(text))).alias("sent_id", "_s"))
-    words = sentences.select(*keys, "sent_id", F.expr(polarity.words_sql("_s")).alias("_w"))
+    each = texts.select(*keys, F.posexplode(sentences).alias("sent_id", "_s"))
+    words = each.select(*keys, "sent_id", F.expr(polarity.words_sql("_s")).alias("_w"))
     ahead = F.expr(f"transform(_w, (x_, i_) -> transform(slice(_w, i_ + 1, {longest}), y_ -> y_.w))")
     each = words.select(*keys, "sent_id", F.posexplode(ahead).alias("pos", "_ahead"))
     begun = each.withColumn("first", F.col("_ahead")[0]).join(prefixes(terms), "first")
@@ -69,12 +71,9 @@ def sentiment(df: DataFrame, lexicon: DataFrame | None = None, text: str = "text
     keys = ["_k1", "_k2"]
     hashes = [F.xxhash64("doc_id", text).alias("_k1"), F.xxhash64(F.lit(1), text, "doc_id").alias("_k2")]
     rows = df.select("doc_id", F.coalesce(text, F.lit("")).alias("text"), *hashes)
-    found = found_terms(rows, keys, "text", built_in(df.sparkSession) if lexicon is None else lexicon)
-    scored = (
-        rows.join(found, keys, "left")
-        .withColumn("sents", tokens.sentences(F.col("text")))
-        .withColumn("_o", polarity.score_sentences("sents", "found"))
-    )
+    rows = settle(rows.withColumn("sents", tokens.sentences(F.col("text"))), "sentences")
+    found = found_terms(rows, keys, "sents", built_in(df.sparkSession) if lexicon is None else lexicon)
+    scored = rows.join(found, keys, "left").withColumn("_o", polarity.score_sentences("sents", "found"))
     return scored.select(
         "doc_id", polarity.document_polarity("text", "_o").alias("sentiment"), polarity.sentence_polarities("sents", "_o").alias("sentences")
     )

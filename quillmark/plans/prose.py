@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import arrays as A
 from quillmark.functions import polarity, tagging, text, tokens
 from quillmark.operators import lexical, opinion, syntax
+from quillmark.sources.shared import settle
 
 #: Syntax columns of a document and of a sentence, with their types.
 DOCUMENT_SYNTAX = {
@@ -67,21 +68,20 @@ def lemmatised(
 
     ``vocabulary`` (word) holds the words that may be lemmas; without one, the words of the texts. The
     tokens that may change are joined with it by what they change to, and only the changes come back
-    to their row: the one shuffle of texts is by row, the tokens stay where they are. Ids may be
+    to their row: the analysed texts are written once and shuffled once, by row. Ids may be
     null or repeated. Null and empty texts have no sentences. With a ``lexicon`` (term, score) there
     is a column ``found``, the places of its terms, by the same shuffle.
     """
-    rows = _texts(df, label, text_col, clean)
+    # Splitting and tagging are the costly part: done once, and every pass reads the columns it needs.
+    rows = settle(_analysed(_texts(df, label, text_col, clean)), "analysed")
     if vocabulary is None:
-        vocabulary = lexical.word_table(rows, "text")
-    each = _tokens(_analysed(rows), KEY)
-    changed = lexical.changed_lemmas(each, [*KEY, "sent_id", "tok_id"], vocabulary)
+        vocabulary = rows.select(F.explode(F.array_distinct(F.flatten("toks"))).alias("word")).distinct()
+    changed = lexical.changed_lemmas(_tokens(rows, KEY), [*KEY, "sent_id", "tok_id"], vocabulary)
     by_sentence = changed.groupBy(*KEY, "sent_id").agg(F.map_from_entries(F.collect_list(F.struct("tok_id", "lemma"))).alias("_m"))
     by_row = by_sentence.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("sent_id", "_m"))).alias("_changed"))
-    joined = rows.join(by_row, KEY, "left")
+    found = rows.join(by_row, KEY, "left")
     if lexicon is not None:
-        joined = joined.join(opinion.found_terms(rows, KEY, "text", lexicon), KEY, "left")
-    found = _analysed(joined)
+        found = found.join(opinion.found_terms(rows, KEY, "sents", lexicon), KEY, "left")
     lemmas = (
         "transform(toks, (ts_, s_) -> get(transform(array(_changed[s_]), m_ -> "
         "if(m_ IS NULL, ts_, transform(ts_, (w_, i_) -> coalesce(m_[i_], w_)))), 0))"
