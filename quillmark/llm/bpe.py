@@ -18,9 +18,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from quillmark.llm.common import slices
+from quillmark.llm.common import slices, strips
 
 #: Unicode white space, and the pattern of the byte-level vocabularies over it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -29,7 +29,9 @@ WORDS = (
     r"|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + "]+"
 )
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Bounds of a worker's memory: texts at a time, pieces remembered, length of a remembered piece.
+#: Bounds of a worker's memory: bytes of text and id lists at a time, pieces remembered, and the
+#: length of a remembered piece.
+STRIP = 1 << 20
 TEXTS = 500
 REMEMBERED = 200_000
 SHORT = 48
@@ -196,7 +198,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch in slices(batches, TEXTS):
+        for batch in strips(batches, text, STRIP):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             yield _replace(batch, out, _as_lists(words.encode(texts)))
 
@@ -217,6 +219,39 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     return docs.mapInArrow(run, _with_column(docs, out, StringType()))
 
 
+def round_trip(
+    docs: DataFrame, path: str, keep: list[str], text: str = "text", ids: str = "ids", decoded: str | None = "decoded",
+    exact: str | None = None,
+) -> DataFrame:
+    """The columns ``keep``, the token ids of whole texts, and what they decode to, in one pass.
+
+    ``decoded`` names the column of the decoded text, ``exact`` that of whether it is the text; either
+    may be left out. A worker holds about 1 MB of text, or one longer text, at a time, with its ids.
+    Null texts are empty: no ids, an empty decoded text, exact. Repeated rows stay, an empty table
+    stays empty; none of ``keep`` may have the name of an added column.
+    """
+    added = [(ids, ArrayType(IntegerType(), True)), (decoded, StringType()), (exact, BooleanType())]
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(n, t) for n, t in added if n])
+    # The text last, so that a kept column of its name is found first.
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
+        for batch in strips(batches, "_text", STRIP):
+            texts = batch.column(len(keep)).to_pylist()
+            found = words.encode(texts)
+            offsets = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
+            back = words.decode(np.concatenate(found) if found else np.empty(0, np.int32), offsets)
+            columns = [batch.column(i) for i in range(len(keep))] + [_as_lists(found)]
+            if decoded:
+                columns.append(pa.array(back, pa.string()))
+            if exact:
+                columns.append(pa.array([a == (b or "") for a, b in zip(back, texts)]))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def digest(ids: Column) -> Column:
     """Lowercase hex SHA-256 of decimal ids joined by commas."""
     return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)

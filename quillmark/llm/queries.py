@@ -30,9 +30,8 @@ def simhash_query(spark: SparkSession, folder: str) -> DataFrame:
 
 def bpe_query(spark: SparkSession, folder: str) -> DataFrame:
     path = vocabulary_path()
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    back = bpe.decode(bpe.encode(docs, path).drop("text"), path)
-    return back.select(
+    docs = table(spark, folder, "documents")
+    return bpe.round_trip(docs, path, ["doc_id"]).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest(F.col("ids")).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
@@ -43,10 +42,14 @@ def mixing_query(spark: SparkSession, folder: str) -> DataFrame:
     mix = mixing.plan(docs)
     return mix.select(
         "doc_id", "_mix.size", "_mix.source_size", "_mix.target",
-        (F.col("_mix.size") * F.size("_mix.copies")).alias("taken"),
+        (F.col("_mix.size") * F.size("_mix.copies")).alias("taken"), F.array_join(F.col("_mix.copies.shard").cast("array<string>"), ",").alias("shards"),
     )
 
 
+def ablation_query(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.ablation(rules.ledger(table(spark, folder, "documents")), "v2")
+
+
 def _scored(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
@@ -148,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality_query,
     "op9_neighbours": neighbours_query,
     "op10_rules": rules_query,
+    "rules_ablation": ablation_query,
     "op11_manifest": manifest_query,
     "op12_sharding": sharding_query,
     "op13_phrases": phrases_query,
@@ -155,6 +159,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_LEDGER = f"""
+        WITH d AS MATERIALIZED (
+          SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+        g AS (SELECT id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM d),
+        wins AS MATERIALIZED (
+          SELECT id, i, x || ' ' || lead(x, 1) OVER s || ' ' || lead(x, 2) OVER s || ' ' || lead(x, 3) OVER s || ' ' || lead(x, 4) OVER s AS g
+          FROM g WINDOW s AS (PARTITION BY id ORDER BY i)),
+        rep AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS n FROM wins WHERE g IS NOT NULL) WHERE n > 1),
+        gaps AS (SELECT id, least(5, coalesce(lead(i) OVER (PARTITION BY id ORDER BY i) - i, 5)) AS c FROM rep),
+        r AS (SELECT id, sum(c)::BIGINT AS n_repeat_words FROM gaps GROUP BY id),
+        m AS (
+          SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+            length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
+            coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+            length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS upper
+          FROM d LEFT JOIN r USING (id)),
+        f AS (SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines FROM m),
+        b AS (SELECT *,
+            (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+            + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 20 * n_words)::BIGINT
+            + 32 * (10 * n_dup_lines > 3 * len(l))::BIGINT + 64 * (2 * upper > letters)::BIGINT AS bits FROM f)"""
+
+
 def _climbed(name: str, levels: int) -> str:
     """SQL: tables name1, name2, ... of ever higher nodes above name0 (g, slot, total, node, before, after)."""
     run = "PARTITION BY g, slot // 8 ORDER BY slot"
@@ -290,28 +318,11 @@ SQL: dict[str, str] = {
           CASE WHEN lost THEN -1 ELSE ob END AS offset_b, CASE WHEN lost THEN -1 ELSE strlen(rb) END AS length_b,
           CASE WHEN lost THEN '' ELSE sha256(rb) END AS sha256_b
         FROM o WHERE lost OR hurt""",
-    "op10_rules": f"""
-        WITH d AS MATERIALIZED (
-          SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
-        g AS (SELECT id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM d),
-        wins AS MATERIALIZED (
-          SELECT id, i, x || ' ' || lead(x, 1) OVER s || ' ' || lead(x, 2) OVER s || ' ' || lead(x, 3) OVER s || ' ' || lead(x, 4) OVER s AS g
-          FROM g WINDOW s AS (PARTITION BY id ORDER BY i)),
-        rep AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS n FROM wins WHERE g IS NOT NULL) WHERE n > 1),
-        gaps AS (SELECT id, least(5, coalesce(lead(i) OVER (PARTITION BY id ORDER BY i) - i, 5)) AS c FROM rep),
-        r AS (SELECT id, sum(c)::BIGINT AS n_repeat_words FROM gaps GROUP BY id),
-        m AS (
-          SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-            length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
-            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l,
-            coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-            length(regexp_replace(text, '[^\\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS upper
-          FROM d LEFT JOIN r USING (id)),
-        f AS (SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines FROM m),
-        b AS (SELECT *,
-            (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
-            + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 20 * n_words)::BIGINT
-            + 32 * (10 * n_dup_lines > 3 * len(l))::BIGINT + 64 * (2 * upper > letters)::BIGINT AS bits FROM f)
+    "op10_rules": _LEDGER + """
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words,
           bits & 3 <> 0 AS base_failed, bits & 31 = 0 AS kept, bits FROM b""",
+    "rules_ablation": _LEDGER + f"""
+        , names AS (SELECT unnest({list(rules.rules_names())}) AS rule, unnest({[1 << i for i in range(len(rules.rules_names()))]}) AS bit)
+        SELECT rule, sum((bits & bit <> 0)::BIGINT)::BIGINT AS n_failed, sum((bits = bit)::BIGINT)::BIGINT AS n_only,
+          sum((bits = 0 OR bits = bit)::BIGINT)::BIGINT AS n_kept_without FROM b CROSS JOIN names GROUP BY rule""",
 }
