@@ -40,10 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their number, and whether decoding gives the text back."""
-    path = vocabulary_path()
-    back = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
-    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return back.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("round_trip"))
+    rows = bpe.round_trip(docs, vocabulary_path(), ["doc_id", "source"], decoded=None, exact="round_trip")
+    return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
