@@ -32,7 +32,7 @@ LONGEST, LEAST, BEST = 5, 100, 2000
 #: Share of the documents in the sample, and of a phrase's expected count there that proposes it.
 SAMPLE, LOWERED = 0.1, 0.8
 #: Bytes of text that a task counts at a time, and rows it takes from a batch at a time.
-STRIP, ROWS = 6 << 20, 256
+STRIP, ROWS = 3 << 20, 256
 #: Bits for each phrase in a filter, its bits at least and at most, and probes.
 PER_PHRASE, FEWEST_BITS, MOST_BITS, PROBES = 16, 1 << 16, 1 << 28, 4
 #: Rows that are ranked in one task before the last ranking.
@@ -92,8 +92,8 @@ def contains(bitmap: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_strip(texts: list[bytes], lang: str, filters: Filters) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """(size, phrases, counts) of the phrases that this pass counts, for each size; size 0 has all words.
+def count_strip(texts: list[bytes], lang: str, filters: Filters) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(keys, counts) of the phrases that this pass counts, size by size; the bare language has all words.
 
     Distinct phrases of a strip have dense numbers, made from the number of what they are without
     their last word and that word, so that counting is exact.
@@ -105,11 +105,12 @@ def count_strip(texts: list[bytes], lang: str, filters: Filters) -> Iterator[tup
     names = list(index)
     word = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
     code_of = _word_codes(names, lang)
+    prefix = (lang + BETWEEN).encode("utf-8", "replace")
     place = np.flatnonzero(word != index.get(END, -1))
     inside = np.zeros(len(word) + LONGEST, bool)
     inside[place] = True
     if filters.kind in ("words", "border"):
-        yield 0, [""], np.array([len(place)])
+        yield [prefix], np.array([len(place)])
     # Of the phrase of the present size that begins at a place: its number, and whether longer ones may count.
     number, may = np.zeros(len(word), np.int64), np.zeros(len(word) + LONGEST, bool)
     codes = np.zeros(0, np.uint64)
@@ -148,7 +149,7 @@ def count_strip(texts: list[bytes], lang: str, filters: Filters) -> Iterator[tup
             was = fresh
         if size in filters.sizes and new.any():
             some = start[new].tolist()
-            yield size, [b" ".join(flat[p : p + size]).decode("utf-8", "replace") for p in some], times[new]
+            yield [prefix + b" ".join(flat[p : p + size]) for p in some], times[new]
         number = np.zeros(len(word), np.int64)
         number[place] = at
         may = np.zeros(len(word) + LONGEST, bool)
@@ -178,9 +179,8 @@ def counts(docs: DataFrame, filters: Filters) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _strips(batches):
-            before = lang + BETWEEN
-            for _, phrases, n in count_strip(texts, lang, filters):
-                yield pa.RecordBatch.from_arrays([pa.array([before + p for p in phrases], pa.string()), pa.array(n.astype(np.int64))], ["key", "n"])
+            for keys, n in count_strip(texts, lang, filters):
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], ["key", "n"])
 
     # One string and one number a row is what is shuffled.
     each = docs.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
