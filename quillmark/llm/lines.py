@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Stored, slices
+from quillmark.llm.common import Stored, packed, slices
 from quillmark.llm.components import components
 
 SHINGLE = 9
@@ -31,9 +31,11 @@ LEAST_WORDS = 1
 #: Load of a block of lines, where a line counts 1 and 1 more for every 1000 characters; rows of small
 #: blocks that share a task; shingles that a matrix holds at a time; pairs verified at a time.
 BLOCK, PACK, COLUMNS, PAIRS = 256, 4000, 4096, 512
+#: Lines that are compared pair by pair; more are compared as matrices.
+FEW = 8
 #: Texts at a time; characters hashed at a time; lines a task remembers as already signed.
 TEXTS = 400
-STRIP = 1 << 16
+STRIP = 1 << 15
 REMEMBERED = 400_000
 
 
@@ -49,23 +51,45 @@ def shingles(line: str, size: int = SHINGLE) -> np.ndarray:
 def _codes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the shingles of all lines in a row, and where each line's begin."""
     padded = [x if len(x) >= size else x + "\0" * (size - len(x)) for x in lines]
-    flat = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    flat = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), "<u4")
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
     starts = np.cumsum(lengths) - lengths
-    code = np.zeros(len(flat), np.uint64)
-    for i in range(size):
-        code[: len(flat) - i] = code[: len(flat) - i] * np.uint64(0x9E3779B97F4A7C15) + flat[i:]
-    code ^= code >> np.uint64(31)
-    code *= np.uint64(0xBF58476D1CE4E5B9)
+    code = np.empty(len(flat), np.uint64)
+    # Strips keep the working set in the processor's cache.
+    for a in range(0, len(flat), STRIP):
+        part = _windows(flat[a : a + STRIP + size - 1].astype(np.uint64), size)[: len(flat[a : a + STRIP])]
+        part ^= part >> np.uint64(31)
+        part *= np.uint64(0xBF58476D1CE4E5B9)
+        code[a : a + len(part)] = part
     # Windows that run over a line's end are no shingles of it.
     inner = lengths - size + 1
     begins = np.cumsum(inner) - inner
     return code[np.arange(int(inner.sum())) + np.repeat(starts - begins, inner)], begins
 
 
+def _windows(flat: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial of the ``size`` values from each place on, put together from windows of doubled width."""
+    base = 0x9E3779B97F4A7C15
+    found, have, pair, width = None, 0, flat, 1
+    while True:
+        if size & width:
+            # Windows of what is left stand before those that are known.
+            if found is None:
+                found, have = pair.copy(), width
+            else:
+                later = np.zeros_like(found)
+                later[: max(0, len(found) - width)] = found[width:]
+                found, have = pair * np.uint64(pow(base, have, 1 << 64)) + later, have + width
+        if 2 * width > size:
+            return found
+        longer = pair * np.uint64(pow(base, width, 1 << 64))
+        longer[: max(0, len(pair) - width)] += pair[width:]
+        pair, width = longer, 2 * width
+
+
 def overlap(x: np.ndarray, y: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets of codes."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    both = shared(x, y)
     return both / (len(x) + len(y) - both)
 
 
@@ -106,6 +130,21 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
+#: What a text of normal lines does not have: runs of blanks, blanks at a line's ends, other white space.
+_RUNS = ("  ", "\n ", " \n")
+_SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+_ASCII_SPACES = tuple(c for c in _SPACES if c.isascii())
+
+
+def normal_lines(text: str) -> list[str]:
+    """Lines of a text, each normal; a line without a word is empty."""
+    low = text.lower()
+    marks = _RUNS + (_ASCII_SPACES if low.isascii() else _SPACES)
+    if low[:1] == " " or low[-1:] == " " or any(m in low for m in marks):
+        return [" ".join(line.split()) for line in low.split("\n")]
+    return low.split("\n")
+
+
 def _occurrences(least_words: int):
     """Rows (doc_id, text_hash, line_no, key, bands) of each line; bands only where the task first meets a line."""
 
@@ -116,11 +155,9 @@ def _occurrences(least_words: int):
             if len(seen) > REMEMBERED:
                 seen.clear()
             for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for place, line in enumerate((text or "").split("\n")):
-                    words = line.lower().split()
-                    if len(words) < least_words:
+                for place, line in enumerate(normal_lines(text or "")):
+                    if not line or least_words > 1 and line.count(" ") + 1 < least_words:
                         continue
-                    line = " ".join(words)
                     key = xxhash.xxh64_intdigest(line.encode("utf-8", "replace"), seed=42)
                     if key not in seen:
                         seen.add(key)
@@ -149,25 +186,54 @@ def _sets(lines: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     if not lines:
         return []
     code, begins = _codes(lines, size)
-    return [np.unique(x) for x in np.split(code, begins[1:])]
+    out = []
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(code)]):
+        part = np.sort(code[a:b])
+        fresh = np.empty(len(part), bool)
+        fresh[0] = True
+        np.not_equal(part[1:], part[:-1], out=fresh[1:])
+        out.append(part[fresh])
+    return out
+
 
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Codes that two sorted sets have in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of distinct pairs of line keys, from their whole lines."""
 
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for start in range(0, len(a), PAIRS):
-            left, right = a[start : start + PAIRS].tolist(), b[start : start + PAIRS].tolist()
-            lines = list(dict.fromkeys(left + right))
-            sets = dict(zip(lines, _sets([normal(x) for x in lines])))
-            out += [overlap(sets[x], sets[y]) for x, y in zip(left, right)]
-        return pd.Series(out, dtype="float64")
+def near_pairs(left: list[str], right: list[str], similarity: float) -> np.ndarray:
+    """Whether the lines of each pair are similar enough; numbers of shingles alone rule many out."""
+    lines = list(dict.fromkeys([*left, *right]))
+    sets = dict(zip(lines, _sets([normal(x) for x in lines])))
+    out = np.zeros(len(left), bool)
+    for k, (a, b) in enumerate(zip(left, right)):
+        out[k] = alike(sets[a], sets[b], similarity)
+    return out
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of codes have that Jaccard similarity or more."""
+    n, m = len(x), len(y)
+    if min(n, m) < similarity * max(n, m):
+        return False
+    both = shared(x, y)
+    return both >= similarity * (n + m - both)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those distinct pairs of line keys whose whole lines are similar enough."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = [near_pairs(a[i : i + PAIRS].tolist(), b[i : i + PAIRS].tolist(), similarity) for i in range(0, len(a), PAIRS)]
+        return pd.Series(np.concatenate(out) if out else [], dtype="bool")
 
     left = texts.select(F.col("key").alias("a"), F.col("line").alias("_a"))
     right = texts.select(F.col("key").alias("b"), F.col("line").alias("_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", similarity("_a", "_b").alias("similarity"))
+    return pairs.join(left, "a").join(right, "b").where(near("_a", "_b")).select("a", "b")
 
 
 def similarities(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -182,9 +248,10 @@ def similarities(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     both = np.zeros((len(left), len(right)), np.float32)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+    total = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, total, COLUMNS):
         i, j = np.searchsorted(column, [low, low + COLUMNS])
-        holds = np.zeros((len(sets), COLUMNS), np.float32)
+        holds = np.zeros((len(sets), min(COLUMNS, total - low)), np.float32)
         holds[owner[i:j], column[i:j] - low] = 1
         both += holds[: len(left)] @ holds[len(left) :].T
     both = both.astype(np.float64)
@@ -196,9 +263,14 @@ def forest(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], cut: int
 
     Lines before ``cut`` are compared with the ones from there on, or all with all if ``cut`` is 0.
     """
-    first, last = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
-    near = similarities(sets[first], sets[last]) >= similarity
-    near &= roots[first][:, None] != roots[last][None, :]
+    if len(keys) <= FEW:
+        pairs = ((i, j) for i in range(cut or len(keys)) for j in range(cut or i + 1, len(keys)))
+        pairs = [(i, j) for i, j in pairs if roots[i] != roots[j] and alike(sets[i], sets[j], similarity)]
+    else:
+        first, last = (slice(0, cut), slice(cut, None)) if cut else (slice(None), slice(None))
+        near = similarities(sets[first], sets[last]) >= similarity
+        near &= roots[first][:, None] != roots[last][None, :]
+        pairs = [(i, j + cut) for i, j in zip(*(x.tolist() for x in np.nonzero(near)))]
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -207,8 +279,7 @@ def forest(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], cut: int
         return x
 
     out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-        j += cut
+    for i, j in pairs:
         a, b = top(int(roots[i])), top(int(roots[j]))
         if a != b:
             up[max(a, b)] = min(a, b)
@@ -216,6 +287,32 @@ def forest(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], cut: int
     return out
 
 
+def block_links(frame: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Links within each (bucket, a, b) of a task: rows of block, key, root, line.
+
+    A line's shingles are hashed once for the task, and a pair of blocks that holds the same lines
+    as an earlier one of another bucket is not compared again.
+    """
+    names = ["bucket", "a", "b", "block", "key", "root"]
+    bucket, first, last, block, key, root = (frame[c].to_numpy() for c in names)
+    order = np.lexsort((key, block, last, first, bucket))
+    bucket, first, last, block, key, root = (x[order] for x in (bucket, first, last, block, key, root))
+    distinct, where = np.unique(frame["key"].to_numpy(), return_index=True)
+    lines = frame["line"].to_numpy()
+    sets = dict(zip(distinct.tolist(), _sets([normal(x) for x in lines[where]])))
+    change = (np.diff(bucket) != 0) | (np.diff(first) != 0) | (np.diff(last) != 0)
+    edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(key)]
+    out: list[tuple[int, int]] = []
+    done: set[tuple[bytes, int]] = set()
+    for i, j in zip(edges[:-1], edges[1:]):
+        cut = 0 if first[i] == last[i] else int((block[i:j] == first[i]).sum())
+        same = (key[i:j].tobytes(), cut)
+        if same not in done:
+            done.add(same)
+            out += forest(key[i:j], root[i:j], [sets[k] for k in key[i:j].tolist()], cut, similarity)
+    return out
+
+
 def _block_pairs(rest: DataFrame) -> DataFrame:
     """(task, bucket, a, b, block, key, root): the lines of every pair of blocks that may hold links.
 
@@ -232,12 +329,18 @@ def _block_pairs(rest: DataFrame) -> DataFrame:
     dealt = rest.join(sizes, ["bucket", "root"]).join(small, "bucket", "left")
     dealt = Stored(dealt.select("bucket", block.alias("block"), "key", "root", "load"), "line-blocks").df
     packs = dealt.count() // PACK + 1
-    blocks = dealt.groupBy("bucket", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("load").alias("load"))
-    left, right = (blocks.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "lo", "hi", "load"))) for x in "ab")
+    blocks = dealt.groupBy("bucket", "block").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("key").alias("first"), F.max("key").alias("last"), F.sum("load").alias("load")
+    )
+    names = ("block", "lo", "hi", "first", "last", "load")
+    left, right = (blocks.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab")
     one_root = (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
     pairs = left.join(right, "bucket").where((F.col("block_a") <= F.col("block_b")) & ~one_root)
     alone = F.xxhash64("bucket", "block_a", "block_b")
-    task = F.when(F.col("load_a") + F.col("load_b") < BLOCK // 4, F.pmod(alone, F.lit(packs))).otherwise(alone)
+    # Small blocks with the same first and last line likely hold the same lines, and are compared once
+    # if they meet. A line is in as many buckets as there are bands, so no more of them share ends.
+    alike = F.xxhash64(*(F.col(f"{end}_{x}") for x in "ab" for end in ("first", "last")))
+    task = F.when(F.col("load_a") + F.col("load_b") < BLOCK // 4, F.pmod(alike, F.lit(packs))).otherwise(alone)
     ends = pairs.select(
         task.alias("task"), "bucket", F.col("block_a").alias("a"), F.col("block_b").alias("b"),
         F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"),
@@ -256,8 +359,8 @@ def line_links(crowd: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
     crowd = crowd.select("bucket", "key")
     leaders = crowd.groupBy("bucket").agg(F.min("key").alias("a"))
     met = crowd.join(leaders, "bucket").where(F.col("key") > F.col("a")).select("a", F.col("key").alias("b"))
-    known = _verified(met.distinct(), texts).where(F.col("similarity") >= similarity)
-    roots = components(Stored(known.select("a", "b"), "leader-links").df)
+    known = _verified(met.distinct(), texts, similarity)
+    roots = components(Stored(known, "leader-links").df)
     tied = crowd.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
         "bucket", "key", F.coalesce("root", "key").alias("root")
     )
@@ -268,12 +371,7 @@ def line_links(crowd: DataFrame, texts: DataFrame, similarity: float = SIMILARIT
     rest = Stored(tied.join(several, "bucket").join(load, "key"), "open-buckets").df
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        for (_, a, b), rows in frame.groupby(["bucket", "a", "b"]):
-            rows = rows.sort_values(["block", "key"])
-            cut = 0 if a == b else int((rows["block"] == a).sum())
-            sets = _sets([normal(x) for x in rows["line"]])
-            out += forest(rows["key"].to_numpy(), rows["root"].to_numpy(), sets, cut, similarity)
+        out = block_links(frame, similarity)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     pairs = _block_pairs(rest).join(texts, "key")
@@ -296,14 +394,18 @@ def duplicate_lines(
     table = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     table = table.where("doc_id is not null")
     schema = "doc_id long, text_hash long, line_no int, key long, bands array<long>"
-    lines = Stored(table.mapInArrow(_occurrences(least_words), schema), "lines").df
+    signed = Stored(table.mapInArrow(_occurrences(least_words), schema), "lines")
+    lines = signed.df
     place = F.struct("doc_id", "line_no", "text_hash")
     classes = Stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes").df
-    # One shuffle by bucket: copies of a line fall together there and buckets of one line go.
+    # One shuffle by bucket: buckets of one line go, copies of a line fall together there.
     each = lines.where(F.size("bands") > 0).select("key", F.explode("bands").alias("bucket"))
-    each = each.repartition(F.col("bucket")).dropDuplicates(["bucket", "key"])
-    crowd = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1")
-    crowd = Stored(crowd, "buckets").df
+    whole = Window.partitionBy("bucket")
+    crowd = each.select("bucket", "key", F.min("key").over(whole).alias("lo"), F.max("key").over(whole).alias("hi"))
+    crowd = Stored(crowd.where("lo <> hi").select("bucket", "key").dropDuplicates(), "buckets").df
+    # The bands are most of what is written, and no longer needed.
+    lines = Stored(lines.select("doc_id", "text_hash", "line_no", "key"), "line-places").df
+    signed.drop()
     wanted = classes.join(crowd.select("key").distinct(), "key").select("first.doc_id", "first.text_hash", F.struct(F.col("first.line_no").alias("line_no"), "key").alias("at"))
     wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("wanted"))
     texts = table.join(wanted, ["doc_id", "text_hash"]).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("at")).select(
@@ -314,7 +416,7 @@ def duplicate_lines(
     tied = classes.join(roots, "key", "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     whole = tied.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
     owners = Stored(tied.select("key", "root").join(whole, "root").select("key", "first"), "line-components").df
-    return lines.select("doc_id", "text_hash", "line_no", "key").join(owners, "key").select(
+    return lines.join(owners, "key").select(
         "doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
         (place == F.col("first")).alias("kept"), "text_hash",
     ).distinct()
@@ -331,7 +433,9 @@ def drop_duplicate_lines(docs: DataFrame, **options) -> DataFrame:
     gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.map_from_arrays(F.collect_list("line_no"), F.collect_list(F.lit(True))).alias("_gone")
     )
-    joined = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.map_contains_key("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    # The row travels as one struct, so that other columns may have any name.
+    rows = docs.select(packed(docs).alias("_row"), F.col("doc_id").alias("_of"), F.xxhash64("text").alias("_text_hash"))
+    joined = rows.join(gone, (F.col("_of") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    left = F.filter(F.split(F.col("_row.text"), "\n"), lambda x, i: ~F.map_contains_key("_gone", i))
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(left, "\n"))
+    return joined.withColumn("_row", F.col("_row").withField("text", text)).select("_row.*")
