@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import dialogue, lexical, rollup, sampling, scale, sets
 from quillmark.plans import prose
+from quillmark.sources.tables import spread
 
 
 def md5(seed, *ids):
@@ -196,3 +197,22 @@ def test_term_frequency_totals(spark):
     frame = spark.createDataFrame([(1, "a1 b1 a1 c1 the"), (2, "the")], "doc_id long, text string")
     rows = lexical.term_frequency(frame, ["doc_id"], "text").collect()
     assert sorted((r["term"], r["cnt"], r["n"]) for r in rows) == [("a1", 2, 4), ("b1", 1, 4), ("c1", 1, 4)]
+
+
+def test_spread_deals_a_file_of_one_row_group(spark, tmp_path):
+    """Its splits are as many as the slots, but one of them holds all rows."""
+    path = str(tmp_path / "one")
+    rows = [(i, hashlib.md5(str(i).encode()).hexdigest() * 200) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    frame.write.option("parquet.block.size", 1 << 30).option("compression", "uncompressed").option("parquet.enable.dictionary", False).parquet(path)
+    read = spark.read.parquet(path)
+    slots = spark.sparkContext.defaultParallelism
+    assert read.rdd.getNumPartitions() >= slots
+
+    def largest(df):
+        return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+    assert largest(read) == 6000
+    dealt = spread(read, "id")
+    assert largest(dealt) <= 2 * 6000 / slots and dealt.count() == 6000
+    assert spread(dealt, "id") is dealt
