@@ -241,3 +241,14 @@ def test_work_lists_keep_their_bound(spark):
     assert held == sorted((g, t) for _, g, t in rows if g and t is not None)
     assert len(lists) < len(held) and all(r["n_bytes"] == sum(len(t.encode()) for t in r["responses"]) for r in lists)
     assert source_code.work_lists(frame.limit(0), "lang", "k", "text", 100).count() == 0
+
+
+def test_clause_counts_see_words_beside_marks(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "He left, and, because it rained, they stayed (who knows). We saw that.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = entry.queries()
+    sub = {(r["sent_id"], r["sub_clauses"]) for r in found["subordinate_clauses"](spark, str(tmp_path)).collect()}
+    coord = {(r["sent_id"], r["coord_clauses"]) for r in found["coordinating_conjunctions"](spark, str(tmp_path)).collect()}
+    assert sub == {(0, 2), (1, 1)} and coord == {(0, 1), (1, 0)}
