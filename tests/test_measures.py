@@ -252,3 +252,21 @@ def test_clause_counts_see_words_beside_marks(spark, tmp_path):
     sub = {(r["sent_id"], r["sub_clauses"]) for r in found["subordinate_clauses"](spark, str(tmp_path)).collect()}
     coord = {(r["sent_id"], r["coord_clauses"]) for r in found["coordinating_conjunctions"](spark, str(tmp_path)).collect()}
     assert sub == {(0, 2), (1, 1)} and coord == {(0, 1), (1, 0)}
+
+
+def test_words_and_sentences_stay_where_their_document_is(spark):
+    """Texts are shuffled, not the words of a parse; sentence rows take their numbers without a shuffle."""
+    from quillmark.catalog.annotated import given_edges
+    from quillmark.plans import prose
+
+    docs = spark.createDataFrame([(1, "One two. Three four."), (2, "Five six seven.")], "doc_id long, text string")
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    words = plan(given_edges(docs))
+    assert words.count("Exchange") == 1 and words.index("Generate") < words.index("Exchange")
+    rows = prose.annotate_sentences(docs, F.lit("LLM"), parses=given_edges(docs))
+    above = plan(rows).split("Generate")[0]
+    assert "Exchange" not in above and "Join" not in above
+    assert [(r["doc_id"], r["sent_id"], r["depth"] > 0) for r in rows.orderBy("doc_id", "sent_id").collect()] == [(1, 0, True), (1, 1, True), (2, 0, True)]
