@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Stored, packed, slices
+from quillmark.llm.common import Stored, packed, slices, strips
 from quillmark.llm.components import components
 
 SHINGLE = 9
@@ -33,9 +33,11 @@ LEAST_WORDS = 1
 BLOCK, PACK, COLUMNS, PAIRS = 256, 4000, 4096, 512
 #: Lines that are compared pair by pair; more are compared as matrices.
 FEW = 8
-#: Texts at a time; characters hashed at a time; lines a task remembers as already signed.
+#: Texts at a time; characters hashed at a time; characters of the lines that are signed or made sets of
+#: at a time, as they take some 50 times their size; lines a task remembers as already signed.
 TEXTS = 400
 STRIP = 1 << 15
+GROUP = 1 << 20
 REMEMBERED = 400_000
 
 
@@ -101,6 +103,18 @@ def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(7).integers(1, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
+def groups(sizes: Iterable[int], most: int | None = None) -> list[slice]:
+    """Runs of items whose sizes add up to at most ``most``; a larger item is alone."""
+    out, start, load = [], 0, 0
+    most, stop = GROUP if most is None else most, 0
+    for stop, n in enumerate(sizes, 1):
+        if load and load + n > most:
+            out.append(slice(start, stop - 1))
+            start, load = stop - 1, 0
+        load += n
+    return out + [slice(start, stop)] if stop else out
+
+
 def signatures(lines: list[str], size: int = SHINGLE, n: int = BANDS * ROWS) -> np.ndarray:
     """MinHash values (lines x n) of normal lines, computed over one flat array of characters."""
     code, begins = _codes(lines, size)
@@ -150,7 +164,7 @@ def _occurrences(least_words: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches, TEXTS):
+        for batch in strips(slices(batches, TEXTS), "text", GROUP):
             ids, hashes, places, keys, fresh, at = [], [], [], [], [], []
             if len(seen) > REMEMBERED:
                 seen.clear()
@@ -171,7 +185,8 @@ def _occurrences(least_words: int):
                 continue
             sizes = np.zeros(len(ids), np.int64)
             sizes[at] = BANDS
-            flat = band_keys(signatures(fresh)).ravel() if fresh else np.empty(0, np.int64)
+            parts = [band_keys(signatures(fresh[g])).ravel() for g in groups(map(len, fresh))]
+            flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), bands],
@@ -182,17 +197,16 @@ def _occurrences(least_words: int):
 
 
 def _sets(lines: list[str], size: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted shingle codes of each normal line, hashed over one flat array."""
-    if not lines:
-        return []
-    code, begins = _codes(lines, size)
+    """Sorted shingle codes of each normal line, hashed over one flat array for a group of lines."""
     out = []
-    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(code)]):
-        part = np.sort(code[a:b])
-        fresh = np.empty(len(part), bool)
-        fresh[0] = True
-        np.not_equal(part[1:], part[:-1], out=fresh[1:])
-        out.append(part[fresh])
+    for group in groups(map(len, lines)):
+        code, begins = _codes(lines[group], size)
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(code)]):
+            part = np.sort(code[a:b])
+            fresh = np.empty(len(part), bool)
+            fresh[0] = True
+            np.not_equal(part[1:], part[:-1], out=fresh[1:])
+            out.append(part[fresh])
     return out
 
 
@@ -228,7 +242,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = [near_pairs(a[i : i + PAIRS].tolist(), b[i : i + PAIRS].tolist(), similarity) for i in range(0, len(a), PAIRS)]
+        out = []
+        for i in range(0, len(a), PAIRS):
+            x, y = a[i : i + PAIRS].tolist(), b[i : i + PAIRS].tolist()
+            out += [near_pairs(x[g], y[g], similarity) for g in groups(len(p) + len(q) for p, q in zip(x, y))]
         return pd.Series(np.concatenate(out) if out else [], dtype="bool")
 
     left = texts.select(F.col("key").alias("a"), F.col("line").alias("_a"))

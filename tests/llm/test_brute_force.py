@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -261,3 +262,25 @@ def test_hypergeometric_draws_have_the_right_mean_and_spread(spark):
     assert got.min() >= 0 and got.max() <= 60
     assert got.mean() == pytest.approx(20, abs=0.05)
     assert got.var() == pytest.approx(100 * 0.2 * 0.8 * 200 / 299, rel=0.03)
+
+
+def test_lines_are_signed_in_groups_of_bounded_size(monkeypatch):
+    """A batch of long texts is not laid out as one array of characters."""
+    texts = [f"line {i} " + "x y z " * 40 * i + "\nsecond " + "w" * i for i in range(12)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(12)), "text_hash": list(range(12)), "text": texts})
+    whole = list(lines._occurrences(1)([batch]))
+    longest, codes = [], lines._codes
+
+    def counted(found, size):
+        longest.append(sum(map(len, found)) if len(found) > 1 else 0)
+        return codes(found, size)
+
+    monkeypatch.setattr(lines, "_codes", counted)
+    monkeypatch.setattr(lines, "GROUP", 1000)
+    cut = list(lines._occurrences(1)([batch]))
+    assert pa.Table.from_batches(cut).to_pylist() == pa.Table.from_batches(whole).to_pylist()
+    each = [s.tolist() for s in lines._sets([lines.normal(x) for x in texts])]
+    assert each == [lines.shingles(lines.normal(x)).tolist() for x in texts]
+    assert lines.near_pairs(texts * 2, texts * 2, 0.8).all()
+    assert 0 < max(longest) <= 1000
+    assert lines.groups([]) == [] and lines.groups([5, 2, 2, 9], 4) == [slice(0, 1), slice(1, 3), slice(3, 4)]
