@@ -7,10 +7,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.sources.shared import new_path
+from quillmark.sources.shared import Stored, new_path  # noqa: F401
 
 #: White space of the word rule [^\x20\x09-\x0D]+, as a Java character class and as characters.
 BLANKS = r"[ \t-\r]+"
@@ -33,22 +33,6 @@ def packed(docs: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
-class Stored:
-    """A table in the shared folder: cuts lineage, survives lost executors, and can be dropped."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark: SparkSession = df.sparkSession
-        self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Delete the files; only for a table that every later result has already replaced."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``rows`` rows, so that a task holds few texts at a time."""
     for batch in batches:

@@ -232,3 +232,14 @@ def test_custom_annotator(spark):
 
     docs = spark.createDataFrame([(1, "a", 5)], "doc_id long, text string, other int")
     assert tuple(annotate_with(docs, ["doc_id", "text"], shout, "doc_id long, text string").first()) == (1, "A")
+
+
+def test_many_blocks_are_settled_in_few_rounds(spark, monkeypatch):
+    """Rows are dealt to blocks anew and rounds are accelerated; blocks that stayed the same took over 400 rounds."""
+    monkeypatch.setattr(margin, "ROWS", 16)
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(120, 4)) * (draw.random((120, 4)) < 0.7)
+    y = (x @ [1.0, -2.0, 0.5, 0.0] + 0.3 + draw.normal(size=120) * 0.5 > 0).astype(float)
+    frame = spark.createDataFrame([(Vectors.dense(v), t) for v, t in zip(x.tolist(), y.tolist())], ["features", "y"])
+    model = margin.MarginClassifier(c=0.5, tolerance=1e-3).fit(frame)
+    assert model.solved and model.getOrDefault("rounds") < 100
