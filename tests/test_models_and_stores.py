@@ -235,7 +235,7 @@ def test_custom_annotator(spark):
 
 
 def test_many_blocks_are_settled_in_few_rounds(spark, monkeypatch):
-    """Rows are dealt to blocks anew and rounds are accelerated; blocks that stayed the same took over 400 rounds."""
+    """Rows are dealt to blocks anew and rounds are accelerated; blocks that stayed the same took some 300 rounds."""
     monkeypatch.setattr(margin, "ROWS", 16)
     draw = np.random.default_rng(1)
     x = draw.normal(size=(120, 4)) * (draw.random((120, 4)) < 0.7)
