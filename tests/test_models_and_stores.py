@@ -127,6 +127,22 @@ def test_file_readers(spark, tmp_path):
     assert [r["line"] for r in lines] == ["one", "two"]
 
 
+def test_a_file_for_every_text(spark, tmp_path):
+    """Names and texts of any kind, repeated rows too; each task has folders of its own and no file of checksums."""
+    names = ["en", "en", "a/b: 100%", "", None, "é]^", "en", "fr"]
+    texts = ["one\ntwo", "same", "x", "", None, "ü\r\n", "same", "y"]
+    rows = spark.createDataFrame(list(zip(names, texts)), "name string, body string").repartition(3)
+    for round_ in (1, 2):
+        writers.write_texts(rows, str(tmp_path / "own"), "name", "body", single=True)
+        back = readers.read_text_files(spark, str(tmp_path / "own"), True)
+        assert sorted(r["text"] for r in back.collect()) == sorted([f"{t or ''}\n" for t in texts] * round_)
+    writers.write_texts(rows, str(tmp_path / "spark"), "name", "body")
+    folders = [sorted(p.name for p in (tmp_path / at).glob("name=*")) for at in ("own", "spark")]
+    assert folders[0] == folders[1]
+    files = [p for p in (tmp_path / "own").rglob("*") if p.is_file()]
+    assert len(files) == 16 and all(p.parent.name.startswith("part-") for p in files)
+
+
 def test_manifest(spark):
     files = spark.createDataFrame([("x/a.txt", "t"), ("x/b.c.py", "t"), ("x/c.md", "t"), ("x/d.txt", "t")], "path string, text string")
     manifest = spark.createDataFrame([("x/a.txt", True), ("x/b.c.py", False), ("x/c.md", True)], "path string, is_ai boolean")
