@@ -3,9 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.functions import code
+from quillmark.functions import code, tagging, tokens, trees
 from quillmark.operators import language, nesting, opinion, syntax
-from quillmark.plans import source_code
+from quillmark.plans import prose, source_code
 
 LEXICON = {"good": 2.0, "bad": -2.0}
 
@@ -199,6 +199,37 @@ def test_comment_only_source(spark):
     assert (got["loc"], got["functions"], got["complexity"]) == (0, 0, 0.0)
 
 
+def test_depth_of_many_trees(spark):
+    """Against a plain walk; a head that is not there leaves its token and all below it without a depth."""
+    import random
+
+    draw = random.Random(3)
+    trees_ = [[0 if i == 0 else draw.randint(1, i) for i in range(n)] for n in range(1, 60)]
+    trees_ += [[i for i in range(40)], [0] * 9, [], [0, 1, 9, 3], [None, 1, 2], [9, 1]]
+
+    def depth(heads, i):
+        h = heads[i] or 0
+        return 1 if h == 0 else None if h > len(heads) else (d := depth(heads, h - 1)) and d + 1
+
+    frame = spark.createDataFrame([(t,) for t in trees_], "heads array<int>")
+    built = frame.select(trees.tree_depth(F.col("heads")).alias("d"))
+    assert [r["d"] for r in built.collect()] == [
+        max((d for i in range(len(t)) if (d := depth(t, i))), default=None if t else 0) for t in trees_
+    ]
+    # A round is one pass over the tokens.
+    assert str(built._jdf.queryExecution().analyzed()).count("transform(") <= 3
+
+
+def test_words_and_tags_are_shuffled_as_text(spark):
+    docs = spark.createDataFrame([(1, "A  cat sat. Dogs\u00a0ran!"), (1, ""), (None, None), (2, "``Hm'' ... ?!")], "doc_id long, text string")
+    rows = prose.lemmatised(docs, F.lit("LLM"), clean=False)
+    plain = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(
+        tokens.sentence_tokens(F.col("text")).alias("toks")).withColumn("tags", tagging.tag_sentences("toks"))
+    assert sorted(map(tuple, rows.select("toks", "tags").collect())) == sorted(map(tuple, plain.collect()))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("array_join(")
+
+
 def test_markup_depth(one):
     html = "<!DOCTYPE x><html><body><p>a<br><img src='x'/></p><!-- <div><div> --></body></html>"
     got = one(html, lambda c: code.run_depth(code.tag_steps(code.masked(c, F.lit("html")))))
