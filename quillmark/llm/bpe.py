@@ -31,7 +31,7 @@ WORDS = (
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Bounds of a worker's memory: bytes of text and id lists at a time, pieces remembered, and the
 #: length of a remembered piece.
-STRIP = 1 << 20
+STRIP = 1 << 18
 TEXTS = 500
 REMEMBERED = 200_000
 SHORT = 48
@@ -226,7 +226,7 @@ def round_trip(
     """The columns ``keep``, the token ids of whole texts, and what they decode to, in one pass.
 
     ``decoded`` names the column of the decoded text, ``exact`` that of whether it is the text; either
-    may be left out. A worker holds about 1 MB of text, or one longer text, at a time, with its ids.
+    may be left out. A worker holds about 256 KB of text, or one longer text, at a time, with its ids.
     Null texts are empty: no ids, an empty decoded text, exact. Repeated rows stay, an empty table
     stays empty; none of ``keep`` may have the name of an added column.
     """

@@ -189,3 +189,26 @@ def test_texts_are_cut_to_strips_by_bytes_only_between_rows():
     cut = [b.column(0).to_pylist() for b in strips([batch, batch.slice(0, 0)], "t", 10)]
     assert [x for c in cut for x in c] == texts
     assert all(len(c) == 1 or sum(len((x or "").encode()) for x in c) <= 10 for c in cut)
+
+
+def test_bpe_holds_little(monkeypatch):
+    """Texts of a batch in strips: what encoding and decoding take is bounded, whatever the batch holds."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quillmark.llm import common
+
+    words = bpe.vocabulary(queries.vocabulary_path())
+    texts = [" ".join(f"w{i * j % 9973}x{i}" for j in range(200)) for i in range(1200)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    most = 0
+    for strip in common.strips([batch], "text", bpe.STRIP):
+        tracemalloc.start()
+        found = words.encode(strip.column(0).to_pylist())
+        offsets = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
+        assert words.decode(np.concatenate(found), offsets) == strip.column(0).to_pylist()
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert most < 36 << 20, most
