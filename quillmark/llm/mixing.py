@@ -62,10 +62,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 
 def _log_factorial(n: Column) -> Column:
     """Natural logarithm of n!, exact below 16, by Stirling's series from there."""
-    small = F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)]), F.least(n, F.lit(15)).cast("int") + 1)
-    x = F.greatest(n, F.lit(1)).cast("double")
-    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
-    return F.when(n < 16, small).otherwise(series)
+
+    def of(n: Column) -> Column:
+        small = F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)]), F.least(n, F.lit(15)).cast("int") + 1)
+        x = F.greatest(n, F.lit(1)).cast("double")
+        series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
+        return F.when(n < 16, small).otherwise(series)
+
+    return let(n, of)
 
 
 def _log_choose(n: Column, k: Column) -> Column:
@@ -75,45 +79,64 @@ def _log_choose(n: Column, k: Column) -> Column:
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """Marked items among ``drawn`` of ``total``, by inversion of ``u`` outwards from the mode.
 
-    Steps over some standard deviations around the mode; the mode is returned beyond them.
+    Steps over some standard deviations around the mode; the mode is returned beyond them. Every value
+    that is used again is computed once, by ``let``: written out in full, the plan is several times as
+    long, and the driver holds all of it for every level of a tree.
     """
+    given = F.struct(total.alias("total"), marked.alias("marked"), drawn.alias("drawn"), u.alias("u"))
+    return let(given, lambda g: _inverted(g["total"], g["marked"], g["drawn"], g["u"]))
+
+
+def _inverted(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
+    """``hypergeometric`` of plain columns or fields."""
     low = F.greatest(F.lit(0), drawn + marked - total)
     high = F.least(drawn, marked)
-    mode = F.least(high, F.greatest(low, F.floor((drawn + 1) * (marked + 1) / (total + 2)))).cast("long")
-    first = F.exp(
-        _log_choose(marked, mode) + _log_choose(total - marked, drawn - mode) - _log_choose(total, drawn)
-    )
-    spread = F.sqrt(drawn * marked / F.greatest(total, F.lit(1)).cast("double"))
-    reach = (F.ceil(12 * spread) + 16).cast("int")
 
-    def up(p: Column, k: Column) -> Column:
-        return F.when(k >= high, 0.0).otherwise(p * (marked - k) * (drawn - k) / ((k + 1.0) * (total - marked - drawn + k + 1.0)))
+    def at_mode(b: Column) -> Column:
+        low, high = b["low"], b["high"]
+        mode = F.least(high, F.greatest(low, F.floor((drawn + 1) * (marked + 1) / (total + 2)))).cast("long")
+        return let(mode, lambda mode: let(
+            F.exp(_log_choose(marked, mode) + _log_choose(total - marked, drawn - mode) - _log_choose(total, drawn)),
+            lambda first: walked(low, high, mode, first),
+        ))
 
-    def down(p: Column, k: Column) -> Column:
-        return F.when(k <= low, 0.0).otherwise(p * k * (total - marked - drawn + k) / ((marked - k + 1.0) * (drawn - k + 1.0)))
+    def walked(low: Column, high: Column, mode: Column, first: Column) -> Column:
+        spread = F.sqrt(drawn * marked / F.greatest(total, F.lit(1)).cast("double"))
+        reach = (F.ceil(12 * spread) + 16).cast("int")
 
-    start = F.struct(
-        (u - first).alias("left"), first.alias("p_up"), mode.alias("k_up"), first.alias("p_down"),
-        mode.alias("k_down"), F.when(u < first, mode).alias("found"),
-    )
+        def up(p: Column, k: Column) -> Column:
+            return F.when(k >= high, 0.0).otherwise(p * (marked - k) * (drawn - k) / ((k + 1.0) * (total - marked - drawn + k + 1.0)))
 
-    def step(s: Column, _: Column) -> Column:
-        more, less = up(s["p_up"], s["k_up"]), down(s["p_down"], s["k_down"])
-        after_up = s["left"] - more
-        after_down = after_up - less
-        fresh = (
-            F.when(s["found"].isNotNull(), s["found"])
-            .when((more > 0) & (after_up < 0), s["k_up"] + 1)
-            .when((less > 0) & (after_down < 0), s["k_down"] - 1)
-        )
-        return F.struct(
-            after_down.alias("left"), more.alias("p_up"), (s["k_up"] + 1).alias("k_up"),
-            less.alias("p_down"), (s["k_down"] - 1).alias("k_down"), fresh.alias("found"),
+        def down(p: Column, k: Column) -> Column:
+            return F.when(k <= low, 0.0).otherwise(p * k * (total - marked - drawn + k) / ((marked - k + 1.0) * (drawn - k + 1.0)))
+
+        start = F.struct(
+            (u - first).alias("left"), first.alias("p_up"), mode.alias("k_up"), first.alias("p_down"),
+            mode.alias("k_down"), F.when(u < first, mode).alias("found"),
         )
 
-    # Only as many steps as the spread asks for; where both sides are closed nothing changes.
-    walked = F.aggregate(F.sequence(F.lit(1), F.least(reach, (high - low + 1).cast("int"))), start, step)
-    return F.coalesce(walked["found"], mode)
+        def step(s: Column, _: Column) -> Column:
+            sides = F.struct(up(s["p_up"], s["k_up"]).alias("more"), down(s["p_down"], s["k_down"]).alias("less"))
+            return let(sides, lambda x: moved(s, x["more"], x["less"]))
+
+        def moved(s: Column, more: Column, less: Column) -> Column:
+            after_up = s["left"] - more
+            after_down = after_up - less
+            fresh = (
+                F.when(s["found"].isNotNull(), s["found"])
+                .when((more > 0) & (after_up < 0), s["k_up"] + 1)
+                .when((less > 0) & (after_down < 0), s["k_down"] - 1)
+            )
+            return F.struct(
+                after_down.alias("left"), more.alias("p_up"), (s["k_up"] + 1).alias("k_up"),
+                less.alias("p_down"), (s["k_down"] - 1).alias("k_down"), fresh.alias("found"),
+            )
+
+        # Only as many steps as the spread asks for; where both sides are closed nothing changes.
+        steps = F.sequence(F.lit(1), F.least(reach, (high - low + 1).cast("int")))
+        return F.coalesce(F.aggregate(steps, start, step)["found"], mode)
+
+    return let(F.struct(low.alias("low"), high.alias("high")), at_mode)
 
 
 def split_tree(quotas: DataFrame, levels: int, seed: int = 0) -> DataFrame:

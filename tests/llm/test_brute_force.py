@@ -255,6 +255,15 @@ def test_hypergeometric_tree_is_exact(spark):
     assert max(per_shard.values()) - min(per_shard.values()) <= 1
 
 
+def test_hypergeometric_draw_is_a_short_plan(spark):
+    """Values that are used again are bound once, else the driver holds a plan of 80,000 characters a level."""
+    rows = spark.createDataFrame([(300, 60, 100, 0.5)], "total long, marked long, drawn long, u double")
+    drawn = rows.select(mixing.hypergeometric(*[F.col(c) for c in rows.columns]).alias("k"))
+    assert len(drawn._jdf.queryExecution().analyzed().toString()) < 25_000
+    # Outwards from the mode: 20, 21, 19 and 22 hold less than half of the chances, with 18 more.
+    assert drawn.first()["k"] == 18
+
+
 def test_hypergeometric_draws_have_the_right_mean_and_spread(spark):
     u = (F.col("id") + F.lit(0.5)) / 2000
     drawn = mixing.hypergeometric(F.lit(300).cast("long"), F.lit(60).cast("long"), F.lit(100).cast("long"), u)
