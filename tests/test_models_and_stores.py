@@ -10,6 +10,7 @@ from quillmark.operators import features, labels, margin, models, syntax
 from quillmark.plans import corpora, prose, source_code
 from quillmark.plans.custom import annotate_with
 from quillmark.sources import readers, writers
+from quillmark.sources.shared import settle
 from quillmark.streaming.annotate import annotate_stream, changes, read_master, read_vocabulary
 
 
@@ -37,6 +38,20 @@ def test_classifier_learns_and_reloads(rows, kind, tmp_path):
     assert called.select("doc_id", "prediction").exceptAll(again.select("doc_id", "prediction")).count() == 0
 
 
+def test_forest_keeps_nodes_beside_rows(spark, rows):
+    """Tasks do not get the trees grown so far; the trees are those that are grown with them."""
+    blocks = models.forest_blocks()
+    frame = settle(models.with_terms(rows, blocks), "training")
+    grown = []
+    for kept in (True, False):
+        forest = models.random_forest(trees=5)
+        assert forest.getCacheNodeIds()
+        model = models.fit(frame, blocks, K.METRICS, forest.setCacheNodeIds(kept)).stages[-1]
+        grown.append(model.toDebugString.split("\n", 1)[1])
+    assert grown[0] == grown[1]
+    assert spark.sparkContext.getCheckpointDir()
+
+
 @pytest.mark.parametrize("rows_of_a_block", [1000, 40, 9])
 def test_the_margin_problem_is_solved(spark, monkeypatch, rows_of_a_block):
     monkeypatch.setattr(margin, "ROWS", rows_of_a_block)
