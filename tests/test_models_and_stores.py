@@ -1,11 +1,14 @@
 import os
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from quillmark.functions import constants as K
+from quillmark.functions import grams
 from quillmark.operators import features, labels, margin, models, syntax
 from quillmark.plans import corpora, prose, source_code
 from quillmark.plans.custom import annotate_with
@@ -86,6 +89,32 @@ def test_tfidf_by_hand(spark):
     assert got == {(1, "aa"): pytest.approx(2 * idf["aa"] / norm), (1, "bb"): pytest.approx(idf["bb"] / norm), (2, "bb"): pytest.approx(1.0)}
 
 
+def test_char_tfidf_counts_strips_of_texts(spark, monkeypatch):
+    """The weights of the general operator, bit by bit; an n-gram leaves a strip of texts once."""
+    many = "".join(map(chr, [*range(0x100, 0xD800), *range(0xE000, 0xF000)]))
+    texts = ["Ab  ab\tab c", "", "a", "\x00a\x00\x00 \x00", "\U0001f600\U0001f600x\u0130\u4e2d", "aB ab" * 50, many, "Ab  ab\tab c"]
+    frame = spark.createDataFrame([(i // 2 if i != 5 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    for top in (40, 100_000):
+        plain = features.tfidf(frame, features.char_terms(F.col("text")), top)
+        got = features.char_tfidf(frame, F.col("text"), top)
+        assert got.schema == plain.schema
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    none = features.char_tfidf(frame.where("text = ''").unionAll(spark.createDataFrame([(9, None)], frame.schema)), F.col("text"), 5)
+    assert none.count() == 0
+    batch, found = pa.RecordBatch.from_pydict({"_text": texts}), []
+    for size in (20, 1 << 18):
+        monkeypatch.setattr(grams, "STRIP", size)
+        total = Counter()
+        for out in grams.totals_of(2, 4)([batch]):
+            for r in out.to_pylist():
+                total.update({(r["term"], "cf"): r["cf"], (r["term"], "df"): r["df"]})
+        found.append(total)
+    assert found[0] == found[1] and found[0]["ab", "df"] == 3
+    short = "ab ab"
+    terms, cf, df = grams.Counted([short, None, short], 2, 4).totals()
+    assert len(terms) == len(set(terms)) and dict(zip(terms, zip(cf, df)))["ab"] == (4, 2)
+
+
 def test_char_terms(one):
     raw = "Ab  c\U0001f600d"
     text = "ab c\U0001f600d"
