@@ -199,6 +199,14 @@ def test_term_frequency_totals(spark):
     assert sorted((r["term"], r["cnt"], r["n"]) for r in rows) == [("a1", 2, 4), ("b1", 1, 4), ("c1", 1, 4)]
 
 
+def test_spread_deals_few_splits_to_several_tasks_a_slot(spark):
+    """Nine splits on eight slots would be two rounds, the second with one task; rows stay the same."""
+    slots = spark.sparkContext.defaultParallelism
+    dealt = spread(spark.range(0, 100 * (slots + 1), numPartitions=slots + 1), "id")
+    assert dealt.rdd.getNumPartitions() == 4 * slots
+    assert sorted(r["id"] for r in dealt.collect()) == list(range(100 * (slots + 1)))
+
+
 def test_spread_deals_a_file_of_one_row_group(spark, tmp_path):
     """Its splits are as many as the slots, but one of them holds all rows."""
     path = str(tmp_path / "one")
